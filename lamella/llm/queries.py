@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lamella.llm.fingerprints import compared_fingerprints
 from lamella.llm.pseudonyms import pseudonymise
+from lamella.llm.secrets import secret_spans
 from lamella.llm.url_filter import url_filter
 
 #: Rules of the address filter: host, path, verdict.
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymised text of every document, with counts by kind."""
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
@@ -42,5 +52,5 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op7_pseudonyms, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_secrets, op7_pseudonyms, op8_url_filter)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
