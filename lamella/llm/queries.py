@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lamella.llm.fingerprints import compared_fingerprints
 from lamella.llm.pseudonyms import pseudonymise
 from lamella.llm.secrets import secret_spans
+from lamella.llm.simhash import near_groups
 from lamella.llm.url_filter import url_filter
 
 #: Rules of the address filter: host, path, verdict.
@@ -26,6 +27,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"), width=4, max_bits=4)
+    return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymised text of every document, with counts by kind."""
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
@@ -52,5 +58,5 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_secrets, op7_pseudonyms, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_secrets, op6_simhash, op7_pseudonyms, op8_url_filter)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
