@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lamella.llm.fingerprints import compared_fingerprints
 from lamella.llm.pseudonyms import pseudonymise
+from lamella.llm.quality import fold, train, with_score
 from lamella.llm.secrets import secret_spans
 from lamella.llm.simhash import near_groups
 from lamella.llm.url_filter import url_filter
@@ -42,6 +43,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = with_score(docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text"), model).drop("text")
+    return scored.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id,
@@ -58,5 +66,5 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_secrets, op6_simhash, op7_pseudonyms, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_secrets, op6_simhash, op7_pseudonyms, op8_url_filter, op10_quality)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
