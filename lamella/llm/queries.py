@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lamella.llm.decontaminate import contaminated
 from lamella.llm.fingerprints import compared_fingerprints
+from lamella.llm.line_dedup import without_common_blocks
+from lamella.llm.mixing import mixed, tempered
 from lamella.llm.pseudonyms import pseudonymise
 from lamella.llm.quality import fold, train, with_score
 from lamella.llm.secrets import secret_spans
@@ -20,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = without_common_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixed(docs, tempered(docs))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"), width=4, max_bits=4)
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -66,5 +83,5 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_secrets, op6_simhash, op7_pseudonyms, op8_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op10_quality)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
