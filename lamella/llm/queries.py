@@ -8,6 +8,7 @@ from lamella.llm.decontaminate import contaminated
 from lamella.llm.fingerprints import compared_fingerprints
 from lamella.llm.line_dedup import without_common_blocks
 from lamella.llm.mixing import mixed, tempered
+from lamella.llm.passages import repeated_passages
 from lamella.llm.pseudonyms import pseudonymise
 from lamella.llm.quality import fold, train, with_score
 from lamella.llm.secrets import secret_spans
@@ -60,6 +61,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -83,5 +88,5 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op9_passages, op10_quality)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
