@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -26,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the cluster's checkpoint folder and read it again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
         size = max(n, 2 * _powers["n"], 1 << 16)

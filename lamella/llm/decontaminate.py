@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from lamella.llm.common import shingles, words
@@ -94,6 +95,30 @@ class Items:
         return out
 
 
+def _seeded(docs: DataFrame, items: DataFrame, item_col: str, text: str, block_chars: int) -> Iterator[Broadcast]:
+    """Blocks of items with their seeds, chosen by how many of ``docs`` have each n-gram."""
+    chosen = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    blocks = 1 + int(chosen.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
+    context = docs.sparkSession.sparkContext
+    for block in range(blocks):
+        own = chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        own.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        held = Items([r["item_id"] for r in own], [r["text"] for r in own])
+        shared = context.broadcast(held)
+
+        def count(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                seen = [np.zeros(0, dtype=np.uint64)]
+                for t in batch.column(0).to_pylist():
+                    grams = shingles(word_hashes(t), GRAM)
+                    seen.append(np.unique(grams[shared.value.hits(grams)]))
+                gram, n = np.unique(np.concatenate(seen), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
+
+        counts = docs.select(F.col(f"`{text}`")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        yield context.broadcast(held.rarest({r["gram"]: r["n"] for r in counts}))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", block_chars: int = 8_000_000) -> DataFrame:
     """``doc_id, item_id, score, first_word, end_word``: the items that documents contain, whole or edited.
 
@@ -108,36 +133,34 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, id_c
     a row for each. Texts without words, nulls, and items without words match nothing. Repeated rows
     give repeated rows. Equal items are reported each. Empty tables give no rows.
     """
-    chosen = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    total = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + int(total) // block_chars
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias(text))
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
-    def of_block(block: int) -> DataFrame:
-        own = sorted(chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        held = Items([r["item_id"] for r in own], [r["text"] for r in own])
-        shared = context.broadcast(held)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                seen = []
-                for t in batch.column(0).to_pylist():
-                    grams = shingles(word_hashes(t), GRAM)
-                    seen.append(np.unique(grams[shared.value.hits(grams)]))
-                gram, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, dtype=np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
-
-        counts = rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        seeded = context.broadcast(held.rarest({r["gram"]: r["n"] for r in counts}))
-
+    def of_block(seeded: Broadcast) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in seeded.value.matches(t, threshold)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
 
         return rows.mapInArrow(search, schema)
 
-    return reduce(DataFrame.unionByName, [of_block(b) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, [of_block(b) for b in _seeded(rows, items, item_col, text, block_chars)])
+
+
+def with_leak_score(docs: DataFrame, items: DataFrame, threshold: float = 0.5, item_col: str = "item_id", text: str = "text", block_chars: int = 8_000_000) -> DataFrame:
+    """``docs`` with ``leak_score``: the best score of ``contaminated`` of the row's text, 0 if there is none.
+
+    Rows and other columns stay; a column called leak_score is replaced. Otherwise as ``contaminated``.
+    """
+    out = docs.drop("leak_score").withColumn("leak_score", F.lit(0.0))
+    place = docs.drop("leak_score").columns.index(text)
+    for seeded in _seeded(docs, items, item_col, text, block_chars):
+
+        def score(batches: Iterator[pa.RecordBatch], seeded: Broadcast = seeded) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [max([s, *(m[1] for m in seeded.value.matches(t, threshold))]) for t, s in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.float64())], batch.schema.names)
+
+        out = out.mapInArrow(score, out.schema)
+    return out

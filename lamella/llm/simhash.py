@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,17 @@ def grid_of(n: int, max_bits: int, bits: int = 64, crowd: int = 32, most: int =
     return [np.concatenate(pick).tolist() for pick in combinations(blocks, r)]
 
 
-def drawn_parts(picks: int, size: int, bits: int) -> list[list[int]]:
-    """``picks`` fixed pseudo-random parts of ``size`` segments each, of fingerprints of ``bits`` bits."""
+def drawn_parts(n: int, similarity: float, bits: int, crowd: int = 16, miss: float = 0.05) -> list[list[int]]:
+    """Fixed pseudo-random parts of the segments, for links that are too loose for equal blocks.
+
+    Sets with Jaccard likeness ``similarity`` differ in a known share of bits. Parts are as long as
+    ``n`` fingerprints need to leave ``crowd`` in a cell, and as many as make a link at that share agree
+    in none of them with probability ``miss``.
+    """
+    turned = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    equal = (1 - turned) ** 2 + turned**2 / 2
+    size = max(4, ceil(log(max(n, 1) / crowd) / log(1 / SAME)) if n > crowd else 4)
+    picks = ceil(log(1 / miss) / equal**size)
     draw = np.random.default_rng(7)
     return [draw.choice(bits // SEGMENT, size, replace=False).tolist() for _ in range(picks)]
 
@@ -204,3 +214,52 @@ def near_groups(docs: DataFrame, width: int = 5, max_bits: int = 4, id_col: str
     reached = connected_components(found)
     named = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, planes: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of documents whose shingle sets have a Jaccard likeness of ``similarity`` or more to another's, by chains.
+
+    At such likenesses fingerprints differ in too many bits for an exact grid, so cells are drawn parts
+    of the segment counts, which miss a pair at the very limit once in twenty. What shares a cell and
+    is near enough in all bits is then read in full, and its sets compared: no pair below ``similarity``
+    is linked. Equal sets are one node. A row is returned only where a document belongs to a group
+    under another's id; ``component_id`` is the smallest id of the group.
+
+    Null and empty texts are equal to each other. Rows with null ids are left out. Repeated ids count as
+    one document. No rows give none. Other columns are not read.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            same = [hashlib.md5(np.unique(h).tobytes()).digest() for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(h, planes) for h in hashes], pa.binary()), pa.array(same, pa.binary())], ["doc_id", "fp", "same"])
+
+    table = cut(rows.mapInArrow(run, "doc_id long, fp binary, same binary"))
+    nodes = cut(table.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")))
+    bits = 64 * planes
+    turned = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    limit = int(bits * turned + 2.5 * (bits * turned * (1 - turned)) ** 0.5)
+    found = links(nodes, drawn_parts(nodes.count(), similarity, bits), limit, planes)
+    found = cut(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+
+    asked = found.select(F.col("src").alias("id"), "src", "dst").unionByName(found.select(F.col("dst").alias("id"), "src", "dst"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            sets = []
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                if t != held:
+                    held, own = t, np.unique(shingle_hashes(t, width))
+                sets.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["src", "dst", "own"])
+
+    sets = rows.withColumnRenamed("doc_id", "id").join(asked, "id").select("text", "src", "dst").mapInArrow(read, "src long, dst long, own array<long>")
+    both = sets.groupBy("src", "dst").agg(F.min("own").alias("a"), F.max("own").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+    reached = connected_components(alike)
+    named = nodes.join(reached, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return table.join(named, "same").where("doc_id != component_id").select("doc_id", "component_id").distinct()
