@@ -1,4 +1,6 @@
 """Registered queries of the volume, surface, depth and measurement operators, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from lamella.plans import depth_queries
+
+QUERIES = {**depth_queries.QUERIES}
+ORACLE_SQL = {**depth_queries.ORACLE_SQL}
