@@ -17,14 +17,21 @@ BASES = (1_103_515_245, 1_812_433_253)
 WINDOW, BINS = 16, 64
 _P = np.uint64(PRIME)
 _S = np.uint64(31)
+INVERSES = {b: pow(b, -1, PRIME) for b in BASES}
+RANGES = np.arange(BINS, dtype=np.uint64)
+FLOORS = RANGES << np.uint64(58)
 _powers: dict[int, np.ndarray] = {}
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number congruent to ``x`` modulo the Mersenne prime, 31 bits shorter or nearly reduced."""
+    return (x & _P) + (x >> _S)
+
+
 def _reduced(x: np.ndarray) -> np.ndarray:
-    """``x`` below 2**62 modulo the Mersenne prime."""
-    x = (x & _P) + (x >> _S)
-    x = (x & _P) + (x >> _S)
-    return np.where(x >= _P, x - _P, x)
+    """``x`` modulo the Mersenne prime."""
+    x = _folded(_folded(_folded(x)))
+    return np.minimum(x, x - _P)  # below the prime the difference wraps round
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -42,59 +49,95 @@ class PrefixHash:
 
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-        self.n = len(codes)
-        start = np.zeros(1, dtype=np.uint64)
-        self.prefix = [np.concatenate((start, np.cumsum(_reduced(codes * _power(b, self.n))))) for b in BASES]
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self.text, self.n, self._values = text, len(codes), None
+        self.prefix = []
+        for base in BASES:
+            sums = np.zeros(self.n + 1, dtype=np.uint64)
+            np.cumsum(_folded(codes * _power(base, self.n)), out=sums[1:])
+            self.prefix.append(sums)
+
+    def spans(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
         """Hashes of the spans, which depend on their characters only."""
-        out = np.zeros(len(starts), dtype=np.uint64)
-        for base, prefix in zip(BASES, self.prefix, strict=True):
-            part = _reduced(prefix[ends] - prefix[starts])
-            out = (out << _S) | _reduced(part * _power(pow(base, -1, PRIME), self.n + 1)[starts])
-        return out
+        parts = [_reduced(_folded(prefix[ends] - prefix[starts]) * _power(INVERSES[base], self.n + 1)[starts]) for base, prefix in zip(BASES, self.prefix, strict=True)]
+        return (parts[0] << _S) | parts[1]
 
     def span(self, start: int, end: int) -> int:
-        return int(self.spans(np.array([start]), np.array([end]))[0])
+        out = 0
+        for base, prefix in zip(BASES, self.prefix, strict=True):
+            out = out << 31 | (int(prefix[end]) - int(prefix[start])) * int(_power(INVERSES[base], self.n + 1)[start]) % PRIME
+        return out
 
-    def windows(self) -> np.ndarray:
-        """Hashes of all windows; a shorter text is one window, an empty one has none."""
-        if self.n == 0:
-            return np.zeros(0, dtype=np.uint64)
-        at = np.arange(max(1, self.n - WINDOW + 1))
-        return self.spans(at, np.minimum(at + WINDOW, self.n))
+    def values(self) -> np.ndarray:
+        """Scrambled hashes of all windows; a shorter text is one window, an empty one has none."""
+        if self._values is None:
+            if self.n >= WINDOW:
+                hashes = self.spans(slice(0, self.n - WINDOW + 1), slice(WINDOW, self.n + 1))
+            else:
+                hashes = np.array([self.span(0, self.n)] if self.n else [], dtype=np.uint64)
+            self._values = mix(hashes)
+        return self._values
 
     def extension(self, at: int, other: "PrefixHash", there: int) -> int:
-        """Length of the longest common extension of ``self[at:]`` and ``other[there:]``, by binary search."""
-        low, high = 0, min(self.n - at, other.n - there)
+        """Length of the longest common extension of ``self[at:]`` and ``other[there:]``, by doubling, then binary search."""
+        most = min(self.n - at, other.n - there)
+
+        def same(size: int) -> bool:
+            return self.span(at, at + size) == other.span(there, there + size)
+
+        low, high = 0, 1
+        while high <= most and same(high):
+            low, high = high, 2 * high
+        high = min(high - 1, most)
         while low < high:
             half = (low + high + 1) // 2
-            if self.span(at, at + half) == other.span(there, there + half):
+            if same(half):
                 low = half
             else:
                 high = half - 1
         return low
 
-    def fingerprint(self) -> str:
-        """Hash of the whole text, then 16 bits of the least window hash in each of ``BINS`` ranges."""
-        if self.n == 0:
-            return "0" * 16 + ":" + "." * (4 * BINS)
-        values = np.sort(mix(self.windows()))
-        floors = np.arange(BINS, dtype=np.uint64) << np.uint64(58)
-        at = np.searchsorted(values, floors)
-        least = values[np.minimum(at, len(values) - 1)]
-        full = (at < len(values)) & (least >> np.uint64(58) == np.arange(BINS, dtype=np.uint64))
-        bins = "".join(f"{v & 0xFFFF:04x}" if ok else "...." for v, ok in zip(least.tolist(), full.tolist(), strict=True))
-        return f"{self.span(0, self.n):016x}:{bins}"
+
+class Sketch:
+    """A text's hash and 16 bits of its least window hash in each of ``BINS`` ranges (-1: none there)."""
+
+    def __init__(self, whole: int, values: np.ndarray):
+        self.whole, self.bins = whole, np.full(BINS, -1, dtype=np.int32)
+        if len(values):
+            values = np.sort(values)
+            at = np.minimum(np.searchsorted(values, FLOORS), len(values) - 1)
+            least = values[at]
+            full = least >> np.uint64(58) == RANGES
+            self.bins[full] = (least[full] & np.uint64(0xFFFF)).astype(np.int32)
+
+    def __str__(self) -> str:
+        if (self.bins >= 0).all():
+            return f"{self.whole:016x}:" + self.bins.astype(">u2").tobytes().hex()
+        return f"{self.whole:016x}:" + "".join("...." if b < 0 else f"{b:04x}" for b in self.bins.tolist())
+
+    def likeness(self, other: "Sketch") -> float:
+        """Share of the windows of either text that both have, as their least ones tell it: 1 for equal texts."""
+        if self.whole == other.whole and (self.bins == other.bins).all():
+            return 1.0
+        some = (self.bins >= 0) | (other.bins >= 0)
+        return float(((self.bins == other.bins) & some).sum() / max(1, some.sum()))
+
+
+def sketch(h: PrefixHash) -> Sketch:
+    return Sketch(h.span(0, h.n), h.values())
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of the windows of either text that both have, as two fingerprints tell it: 1 for equal ones."""
-    if a == b:
-        return 1.0
-    x, y = (np.array([f[17 + 4 * i : 21 + 4 * i] for i in range(BINS)]) for f in (a, b))
-    some = (x != "....") | (y != "....")
-    return float(((x == y) & some).sum() / max(1, some.sum()))
+def joined(a: PrefixHash, cut: int, b: PrefixHash, end: int) -> Sketch:
+    """The sketch of ``a[:cut] + b[:end]``: the windows inside either are known, those over the joint are hashed."""
+    n = cut + end
+    if n < WINDOW:
+        return sketch(PrefixHash(a.text[:cut] + b.text[:end]))
+    whole = 0
+    for base, own, other in zip(BASES, a.prefix, b.prefix, strict=True):
+        whole = whole << 31 | (int(own[cut]) + int(other[end]) * int(_power(base, cut + 1)[cut])) % PRIME
+    known = [h.values()[: size - WINDOW + 1] for h, size in ((a, cut), (b, end)) if size >= WINDOW]
+    joint = a.text[max(0, cut - WINDOW + 1) : cut] + b.text[: min(end, WINDOW - 1)]
+    over = [PrefixHash(joint).values()] if cut and end and len(joint) >= WINDOW else []
+    return Sketch(whole, np.concatenate(known + over))
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -125,7 +168,7 @@ def in_descending_ranges(docs: DataFrame, id_col: str, text: str, parts: int) ->
     order = sorted(tops)
     #: The first row of a range also goes behind the next higher one; that of the highest behind the lowest.
     behind = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    extra = F.create_map(*[F.lit(x) for pair in behind.items() for x in pair])[F.col("_key")] if behind else F.lit(None).cast("int")
+    extra = F.create_map(*[F.lit(x).cast("long") for pair in behind.items() for x in pair])[F.col("_key")] if behind else F.lit(None).cast("long")
     own = F.struct(_bucket(F.col("_key"), bounds).cast("int").alias("part"), F.lit(False).alias("_tail"))
     places = F.when(extra.isNull(), F.array(own)).otherwise(F.array(own, F.struct(extra.cast("int").alias("part"), F.lit(True).alias("_tail"))))
     placed = rows.select(F.explode(places).alias("_at"), "_key", "doc_id", "text").select("_at.*", "_key", "doc_id", "text")
@@ -141,14 +184,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for tail, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            following = (doc_id, text, h := PrefixHash(text), h.fingerprint())
+            following = (doc_id, h := PrefixHash(text), sketch(h))
             if held is not None:
-                own_id, own, own_hash, own_print = held
-                half = len(own) // 2
-                edited = own[: len(own) - half] + text[:half]
-                edited_hash = PrefixHash(edited)
-                edited_print = edited_hash.fingerprint()
-                out.append((own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_print, edited_print, likeness(own_print, edited_print), likeness(own_print, following[3]), own_hash.extension(0, edited_hash, 0)))
+                own_id, own, own_sketch = held
+                half = own.n // 2
+                cut, end = own.n - half, min(half, h.n)
+                edited = joined(own, cut, h, end)
+                digest = hashlib.sha256((own.text[:cut] + text[:end]).encode()).hexdigest()
+                common = cut + own.extension(cut, h, 0) if end else cut
+                out.append((own_id, own.n, digest, str(own_sketch), str(edited), own_sketch.likeness(edited), own_sketch.likeness(following[2]), min(common, cut + end)))
             held = following
             if tail:
                 held = None
