@@ -180,7 +180,7 @@ METHODS = ("knee", "inflection", "shoulder")
 def long_form(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each method with a depth: ``keys, method, depth``."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("depth")) for m in METHODS]))
-    return df.select(*keys, pairs.alias("x")).select(*keys, "x.*").where("depth is not null")
+    return df.select(*keys, pairs.alias("_m")).select(*keys, "_m.*").where("depth is not null")
 
 
 def method_stability(depths: DataFrame, keys: list[str], limit: float = 20.0) -> DataFrame:
