@@ -61,9 +61,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def export_rows(slices: DataFrame) -> DataFrame:
-    """Folder, file name and description of exported slices (experiment, name, n_slices, direction, study, extension, export_index, slice)."""
+    """Folder, file name and description of exported slices (experiment, name, n_slices, direction, study, extension, export_index, slice), both counted from 0 in the table and from 1 in the name."""
     folder = F.concat_ws("_", F.format_string("%02d", "experiment"), "name", F.col("n_slices").cast("string"), F.lit("Slices"), "direction")
-    file = F.concat(F.concat_ws("_", "name", F.format_string("%02d", "experiment"), F.concat(F.lit("#"), F.col("slice").cast("string")), F.format_string("%04d", "export_index")), "extension")
+    file = F.format_string("%s_%d_#%d_%04d%s", "name", "experiment", F.col("slice") + 1, F.col("export_index") + 1, "extension")
     return slices.withColumns({"folder": folder, "file": file, "description": F.concat(F.lit("OCT Export - "), F.col("study"))})
 
 

@@ -1,9 +1,9 @@
 """Archives, stacks, configurations, sinks and streams on files made here."""
 
-import io
 import json
 import zipfile
 import zlib
+from datetime import datetime
 from struct import pack
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.spectral import reconstruct
 from lamella.sources import archives, files, sinks
-from lamella.streaming.measurements import arriving_archives, folded, progress, save_points, streamed_saves, surviving
+from lamella.streaming.measurements import arriving_archives, folded, progress, save_points, streamed_cells, streamed_saves, surviving
 
 HEADER = """<?xml version="1.0" encoding="utf-8"?>
 <Ocity><Image Type="{kind}"/><SizeReal>2.0
@@ -183,7 +183,7 @@ def test_column_config_and_tables(spark, tmp_path):
 
 def test_export_rows_and_report(spark):
     r = sinks.export_rows(spark.createDataFrame([(3, "tooth", 25, "XZ", "S", ".tiff", 7, 12)], "experiment int, name string, n_slices int, direction string, study string, extension string, export_index int, slice int")).first()
-    assert (r.folder, r.file, r.description) == ("03_tooth_25_Slices_XZ", "tooth_03_#12_0007.tiff", "OCT Export - S")
+    assert (r.folder, r.file, r.description) == ("03_tooth_25_Slices_XZ", "tooth_3_#13_0008.tiff", "OCT Export - S")
     done = spark.createDataFrame([("a", None), ("a", "boom")], "file_path string, error string")
     plan = spark.createDataFrame([("a", 3), ("b", 2)], "file_path string, num_slices int")
     assert {tuple(x) for x in sinks.export_report(done, plan).collect()} == {("a", 1, 2, "boom"), ("b", 0, 2, None)}
@@ -231,6 +231,24 @@ def test_arrivals(spark, folder, tmp_path):
     assert spark.table("arrived").count() == 3
 
 
+def test_streamed_cells_follow_undo(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "specimen string, slice int, column string, ts timestamp, event_id long, data_type string, measured double, entered string, undo boolean"
+    at = lambda i: datetime(2024, 1, 1, 0, 0, i)
+    first = [("a", 0, "len", at(1), 1, "Continuous", 1.25, None, False), ("a", 0, "len", at(2), 2, "Continuous", 2.5, None, False), ("a", 0, "ok", at(3), 3, "Boolean", None, None, False)]
+    second = [("a", 0, "len", at(4), 4, "Continuous", None, None, True), ("a", 0, "ok", at(5), 5, "Boolean", None, None, True), ("a", 0, "ok", at(6), 6, "Boolean", None, None, True)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    cells = streamed_cells(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    query = cells.writeStream.outputMode("update").foreachBatch(lambda df, i: seen.append({r.column: r.value for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query.processAllAvailable()
+    query.stop()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert seen[0] == {"len": "3.75", "ok": "YES"} and seen[-1] == {"len": "1.25", "ok": None}
+
+
 def test_fold_and_progress(spark):
     a = spark.createDataFrame([(1, "Continuous", 1.25, None, 1), (1, "Continuous", 2.5, None, 2), (2, "Boolean", None, None, 1), (3, "Ordinal", None, None, 1), (4, "Text", None, "x", 2), (4, "Text", None, "y", 1)], "cell int, data_type string, measured double, entered string, t int")
     assert {r.cell: r.value for r in folded(a, ["cell"], ["t"]).collect()} == {1: "3.75", 2: "YES", 3: "1", 4: "x"}
