@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lamella.functions.register import register
 from lamella.functions.profiles import first_crossing, grey, quantile, refracted_depth, surface_peak
 from lamella.operators.ascan import air_threshold, averaged_scans, inspected, moving_average, noise_floor, speckle_median, without_outliers
 from lamella.operators.depth import combined_depth, lesion_statistics, long_form, method_stability, primary_depth, shoulder, with_fit, with_knee
@@ -220,13 +221,23 @@ def scan_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 INSPECT_SQL = f"""WITH {POINTS}, c AS (SELECT vec_id, coalesce(min(z) FILTER (z >= 5 AND v > 150), 0) AS y FROM pts GROUP BY vec_id)
 SELECT vec_id, CASE WHEN z < y THEN 'above' WHEN z < y + 20 THEN 'fitting' ELSE 'below' END AS segment, count(*) AS n, round(avg(v), 6) AS mean FROM pts JOIN c USING (vec_id) GROUP BY 1, 2"""
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions over all profiles."""
+    register(spark)
+    rows = profiles(spark, sf_dir).selectExpr("vec_id", "knee(profile) AS knee", "grey(profile[0], 20D, 80D) AS g", "moving_average(profile, 5)[3] AS m")
+    return rows.select("vec_id", "knee", r6("g").alias("g"), r6("m").alias("m"))
+
+
 QUERIES = {
+    "sql_functions": sql_functions,
     "knee_depth_by_label": knee_depth_by_label, "sigmoid_grid": sigmoid_grid, "exp2_grid": exp2_grid, "method_stability": method_stability_by_label,
     "combined_depth": combined_depths, "lesion_stats": lesion_stats, "air_threshold": air_thresholds, "first_crossing_peak": first_crossing_peak,
     "moving_average_shrink": moving_average_shrink, "speckle_median": speckle_filter, "noise_floor": noise_floors, "robust_outliers": robust_outliers,
     "ascan_average": ascan_average, "grey_map": grey_map, "scan_inspection": scan_inspection,
 }
 ORACLE_SQL = {
+    "sql_functions": f"""WITH {KNEE_SQL}, a AS (SELECT vec_id, round(least(greatest(255 * (20 * log10(max(v) FILTER (z = 0)) - 20) / 60, 0.0), 255.0), 6) AS g, round(avg(v) FILTER (z BETWEEN 1 AND 5), 6) AS m FROM pts GROUP BY vec_id)
+    SELECT vec_id, CAST(knee AS INTEGER) AS knee, g, m FROM knees JOIN a USING (vec_id)""",
     "knee_depth_by_label": f"WITH {KNEE_SQL} SELECT label, count(*) AS n, round(avg(knee), 6) AS mean_knee FROM embeddings JOIN knees USING (vec_id) GROUP BY label",
     "sigmoid_grid": f"WITH {POINTS}, {SIGMOID_SQL} SELECT vec_id, k, z0, round(upper, 4) AS upper, round(lower, 4) AS lower, round(sse, 4) AS sse FROM sig",
     "exp2_grid": EXP2_SQL,

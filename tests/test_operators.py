@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lamella.functions import cells, profiles, rules
 from lamella.operators import depth, geometry, queue, results, spectral, surface
+from lamella.functions.register import register
+from lamella.operators.overlay import overlay, region_corners
 from lamella.operators.specimen import analysed
 
 
@@ -282,3 +284,24 @@ def test_completeness(spark):
     a = spark.createDataFrame([("a", (1, 1))], f"specimen_id string, point1 {p}")
     got = {x.specimen_id: x.missing for x in results.completeness(s, r, a).collect()}
     assert got == {"a": ["region incomplete"], "b": ["region missing", "air missing"]}
+
+
+def test_overlay(spark):
+    config = spark.createDataFrame([("a", 0, 10, 40, 60, 90, 100, 1, 1, 5, 5), ("a", 1, None, None, None, None, 100, None, None, None, None)], "specimen_id string, slice int, start_x int, lesion_start_x int, lesion_end_x int, end_x int, height int, air_left int, air_top int, air_right int, air_bottom int")
+    curve = spark.createDataFrame([("a", 0, "actual_surface", x, 20) for x in range(10, 90)], "specimen_id string, slice int, curve string, x int, y int")
+    depths = spark.createDataFrame([("a", 0, 41, 25.0, None), ("a", 0, 42, 26.0, 27.0)], "specimen_id string, slice int, x int, y double, smoothed_y double")
+    keys = ["specimen_id", "slice"]
+    centres = spark.createDataFrame([("a", 0, "sound", 0, 30)], "specimen_id string, slice int, kind string, index int, centre int")
+    regions = region_corners(centres, curve, keys)
+    rows = overlay(config, curve, depths, regions, keys).collect()
+    assert sorted(r.layer for r in rows) == ["actual_surface", "air", "lesion_boundary", "lesion_boundary", "lesion_depth", "sound_region", "specimen_boundary", "specimen_boundary"]
+    square = next(r for r in rows if r.layer == "sound_region")
+    assert [tuple(p) for p in square.points] == [(18, 30), (42, 30), (42, 54), (18, 54), (18, 30)] and square.label == "1"
+    assert [tuple(p) for p in next(r for r in rows if r.layer == "lesion_depth").points] == [(41, 25), (42, 27)]
+
+
+def test_sql_functions(spark):
+    register(spark)
+    assert [r.k for r in spark.sql("SELECT * FROM equidistant(1, 10, 4)").collect()] == [0, 3, 6, 9]
+    assert spark.sql("SELECT moving_average(array(1D, 2D, 4D, 8D, 16D), 3) a").first().a == pytest.approx([1, 7 / 3, 14 / 3, 28 / 3, 16])
+    assert spark.sql("SELECT knee(array(1D, 2D)) k").first().k is None
