@@ -66,6 +66,12 @@ def wide_measurements(cells: DataFrame, keys: list[str], columns: list[str]) ->
     return cells.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns])
 
 
+def labelled(cells: DataFrame, columns: DataFrame, keys: list[str], kinds: tuple[str, ...] = ("Boolean", "Categorical", "Ordinal", "Text")) -> DataFrame:
+    """Cells of the kinds that are shown as labels, with their column's type and colour."""
+    spec = columns.select(*keys, F.col("name").alias("column"), "data_type", "color")
+    return cells.join(spec, [*keys, "column"], "left").where(F.col("data_type").isin(*kinds))
+
+
 def completeness(specimens: DataFrame, regions: DataFrame, air: DataFrame) -> DataFrame:
     """What coordinates each specimen lacks: region or air missing, or some without a point."""
     points = ("specimen_start", "lesion_start", "lesion_end", "specimen_end")

@@ -8,6 +8,7 @@ from lamella.functions.register import register
 from lamella.functions.profiles import first_crossing, grey, quantile, refracted_depth, surface_peak
 from lamella.operators.ascan import air_threshold, averaged_scans, inspected, moving_average, noise_floor, speckle_median, without_outliers
 from lamella.operators.depth import combined_depth, lesion_statistics, long_form, method_stability, primary_depth, shoulder, with_fit, with_knee
+from lamella.operators.surface import cut
 from lamella.plans.common import POINTS, profiles, r6, table
 
 KNEE_SQL = f"""
@@ -94,7 +95,7 @@ def method_stability_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = depths(spark, sf_dir)
+    found = cut(depths(spark, sf_dir))
     stability = method_stability(long_form(found, ["vec_id", "label"]), ["label"])
     return combined_depth(found, stability, ["label"]).select("vec_id", "label", r6("combined").alias("combined"), "method")
 
