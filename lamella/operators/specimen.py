@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lamella.functions.profiles import first_crossing, refracted_depth, surface_peak
@@ -14,10 +18,19 @@ KEYS = ["specimen_id", "slice"]
 
 
 def scans_of(slices: DataFrame) -> DataFrame:
-    """``specimen_id, slice, x, profile`` of grey slices (height, width, pixels row by row, a byte each)."""
-    value = lambda i: F.conv(F.hex(F.substring("pixels", i + 1, 1)), 16, 10).cast("int")
-    rows = slices.select(*KEYS, "height", "width", "pixels", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    return rows.select(*KEYS, "x", F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: value(y * F.col("width") + F.col("x"))).alias("profile"))
+    """``specimen_id, slice, x, profile`` of grey slices (height, width, pixels row by row, a byte each); a slice of the wrong size has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, w = r["height"], r["width"]
+                if r["pixels"] is None or not h or not w or len(r["pixels"]) != h * w:
+                    continue
+                columns = np.frombuffer(r["pixels"], dtype=np.uint8).reshape(h, w).T.astype(np.int16).ravel()
+                profile = pa.ListArray.from_arrays(pa.array(np.arange(0, h * w + 1, h, dtype=np.int32)), pa.array(columns))
+                yield pa.RecordBatch.from_arrays([pa.array([r["specimen_id"]] * w, pa.string()), pa.array([r["slice"]] * w, pa.int32()), pa.array(np.arange(w, dtype=np.int32)), profile], ["specimen_id", "slice", "x", "profile"])
+
+    return slices.select(*KEYS, "height", "width", "pixels").mapInArrow(run, "specimen_id string, slice int, x int, profile array<smallint>")
 
 
 def pixels_of(scans: DataFrame) -> DataFrame:
