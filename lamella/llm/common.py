@@ -27,6 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """``df`` (cut, of a few numbers a row) to be broadcast if it has at most ``rows`` rows, some megabytes; else to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the cluster's checkpoint folder and read it again."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamella.llm.common import connected_components, cut, mix
+from lamella.llm.common import connected_components, cut, mix, small
 
 #: Bits in a segment. Two random segments have the same count in 3 of 8 cases.
 SEGMENT = 2
@@ -244,7 +244,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, planes
     found = links(nodes, drawn_parts(nodes.count(), similarity, bits), limit, planes)
     found = cut(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
 
-    asked = found.select(F.col("src").alias("id"), "src", "dst").unionByName(found.select(F.col("dst").alias("id"), "src", "dst"))
+    asked = cut(found.select(F.col("src").alias("id"), "src", "dst").unionByName(found.select(F.col("dst").alias("id"), "src", "dst")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, np.zeros(0, dtype=np.uint64)
@@ -256,7 +256,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, planes
                 sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["src", "dst", "own"])
 
-    sets = rows.withColumnRenamed("doc_id", "id").join(asked, "id").select("text", "src", "dst").mapInArrow(read, "src long, dst long, own array<long>")
+    sets = rows.withColumnRenamed("doc_id", "id").join(small(asked), "id").select("text", "src", "dst").mapInArrow(read, "src long, dst long, own array<long>")
     both = sets.groupBy("src", "dst").agg(F.min("own").alias("a"), F.max("own").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     alike = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst")
