@@ -177,7 +177,7 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NATURAL_SQL = """WITH p AS (SELECT page_id, url, split_part(url, '/', 3) AS host, list_transform(regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(regexp_replace(x, '^0+(.)', '\\1'), 20, '0') ELSE x END) AS k FROM pages)
-SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY array_to_string(k, ''), page_id) AS place FROM p"""
+SELECT page_id, host, CAST(row_number() OVER (PARTITION BY host ORDER BY array_to_string(k, ''), page_id) AS INTEGER) AS place FROM p"""
 
 
 def file_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:

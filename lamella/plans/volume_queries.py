@@ -72,7 +72,7 @@ n AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER
   first_value(own IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY slice ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a0 FROM k),
 m AS (SELECT *, coalesce(b0, a0) AS b, coalesce(a0, b0) AS a FROM n),
 t AS (SELECT *, CASE WHEN a.s > b.s THEN CAST(slice - b.s AS DOUBLE) / (a.s - b.s) ELSE 0.0 END AS t FROM m)
-SELECT o_custkey, slice, CASE WHEN b IS NULL THEN px ELSE CAST(trunc(b.px + t * (a.px - b.px)) AS INTEGER) END AS px, CASE WHEN b IS NULL THEN py ELSE CAST(trunc(b.py + t * (a.py - b.py)) AS INTEGER) END AS py,
+SELECT o_custkey, CAST(slice AS INTEGER) AS slice, CASE WHEN b IS NULL THEN px ELSE CAST(trunc(b.px + t * (a.px - b.px)) AS INTEGER) END AS px, CASE WHEN b IS NULL THEN py ELSE CAST(trunc(b.py + t * (a.py - b.py)) AS INTEGER) END AS py,
   CASE WHEN b IS NULL THEN qx WHEN b.qx IS NULL THEN NULL WHEN a.qx IS NULL THEN b.qx ELSE CAST(trunc(b.qx + t * (a.qx - b.qx)) AS INTEGER) END AS qx, own IS NOT NULL AS is_keyframe FROM t"""
 
 
@@ -144,7 +144,7 @@ def region_pixels_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIDE_SQL = f"""WITH {REGIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY slice, kind, i ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pixel FROM px)
-SELECT slice, pixel, {", ".join(f"max(v) FILTER (kind = '{k}' AND i = {i}) AS {k}_{i + 1}" for k in ("sound", "lesion") for i in range(3))} FROM r GROUP BY slice, pixel"""
+SELECT slice, CAST(pixel AS INTEGER) AS pixel, {", ".join(f"max(v) FILTER (kind = '{k}' AND i = {i}) AS {k}_{i + 1}" for k in ("sound", "lesion") for i in range(3))} FROM r GROUP BY slice, pixel"""
 
 
 def surface_depth_long(spark: SparkSession, sf_dir: str) -> DataFrame:
