@@ -85,8 +85,8 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(hashes))
     out = np.zeros(len(hashes) - k + 1, dtype=np.uint64)
     for i in range(k):
-        out = mix(out + hashes[i : len(hashes) - k + 1 + i] + np.uint64(i))
-    return out
+        out = out * np.uint64(_BASE) + hashes[i : len(hashes) - k + 1 + i]
+    return mix(out)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:

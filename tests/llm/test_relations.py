@@ -11,7 +11,7 @@ import xxhash
 from lamella.llm.common import connected_components, words
 from lamella.llm.decontaminate import contaminated, local_score, with_leak_score, word_hashes
 from lamella.llm.mixing import mixed, period, shares, tempered
-from lamella.llm.passages import compact_windows, repeated_passages
+from lamella.llm.passages import compact_windows, compact_windows_with_ties, repeated_passages
 from lamella.llm.simhash import fingerprint, grid_of, links, near_copies, near_groups, shingle_hashes
 from lamella.llm.url_filter import url_filter
 from lamella.llm import simhash
@@ -198,11 +198,12 @@ def plain_windows(h, least):
     return out
 
 
-def test_compact_windows_cover_each_run_once():
+@pytest.mark.parametrize("search", [compact_windows, compact_windows_with_ties])
+def test_compact_windows_cover_each_run_once(search):
     draw = np.random.default_rng(9)
     for _ in range(60):
         h, least = draw.integers(0, 12, draw.integers(0, 25)).astype(np.uint64), int(draw.integers(1, 6))
-        covered = [(i, j, place) for low, place, high in compact_windows(h, least) for i in range(low, place + 1) for j in range(max(place + 1, i + least), high + 1)]
+        covered = [(i, j, place) for low, place, high in search(h, least) for i in range(low, place + 1) for j in range(max(place + 1, i + least), high + 1)]
         assert len(covered) == len(set(covered))
         assert set(covered) == plain_windows(h, least)
 
