@@ -107,6 +107,7 @@ def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "
     each = each.select("_id", "_mark", F.col("line.hashes").alias("hash"))
     #: Equal ids with other texts count as one holder, named by its smallest mark.
     firsts = each.groupBy("hash").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    firsts = cut(firsts)  # a plain table on this side lets the join split the rows of a very common line
     pairs = each.join(firsts, "hash").where("_id > first_id").select("first_id", "_id", "_mark").distinct()
     firsts_lines = hashed.select(F.col("_id").alias("first_id"), F.col("hashes").alias("first_hashes"))
     both = pairs.join(firsts_lines, "first_id").join(hashed, ["_id", "_mark"]).select("_id", "_mark", "first_hashes", "hashes", "sizes")
