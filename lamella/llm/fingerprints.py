@@ -168,9 +168,11 @@ def in_descending_ranges(docs: DataFrame, id_col: str, text: str, parts: int) ->
     order = sorted(tops)
     #: The first row of a range also goes behind the next higher one; that of the highest behind the lowest.
     behind = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    extra = F.create_map(*[F.lit(x).cast("long") for pair in behind.items() for x in pair])[F.col("_key")] if behind else F.lit(None).cast("long")
+    spark = docs.sparkSession
+    extra = spark.createDataFrame(list(behind.items()) or [(None, None)], "_key long, _behind int")
+    rows = rows.join(F.broadcast(extra), "_key", "left")  # a row for each partition at most
     own = F.struct(_bucket(F.col("_key"), bounds).cast("int").alias("part"), F.lit(False).alias("_tail"))
-    places = F.when(extra.isNull(), F.array(own)).otherwise(F.array(own, F.struct(extra.cast("int").alias("part"), F.lit(True).alias("_tail"))))
+    places = F.when(F.col("_behind").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_behind").alias("part"), F.lit(True).alias("_tail"))))
     placed = rows.select(F.explode(places).alias("_at"), "_key", "doc_id", "text").select("_at.*", "_key", "doc_id", "text")
     return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("_tail", F.desc("_key"), "text").select("_tail", "doc_id", "text")
 
