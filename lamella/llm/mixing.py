@@ -49,7 +49,7 @@ def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dic
     return {r["s"]: r["count"] ** power for r in rows}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, slots: int = 1000, id_col: str = "doc_id", source: str = "source", buckets: int = 64) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, slots: int = 1000, id_col: str = "doc_id", source: str = "source", buckets: int | None = None) -> DataFrame:
     """``docs`` with ``block, slot, place``: read by slot, then place, any beginning holds the sources in their weights.
 
     Each source's rows, in an order drawn by a hash of the id, fill blocks of ``block_rows``. Weights become
@@ -57,8 +57,9 @@ def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, slot
     so the driver holds one period, whatever the number of rows. Up to the slot at which a source ends,
     no source is a whole block away from its weight; then its slots stay empty and the others go on.
 
-    Rows are numbered inside ``buckets`` of each source and the buckets' counts are added up, so a
-    source with a third of all rows is dealt over its buckets. All rows and columns are kept; sources
+    Rows are numbered inside buckets of each source and the buckets' counts are added up. A source has
+    its share of ``buckets`` (four for each shuffle partition), so one with a third of all rows is dealt
+    over a third of them, and no bucket outgrows a partition. All rows and columns are kept; sources
     without a weight and null sources have a null slot, to be left out or mixed anew. Repeated rows take a
     place each; ties in the hash go by id. Columns called block, slot or place are replaced. No rows
     give none.
@@ -76,7 +77,12 @@ def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, slot
     kept = docs.drop("block", "slot", "place")
     name = F.col(f"`{source}`").cast("string")
     draw = F.xxhash64(F.col(f"`{id_col}`"), F.lit("mix"))
-    rows = kept.withColumns({"_source": name, "_draw": draw, "_bucket": F.pmod(F.xxhash64(draw), F.lit(buckets)).cast("int")})
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept.withColumns({"_source": name, "_draw": draw})
+    size = {r["_source"]: r["count"] for r in rows.where(F.col("_source").isin(list(weights))).groupBy("_source").count().collect()}
+    total = max(1, sum(size.values()))
+    own = F.create_map(*[F.lit(x) for s in weights for x in (s, max(1, ceil(buckets * size.get(s, 0) / total)))])[F.col("_source")]
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_draw"), F.coalesce(own, F.lit(buckets))).cast("int"))
     counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
