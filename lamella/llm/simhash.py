@@ -192,7 +192,7 @@ def links(nodes: DataFrame, parts: list[list[int]], max_bits: int, planes: int =
             yield done(held)
 
     count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(count, "key").sortWithinPartitions("key").mapInArrow(search, "src long, dst long")
+    return keyed.repartition(count, "key").sortWithinPartitions("key", "node").mapInArrow(search, "src long, dst long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, max_bits: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
