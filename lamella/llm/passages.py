@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lamella.llm.common import cut, mix, pieces, shingles, words
 
@@ -14,6 +14,9 @@ from lamella.llm.common import cut, mix, pieces, shingles, words
 WIDTH, HASHES, ENOUGH = 5, 4, 2
 #: Passages whose offsets between two documents differ by less share a candidate; words read around it.
 DRIFT, AROUND = 64, 80
+#: Words of 64 bits that mark the shingles around a window's place, and the share of the least passage's shingles that
+#: two places of one passage have in common there: at likeness 0.8 eight ninths are, around a common line hardly half.
+MARKS, COMMON = 8, 0.7
 
 
 def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -111,7 +114,8 @@ def likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float)
     stands however different the rest is.
     """
     sa, sb = shingles(a, WIDTH), shingles(b, WIDTH)
-    at = np.flatnonzero(_among(sb, np.unique(sa)))
+    every = np.unique(sa)
+    at = np.flatnonzero(_among(sb, every))
     price = 2 * similarity / max(1e-9, 1 - similarity)
     out = []
 
@@ -119,23 +123,38 @@ def likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float)
         if end - start + WIDTH - 1 < least_words:
             return False
         mine = np.unique(sb[start:end])
+        if _among(mine, every).sum() < similarity * len(mine):
+            return False
         there = np.flatnonzero(_among(sa, mine))
-        # of the places where the other has these shingles, those that lie together
-        breaks = np.flatnonzero(np.diff(there) > 2 * WIDTH) + 1
-        group = there if len(breaks) == 0 else max(np.split(there, breaks), key=len)
-        other = np.unique(sa[group[0] : group[-1] + 1])
-        both = int(_among(other, mine).sum())
-        either = len(mine) + len(other) - both
-        if both < similarity * either:
+        groups = np.split(there, np.flatnonzero(np.diff(there) > 2 * WIDTH) + 1)
+        best, place = 0.0, (0, 0)
+        for i, first in enumerate(groups):  # the neighbouring places of these shingles that are most alike together
+            for last in groups[i:]:
+                other = np.unique(sa[first[0] : last[-1] + 1])
+                if len(mine) < similarity * len(other):
+                    break
+                both = int(_among(other, mine).sum())
+                if (alike := both / (len(mine) + len(other) - both)) > best:
+                    best, place = alike, (int(first[0]), int(last[-1]))
+        if best < similarity:
             return False
-        out.append((start, end + WIDTH - 1, int(group[0]), int(group[-1]) + WIDTH, both / either))
+        out.append((start, end + WIDTH - 1, place[0], place[1] + WIDTH, best))
         return True
 
-    for near in np.split(at, np.flatnonzero(np.diff(at) > 2 * WIDTH) + 1):
-        if len(near) == 0 or report(int(near[0]), int(near[-1]) + 1):
+    todo = [at] if len(at) else []
+    while todo:
+        near = todo.pop()
+        if near[-1] - near[0] + WIDTH < least_words:
+            continue
+        if report(int(near[0]), int(near[-1]) + 1):
+            continue
+        gaps = np.diff(near)
+        if len(gaps) and gaps.max() > 2 * WIDTH:
+            wide = int(gaps.argmax()) + 1
+            todo += [near[wide:], near[:wide]]
             continue
         grown: list[list[float]] = []
-        for run in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1):
+        for run in np.split(near, np.flatnonzero(gaps > 1) + 1):
             cost = price * (run[0] - grown[-1][1]) if grown else 0
             if grown and cost <= min(grown[-1][2], len(run)):
                 grown[-1][1:] = [run[-1] + 1, grown[-1][2] + len(run) - cost]
@@ -146,38 +165,23 @@ def likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float)
     return out
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, first_word, end_word, other_id, other_first, other_end, similarity``: passages an earlier document has nearly too.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased. Compact windows group all runs of
-    ``least_words`` words that share a minimum of hashed five-word shingles. Windows with equal values
-    meet the earliest document that has the value, not each other, so a passage in very many documents
-    costs one candidate for each. What ``ENOUGH`` hash functions bring forward at about the same offset is
-    read in both texts and reported where the shingles' Jaccard likeness is ``similarity`` or more.
-
-    The window values cross the network once. Of the texts, only the words around candidates do a second
-    time. A document that repeats inside itself only is not reported. Null and short texts have no
-    passages. Rows with equal ids count as one document and are not compared; null ids are left out.
-    No rows give none.
-    """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
-    dealt = windows(rows, least_words).repartition(parts, "value")
-    # both uses read all columns and filter none away before the exchange, so that it is made once and read twice
-    leading = F.when(F.col("lead"), F.col("doc_id"))
-    firsts = dealt.groupBy("value").agg(
-        F.min(leading).alias("other_id"), F.max(leading).alias("last_id"), F.min_by("place", leading).alias("other_place"), F.max("first").alias("_1"), F.max("end").alias("_2"),
-    ).where("other_id < last_id and _1 >= 0 and _2 >= 0").drop("_1", "_2")
-    met = dealt.join(firsts, "value").where("doc_id > other_id")
-    shift = F.col("place") - F.col("other_place")
-    candidates = met.groupBy("other_id", "doc_id", F.floor(shift / DRIFT).alias("drift")).agg(
-        F.min("first").alias("low"), (F.max("end") + WIDTH).alias("high"), F.min(shift).alias("shift"), F.count_distinct("value").alias("n"), F.count_if("lead").alias("leads"),
+def _candidates(met: DataFrame, enough: int) -> DataFrame:
+    """``other_id, doc_id, drift, low, high, least, most`` of runs of offsets less than ``DRIFT`` apart that ``enough`` values share."""
+    pair = Window.partitionBy("other_id", "doc_id").orderBy("shift")
+    met = met.select("other_id", "doc_id", "value", "first", "end", (F.col("place") - F.col("other_place")).alias("shift"))
+    met = met.withColumn("_new", (F.col("shift") - F.lag("shift").over(pair) >= DRIFT).cast("int"))
+    met = met.withColumn("drift", F.coalesce(F.sum("_new").over(pair), F.lit(0)))
+    found = met.groupBy("other_id", "doc_id", "drift").agg(
+        F.min("first").alias("low"), (F.max("end") + WIDTH).alias("high"), F.min("shift").alias("least"), F.max("shift").alias("most"), F.count_distinct("value").alias("n"),
     )
-    candidates = cut(candidates.where((F.col("n") >= ENOUGH) & (F.col("leads") >= 0)).select("other_id", "doc_id", "low", "high", "shift", "drift"))
+    return cut(found.where(F.col("n") >= enough).drop("n"))
 
+
+def _verified(rows: DataFrame, candidates: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """The passages of ``candidates`` that are alike enough in the texts."""
     key = F.struct("other_id", "doc_id", "drift").alias("pair")
     asked = candidates.select(F.col("doc_id").alias("id"), key, F.lit(True).alias("later"), (F.col("low") - AROUND).alias("low"), (F.col("high") + AROUND).alias("high"))
-    asked = asked.unionByName(candidates.select(F.col("other_id").alias("id"), key, F.lit(False).alias("later"), (F.col("low") - F.col("shift") - AROUND - DRIFT).alias("low"), (F.col("high") - F.col("shift") + AROUND).alias("high")))
+    asked = asked.unionByName(candidates.select(F.col("other_id").alias("id"), key, F.lit(False).alias("later"), (F.col("low") - F.col("most") - AROUND).alias("low"), (F.col("high") - F.col("least") + AROUND).alias("high")))
     asked = asked.select("id", "pair.*", "later", "low", "high")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,4 +218,74 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
     return sides.mapInArrow(verify, RESULT).groupBy("doc_id", "first_word", "other_id").agg(F.max(F.struct("end_word", "similarity", "other_first", "other_end")).alias("x")).select("doc_id", "first_word", "x.end_word", "other_id", "x.other_first", "x.other_end", "x.similarity")
 
 
+def _marked(rows: DataFrame, places: DataFrame, reach: int) -> DataFrame:
+    """``places`` (value, doc_id, lead, first, place, end, open) with marks of the shingles less than ``reach`` away, ``MARKS`` numbers."""
+    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("value", "lead", "first", "place", "end", "open")).alias("places"))
+    schema = "value long, doc_id long, lead boolean, first int, place int, end int, open boolean, " + ", ".join(f"m{i} long" for i in range(MARKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 64):
+            docs, marks = [], []
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                bit = (shingles(_tokens(text), WIDTH) >> np.uint64(23)) % np.uint64(64 * MARKS)
+                one = np.left_shift(np.uint64(1), bit % np.uint64(64))
+                word = (bit // np.uint64(64)).astype(np.int64)
+                for p in places:
+                    out = np.zeros(MARKS, dtype=np.uint64)
+                    near = slice(max(0, p["place"] - reach + 1), p["place"] + reach)
+                    np.bitwise_or.at(out, word[near], one[near])
+                    marks.append(out.view(np.int64))
+                docs.append(len(places))
+            flat = batch.column("places").flatten()
+            own = np.repeat(batch.column("doc_id").to_numpy(), docs)
+            table = np.array(marks, dtype=np.int64).reshape(-1, MARKS)
+            columns = [flat.field("value"), pa.array(own, pa.int64()), *(flat.field(n) for n in ("lead", "first", "place", "end", "open"))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(MARKS))], [c.split()[0] for c in schema.split(", ")])
+
+    return cut(rows.join(listed, "doc_id").select("doc_id", "text", "places").mapInArrow(run, schema))
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, first_word, end_word, other_id, other_first, other_end, similarity``: passages an earlier document has nearly too.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased. Compact windows group all runs of
+    ``least_words`` words that share a minimum of hashed five-word shingles. Windows with equal values first
+    meet the earliest document that has the value, so an equal passage in very many documents costs one
+    candidate for each. What ``ENOUGH`` hash functions bring forward at about the same offset is read in
+    both texts and reported where the shingles' Jaccard likeness is ``similarity`` or more. Windows that
+    no such passage covers then meet every earlier document with their value; pairs whose marks of
+    the shingles around agree by ``COMMON`` are read as well. So a first holder that is too far
+    hides no later, closer one; the marks compared grow with the square of what a common line leaves open.
+
+    The window values cross the network once. Of the texts, only the words around candidates do a second
+    time, and the texts with open windows once more. A document that repeats inside itself only is not reported. Null and short texts have no
+    passages. Rows with equal ids count as one document and are not compared; null ids are left out.
+    No rows give none.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
+    dealt = windows(rows, least_words).repartition(parts, "value")
+    # both uses read all columns and filter none away before the exchange, so that it is made once and read twice
+    leading = F.when(F.col("lead"), F.col("doc_id"))
+    firsts = dealt.groupBy("value").agg(
+        F.min(leading).alias("other_id"), F.max(leading).alias("last_id"), F.min_by("place", leading).alias("other_place"), F.max("first").alias("_1"), F.max("end").alias("_2"),
+    ).where("other_id < last_id and _1 >= 0 and _2 >= 0").drop("_1", "_2", "last_id")
+    shared = cut(dealt.join(firsts, "value"))
+    found = cut(_verified(rows, _candidates(shared.where("doc_id > other_id"), ENOUGH), least_words, similarity))
+
+    # what no first holder explains meets all earlier holders whose surroundings look the same
+    known = found.select(F.col("doc_id").alias("_doc"), "first_word", "end_word")
+    left = shared.where("doc_id > other_id").join(known, (F.col("doc_id") == F.col("_doc")) & (F.col("place") >= F.col("first_word")) & (F.col("place") < F.col("end_word")), "left_anti")
+    left = cut(left.select("value", "doc_id", "place"))
+    asked = left.select("value").distinct()
+    places = shared.join(asked, "value").join(left.withColumn("open", F.lit(True)), ["value", "doc_id", "place"], "left").where("open or lead")
+    marked = _marked(rows, places.select("value", "doc_id", "lead", "first", "place", "end", F.coalesce("open", F.lit(False)).alias("open")), least_words - WIDTH + 1)
+    holders = marked.where("lead").select("value", F.col("doc_id").alias("other_id"), F.col("place").alias("other_place"), *[F.col(f"m{i}").alias(f"o{i}") for i in range(MARKS)])
+    common = sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"o{i}"))) for i in range(1, MARKS)), F.bit_count(F.col("m0").bitwiseAND(F.col("o0"))))
+    met = marked.where("open").join(holders, "value").where((F.col("other_id") < F.col("doc_id")) & (common >= int(COMMON * (least_words - WIDTH + 1))))
+    more = _verified(rows, _candidates(met, 1), least_words, similarity)
+    return found.unionByName(more).groupBy("doc_id", "first_word", "other_id").agg(F.max(F.struct("end_word", "similarity", "other_first", "other_end")).alias("x")).select("doc_id", "first_word", "x.end_word", "other_id", "x.other_first", "x.other_end", "x.similarity")
+
+
+
 RESULT = "doc_id long, first_word int, end_word int, other_id long, other_first int, other_end int, similarity double"

@@ -11,7 +11,7 @@ import xxhash
 from lamella.llm.common import connected_components, words
 from lamella.llm.decontaminate import contaminated, local_score, with_leak_score, word_hashes
 from lamella.llm.mixing import mixed, period, shares, tempered
-from lamella.llm.passages import compact_windows, compact_windows_with_ties, repeated_passages
+from lamella.llm.passages import compact_windows, compact_windows_with_ties, likeness, repeated_passages
 from lamella.llm.simhash import fingerprint, grid_of, links, near_copies, near_groups, shingle_hashes
 from lamella.llm.url_filter import url_filter
 from lamella.llm import simhash
@@ -232,6 +232,34 @@ def test_repeated_passages(spark):
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_passages_meet_later_holders(spark):
+    """The first holder is often too far from a later copy, while a document between the two is near enough."""
+    draw = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage = [draw.choice(vocabulary) for _ in range(60)]
+    docs, grams, want = [], [], set()
+    for d in range(120):
+        copy = list(passage)
+        if d == 0 or draw.random() < 0.8:
+            copy[draw.randrange(60)] = f"edit{d}"
+        text = [draw.choice(vocabulary) for _ in range(120)]
+        text[50:50] = copy
+        docs.append((d, " ".join(text)))
+        grams.append({tuple(copy[i : i + 5]) for i in range(56)})
+        if any(len(grams[d] & g) >= 0.8 * len(grams[d] | g) for g in grams[:-1]):
+            want.add(d)
+    got = {r.doc_id for r in repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert len(want) > 80 and len(got & want) >= 0.95 * len(want)
+
+
+def test_likeness_over_a_wide_gap():
+    plain = np.arange(1, 201, dtype=np.uint64)
+    edited = plain.copy()
+    edited[[95, 98, 102, 106]] += np.uint64(1000)
+    for a, b in ((plain, edited), (edited, plain)):
+        assert [(s, e, s2, e2) for s, e, s2, e2, _ in likeness(a, b, 150, 0.8)] == [(0, 200, 0, 200)]
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/", "block"), ("example.net", "/en/x", "block"), (None, "/", "block"), ("org", "/fr/", "allow"), ("org", "/fr/", "block")]
 
 
