@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil, floor
+from heapq import heappop, heappush
+from math import ceil, floor, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -49,40 +52,65 @@ def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dic
     return {r["s"]: r["count"] ** power for r in rows}
 
 
+def exact(weights: dict[str, float]) -> dict[str, Fraction]:
+    """Each source's part of the sum of weights, without rounding."""
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    whole = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(whole.values())
+    return {s: w / total for s, w in whole.items()}
+
+
+def schedule(parts: dict[str, Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of all blocks by the rule of ``period`` for exact parts; a source that has ended leaves slots empty."""
+    top = lcm(*(w.denominator for w in parts.values())) if parts else 1
+    own = {s: w.numerator * (top // w.denominator) for s, w in parts.items()}
+    waiting = [(0, s, 0) for s in sorted(parts) if blocks.get(s)]  # release, source, blocks done
+    ready: list[tuple[int, bool, int, str, int]] = []
+    now = 0
+    while waiting or ready:
+        if not ready:
+            now = max(now, waiting[0][0])
+        while waiting and waiting[0][0] <= now:
+            _, s, k = heappop(waiting)
+            heappush(ready, (-((k + 1) * -top // own[s]), (k + 1) * top % own[s] == 0, -own[s], s, k))
+        *_, s, k = heappop(ready)
+        yield s, k, now
+        if k + 1 < blocks[s]:
+            heappush(waiting, ((k + 1) * top // own[s], s, k + 1))
+        now += 1
+
+
 def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, slots: int = 1000, id_col: str = "doc_id", source: str = "source", buckets: int | None = None) -> DataFrame:
     """``docs`` with ``block, slot, place``: read by slot, then place, any beginning holds the sources in their weights.
 
-    Each source's rows, in an order drawn by a hash of the id, fill blocks of ``block_rows``. Weights become
-    whole shares of a period of ``slots``, whose earliest-deadline-first order is worked out once and repeats;
-    so the driver holds one period, whatever the number of rows. Up to the slot at which a source ends,
-    no source is a whole block away from its weight; then its slots stay empty and the others go on.
+    Each source's rows, in an order drawn by a hash of the id, fill blocks of ``block_rows``. Weights are
+    taken exactly: where their parts have a common denominator of at most ``slots``, a period of that many
+    slots is worked out once and repeats; else the driver works out the slot of every block, a few numbers
+    for each ``block_rows`` rows. Up to the slot at which a source ends, no source is a whole block away
+    from its weight; then slots stay empty and the others go on.
 
     Rows are numbered inside buckets of each source and the buckets' counts are added up. A source has
     its share of ``buckets`` (four for each shuffle partition), so one with a third of all rows is dealt
     over a third of them, and no bucket outgrows a partition. All rows and columns are kept; sources
-    without a weight and null sources have a null slot, to be left out or mixed anew. Repeated rows take a
+    without a weight and null sources have a null slot, to be left out or mixed anew; without weights all are so. Repeated rows take a
     place each; ties in the hash go by id. Columns called block, slot or place are replaced. No rows
     give none.
     """
     spark = docs.sparkSession
-    order = period(shares(weights, slots))
-    turn: dict[str, int] = dict.fromkeys(weights, 0)
-    table = []
-    for at, s in enumerate(order):
-        table.append((s, turn[s], at))
-        turn[s] += 1
-    plan = spark.createDataFrame(table, "_source string, _turn long, _at long")
-    per = F.create_map(*[F.lit(x) for s, n in turn.items() for x in (s, n)])
+    parts = exact(weights)
+    whole = lcm(*(w.denominator for w in parts.values())) if parts else 1
 
     kept = docs.drop("block", "slot", "place")
     name = F.col(f"`{source}`").cast("string")
     draw = F.xxhash64(F.col(f"`{id_col}`"), F.lit("mix"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = kept.withColumns({"_source": name, "_draw": draw})
-    size = {r["_source"]: r["count"] for r in rows.where(F.col("_source").isin(list(weights))).groupBy("_source").count().collect()}
+    size = {r["_source"]: r["count"] for r in rows.where(F.col("_source").isin(list(parts))).groupBy("_source").count().collect()}
     total = max(1, sum(size.values()))
-    own = F.create_map(*[F.lit(x) for s in weights for x in (s, max(1, ceil(buckets * size.get(s, 0) / total)))])[F.col("_source")]
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_draw"), F.coalesce(own, F.lit(buckets))).cast("int"))
+    shared = spark.createDataFrame([(s, max(1, ceil(buckets * n / total))) for s, n in size.items()], "_source string, _own int")
+    rows = rows.join(F.broadcast(shared), "_source", "left")
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_draw"), F.coalesce("_own", F.lit(buckets))).cast("int"))
     counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -91,7 +119,24 @@ def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, slot
     numbered = numbered.join(offsets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     numbered = numbered.withColumn("_i", F.col("_i") + F.col("_offset"))
     numbered = numbered.withColumns({"block": F.floor(F.col("_i") / block_rows), "place": (F.col("_i") % block_rows).cast("long")})
-    numbered = numbered.withColumn("_turn", F.col("block") % per[F.col("_source")])
-    placed = numbered.join(F.broadcast(plan), ["_source", "_turn"], "left")
-    slot = F.floor(F.col("block") / per[F.col("_source")]) * slots + F.col("_at")
-    return placed.withColumn("slot", slot.cast("long")).select(*kept.columns, "block", "slot", "place")
+    if whole <= slots:
+        share = {s: int(w * whole) for s, w in parts.items()}
+        turn, table = dict.fromkeys(share, 0), []
+        for at, s in enumerate(period(share)):
+            table.append((s, turn[s], at))
+            turn[s] += 1
+        places = pa.table(list(map(list, zip(*table, strict=True))) or [[], [], []], pa.schema([("_source", pa.string()), ("_turn", pa.int64()), ("_at", pa.int64())]))
+        shares_of = spark.createDataFrame([(s, n) for s, n in share.items()], "_source string, _share long")
+        numbered = numbered.join(F.broadcast(shares_of), "_source", "left")
+        numbered = numbered.withColumns({"_turn": F.col("block") % F.col("_share"), "_start": F.floor(F.col("block") / F.col("_share")) * whole})
+    else:
+        names, index, at = [], [], []
+        for s, k, now in schedule(parts, {s: -(-n // block_rows) for s, n in size.items()}):
+            names.append(s)
+            index.append(k)
+            at.append(now)
+        places = pa.table([pa.array(names, pa.string()), pa.array(index, pa.int64()), pa.array(at, pa.int64())], ["_source", "_turn", "_at"])
+        numbered = numbered.withColumns({"_turn": F.col("block"), "_start": F.lit(0)})
+    plan = spark.createDataFrame(places)
+    placed = numbered.join(F.broadcast(plan) if len(places) <= 250_000 else plan, ["_source", "_turn"], "left")
+    return placed.withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).select(*kept.columns, "block", "slot", "place")

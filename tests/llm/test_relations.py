@@ -189,6 +189,29 @@ def test_mixed(spark):
     assert tempered(frame.where("source = 'big'")) == {"big": pytest.approx(201**0.5)}
 
 
+@pytest.mark.parametrize("weights", [{"big": 0.9, "small": 0.1}, {"big": 2**0.5, "small": 1.0}])
+def test_mixed_keeps_to_exact_weights(spark, weights):
+    docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 5 < 4, 'big', 'small') as source")
+    got = mixed(docs, weights, block_rows=1).orderBy("slot").collect()
+    assert len({r.slot for r in got}) == 6000
+    last = min(max(r.slot for r in got if r.source == s) for s in weights)
+    done, total = Counter(), sum(weights.values())
+    for r in got:
+        if r.slot <= last:
+            done[r.source] += 1
+            assert all(abs(done[s] - (r.slot + 1) * w / total) < 1 for s, w in weights.items())
+
+
+def test_mixed_with_many_sources_or_none(spark):
+    many = spark.range(4400).selectExpr("id as doc_id", "if(id < 2200, 'hot', concat('s', id % 1100)) as source")
+    got = mixed(many, tempered(many), block_rows=1).collect()
+    assert len({r.slot for r in got}) == 4400
+    assert max(sum(r.slot < n for r in got if r.source == "hot") - n * 2200**0.5 / (2200**0.5 + 1100 * 2**0.5) for n in range(1, 1500, 10)) < 1
+    none = spark.createDataFrame([(1, None), (2, None)], "doc_id long, source string")
+    assert [r.slot for r in mixed(none, tempered(none)).collect()] == [None, None]
+    assert mixed(none.limit(0), tempered(none.limit(0))).count() == 0
+
+
 def plain_windows(h, least):
     out = set()
     for i in range(len(h)):
