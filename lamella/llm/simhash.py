@@ -158,9 +158,27 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, max_bits: int) ->
     return [p[0] for p in pairs], [p[1] for p in pairs]
 
 
-def links(nodes: DataFrame, parts: list[list[int]], max_bits: int, planes: int = 1) -> DataFrame:
+def _apart(key: np.ndarray, node: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
+    """All pairs within ``max_bits`` inside each run of equal keys whose labels, the last numbers of ``fp``, differ."""
+    label, fp = fp[:, -1], fp[:, :-1]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    src, dst = [], []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+        step = max(1, (1 << 20) // ((b - a) * fp.shape[1]))
+        for at in range(a, b if (label[a:b] != label[a]).any() else a, step):
+            some = slice(at, min(b, at + step))
+            near = np.bitwise_count(fp[some][:, None, :] ^ fp[a:b][None, :, :]).sum(axis=2, dtype=np.int64) <= max_bits
+            i, j = np.nonzero(near & (label[some][:, None] < label[a:b][None, :]))
+            src += node[some][i].tolist()
+            dst += node[a:b][j].tolist()
+    return src, dst
+
+
+def links(nodes: DataFrame, parts: list[list[int]], max_bits: int, planes: int = 1, labelled: bool = False) -> DataFrame:
     """``src, dst``: links at most ``max_bits`` apart that share a cell; within a cell only enough to connect what is linked.
 
+    If ``labelled``, eight more bytes of the fingerprints are labels, and all such pairs with different labels are given.
+
     Cells with more than ``CELL`` members are split into pieces, and each pair of pieces becomes a
     cell of its own, so that no task compares more than two pieces at a time.
     """
@@ -177,12 +195,12 @@ def links(nodes: DataFrame, parts: list[list[int]], max_bits: int, planes: int =
         held: tuple | None = None
 
         def done(rows: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _links(*rows, max_bits)], ["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (_apart if labelled else _links)(*rows, max_bits)], ["src", "dst"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), planes))
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), planes + labelled))
             held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
@@ -220,9 +238,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, planes
     """``doc_id, component_id`` of documents whose shingle sets have a Jaccard likeness of ``similarity`` or more to another's, by chains.
 
     At such likenesses fingerprints differ in too many bits for an exact grid, so cells are drawn parts
-    of the segment counts, which miss a pair at the very limit once in twenty. What shares a cell and
-    is near enough in all bits is then read in full, and its sets compared: no pair below ``similarity``
-    is linked. Equal sets are one node. A row is returned only where a document belongs to a group
+    of the segment counts, and a pair that shares no cell or is not near enough in all bits is missed.
+    Of what shares a cell and is near enough, first the nearest are read in full and their sets compared;
+    then all pairs that these links leave in different groups. No pair below ``similarity`` is linked. Equal sets are one node. A row is returned only where a document belongs to a group
     under another's id; ``component_id`` is the smallest id of the group.
 
     Null and empty texts are equal to each other. Rows with null ids are left out. Repeated ids count as
@@ -241,10 +259,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, planes
     bits = 64 * planes
     turned = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     limit = int(bits * turned + 2.5 * (bits * turned * (1 - turned)) ** 0.5)
-    found = links(nodes, drawn_parts(nodes.count(), similarity, bits), limit, planes)
-    found = cut(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    parts = drawn_parts(nodes.count(), similarity, bits)
 
-    asked = cut(found.select(F.col("src").alias("id"), "src", "dst").unionByName(found.select(F.col("dst").alias("id"), "src", "dst")))
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, np.zeros(0, dtype=np.uint64)
@@ -256,10 +274,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, planes
                 sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["src", "dst", "own"])
 
-    sets = rows.withColumnRenamed("doc_id", "id").join(small(asked), "id").select("text", "src", "dst").mapInArrow(read, "src long, dst long, own array<long>")
-    both = sets.groupBy("src", "dst").agg(F.min("own").alias("a"), F.max("own").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    alike = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst")
-    reached = connected_components(alike)
+    def verified(found: DataFrame) -> DataFrame:
+        asked = cut(found.select(F.col("src").alias("id"), "src", "dst").unionByName(found.select(F.col("dst").alias("id"), "src", "dst")))
+        sets = rows.withColumnRenamed("doc_id", "id").join(small(asked), "id").select("text", "src", "dst").mapInArrow(read, "src long, dst long, own array<long>")
+        both = sets.groupBy("src", "dst").agg(F.min("own").alias("a"), F.max("own").alias("b"))
+        shared = F.size(F.array_intersect("a", "b"))
+        return cut(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst"))
+
+    found = cut(ordered(links(nodes, parts, limit, planes)))
+    alike = verified(found)
+    # the links of a cell were thinned by bits alone: what they left unconnected is compared in all pairs
+    label = F.coalesce("component", "node")
+    labels = nodes.join(connected_components(alike), "node", "left").select("node", F.concat("fp", F.unhex(F.lpad(F.hex(label), 16, "0"))).alias("fp"))
+    more = cut(ordered(links(cut(labels), parts, limit, planes, labelled=True)).join(found, ["src", "dst"], "left_anti"))
+    reached = connected_components(alike.unionByName(verified(more)))
     named = nodes.join(reached, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return table.join(named, "same").where("doc_id != component_id").select("doc_id", "component_id").distinct()
