@@ -8,7 +8,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -18,17 +18,33 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {"n": 0}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder, so that lost executors cost no recomputation.
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``, or its checkpoint folder.
 
-    The folder is the one the session names; only where none is named (tests) a local one is set.
+    Where none is named, one is made if driver and tasks share a machine, as in tests; on a cluster that is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's checkpoint folder, so that lost executors cost no recomputation."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` behind as many underscores as make it differ from all of ``columns``, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small(df: DataFrame, rows: int = 250_000) -> DataFrame:
     """``df`` (cut, of a few numbers a row) to be broadcast if it has at most ``rows`` rows, some megabytes; else to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -36,11 +52,9 @@ def small(df: DataFrame, rows: int = 250_000) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the cluster's checkpoint folder and read it again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

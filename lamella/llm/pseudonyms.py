@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: What is looked for: name and pattern. Numbers and dates count only where ``_valid`` agrees.
+from lamella.llm.common import unused
+
+#: What is looked for: name and pattern. Numbers and dates count only where ``_valid`` agrees. Java's matcher recurses
+#: over repeated groups, so each repetition of one has a bound; a name has at most 64 characters and a domain 126 dots, as in mail and DNS.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
     "date": r"(?<![0-9A-Za-z.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z.])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])",
 }
+#: Country codes of one and of two digits; all others have three.
+SHORT_CODES = r"^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ROUNDS = 8
+#: Parts of a text that are put together at a time.
+CHUNK = 64
 #: Days from 1800-01-01: 400 Gregorian years are 146097 = 189 x 773 days.
 FIRST_DAY, DAY_RADIX = "1800-01-01", (189, 773)
 
@@ -118,47 +123,89 @@ def _pseudonym(kind: str, s: Column, key: str) -> Column:
         body = permuted_text(F.substring(_digits(s), F.lit(1), F.length(_digits(s)) - 1), key, kind)
         return F.transform(F.array(body), lambda b: _refilled(s, F.concat(b, F.pmod(-_luhn_sum(b, 0), F.lit(10)).cast("string"))))[0]
     if kind == "phone":
-        country = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-        rest = F.substring(s, F.length(country) + 1, F.length(s))
-        return F.transform(F.array(permuted_text(_digits(rest), key, kind)), lambda d: F.concat(country, _refilled(rest, d)))[0]
+
+        def dialled(d: Column) -> Column:
+            code = F.when(d.rlike(SHORT_CODES), F.regexp_extract(d, SHORT_CODES, 0)).otherwise(F.substring(d, 1, 3))
+            return F.transform(F.array(code), lambda c: _refilled(s, F.concat(c, permuted_text(F.substring(d, F.length(c) + 1, F.length(d)), key, kind))))[0]
+
+        return F.transform(F.array(_digits(s)), dialled)[0]
     name = F.substring_index(s, "@", 1)
     return F.concat(permuted_text(name, key, kind), F.substring(s, F.length(name) + 1, F.length(s)))
 
 
+def _judged(s: Column) -> Column:
+    """The kind of a candidate, null if it only looks like one."""
+    out = None
+    for kind, pattern in KINDS.items():
+        fits, found = s.rlike(f"^(?:{pattern})$"), F.when(_valid(kind, s), F.lit(kind))
+        out = F.when(fits, found) if out is None else out.when(fits, found)
+    return out
+
+
+def _replaced(kind: Column, s: Column, key: str) -> Column:
+    out = None
+    for k in KINDS:
+        out = F.when(kind == k, _pseudonym(k, s, key)) if out is None else out.when(kind == k, _pseudonym(k, s, key))
+    return out
+
+
+def _woven(parts: Column) -> Column:
+    """The text of ``parts`` (text up to the next candidate; the candidate it begins with, if any, its kind and its pseudonym), and counts by kind.
+
+    From left to right a valid candidate is replaced unless it begins inside one replaced before. ``left``
+    is how many characters of the last replaced one are still to come; finished text is put aside in
+    chunks, so that long lists are never copied part by part.
+    """
+    start = F.struct(
+        F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("left"),
+        *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS],
+    )
+
+    def step(state: Column, part: Column) -> Column:
+        size = F.length(part["text"])
+        taken = (state["left"] == 0) & part["kind"].isNotNull()
+        gone = F.when(taken, F.length(part["found"])).otherwise(state["left"])
+        rest = F.when(gone < size, F.substring(part["text"], gone + 1, size)).otherwise("")
+        new = F.concat(F.when(taken, part["pseudonym"]).otherwise(""), rest)
+        full = F.size(state["open"]) >= CHUNK
+        return F.struct(
+            F.when(full, F.concat(state["done"], F.array(F.array_join(state["open"], "")))).otherwise(state["done"]).alias("done"),
+            F.when(full, F.array(new)).otherwise(F.concat(state["open"], F.array(new))).alias("open"),
+            F.greatest(gone - size, F.lit(0)).alias("left"),
+            *[(state[f"n_{k}"] + F.when(taken & (part["kind"] == k), 1).otherwise(0)).cast("long").alias(f"n_{k}") for k in KINDS],
+        )
+
+    return F.aggregate(parts, start, step, lambda s: F.struct(F.array_join(F.concat(s["done"], s["open"]), "").alias("text"), *[s[f"n_{k}"].alias(f"n_{k}") for k in KINDS]))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal data in ``text``; add ``n_<kind>`` counts of what was replaced, for each of ``KINDS``.
 
     Each value is permuted by a keyed Feistel network inside its own format: digits stay digits,
     letters stay letters of their case, a card number keeps a right check digit, an address its four
     bytes, a date is another date of the years 1800-2199. Equal values get equal pseudonyms in every
-    document, different ones different. The domain of an email and the country code of a phone stay.
-    Numbers that only look like cards, addresses or dates (bad check digit, byte over 255, 30 February)
-    are left alone.
-
-    Null text stays null with counts 0; empty text stays empty. Rows, order and other columns are kept;
-    columns called n_<kind> are replaced. There is no shuffle.
+    document, different ones different; a phone number gets the same digits however it is spaced. The
+    domain of an email and the country code of a phone stay. Numbers that only look like cards,
+    addresses or dates (bad check digit, byte over 255, 30 February) are left alone, and what begins
+    inside such a number is still judged on its own. Of valid values that overlap, the leftmost is replaced.
+
+    Cards are digits in one run or in groups of 4-4-4 and the rest, or 4-6-4 or 4-6-5. A name of over 64 characters is none; a domain
+    is read up to its 127th label. Null text stays null with counts 0; empty text stays empty. Rows, order and
+    other columns are kept, whatever their names; columns called n_<kind> are replaced. No rows give none. There is no shuffle.
     """
     pattern = "|".join(f"(?:{p})" for p in KINDS.values())
     source = F.col(f"`{text}`")
 
-    def judge(s: Column) -> Column:
-        chosen = reduce(lambda acc, k: acc.when(s.rlike(f"^(?:{KINDS[k]})$"), F.when(_valid(k, s), F.lit(k))), list(KINDS)[1:], F.when(s.rlike(f"^(?:{KINDS['email']})$"), F.lit("email")))
-        return F.struct(s.alias("s"), chosen.alias("kind"))
-
-    found = F.when(source.rlike("[0-9@]"), F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), judge))
-    between = F.when(F.size("_found") > 0, F.split(source, pattern, -1))
-
-    def replaced(f: Column) -> Column:
-        out = F.when(f["kind"] == "email", _pseudonym("email", f["s"], key))
-        for k in list(KINDS)[1:]:
-            out = out.when(f["kind"] == k, _pseudonym(k, f["s"], key))
-        return out.otherwise(f["s"])
-
-    rows = docs.withColumn("_found", found).withColumn("_between", between)
-    woven = F.array_join(F.zip_with(F.col("_between"), F.transform(F.col("_found"), replaced), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-
-    def count(k: str) -> Column:
-        return F.coalesce(F.when(F.col("_found").isNotNull(), F.size(F.filter(F.col("_found"), lambda f: f["kind"] == k))), F.lit(0)).cast("long")
-
-    counts = {f"n_{k}": count(k) for k in KINDS}
-    return rows.withColumns({text: F.when(F.col("_between").isNotNull(), woven).otherwise(source)} | counts).drop("_found", "_between")
+    def parts_of(found: Column) -> Column:
+        # the text is split where candidates begin; what stands before the first one has none
+        pieces = F.split(source, f"(?=(?:{pattern}))", -1)
+        own = F.when(F.size(pieces) > F.size(found), F.concat(F.array(F.lit(None).cast("string")), found)).otherwise(found)
+        judged = F.transform(own, lambda s: F.struct(s.alias("found"), _judged(s).alias("kind")))
+        return F.zip_with(pieces, judged, lambda p, c: F.struct(p.alias("text"), c["found"].alias("found"), c["kind"].alias("kind"), _replaced(c["kind"], c["found"], key).alias("pseudonym")))
+
+    found = F.when(source.rlike("[0-9@]"), F.regexp_extract_all(source, F.lit(f"(?=({pattern}))"), F.lit(1)))
+    result = F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, _woven(parts_of(f))))[0]
+    held = unused("found", docs.columns)
+    rows = docs.withColumn(held, result)
+    counts = {f"n_{k}": F.coalesce(F.col(f"{held}.n_{k}"), F.lit(0)).cast("long") for k in KINDS}
+    return rows.withColumns({text: F.coalesce(F.col(f"{held}.text"), source)} | counts).drop(held)

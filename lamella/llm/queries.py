@@ -17,7 +17,8 @@ from lamella.llm.url_filter import url_filter
 
 #: Rules of the address filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-PSEUDONYM_KEY = "corpus-2024"
+#: Where the session names the secret key of the pseudonyms, and the key that this query takes where none is named.
+PSEUDONYM_KEY = ("spark.lamella.pseudonyms.key", "for trials only")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymised text of every document, with counts by kind."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(*PSEUDONYM_KEY))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Fingerprints, secrets, pseudonyms, line dedup and quality against plain versions on small tables."""
 
+import calendar
 import hashlib
 import os
 import random
@@ -119,6 +120,53 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def luhn(digits):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_found(text):
+    """(start, end, kind) of the leftmost valid values that don't overlap, by Python's own matcher."""
+    valid = {
+        "email": lambda s: True,
+        "date": lambda s: "1800" <= s[:4] <= "2199" and s in {f"{s[:4]}-{m:02}-{d:02}" for m in range(1, 13) for d in range(1, calendar.monthrange(int(s[:4]), m)[1] + 1)},
+        "ip": lambda s: all(int(o) < 256 for o in s.split(".")),
+        "phone": lambda s: 10 <= sum(c.isdigit() for c in s) <= 15,
+        "ssn": lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000",
+        "card": lambda s: 13 <= sum(c.isdigit() for c in s) <= 19 and luhn([c for c in s if c.isdigit()]),
+    }
+    found = [(m.start(), m.end(1), k) for k, p in KINDS.items() for m in re.finditer(f"(?=({p}))", text) if valid[k](m[1])]
+    out = []
+    for start, end, kind in sorted(found, key=lambda x: (x[0], list(KINDS).index(x[2]))):
+        if not out or start >= out[-1][1]:
+            out.append((start, end, kind))
+    return out
+
+
+def test_pseudonyms_against_plain(spark):
+    draw = random.Random(15)
+    parts = ["1234-5678-9012 4532-0151-1283-0366", "3782 822463 10005", "378282246310005", "4532015112830366 12", "2024-02-29", "2023-02-29", "1.2.3.4", "300.1.1.1", "123-45-6789", "+1 017 555 7713", "a.b@c.de", "a@b", "@", "7", "words", "é", "1111 2222 3333 4444 5555 6666 7777 8888"]
+    texts = [draw.choice([" ", "", ", "]).join(draw.choice(parts) for _ in range(draw.randint(0, 8))) for _ in range(150)]
+    texts += [" ".join(f"{draw.randrange(10**4):04}" for _ in range(2000)), "x@" + "a." * 100_000 + "com", "n" * 100_000 + "@b.co", "1 " * 50_000, "4532 0151 1283 0366 " * 150]
+    frame = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(texts)], SCHEMA + ", _found int, found int")
+    got = {r.doc_id: r for r in pseudonymise(frame, "k").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want, r = plain_found(t), got[i]
+        assert (r._found, r.found) == (i, i)
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(w[2] == k for w in want) for k in KINDS]
+        between = zip([0, *(w[1] for w in want)], [*(w[0] for w in want), len(t)])
+        m = re.fullmatch("(.+?)".join(re.escape(t[a:b]) for a, b in between), r.text, re.S)
+        assert m
+        for new, (_, _, kind) in zip(m.groups(), want):
+            assert kind != "card" or luhn([c for c in new if c.isdigit()])
+
+
+def test_phones_are_linked_however_they_are_spaced(spark):
+    got = rows(pseudonymise(spark.createDataFrame([(1, "+1 017 555 7713"), (2, "+10175557713"), (3, "+1 (017) 555-7713"), (4, "+49 30 123 4567")], SCHEMA), "k").select("text"))
+    digits = [re.sub("[^0-9]", "", t) for t, in got]
+    assert digits[0] == digits[1] == digits[2] and digits[0][0] == "1" and digits[3][:2] == "49"
+
+
 def test_permuted_number_is_a_permutation(spark):
     n = 7 * 11
     out = spark.range(n).select(permuted_number(F.col("id"), (7, 11), "k", "t").alias("x")).agg(F.count_distinct("x"), F.min("x"), F.max("x")).first()
