@@ -154,8 +154,11 @@ def test_pseudonyms_against_plain(spark):
         want, r = plain_found(t), got[i]
         assert (r._found, r.found) == (i, i)
         assert [r[f"n_{k}"] for k in KINDS] == [sum(w[2] == k for w in want) for k in KINDS]
-        between = zip([0, *(w[1] for w in want)], [*(w[0] for w in want), len(t)])
-        m = re.fullmatch("(.+?)".join(re.escape(t[a:b]) for a, b in between), r.text, re.S)
+        shape, at = "", 0
+        for a, b, kind in want:
+            shape += re.escape(t[at:a]) + ("([0-9.]{7,15})" if kind == "ip" else f"(.{{{b - a}}})")
+            at = b
+        m = re.fullmatch(shape + re.escape(t[at:]), r.text, re.S)
         assert m
         for new, (_, _, kind) in zip(m.groups(), want):
             assert kind != "card" or luhn([c for c in new if c.isdigit()])
