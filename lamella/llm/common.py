@@ -82,6 +82,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of 64-bit ``values``, read off one running sum."""
+    power, inverse = _tables(len(values))
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * power[: len(values)])))
+    return mix((total[ends] - total[starts]) * inverse[starts] ^ mix((ends - starts).astype(np.uint64)))
+
+
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each run of bytes that aren't ASCII white space.
 
@@ -95,10 +102,7 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = gap[1:] != gap[:-1]
     at = np.flatnonzero(edge)
     starts, ends = at[0::2], at[1::2]
-    power, inverse = _tables(len(raw))
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])))
-    value = (total[ends] - total[starts]) * inverse[starts]
-    return mix(value ^ mix((ends - starts).astype(np.uint64))), starts, ends
+    return spans(raw.astype(np.uint64) + np.uint64(1), starts, ends), starts, ends
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

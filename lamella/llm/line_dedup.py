@@ -6,13 +6,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lamella.llm.common import cut
+from lamella.llm.common import cut, spans, unused
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions of equal lines, increasing in both: common ends first, then lines unique to each side, then between these."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -50,71 +51,114 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> list[tuple[int, int]]:
-    """Runs of lines of ``b`` (first, last) aligned with consecutive lines of ``a`` and of ``least`` characters or more."""
+def runs(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first line, end) of the shortest runs of lines of ``least`` characters that begin at each line, and that end at each.
+
+    Every line of a block of that size lies in such a run that lies in the block.
+    """
+    upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    at = np.arange(len(sizes))
+    ends, starts = np.searchsorted(upto, upto[:-1] + least), np.searchsorted(upto, upto[1:] - least, "right") - 1
+    begun, ended = ends <= len(sizes), starts >= 0
+    both = np.unique(np.concatenate((np.stack((at[begun], ends[begun]), 1), np.stack((starts[ended], at[ended] + 1), 1))), axis=0)
+    return spans(hashes, both[:, 0], both[:, 1]), both[:, 0], both[:, 1]
+
+
+def aligned_blocks(shared: list[tuple[int, int, int]], rounds: int = 8) -> list[tuple[int, int]]:
+    """The blocks of lines (first, end) of a document that another has, of its runs (first, end, first line there) in both.
+
+    Runs are aligned by patience diff, in their order here and there. What crosses an alignment is aligned anew,
+    ``rounds`` times at most; a run that is still left is a block of its own, and so is a repetition of an aligned one.
+    """
+    left = sorted(set(shared))
     blocks: list[list[int]] = []
-    before = None
-    for i, j in patience(a, b):
-        if before == (i - 1, j - 1):
-            blocks[-1][1] = j
-        else:
-            blocks.append([j, j])
-        before = (i, j)
-    return [(s, e) for s, e in blocks if sum(sizes[s : e + 1]) >= least]
 
+    def add(found: list[tuple[int, int]]) -> None:
+        for first, end in sorted(found):
+            if blocks and blocks[-1][0] <= first <= blocks[-1][1]:
+                blocks[-1][1] = max(blocks[-1][1], end)
+            else:
+                blocks.append([first, end])
+
+    for _ in range(rounds):
+        if not left:
+            break
+        named = [((place, end - first), first, end) for first, end, place in left]
+        once = {run: first for run, first, _ in reversed(named)}  # a run that recurs here is unique by its first place
+        there = sorted(once)
+        chosen = {there[i] for i, _ in patience(there, [run for run, first, _ in named if once[run] == first])}
+        add([(first, end) for run, first, end in named if run in chosen])
+        left = [x for x, (run, _, _) in zip(left, named, strict=True) if run not in chosen]
+    add([(first, end) for first, end, _ in left])
+    return sorted((first, end) for first, end in blocks)
 
-def _align(least: int):
+
+SEEDS = "id long, mark long, hash long, first int, end int"
+
+
+def _seeds(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            ids, marks, found = [], [], []
-            for doc, mark, a, b, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if blocks := common_blocks(a, b, sizes, least):
-                    ids.append(doc)
-                    marks.append(mark)
-                    found.append([{"first": s, "last": e} for s, e in blocks])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(found, kind)], ["_id", "_mark", "blocks"])
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for doc, mark, hashes, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hash_, first, end = runs(np.array(hashes, dtype=np.int64).view(np.uint64), np.array(sizes, dtype=np.int64), least)
+                for column, values in zip(columns, (np.full(len(hash_), doc), np.full(len(hash_), mark), hash_.view(np.int64), first.astype(np.int32), end.astype(np.int32)), strict=True):
+                    column.append(values)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], [c.split()[0] for c in SEEDS.split(", ")])
 
     return run
 
 
-def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seed_chars: int = 20, least: int = 40) -> DataFrame:
-    """``docs`` with the blocks of lines deleted that stand, aligned, in a document of a smaller id; adds ``n_lines_removed``.
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        found = []
+        for met in batch.column(2).to_pylist():
+            by_holder: dict[int, list] = {}
+            for m in met:
+                by_holder.setdefault(m["other"], []).append((m["first"], m["end"], m["place"]))
+            found.append([{"first": a, "end": b} for shared in by_holder.values() for a, b in aligned_blocks(shared)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "mark", "blocks"])
 
-    Lines of ``seed_chars`` or more characters whose hash occurs in several documents bring documents
-    together: each holder meets the line's first holder, so a line held by very many costs one pair a
-    holder, not one for every two, and rare and common lines alike are found. Of each pair the sequences
-    of line hashes (not the texts) are aligned by patience diff; runs of consecutive aligned lines with
-    ``least`` characters or more are deleted. Lines are compared without white space at their ends.
 
-    The first document that has a block keeps it, so every text survives once. Rows, order of lines and
-    other columns stay; a document that is wholly repeated is left with an empty text. Null text stays
-    null, empty stays empty; both have 0 lines removed. Rows with a null id are neither changed nor
-    compared. Rows with equal ids are never compared with each other. A column called n_lines_removed
-    is replaced. No rows give none.
+def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 40) -> DataFrame:
+    """``docs`` without the blocks of lines that stand in a document of a smaller id too; adds ``n_lines_removed``.
+
+    A block is consecutive lines of ``least`` characters or more together. Seeds are the hashes of the shortest
+    runs of lines of that size: each holder of a run meets the run's first holder, so a run held by very many costs
+    one row a holder, not one for every two, and as every line of a block lies in such a run, every block
+    that any earlier document has is found, however its lines are ordered or first held elsewhere. The runs that
+    two documents share are aligned by patience diff, and the aligned blocks deleted from the later one. Lines
+    are compared without ASCII white space at their ends.
+
+    Only hashes of runs are joined, never texts or whole lists of lines; texts cross the network once, to
+    meet what is deleted from them. The first document that has a block keeps it, so every text survives once.
+    Rows, order of lines and other columns stay, whatever their names; a document that is wholly repeated is left
+    with an empty text. Null text stays null, empty stays empty; both have 0 lines removed. Rows with a null id are
+    neither changed nor compared. Rows with equal ids are never compared with each other. A column called
+    n_lines_removed is replaced. No rows give none.
     """
     source = F.col(f"`{text}`")
-    mark = F.xxhash64(source)
+    key, mark = F.col(f"`{id_col}`").cast("long"), F.xxhash64(source)
     lines = F.split(source, "\n", -1)
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull() & (F.length(source) >= least))
+    ends = F.lit(" \t\r\x0b\x0c")
+    rows = docs.where(key.isNotNull() & (F.length(source) >= least))
     hashed = rows.select(
-        F.col(f"`{id_col}`").cast("long").alias("_id"), mark.alias("_mark"),
-        F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(lines, lambda x: F.length(F.trim(x))).alias("sizes"),
+        key.alias("id"), mark.alias("mark"),
+        F.transform(lines, lambda x: F.xxhash64(F.btrim(x, ends))).alias("hashes"), F.transform(lines, lambda x: F.length(F.btrim(x, ends))).alias("sizes"),
     )
-    hashed = cut(hashed.dropDuplicates(["_id", "_mark"]))
-    each = hashed.select("_id", "_mark", F.explode(F.arrays_zip("hashes", "sizes")).alias("line")).where(F.col("line.sizes") >= seed_chars)
-    each = each.select("_id", "_mark", F.col("line.hashes").alias("hash"))
-    #: Equal ids with other texts count as one holder, named by its smallest mark.
-    firsts = each.groupBy("hash").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    firsts = cut(firsts)  # a plain table on this side lets the join split the rows of a very common line
-    pairs = each.join(firsts, "hash").where("_id > first_id").select("first_id", "_id", "_mark").distinct()
-    firsts_lines = hashed.select(F.col("_id").alias("first_id"), F.col("hashes").alias("first_hashes"))
-    both = pairs.join(firsts_lines, "first_id").join(hashed, ["_id", "_mark"]).select("_id", "_mark", "first_hashes", "hashes", "sizes")
-    found = both.mapInArrow(_align(least), "_id long, _mark long, blocks array<struct<first:int,last:int>>")
-    gone = found.groupBy("_id", "_mark").agg(F.flatten(F.collect_set("blocks")).alias("_gone"))
-    joined = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_mark": mark}).join(gone, ["_id", "_mark"], "left")
-    stays = F.filter(lines, lambda _, i: ~F.exists(F.col("_gone"), lambda g: i.between(g["first"], g["last"])))
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), stays))
-    removed = F.coalesce(F.size(lines) - F.when(F.col("_kept").isNotNull(), F.size("_kept")), F.lit(0))
-    return joined.withColumns({"n_lines_removed": removed, text: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(source)}).select(*[c for c in docs.columns if c != "n_lines_removed"], "n_lines_removed")
+    seeds = cut(hashed.dropDuplicates(["id", "mark"]).mapInArrow(_seeds(least), SEEDS))
+    firsts = seeds.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("at"), F.max("id").alias("last")).where("at.id < last")
+    firsts = cut(firsts.select("hash", F.col("at.id").alias("other"), F.col("at.first").alias("place")))  # a plain table on this side lets the join split the rows of a very common run
+    met = seeds.join(firsts, "hash").where("id > other").groupBy("id", "mark").agg(F.collect_list(F.struct("other", "first", "end", "place")).alias("met"))
+    gone = met.mapInArrow(_align, "id long, mark long, blocks array<struct<first:int,end:int>>")
+
+    names = {name: unused(name, docs.columns) for name in ("id", "mark", "blocks", "kept")}
+    gone = gone.toDF(names["id"], names["mark"], names["blocks"])
+    joined = docs.withColumns({names["id"]: key, names["mark"]: mark}).join(gone, [names["id"], names["mark"]], "left")
+    stays = F.filter(lines, lambda _, i: ~F.exists(F.col(names["blocks"]), lambda g: (i >= g["first"]) & (i < g["end"])))
+    joined = joined.withColumn(names["kept"], F.when(F.col(names["blocks"]).isNotNull(), stays))
+    kept = F.col(names["kept"])
+    removed = F.when(kept.isNotNull(), F.size(lines) - F.size(kept)).otherwise(0)
+    return joined.withColumns({"n_lines_removed": removed, text: F.when(kept.isNotNull(), F.array_join(kept, "\n")).otherwise(source)}).select(*[f"`{c}`" for c in docs.columns if c != "n_lines_removed"], "n_lines_removed")

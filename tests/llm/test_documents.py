@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from lamella.llm.fingerprints import PrefixHash, compared_fingerprints, joined, sketch
-from lamella.llm.line_dedup import common_blocks, patience, without_common_blocks
+from lamella.llm.line_dedup import aligned_blocks, patience, without_common_blocks
 from lamella.llm.pseudonyms import KINDS, permuted_number, pseudonymise
 from lamella.llm.quality import fold, train, with_score
 from lamella.llm.secrets import secret_spans
@@ -187,7 +187,49 @@ def test_patience_alignment_is_increasing_and_equal():
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
     assert patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
-    assert common_blocks([9, 1, 2, 8], [7, 1, 2, 6], [10, 10, 10, 10], 20) == [(1, 2)]
+    assert aligned_blocks([(0, 2, 5), (1, 3, 6), (5, 6, 0), (8, 10, 5)]) == [(0, 3), (5, 6), (8, 10)]
+
+
+def plain_without_blocks(docs, least=40):
+    """All earlier documents, all pairs of places: a line goes if it lies in equal consecutive lines of ``least`` characters."""
+    lines = {i: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for i, t in docs if t is not None and i is not None}
+    out = {}
+    for i, b in lines.items():
+        gone = set()
+        for a in (a for k, a in lines.items() if k < i):
+            for shift in range(-len(b) + 1, len(a)):
+                run = []
+                for y in range(len(b) + 1):
+                    if y < len(b) and 0 <= y + shift < len(a) and a[y + shift] == b[y]:
+                        run.append(y)
+                        continue
+                    if sum(len(b[z]) for z in run) >= least:
+                        gone |= set(run)
+                    run = []
+        out[i] = ("\n".join(x for y, x in enumerate(dict(docs)[i].split("\n")) if y not in gone), len(gone))
+    return out
+
+
+def test_line_dedup_against_all_pairs(spark):
+    draw = random.Random(16)
+    pool = [" ".join(draw.choice("alpha beta gamma delta".split()) for _ in range(draw.choice((1, 2, 3, 8)))) + draw.choice(["", "", "1", "2"]) for _ in range(40)] + ["", ""]
+    texts = [[draw.choice(pool) + draw.choice(["", "", "\r", " \t"]) for _ in range(draw.randint(1, 12))] for _ in range(120)]
+    for t in texts[60:]:
+        other = draw.choice(texts[:60])
+        a = draw.randrange(len(other))
+        t[0:0] = other[a : a + 6]
+    long = [f"{i} {draw.random()}" for i in range(3000)]
+    docs = [(i, "\n".join(t)) for i, t in enumerate(texts)] + [(200, None), (201, ""), (300, "\n".join(long)), (301, "\n".join(reversed(long)) + "\n" + "\n".join(long[:50] * 3))]
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in without_common_blocks(spark.createDataFrame([(*d, 1, 2, 3) for d in docs], SCHEMA + ", id int, mark int, blocks int")).collect()}
+    for i, want in plain_without_blocks(docs[:-2]).items():
+        assert got[i] == want
+    assert got[300][1] == 0 and got[301][1] == 150
+
+
+def test_line_dedup_whatever_the_order_of_first_holders(spark):
+    one, two = (f"line number {w} is quite long enough to count as a block" for w in ("one", "two"))
+    docs = [(1, f"{two}\n{one}"), (2, f"{one}\n{two}"), (3, f"{one}\n{two}"), (4, f"  {one}\r\n{two}\t")]
+    assert sorted(rows(without_common_blocks(spark.createDataFrame(docs, SCHEMA)))) == [(1, docs[0][1], 0), (2, "", 2), (3, "", 2), (4, "", 2)]
 
 
 def test_line_dedup(spark):
