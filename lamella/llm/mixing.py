@@ -2,49 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heappop, heappush
-from math import ceil, floor, lcm
+from math import ceil, lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
-
-def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Whole slots of a period of ``slots`` for each source: its weight rounded down, the rest by largest remainder, at least one."""
-    total = sum(weights.values())
-    if not weights or total <= 0 or min(weights.values()) <= 0 or len(weights) > slots:
-        raise ValueError("weights must be positive and no more than there are slots")
-    exact = {s: w / total * (slots - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (floor(exact[s]) - exact[s], s))[: slots - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def period(share: dict[str, int]) -> list[str]:
-    """The source of each slot of a period: of the blocks released, the one with the earliest deadline runs.
-
-    Block k = 1, 2, ... of a source of weight w is released at floor((k-1)/w) and due at ceil(k/w), so
-    after any number of slots a source has had its weight's part of them but for less than one block.
-    """
-    slots = sum(share.values())
-    done = dict.fromkeys(share, 0)
-    out = []
-    for now in range(slots):
-        ready = []
-        for s, n in share.items():
-            k = done[s]
-            if k < n and floor(Fraction(k * slots, n)) <= now:
-                due = ceil(Fraction((k + 1) * slots, n))
-                # of equal deadlines, one whose next window overlaps comes first, then the later group end: the heavier
-                ready.append((due, Fraction((k + 1) * slots, n) == due, -n, s))
-        chosen = min(ready)[-1]
-        done[chosen] += 1
-        out.append(chosen)
-    return out
-
+from lamella.llm.common import unused
 
 def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dict[str, float]:
     """A weight for each source: its number of rows to ``power``, so that large sources count less than by size."""
@@ -52,19 +20,23 @@ def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dic
     return {r["s"]: r["count"] ** power for r in rows}
 
 
-def exact(weights: dict[str, float]) -> dict[str, Fraction]:
-    """Each source's part of the sum of weights, without rounding."""
+def whole_parts(weights: dict[str, float]) -> tuple[dict[str, int], int]:
+    """Each source's part of the sum of weights as a whole number, and the sum, without rounding."""
     if weights and min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    whole = {s: Fraction(w) for s, w in weights.items()}
-    total = sum(whole.values())
-    return {s: w / total for s, w in whole.items()}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    below = lcm(*(w.denominator for w in exact.values())) if exact else 1
+    parts = {s: w.numerator * (below // w.denominator) for s, w in exact.items()}
+    return parts, sum(parts.values())
+
 
+def schedule(parts: dict[str, int], top: int, blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, slot) of all blocks, each source's in order: of the blocks released, the one with the earliest deadline runs.
 
-def schedule(parts: dict[str, Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
-    """(source, block, slot) of all blocks by the rule of ``period`` for exact parts; a source that has ended leaves slots empty."""
-    top = lcm(*(w.denominator for w in parts.values())) if parts else 1
-    own = {s: w.numerator * (top // w.denominator) for s, w in parts.items()}
+    Block k = 1, 2, ... of a source of weight w is released at floor((k-1)/w) and due at ceil(k/w), so
+    after any number of slots a source has had its weight's part of them but for less than one block. Of equal
+    deadlines, one whose next window overlaps comes first, then the heavier. A source that has ended leaves slots empty.
+    """
     waiting = [(0, s, 0) for s in sorted(parts) if blocks.get(s)]  # release, source, blocks done
     ready: list[tuple[int, bool, int, str, int]] = []
     now = 0
@@ -73,70 +45,58 @@ def schedule(parts: dict[str, Fraction], blocks: dict[str, int]) -> Iterator[tup
             now = max(now, waiting[0][0])
         while waiting and waiting[0][0] <= now:
             _, s, k = heappop(waiting)
-            heappush(ready, (-((k + 1) * -top // own[s]), (k + 1) * top % own[s] == 0, -own[s], s, k))
+            heappush(ready, (-((k + 1) * -top // parts[s]), (k + 1) * top % parts[s] == 0, -parts[s], s, k))
         *_, s, k = heappop(ready)
-        yield s, k, now
+        yield s, now
         if k + 1 < blocks[s]:
-            heappush(waiting, ((k + 1) * top // own[s], s, k + 1))
+            heappush(waiting, ((k + 1) * top // parts[s], s, k + 1))
         now += 1
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, slots: int = 1000, id_col: str = "doc_id", source: str = "source", buckets: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, id_col: str = "doc_id", source: str = "source", buckets: int | None = None) -> DataFrame:
     """``docs`` with ``block, slot, place``: read by slot, then place, any beginning holds the sources in their weights.
 
-    Each source's rows, in an order drawn by a hash of the id, fill blocks of ``block_rows``. Weights are
-    taken exactly: where their parts have a common denominator of at most ``slots``, a period of that many
-    slots is worked out once and repeats; else the driver works out the slot of every block, a few numbers
-    for each ``block_rows`` rows. Up to the slot at which a source ends, no source is a whole block away
-    from its weight; then slots stay empty and the others go on.
+    Each source's rows, in an order drawn by a hash of the id, fill blocks of ``block_rows``. Weights are taken exactly; up to the slot
+    at which a source ends, no source is a whole block away from its weight; then slots stay empty and the others
+    go on. Each slot depends on all before it, so the driver deals them out, one number for each block:
+    some seconds for a million blocks. Larger tables want larger blocks; it never sees rows.
 
     Rows are numbered inside buckets of each source and the buckets' counts are added up. A source has
     its share of ``buckets`` (four for each shuffle partition), so one with a third of all rows is dealt
-    over a third of them, and no bucket outgrows a partition. All rows and columns are kept; sources
-    without a weight and null sources have a null slot, to be left out or mixed anew; without weights all are so. Repeated rows take a
-    place each; ties in the hash go by id. Columns called block, slot or place are replaced. No rows
-    give none.
+    over a third of them, and no bucket outgrows a partition. All rows and columns are kept, whatever their names;
+    sources without a weight and null sources have a null slot, to be left out or mixed anew; without weights all
+    are so. Repeated rows take a place each; ties in the hash go by id, then by the other columns. Null ids are dealt over buckets by their other columns.
+    Columns called block, slot or place are replaced. No rows give none.
     """
     spark = docs.sparkSession
-    parts = exact(weights)
-    whole = lcm(*(w.denominator for w in parts.values())) if parts else 1
-
+    parts, top = whole_parts(weights)
     kept = docs.drop("block", "slot", "place")
-    name = F.col(f"`{source}`").cast("string")
-    draw = F.xxhash64(F.col(f"`{id_col}`"), F.lit("mix"))
+    name, draw, own, bucket, i, plan = (unused(n, docs.columns) for n in ("name", "draw", "own", "bucket", "i", "plan"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = kept.withColumns({"_source": name, "_draw": draw})
-    size = {r["_source"]: r["count"] for r in rows.where(F.col("_source").isin(list(parts))).groupBy("_source").count().collect()}
+    plain = [F.col(f"`{f.name}`") for f in kept.schema if isinstance(f.dataType, AtomicType)]
+    rows = kept.withColumns({name: F.col(f"`{source}`").cast("string"), draw: F.xxhash64(F.col(f"`{id_col}`"), F.lit("mix"))})
+
+    size = {r["s"]: r["n"] for r in rows.groupBy(F.col(name).alias("s")).agg(F.count("*").alias("n")).collect() if r["s"] in parts}
     total = max(1, sum(size.values()))
-    shared = spark.createDataFrame([(s, max(1, ceil(buckets * n / total))) for s, n in size.items()], "_source string, _own int")
-    rows = rows.join(F.broadcast(shared), "_source", "left")
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_draw"), F.coalesce("_own", F.lit(buckets))).cast("int"))
-    counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_draw", F.col(f"`{id_col}`"))
-    numbered = rows.withColumn("_i", F.row_number().over(inside) - 1)
-    numbered = numbered.join(offsets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    numbered = numbered.withColumn("_i", F.col("_i") + F.col("_offset"))
-    numbered = numbered.withColumns({"block": F.floor(F.col("_i") / block_rows), "place": (F.col("_i") % block_rows).cast("long")})
-    if whole <= slots:
-        share = {s: int(w * whole) for s, w in parts.items()}
-        turn, table = dict.fromkeys(share, 0), []
-        for at, s in enumerate(period(share)):
-            table.append((s, turn[s], at))
-            turn[s] += 1
-        places = pa.table(list(map(list, zip(*table, strict=True))) or [[], [], []], pa.schema([("_source", pa.string()), ("_turn", pa.int64()), ("_at", pa.int64())]))
-        shares_of = spark.createDataFrame([(s, n) for s, n in share.items()], "_source string, _share long")
-        numbered = numbered.join(F.broadcast(shares_of), "_source", "left")
-        numbered = numbered.withColumns({"_turn": F.col("block") % F.col("_share"), "_start": F.floor(F.col("block") / F.col("_share")) * whole})
-    else:
-        names, index, at = [], [], []
-        for s, k, now in schedule(parts, {s: -(-n // block_rows) for s, n in size.items()}):
-            names.append(s)
-            index.append(k)
-            at.append(now)
-        places = pa.table([pa.array(names, pa.string()), pa.array(index, pa.int64()), pa.array(at, pa.int64())], ["_source", "_turn", "_at"])
-        numbered = numbered.withColumns({"_turn": F.col("block"), "_start": F.lit(0)})
-    plan = spark.createDataFrame(places)
-    placed = numbered.join(F.broadcast(plan) if len(places) <= 250_000 else plan, ["_source", "_turn"], "left")
-    return placed.withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).select(*kept.columns, "block", "slot", "place")
+    shared = spark.createDataFrame([(s, max(1, ceil(buckets * n / total))) for s, n in size.items()], f"`{name}` string, `{own}` int")
+    rows = rows.join(F.broadcast(shared), name, "left")
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(draw, *plain), F.coalesce(own, F.lit(buckets))).cast("int"))
+    counted = rows.where(F.col(own).isNotNull()).groupBy(F.col(name).alias("s"), F.col(bucket).alias("b")).agg(F.count("*").alias("n")).collect()
+    held: dict[str, list[tuple[int, int, int]]] = {s: [] for s in size}  # bucket, its first row and end among the source's
+    for r in sorted(counted, key=lambda r: (r["s"], r["b"])):
+        before = held[r["s"]][-1][2] if held[r["s"]] else 0
+        held[r["s"]].append((r["b"], before, before + r["n"]))
+    slots: dict[str, array] = {s: array("q") for s in size}
+    for s, slot in schedule(parts, top, {s: -(-n // block_rows) for s, n in size.items()}):
+        slots[s].append(slot)
+    table = [(s, b, low, low // block_rows, slots[s][low // block_rows : -(-high // block_rows)].tolist()) for s, found in held.items() for b, low, high in found]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    dealt = spark.createDataFrame(pa.table([pa.array([r[k] for r in table], kind) for k, kind in enumerate(kinds)], [name, bucket, "offset", "first", "slots"]))
+    dealt = dealt.select(f"`{name}`", f"`{bucket}`", F.struct("offset", "first", "slots").alias(plan))
+
+    numbered = rows.withColumn(i, F.row_number().over(Window.partitionBy(name, bucket).orderBy(draw, F.col(f"`{id_col}`"), F.xxhash64(draw, *plain))) - 1)
+    numbered = numbered.join(dealt, [name, bucket], "left")
+    at = F.col(i) + F.coalesce(F.col(f"{plan}.offset"), F.lit(0))
+    block = F.floor(at / block_rows)
+    numbered = numbered.withColumns({"block": block, "place": (at % block_rows).cast("long"), "slot": F.get(F.col(f"{plan}.slots"), (block - F.col(f"{plan}.first")).cast("int"))})
+    return numbered.select(*[f"`{c}`" for c in kept.columns], "block", "slot", "place")
