@@ -11,12 +11,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from lamella.llm.common import shingles, words
+from lamella.llm.common import words
 
-#: Words of a seed.
-GRAM = 4
 _PLAIN = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 MATCH, MISMATCH, GAP = 2, -1, -1
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -24,6 +23,22 @@ def word_hashes(text: str | None) -> np.ndarray:
     return words((text or "").lower().encode().translate(_PLAIN))[0]
 
 
+def _hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all ``texts``, one after another, and the number of each text's."""
+    data = [(t or "").lower().encode().translate(_PLAIN) for t in texts]
+    ends = np.cumsum([len(d) + 1 for d in data])
+    hashes, starts, _ = words(b" ".join(data))
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _runs(hashes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, a hash for each run of k words), for k from 1 to ``most``."""
+    value = hashes
+    for k in range(1, min(most, len(hashes)) + 1):
+        value = value if k == 1 else value[:-1] * _BASE + hashes[k - 1 :]
+        yield k, value
+
+
 def local_score(item: np.ndarray, passage: np.ndarray) -> int:
     """Best Smith-Waterman score of the two runs of words, a row of the table at a time."""
     row, best = np.zeros(len(passage) + 1, dtype=np.int64), 0
@@ -36,67 +51,94 @@ def local_score(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
+#: Words of the seeds, from the shortest; the longest are seeds however common they are.
+GRAMS = (2, 3, 4)
+#: A shorter seed is rare if at most this share of the documents has it, or this number.
+RARE, FEW = 1 / 2000, 64
+
+
 class Items:
-    """A block of test items: their words, and which of them each seed belongs to."""
+    """A block of test items: their words, and which of them each seed belongs to.
+
+    A seed begins at each word of an item: the shortest run of ``GRAMS`` words that is rare, or the longest.
+    An item of fewer words is one seed as a whole.
+    """
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
-        self.words = [word_hashes(t) for t in texts]
-        grams = [np.unique(shingles(w, GRAM)) for w in self.words]
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        self.item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item = self.gram[order], self.item[order]
-
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Positions of ``grams`` that are seeds of some item."""
-        if len(self.gram) == 0 or len(grams) == 0:
-            return np.zeros(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.gram, grams), len(self.gram) - 1)
-        return np.flatnonzero(self.gram[at] == grams)
-
-    def rarest(self, frequency: dict[int, int], share: float = 0.75, least: int = 8) -> "Items":
-        """Keep of each item the rarest ``share`` of its seeds by documents, ties and at least ``least`` included."""
-        times = np.array([frequency.get(int(g), 0) for g in self.gram.view(np.int64)], dtype=np.int64)
-        keep = np.zeros(len(times), dtype=bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                limit = np.sort(times[own])[min(len(own) - 1, max(least, int(share * len(own))) - 1)]
-                keep[own[times[own] <= limit]] = True
-        self.gram, self.item = self.gram[keep], self.item[keep]
+        found = [_hashes_of(texts[at : at + 1000]) for at in range(0, len(texts), 1000)]
+        flat = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
+        self.size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+        self.words = np.split(flat, np.cumsum(self.size)[:-1]) if len(self.size) else []
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        self.table, self.sieve = {}, {}  # by length of seed: hashes in order, the item of each, and its place among all words
+        for k, gram in _runs(flat, GRAMS[-1]):
+            place = np.flatnonzero(owner[: len(gram)] == owner[k - 1 :])
+            size = self.size[owner[place]]
+            place = place[(size == k) | (size >= GRAMS[-1]) & (k in GRAMS)]
+            order = np.argsort(gram[place], kind="stable")
+            self.put(k, gram[place][order], owner[place[order]], place[order])
+
+    def put(self, k: int, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        """Set the seeds of ``k`` words, with a sieve of their lowest bits, which tells most other hashes apart at once."""
+        self.table[k] = gram, item, place
+        self.sieve[k] = np.zeros(1 << max(12, (16 * len(gram)).bit_length()), dtype=bool)
+        self.sieve[k][(gram & np.uint64(len(self.sieve[k]) - 1)).view(np.int64)] = True
+
+    def held(self, words: np.ndarray, most: int = GRAMS[-1]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, seeds' hashes, where they begin) of a text's runs of up to ``most`` words that are seeds."""
+        for k, grams in _runs(words, most):
+            if k in self.table and len(own := self.table[k][0]):
+                at = np.flatnonzero(self.sieve[k][(grams & np.uint64(len(self.sieve[k]) - 1)).view(np.int64)])
+                near = grams[at]
+                right = own[np.minimum(np.searchsorted(own, near), len(own) - 1)] == near
+                yield k, near[right], at[right]
+
+    def rarest(self, frequency: dict[tuple[int, int], int], docs: int) -> "Items":
+        """Keep the seeds that their frequencies, by length and hash, choose."""
+        limit = max(FEW, RARE * docs)
+        settled = np.zeros(int(self.size.sum()), dtype=bool)
+        for k, (gram, item, place) in list(self.table.items()):
+            times = np.array([frequency.get((k, g), 0) for g in gram.view(np.int64).tolist()], dtype=np.int64)
+            keep = ((times <= limit) | (k == np.minimum(self.size[item], GRAMS[-1]))) & ~settled[place]
+            settled[place[keep]] = True
+            self.put(k, gram[keep], item[keep], place[keep])
         return self
 
     def matches(self, text: str | None, threshold: float) -> list[tuple]:
         """(item id, score, first word, end) of the items that the text has, scores as shares of the best possible."""
         have = word_hashes(text)
-        grams = shingles(have, GRAM)
-        at = self.hits(grams)
-        if len(at) == 0:
-            return []
-        low, high = np.searchsorted(self.gram, grams[at], "left"), np.searchsorted(self.gram, grams[at], "right")
         place: dict[int, list[int]] = {}
-        for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-            for i in self.item[a:b].tolist():
-                place.setdefault(i, []).append(p)
+        for k, grams, at in self.held(have):
+            own, item, _ = self.table[k]
+            low, high = np.searchsorted(own, grams, "left"), np.searchsorted(own, grams, "right")
+            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                for i in set(item[a:b].tolist()):
+                    place.setdefault(i, []).extend((p, p + k - 1))
         out = []
         for i, where in place.items():
             item, best = self.words[i], (0, 0, 0)
+            if len(item) < GRAMS[-1]:
+                out.append((self.ids[i], 1.0, min(where), min(where) + len(item)))
+                continue
+            where.sort()
             start = prior = where[0]
             for p in [*where[1:], None]:
                 if p is None or p - prior > 2 * len(item):
-                    left, right = max(0, start - len(item)), min(len(have), prior + GRAM + len(item))
-                    best = max(best, (local_score(item, have[left:right]), start, min(len(have), prior + GRAM)))
+                    left, right = max(0, start - 2 * len(item)), min(len(have), prior + 1 + 2 * len(item))
+                    near = have[left:right]
+                    if np.isin(item, near).sum() >= threshold * len(item):  # no alignment scores more than its equal words
+                        best = max(best, (local_score(item, near), start, prior + 1))
                     start = p
                 prior = p
-            score = best[0] / (MATCH * max(1, len(item)))
+            score = best[0] / (MATCH * len(item))
             if score >= threshold:
                 out.append((self.ids[i], score, *best[1:]))
         return out
 
 
 def _seeded(docs: DataFrame, items: DataFrame, item_col: str, text: str, block_chars: int) -> Iterator[Broadcast]:
-    """Blocks of items with their seeds, chosen by how many of ``docs`` have each n-gram."""
+    """Blocks of items with their seeds, chosen by how many of ``docs`` have each run of words."""
     chosen = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
     blocks = 1 + int(chosen.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
     context = docs.sparkSession.sparkContext
@@ -108,15 +150,17 @@ def _seeded(docs: DataFrame, items: DataFrame, item_col: str, text: str, block_c
 
         def count(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                seen = [np.zeros(0, dtype=np.uint64)]
+                seen: dict[int, list[np.ndarray]] = {0: [np.zeros(len(batch), dtype=np.uint64)]}
                 for t in batch.column(0).to_pylist():
-                    grams = shingles(word_hashes(t), GRAM)
-                    seen.append(np.unique(grams[shared.value.hits(grams)]))
-                gram, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
+                    for k, grams, _ in shared.value.held(word_hashes(t), GRAMS[-1] - 1):  # the longest seeds stay however common
+                        seen.setdefault(k, []).append(np.unique(grams))
+                for k, found in seen.items():
+                    gram, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(n)], ["k", "gram", "n"])
 
-        counts = docs.select(F.col(f"`{text}`")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        yield context.broadcast(held.rarest({r["gram"]: r["n"] for r in counts}))
+        counts = docs.select(F.col(f"`{text}`")).mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).collect()
+        times = {(r["k"], r["gram"]): r["n"] for r in counts}
+        yield context.broadcast(held.rarest(times, times.get((0, 0), 0)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", block_chars: int = 8_000_000) -> DataFrame:
@@ -124,10 +168,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, id_c
 
     Items are taken in blocks of about ``block_chars`` characters, so that what the driver and each task
     hold is bounded whatever the number of items; each block reads the documents twice. The first
-    reading counts in how many documents each n-gram of the block occurs, summed before it is sent; the
-    rarest three quarters of each item's n-grams become its seeds. In the second, seeds bring items to
-    passages, which a local alignment of words scores against the best possible. Documents are read
-    whole where they lie; nothing but counts and results is shuffled.
+    reading counts in how many documents each run of 2 to 4 words of the block occurs, summed before it is sent; a
+    seed begins at each word of an item, the shortest run that is rare, or else that of 4 words. In the second,
+    seeds bring items to passages, which a local alignment of words scores against the best possible. Documents
+    are read whole where they lie; nothing but counts and results is shuffled. An item of fewer than 4 words counts
+    only where all its words stand together, with score 1.
 
     A document that has an item several times gives one row, the best. An item in many documents gives
     a row for each. Texts without words, nulls, and items without words match nothing. Repeated rows

@@ -10,11 +10,12 @@ import xxhash
 
 from lamella.llm.common import connected_components, words
 from lamella.llm.decontaminate import contaminated, local_score, with_leak_score, word_hashes
-from lamella.llm.mixing import mixed, period, shares, tempered
+from lamella.llm.mixing import mixed, schedule, tempered, whole_parts
 from lamella.llm.passages import compact_windows, compact_windows_with_ties, likeness, repeated_passages
 from lamella.llm.simhash import fingerprint, grid_of, links, near_copies, near_groups, shingle_hashes
 from lamella.llm.url_filter import url_filter
 from lamella.llm import simhash
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string"
 
@@ -173,6 +174,44 @@ def test_contaminated_finds_edited_copies(spark):
     assert with_leak_score(frame, asked.limit(0)).count() == len(docs)
 
 
+def plain_score(x, y):
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            table[i][j] = max(0, table[i - 1][j - 1] + (2 if x[i - 1] == y[j - 1] else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+    return max(map(max, table)) / (2 * len(x))
+
+
+def test_contaminated_against_all_alignments(spark):
+    """Copies edited every so many words, against the alignment of every item with every text."""
+    draw = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(800)] + ["the", "of"] * 40
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.choice((12, 20, 40))))) for i in range(25)]
+    docs = []
+    for d in range(150):
+        text = [draw.choice(vocabulary) for _ in range(draw.choice((20, 120)))]
+        copy = items[draw.randrange(25)][1].split()
+        every = draw.choice((0, 2, 3, 4, 6))
+        if every:
+            how = draw.choice(("replace", "insert", "delete"))
+            copy = [x for n, w in enumerate(copy) for x in ([w] if n % every else {"replace": ["edit"], "insert": ["new", w], "delete": []}[how])]
+            text[7:7] = copy
+        docs.append((d, " ".join(text)))
+    want = {(d, i): score for d, t in docs for i, x in items if (score := plain_score(x.split(), t.split())) >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert len(want) > 80 and len(got) >= 0.95 * len(want)
+
+
+def test_contaminated_short_items_and_clashes(spark):
+    items = spark.createDataFrame([(1, "what is love"), (2, "yes"), (3, "a b c d"), (None, "yes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Oh, WHAT is love?", 1), (2, "what is it, love", 2), (3, "x a b c d", 3), (4, "yes", 4), (None, "no, yes: yes", 5)], SCHEMA + ", item_id int")
+    got = {(r.doc_id, r.item_id, r.score, r.first_word, r.end_word) for r in contaminated(docs, items).collect()}
+    assert got == {(1, 1, 1.0, 1, 4), (3, 3, 1.0, 1, 5), (4, 2, 1.0, 0, 1), (4, None, 1.0, 0, 1), (None, 2, 1.0, 1, 2), (None, None, 1.0, 1, 2)}
+    scored = with_leak_score(docs, items)
+    assert scored.columns == ["doc_id", "text", "item_id", "leak_score"] and {r.item_id for r in scored.where("leak_score > 0").collect()} == {1, 3, 4, 5}
+
+
 def test_local_score_against_table():
     draw = random.Random(7)
     for _ in range(60):
@@ -185,21 +224,23 @@ def test_local_score_against_table():
         assert local_score(word_hashes(a), word_hashes(b)) == max(map(max, table))
 
 
-def test_period_stays_within_a_block():
+def test_schedule_stays_within_a_block():
     draw = random.Random(8)
-    for _ in range(60):
-        share = shares({str(i): draw.random() ** 3 + 1e-3 for i in range(draw.randint(1, 25))}, 150)
+    for _ in range(150):
+        weights = {str(i): draw.choice([draw.random() ** 3 + 1e-3, 1.0, 0.5, 2.0**0.5]) for i in range(draw.randint(1, 25))}
+        parts, top = whole_parts(weights)
         done = Counter()
-        for n, s in enumerate(period(share), 1):
+        for n, (s, slot) in enumerate(schedule(parts, top, dict.fromkeys(parts, 1200))):
+            if n == 1200:
+                break
             done[s] += 1
-            assert all(abs(done[k] - n * w / 150) < 1 for k, w in share.items())
-        assert done == share
+            assert slot == n and all(abs(done[x] - (slot + 1) * p / top) < 1 for x, p in parts.items())
 
 
 def test_mixed(spark):
     docs = [(i, "big" if i % 3 else "small", "x") for i in range(300)] + [(1000, None, "x"), (1001, "unknown", "x"), (7, "big", "x")]
     frame = spark.createDataFrame(docs, "doc_id long, source string, slot string")
-    got = mixed(frame, {"big": 3, "small": 1}, block_rows=10, slots=20, buckets=5).collect()
+    got = mixed(frame, {"big": 3, "small": 1}, block_rows=10, buckets=5).collect()
     assert len(got) == len(docs)
     placed = sorted((r.slot, r.place, r.source) for r in got if r.slot is not None)
     assert len(placed) == 301 and len({p[:2] for p in placed}) == 301
@@ -233,6 +274,19 @@ def test_mixed_with_many_sources_or_none(spark):
     none = spark.createDataFrame([(1, None), (2, None)], "doc_id long, source string")
     assert [r.slot for r in mixed(none, tempered(none)).collect()] == [None, None]
     assert mixed(none.limit(0), tempered(none.limit(0))).count() == 0
+    empty = none.limit(0).withColumn("n", F.lit(1))
+    assert mixed(empty, {"a": 1.0}).count() == 0
+
+
+def test_mixed_keeps_rows_without_ids_and_clashing_columns(spark):
+    docs = spark.range(2000).selectExpr("if(id % 3 = 0, null, id % 700) as doc_id", "if(id % 3 = 0, 'hot', 'b') as source", "id as name", "id as plan", "id as i")
+    got = mixed(docs, {"hot": 1.0, "b": 3.0, "absent": 1.0}, block_rows=4).collect()
+    assert len(got) == 2000 and {r.name for r in got} == {r.plan for r in got} == set(range(2000))
+    assert len({(r.slot, r.place) for r in got}) == 2000
+    for s, w in (("hot", 0.2), ("b", 0.6)):
+        blocks = {r.block: r.slot for r in got if r.source == s}
+        assert len(blocks) == -(-sum(r.source == s for r in got) // 4)
+        assert all(int(k / w - 1e-9) <= slot < (k + 1) / w + 1 for k, slot in blocks.items())
 
 
 def plain_windows(h, least):
