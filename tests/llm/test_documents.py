@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -97,6 +98,25 @@ def test_secret_spans_against_plain(spark):
     assert secret_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_novel_strings_of_all_lengths_and_places(spark):
+    draw = random.Random(18)
+    made = lambda n, letters=string.ascii_letters + string.digits: "".join(draw.choice(letters) for _ in range(n))
+    secrets = [made(n) for n in (12, 14, 20, 64, 800, 1600, 10_000)] + [made(40, string.ascii_lowercase)]
+    frames = ["private: {}", "{} is the credential", "bearer for production-database-server: {}", "signature\n{}\n", "passphrase of the internationalization-administrator {}"]
+    texts = [f.format(x) for f in frames for x in secrets]
+    key = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(made(64) for _ in range(30))
+    plain = ["secret ================", "auth https://www.example.com/index.html", "private configuration_environment_variable", "token documentation2documentation2", made(30), "x" * 5000 + " private", "credential " * 2000]
+    docs = list(enumerate([*texts, key, *plain])) + [(900, None), (901, "")]
+    got = {r.doc_id: r for r in secret_spans(spark.createDataFrame([(i, t, 1) for i, t in docs], SCHEMA + ", spans int")).collect()}
+    assert len(got) == len(docs)
+    for i, t in enumerate(texts):
+        start = t.index(secrets[i % len(secrets)])
+        assert got[i].spans == f"novel:{start}:{start + len(secrets[i % len(secrets)])}"
+    assert got[len(texts)].n_novel == 30
+    assert all(got[len(texts) + 1 + i].n_novel == 0 for i in range(len(plain)))
+    assert got[900].spans == got[901].spans == ""
+
+
 # --- pseudonyms
 
 
