@@ -16,6 +16,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {"n": 0}
+#: Buckets in which common shingles are counted, and from how many documents on one is common.
+LEVELS, CROWD = 1 << 20, 64
 
 
 def folder(spark: SparkSession) -> str:
@@ -45,9 +47,28 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def small(df: DataFrame, rows: int = 250_000) -> DataFrame:
-    """``df`` (cut, of a few numbers a row) to be broadcast if it has at most ``rows`` rows, some megabytes; else to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _maybe(df: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """``df`` with ``maybe``: false where its id is surely none of ``ids`` (both have one called ``doc_id``).
+
+    The ids are hashed into a bitmap, a megabyte whatever their number, that is broadcast by slices.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    slices = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = df.join(F.broadcast(slices), F.bitmap_bucket_number(place) == F.col("_slice"), "left")
+    return joined.withColumn("maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_slice", "_bits")
+
+
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` that may have one of ``ids``: what goes into a join on the id, so that the rest isn't shuffled."""
+    return _maybe(df, ids).where("maybe").drop("maybe")
+
+
+def without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``doc_id`` is none of ``ids``; only rows that may have one are shuffled. Null ids stay."""
+    marked = _maybe(df, ids)
+    return marked.where("not maybe").drop("maybe").unionByName(marked.where("maybe").drop("maybe").join(ids, "doc_id", "left_anti"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -116,6 +137,37 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The distinct hashes of the runs of ``width`` words, A-Z lower-cased."""
+    return np.unique(shingles(words(text.encode().lower())[0], width))
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(LEVELS)).view(np.int64)
+
+
+def crowd_levels(rows: DataFrame, width: int) -> np.ndarray:
+    """How common shingles are, by ``LEVELS`` buckets of their hashes: the rounded logarithm of the documents, 0 for most.
+
+    Each task counts by buckets and sends those only that stand out in it, so this stays small whatever the input. What
+    it misses costs time later, never a link: any order of shingles that all documents share will do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(LEVELS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                np.add.at(count, bucket_of(shingle_set(t or "", width)), 1)
+        at = np.flatnonzero(count >= max(8.0, 4 * count.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["bucket", "n"])
+
+    found = rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD).collect()
+    level = np.zeros(LEVELS, dtype=np.uint8)
+    for r in found:
+        level[r["bucket"]] = int(r["n"]).bit_length()
+    return level
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges``: the component's smallest node.
 

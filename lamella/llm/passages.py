@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lamella.llm.common import cut, mix, pieces, shingles, words
+from lamella.llm.common import bucket_of, crowd_levels, cut, mix, only, pieces, shingles, words
 
 #: Words in a shingle, hash functions, and how many of these must bring a passage forward.
 WIDTH, HASHES, ENOUGH = 5, 4, 2
 #: Passages whose offsets between two documents differ by less share a candidate; words read around it.
 DRIFT, AROUND = 64, 80
-#: Words of 64 bits that mark the shingles around a window's place, and the share of the least passage's shingles that
-#: two places of one passage have in common there: at likeness 0.8 eight ninths are, around a common line hardly half.
-MARKS, COMMON = 8, 0.7
+#: Windows of one value that are compared at a time, and the level (the logarithm of the documents) above which a value's
+#: windows are dealt over several tasks.
+GROUP, HOT = 2048, 12
 
 
 def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -61,42 +63,80 @@ def _tokens(text: str | None) -> np.ndarray:
     return words((text or "").encode().lower())[0]
 
 
-def windows(docs: DataFrame, least_words: int) -> DataFrame:
-    """``value, doc_id, lead, first, place, end`` of the compact windows of all texts, under each hash function.
+def windows(docs: DataFrame, least_words: int, levels: Broadcast) -> DataFrame:
+    """``key, value, doc_id, at`` of the compact windows of all texts, under each hash function.
 
-    ``lead`` marks the leftmost window of a value in its document.
+    ``at`` is twice the window's place, and one more but for the leftmost window of a value in its document. Of places of one
+    value less than half of ``least_words`` apart, one stands for all. The key is the value; a value of very many
+    documents has several keys, and is named beside them.
     """
     least = least_words - WIDTH + 1
-    schema = "value bigint not null, doc_id bigint not null, lead boolean not null, first int not null, place int not null, end int not null"
     seeds = [np.uint64(0xD1B54A32D192ED03 * (i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(HASHES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            value, doc, lead, spans = [], [], [], []
+            columns: list[list[np.ndarray]] = [[], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base = shingles(_tokens(text), WIDTH)
                 if len(base) < least:
                     continue
+                level = levels.value[bucket_of(base)].astype(np.int64)
+                part = mix(np.array([doc_id]).view(np.uint64))[0]
                 times = np.diff(np.flatnonzero(np.concatenate(([True], (ranked := np.sort(base))[1:] != ranked[:-1], [True]))))
                 often = int(times.max())
                 search = compact_windows if often <= 8 else compact_windows_with_ties
                 for seed in seeds:
                     h = mix(base + seed)
-                    found = np.array(search(h, least), dtype=np.int32)
-                    own = h[found[:, 1]]
-                    leading = np.ones(len(own), dtype=bool)
+                    place = np.array([p for _, p, _ in search(h, least)], dtype=np.int64)
+                    order = np.lexsort((place, h[place]))
+                    place = place[order]
+                    own = h[place]
+                    follows = np.concatenate(([False], own[1:] == own[:-1]))
                     if often > 1:
-                        order = np.lexsort((found[:, 1], own))
-                        leading[order[1:]] = own[order[1:]] != own[order[:-1]]
-                    value.append(own.view(np.int64))
-                    doc.append(np.full(len(own), doc_id, dtype=np.int64))
-                    lead.append(leading)
-                    spans.append(found)
-            if value:
-                span = np.concatenate(spans)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (value, doc, lead)] + [pa.array(np.ascontiguousarray(span[:, i])) for i in range(3)], ["value", "doc_id", "lead", "first", "place", "end"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                        stands, last = np.ones(len(place), dtype=bool), 0
+                        for i in np.flatnonzero(follows).tolist():
+                            last = last if follows[i - 1] else i - 1
+                            stands[i] = place[i] - place[last] >= least // 2
+                            last = i if stands[i] else last
+                        place, own, follows = place[stands], own[stands], follows[stands]
+                    salts = np.left_shift(1, np.maximum(level[place] - HOT, 0))
+                    key = np.where(salts > 1, mix(own + mix(np.uint64(1) + part % salts.view(np.uint64))), own)
+                    columns[0].append(key)
+                    columns[1].append(np.where(salts > 1, own, np.uint64(0)))
+                    columns[2].append(np.full(len(place), doc_id, dtype=np.int64))
+                    columns[3].append((2 * place + follows).astype(np.int32))
+            if columns[0]:
+                key, value, doc, at = (np.concatenate(c) for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value.view(np.int64), mask=value == 0), pa.array(doc), pa.array(at)], ["key", "value", "doc_id", "at"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, value long, doc_id long, at int")
+
+
+def _meetings(found: DataFrame, parts: int) -> DataFrame:
+    """``value, doc_id, place, lead, other_id, other_place``: each window but the first document's, and the first of its key."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (None, None, None)  # key, first document, its place
+        for batch in batches:
+            key, doc, at = (batch.column(n).to_numpy() for n in ("key", "doc_id", "at"))
+            if not len(key):
+                continue
+            new = np.concatenate(([key[0] != held[0]], key[1:] != key[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            other, place = np.where(first >= 0, doc[first], held[1] or 0), np.where(first >= 0, at[first] >> 1, held[2] or 0)
+            held = key[-1], other[-1], place[-1]
+            salted = np.asarray(batch.column("value").is_valid())
+            keep = pa.array((doc != other) | salted & new)
+            value = pc.coalesce(batch.column("value"), batch.column("key"))
+            columns = [value, batch.column("doc_id"), pa.array(at >> 1), pa.array(at & 1 == 0), pa.array(other, pa.int64(), mask=doc == other), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["value", "doc_id", "place", "lead", "other_id", "other_place"])
+
+    schema = "value long, doc_id long, place int, lead boolean, other_id long, other_place int"
+    met = cut(found.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(meet, schema))
+    # the first ones of a value's several keys meet the first of all
+    several = met.where("other_id is null").drop("other_id", "other_place")
+    first = several.groupBy("value").agg(F.min(F.struct("doc_id", "place")).alias("x")).select("value", F.col("x.doc_id").alias("other_id"), F.col("x.place").alias("other_place"))
+    return met.where("other_id is not null").unionByName(several.join(first, "value").where("doc_id > other_id"))
 
 
 def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -168,34 +208,38 @@ def likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float)
 def _candidates(met: DataFrame, enough: int) -> DataFrame:
     """``other_id, doc_id, drift, low, high, least, most`` of runs of offsets less than ``DRIFT`` apart that ``enough`` values share."""
     pair = Window.partitionBy("other_id", "doc_id").orderBy("shift")
-    met = met.select("other_id", "doc_id", "value", "first", "end", (F.col("place") - F.col("other_place")).alias("shift"))
+    met = met.select("other_id", "doc_id", "value", "place", (F.col("place") - F.col("other_place")).alias("shift"))
     met = met.withColumn("_new", (F.col("shift") - F.lag("shift").over(pair) >= DRIFT).cast("int"))
     met = met.withColumn("drift", F.coalesce(F.sum("_new").over(pair), F.lit(0)))
     found = met.groupBy("other_id", "doc_id", "drift").agg(
-        F.min("first").alias("low"), (F.max("end") + WIDTH).alias("high"), F.min("shift").alias("least"), F.max("shift").alias("most"), F.count_distinct("value").alias("n"),
+        F.min("place").alias("low"), (F.max("place") + WIDTH).alias("high"), F.min("shift").alias("least"), F.max("shift").alias("most"), F.count_distinct("value").alias("n"),
     )
     return cut(found.where(F.col("n") >= enough).drop("n"))
 
 
 def _verified(rows: DataFrame, candidates: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """The passages of ``candidates`` that are alike enough in the texts."""
-    key = F.struct("other_id", "doc_id", "drift").alias("pair")
-    asked = candidates.select(F.col("doc_id").alias("id"), key, F.lit(True).alias("later"), (F.col("low") - AROUND).alias("low"), (F.col("high") + AROUND).alias("high"))
-    asked = asked.unionByName(candidates.select(F.col("other_id").alias("id"), key, F.lit(False).alias("later"), (F.col("low") - F.col("most") - AROUND).alias("low"), (F.col("high") - F.col("least") + AROUND).alias("high")))
-    asked = asked.select("id", "pair.*", "later", "low", "high")
+    """The passages of ``candidates`` that are alike enough in the texts, each of which is read once."""
+    reach = 2 * least_words + AROUND  # no two neighbouring windows of a passage are further apart, nor the outermost from its ends
+    pair = ("other_id", "doc_id", "drift")
+    asked = candidates.select(F.col("doc_id").alias("id"), *pair, F.lit(True).alias("later"), (F.col("low") - reach).alias("low"), (F.col("high") + reach).alias("high"))
+    asked = asked.unionByName(candidates.select(F.col("other_id").alias("id"), *pair, F.lit(False).alias("later"), (F.col("low") - F.col("most") - reach).alias("low"), (F.col("high") - F.col("least") + reach).alias("high")))
+    # a document that very many later ones ask for is read by several tasks
+    listed = asked.groupBy("id", F.pmod(F.xxhash64(*pair), F.lit(64)).alias("_part")).agg(F.collect_list(F.struct(*pair, "later", "low", "high")).alias("asked"))
+    listed = cut(listed.select(F.col("id").alias("doc_id"), "asked"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens = None, np.zeros(0, dtype=np.uint32)
-        for batch in pieces(batches):
-            low, out = [], []
-            for text, a, b in zip(*(batch.column(n).to_pylist() for n in ("text", "low", "high")), strict=True):
-                if text != held:
-                    held, tokens = text, _tokens(text).astype(np.uint32)  # a shingle of five still has 160 bits
-                low.append(max(0, a))
-                out.append(tokens[max(0, a) : max(0, b)].view(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("other_id", "doc_id", "drift", "later")), pa.array(low, pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["other_id", "doc_id", "drift", "later", "low", "tokens"])
-
-    spans = rows.withColumnRenamed("doc_id", "id").join(asked, "id").drop("id").select("text", "other_id", "doc_id", "drift", "later", "low", "high")
+        for batch in pieces(batches, 64):
+            texts, asked = batch.column("text").to_pylist(), batch.column("asked")
+            low, high, out = asked.flatten().field("low").to_numpy(), asked.flatten().field("high").to_numpy(), []
+            low, at = np.maximum(low, 0), 0
+            for text, n in zip(texts, asked.value_lengths().to_pylist(), strict=True):
+                tokens = _tokens(text).astype(np.uint32)  # a shingle of five still has 160 bits
+                out += [tokens[a : max(0, b)].view(np.int32) for a, b in zip(low[at : at + n].tolist(), high[at : at + n].tolist(), strict=True)]
+                at += n
+            flat = asked.flatten()
+            yield pa.RecordBatch.from_arrays([*(flat.field(n) for n in (*pair, "later")), pa.array(low, pa.int32()), pa.array(out, pa.list_(pa.int32()))], [*pair, "later", "low", "tokens"])
+
+    spans = only(rows, listed.select("doc_id")).join(listed, "doc_id").select("text", "asked")
     spans = spans.mapInArrow(read, "other_id long, doc_id long, drift long, later boolean, low int, tokens array<int>")
     sides = spans.groupBy("other_id", "doc_id", "drift").agg(
         *[F.min(F.when(side, F.struct("low", "tokens"))).alias(name) for name, side in (("mine", F.col("later")), ("theirs", ~F.col("later")))]
@@ -218,31 +262,79 @@ def _verified(rows: DataFrame, candidates: DataFrame, least_words: int, similari
     return sides.mapInArrow(verify, RESULT).groupBy("doc_id", "first_word", "other_id").agg(F.max(F.struct("end_word", "similarity", "other_first", "other_end")).alias("x")).select("doc_id", "first_word", "x.end_word", "other_id", "x.other_first", "x.other_end", "x.similarity")
 
 
-def _marked(rows: DataFrame, places: DataFrame, reach: int) -> DataFrame:
-    """``places`` (value, doc_id, lead, first, place, end, open) with marks of the shingles less than ``reach`` away, ``MARKS`` numbers."""
-    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("value", "lead", "first", "place", "end", "open")).alias("places"))
-    schema = "value long, doc_id long, lead boolean, first int, place int, end int, open boolean, " + ", ".join(f"m{i} long" for i in range(MARKS))
+def nearest(around: np.ndarray, doc: np.ndarray, open_: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """For each open window the earlier document's window that has the most shingles in common near it, if enough for a passage.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A row of ``around`` has the shingles about a window's place, in order; a passage is half a row or more, contains the place
+    and has the same shingles but for edits, which move the rest by two words at most.
+    """
+    length = around.shape[1] // 2
+    enough = 2 * similarity / (1 + similarity) * length
+    out = []
+    for w in np.flatnonzero(open_).tolist():
+        before = np.flatnonzero(doc < doc[w])
+        if not len(before):
+            continue
+        equal = around[before] == around[w]
+        for d in (1, 2):
+            equal[:, d:] |= around[before, :-d] == around[w, d:]
+            equal[:, :-d] |= around[before, d:] == around[w, :-d]
+        equal &= around[w] != 0
+        run = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+        most = (run[:, length:] - run[:, :-length]).max(axis=1)
+        best = int(most.argmax())
+        if most[best] >= enough:
+            out.append((w, int(before[best])))
+    return out
+
+
+def _met_by_open(rows: DataFrame, met: DataFrame, left: DataFrame, length: int, similarity: float, parts: int) -> DataFrame:
+    """Windows ``left`` (value, doc_id, place) and, of all windows with their values in earlier documents, the ``nearest``."""
+    holders = met.where("lead").select("value", "doc_id", "place").unionByName(met.select("value", F.col("other_id").alias("doc_id"), F.col("other_place").alias("place")))
+    counts = left.groupBy("value").agg(F.count("*").alias("u"))
+    places = holders.join(counts.select("value"), "value", "left_semi").withColumn("open", F.lit(False)).unionByName(left.withColumn("open", F.lit(True)))
+    places = cut(places.groupBy("value", "doc_id", "place").agg(F.max("open").alias("open")))
+    crowds = places.groupBy("value").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("n"), F.ceil(F.count_if("open") / GROUP).cast("int").alias("u"))
+    listed = cut(places.join(crowds, "value").groupBy("doc_id").agg(F.collect_list(F.struct("value", "place", "open", "n", "u")).alias("places")))
+    schema = "value long, low int, high int, doc_id long, place int, open boolean, around binary"
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
-            docs, marks = [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                bit = (shingles(_tokens(text), WIDTH) >> np.uint64(23)) % np.uint64(64 * MARKS)
-                one = np.left_shift(np.uint64(1), bit % np.uint64(64))
-                word = (bit // np.uint64(64)).astype(np.int64)
-                for p in places:
-                    out = np.zeros(MARKS, dtype=np.uint64)
-                    near = slice(max(0, p["place"] - reach + 1), p["place"] + reach)
-                    np.bitwise_or.at(out, word[near], one[near])
-                    marks.append(out.view(np.int64))
-                docs.append(len(places))
-            flat = batch.column("places").flatten()
-            own = np.repeat(batch.column("doc_id").to_numpy(), docs)
-            table = np.array(marks, dtype=np.int64).reshape(-1, MARKS)
-            columns = [flat.field("value"), pa.array(own, pa.int64()), *(flat.field(n) for n in ("lead", "first", "place", "end", "open"))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(MARKS))], [c.split()[0] for c in schema.split(", ")])
-
-    return cut(rows.join(listed, "doc_id").select("doc_id", "text", "places").mapInArrow(run, schema))
+            out = []
+            for doc, text, found in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "places")), strict=True):
+                base = np.pad(shingles(_tokens(text), WIDTH).astype(np.uint32) | np.uint32(1), length)
+                part = int(mix(np.array([doc]).view(np.uint64))[0])
+                for p in found:
+                    around = base[p["place"] + 1 : p["place"] + 2 * length + 1].tobytes()
+                    for o in range(p["u"]):
+                        out.append((p["value"], part % p["n"], o, doc, p["place"], False, around))
+                    if p["open"]:
+                        out += [(p["value"], i, part % p["u"], doc, p["place"], True, around) for i in range(p["n"])]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, members = None, []
+
+        def done() -> pa.RecordBatch:
+            pairs = []
+            if members:
+                around = np.frombuffer(b"".join(m[3] for m in members), dtype=np.uint32).reshape(len(members), -1)
+                pairs = nearest(around, np.array([m[0] for m in members]), np.array([m[2] for m in members]), similarity)
+            out = [(held[0], *members[a][:2], *members[b][:2]) for a, b in pairs]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["value", "doc_id", "place", "other_id", "other_place"])
+
+        for batch in batches:
+            for *group, doc, place, is_open, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tuple(group) != held:
+                    yield done()
+                    held, members = tuple(group), []
+                members.append((doc, place, is_open, around))
+        yield done()
+
+    shown = only(rows, listed.select("doc_id")).join(listed, "doc_id").select("doc_id", "text", "places").mapInArrow(show, schema)
+    return shown.repartition(parts, "value", "low", "high").sortWithinPartitions("value", "low", "high", "doc_id", "place", "open").mapInArrow(choose, "value long, doc_id long, place int, other_id long, other_place int")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,39 +345,27 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
     meet the earliest document that has the value, so an equal passage in very many documents costs one
     candidate for each. What ``ENOUGH`` hash functions bring forward at about the same offset is read in
     both texts and reported where the shingles' Jaccard likeness is ``similarity`` or more. Windows that
-    no such passage covers then meet every earlier document with their value; pairs whose marks of
-    the shingles around agree by ``COMMON`` are read as well. So a first holder that is too far
-    hides no later, closer one; the marks compared grow with the square of what a common line leaves open.
+    no such passage covers are then compared with all earlier windows of their value, by the shingles around, and the
+    nearest that can be a passage is read: a first holder that is too far hides no later, closer one, and
+    a window costs one candidate more, however many have its value.
 
-    The window values cross the network once. Of the texts, only the words around candidates do a second
-    time, and the texts with open windows once more. A document that repeats inside itself only is not reported. Null and short texts have no
+    The window values cross the network once; a value of very many documents is dealt over several tasks, and crowds
+    are compared in pieces of ``GROUP``. Texts are read where they have candidates, and only words around these are sent.
+    A document that repeats inside itself only is not reported. Null and short texts have no
     passages. Rows with equal ids count as one document and are not compared; null ids are left out.
-    No rows give none.
+    No rows give none. Other columns are not read.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
-    dealt = windows(rows, least_words).repartition(parts, "value")
-    # both uses read all columns and filter none away before the exchange, so that it is made once and read twice
-    leading = F.when(F.col("lead"), F.col("doc_id"))
-    firsts = dealt.groupBy("value").agg(
-        F.min(leading).alias("other_id"), F.max(leading).alias("last_id"), F.min_by("place", leading).alias("other_place"), F.max("first").alias("_1"), F.max("end").alias("_2"),
-    ).where("other_id < last_id and _1 >= 0 and _2 >= 0").drop("_1", "_2", "last_id")
-    shared = cut(dealt.join(firsts, "value"))
-    found = cut(_verified(rows, _candidates(shared.where("doc_id > other_id"), ENOUGH), least_words, similarity))
-
-    # what no first holder explains meets all earlier holders whose surroundings look the same
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    levels = docs.sparkSession.sparkContext.broadcast(crowd_levels(rows, WIDTH))
+    met = _meetings(windows(rows, least_words, levels), parts)
+    found = cut(_verified(rows, _candidates(met, ENOUGH), least_words, similarity))
+
     known = found.select(F.col("doc_id").alias("_doc"), "first_word", "end_word")
-    left = shared.where("doc_id > other_id").join(known, (F.col("doc_id") == F.col("_doc")) & (F.col("place") >= F.col("first_word")) & (F.col("place") < F.col("end_word")), "left_anti")
-    left = cut(left.select("value", "doc_id", "place"))
-    asked = left.select("value").distinct()
-    places = shared.join(asked, "value").join(left.withColumn("open", F.lit(True)), ["value", "doc_id", "place"], "left").where("open or lead")
-    marked = _marked(rows, places.select("value", "doc_id", "lead", "first", "place", "end", F.coalesce("open", F.lit(False)).alias("open")), least_words - WIDTH + 1)
-    holders = marked.where("lead").select("value", F.col("doc_id").alias("other_id"), F.col("place").alias("other_place"), *[F.col(f"m{i}").alias(f"o{i}") for i in range(MARKS)])
-    common = sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"o{i}"))) for i in range(1, MARKS)), F.bit_count(F.col("m0").bitwiseAND(F.col("o0"))))
-    met = marked.where("open").join(holders, "value").where((F.col("other_id") < F.col("doc_id")) & (common >= int(COMMON * (least_words - WIDTH + 1))))
-    more = _verified(rows, _candidates(met, 1), least_words, similarity)
+    left = met.join(known, (F.col("doc_id") == F.col("_doc")) & (F.col("place") >= F.col("first_word")) & (F.col("place") < F.col("end_word")), "left_anti")
+    left = cut(left.select("value", "doc_id", "place").distinct())
+    more = _verified(rows, _candidates(_met_by_open(rows, met, left, least_words - WIDTH + 1, similarity, parts), 1), least_words, similarity)
     return found.unionByName(more).groupBy("doc_id", "first_word", "other_id").agg(F.max(F.struct("end_word", "similarity", "other_first", "other_end")).alias("x")).select("doc_id", "first_word", "x.end_word", "other_id", "x.other_first", "x.other_end", "x.similarity")
 
 
-
 RESULT = "doc_id long, first_word int, end_word int, other_id long, other_first int, other_end int, similarity double"

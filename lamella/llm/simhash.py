@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb, log
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamella.llm.common import connected_components, cut, mix, small
+from lamella.llm.common import bucket_of, connected_components, crowd_levels, cut, mix, only, pieces, shingle_set
 
 #: Bits in a segment. Two random segments have the same count in 3 of 8 cases.
 SEGMENT = 2
@@ -35,31 +35,24 @@ def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, last[width - 1 :], strict=False)], dtype=np.uint64)
 
 
-def fingerprint(hashes: np.ndarray, planes: int = 1) -> bytes:
-    """Bits set in over half of the hashes, in 8 bytes for each plane; no hashes: zero.
-
-    The first plane counts the bits of the hashes themselves, each further one those of a scrambling.
-    """
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """Bits set in over half of the hashes, in 8 bytes; no hashes: zero."""
     if len(hashes) == 0:
-        return bytes(8 * planes)
-    out = []
-    for plane in range(planes):
-        value = hashes if plane == 0 else mix(hashes + np.uint64(plane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        raw = value.astype(">u8").view(np.uint8).reshape(-1, 8)
-        count = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(raw), 255):
-            count += np.add.reduce(np.unpackbits(raw[i : i + 255], axis=1), axis=0, dtype=np.uint8)
-        out.append(np.packbits(2 * count > len(hashes)).tobytes())
-    return b"".join(out)
-
-
-def fingerprints(docs: DataFrame, width: int, planes: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+        return bytes(8)
+    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    count = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(raw), 255):
+        count += np.add.reduce(np.unpackbits(raw[i : i + 255], axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(hashes)).tobytes()
+
+
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp`` of every row; null and empty texts have the zero fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            prints = [fingerprint(shingle_hashes(t or b"", width), planes) for t in texts]
+            prints = [fingerprint(shingle_hashes(t or b"", width)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["doc_id", "fp"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
@@ -80,30 +73,15 @@ def grid_of(n: int, max_bits: int, bits: int = 64, crowd: int = 32, most: int =
     return [np.concatenate(pick).tolist() for pick in combinations(blocks, r)]
 
 
-def drawn_parts(n: int, similarity: float, bits: int, crowd: int = 16, miss: float = 0.05) -> list[list[int]]:
-    """Fixed pseudo-random parts of the segments, for links that are too loose for equal blocks.
-
-    Sets with Jaccard likeness ``similarity`` differ in a known share of bits. Parts are as long as
-    ``n`` fingerprints need to leave ``crowd`` in a cell, and as many as make a link at that share agree
-    in none of them with probability ``miss``.
-    """
-    turned = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    equal = (1 - turned) ** 2 + turned**2 / 2
-    size = max(4, ceil(log(max(n, 1) / crowd) / log(1 / SAME)) if n > crowd else 4)
-    picks = ceil(log(1 / miss) / equal**size)
-    draw = np.random.default_rng(7)
-    return [draw.choice(bits // SEGMENT, size, replace=False).tolist() for _ in range(picks)]
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").reshape(-1, 1).astype(np.uint64)
 
 
-def _matrix(column: pa.Array, planes: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").reshape(-1, planes).astype(np.uint64)
-
-
-def cells(nodes: DataFrame, parts: list[list[int]], planes: int) -> DataFrame:
+def cells(nodes: DataFrame, parts: list[list[int]]) -> DataFrame:
     """``key, node, fp``: each fingerprint once for each part of the grid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = mix(np.arange(1, 32 * planes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        weight = mix(np.arange(1, 64 // SEGMENT + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 batch = whole.slice(at, 4096)
@@ -158,31 +136,13 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, max_bits: int) ->
     return [p[0] for p in pairs], [p[1] for p in pairs]
 
 
-def _apart(key: np.ndarray, node: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
-    """All pairs within ``max_bits`` inside each run of equal keys whose labels, the last numbers of ``fp``, differ."""
-    label, fp = fp[:, -1], fp[:, :-1]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    src, dst = [], []
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
-        step = max(1, (1 << 20) // ((b - a) * fp.shape[1]))
-        for at in range(a, b if (label[a:b] != label[a]).any() else a, step):
-            some = slice(at, min(b, at + step))
-            near = np.bitwise_count(fp[some][:, None, :] ^ fp[a:b][None, :, :]).sum(axis=2, dtype=np.int64) <= max_bits
-            i, j = np.nonzero(near & (label[some][:, None] < label[a:b][None, :]))
-            src += node[some][i].tolist()
-            dst += node[a:b][j].tolist()
-    return src, dst
-
-
-def links(nodes: DataFrame, parts: list[list[int]], max_bits: int, planes: int = 1, labelled: bool = False) -> DataFrame:
+def links(nodes: DataFrame, parts: list[list[int]], max_bits: int) -> DataFrame:
     """``src, dst``: links at most ``max_bits`` apart that share a cell; within a cell only enough to connect what is linked.
 
-    If ``labelled``, eight more bytes of the fingerprints are labels, and all such pairs with different labels are given.
-
     Cells with more than ``CELL`` members are split into pieces, and each pair of pieces becomes a
     cell of its own, so that no task compares more than two pieces at a time.
     """
-    keyed = cells(nodes, parts, planes)
+    keyed = cells(nodes, parts)
     crowded = cut(keyed.groupBy("key").count().where(F.col("count") > CELL))
     if crowded.limit(1).count():
         keyed = keyed.join(crowded, "key", "left").withColumn("n", F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1)).cast("int"))
@@ -195,12 +155,12 @@ def links(nodes: DataFrame, parts: list[list[int]], max_bits: int, planes: int =
         held: tuple | None = None
 
         def done(rows: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (_apart if labelled else _links)(*rows, max_bits)], ["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _links(*rows, max_bits)], ["src", "dst"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), planes + labelled))
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)))
             held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
@@ -225,7 +185,7 @@ def near_groups(docs: DataFrame, width: int = 5, max_bits: int = 4, id_col: str
     repeated rows with the same component. A null id is linked but never names a component (null if
     its group has no other). No rows give none. Other columns are not read.
     """
-    table = cut(fingerprints(docs, width, 1, id_col, text))
+    table = cut(fingerprints(docs, width, id_col, text))
     nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("node")))
     known = nodes.where("node is not null")
     found = links(known, grid_of(known.count(), max_bits), max_bits)
@@ -234,59 +194,123 @@ def near_groups(docs: DataFrame, width: int = 5, max_bits: int = 4, id_col: str
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, planes: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is connected by Jaccard likenesses of ``similarity`` or more: each set to one found before it."""
+    size = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(size)[:-1])
+    mark = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+    left, front, out = np.arange(len(sets)), [], []
+    held = None
+    while len(left):
+        if not front:
+            front, left, held = [int(left[0])], left[1:], None
+            continue
+        at = front.pop()
+        if held is None:
+            held = np.concatenate([own[i] for i in left]), np.concatenate(([0], np.cumsum(size[left])[:-1]))
+        mark[own[at]] = True
+        both = np.add.reduceat(mark[held[0]].astype(np.int32), held[1])
+        mark[own[at]] = False
+        hit = both >= similarity * (size[at] + size[left] - both) - 1e-9
+        if hit.any():
+            out += [(at, i) for i in left[hit].tolist()]
+            front += left[hit].tolist()
+            left, held = left[~hit], None
+    return out
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, component_id`` of documents whose shingle sets have a Jaccard likeness of ``similarity`` or more to another's, by chains.
 
-    At such likenesses fingerprints differ in too many bits for an exact grid, so cells are drawn parts
-    of the segment counts, and a pair that shares no cell or is not near enough in all bits is missed.
-    Of what shares a cell and is near enough, first the nearest are read in full and their sets compared;
-    then all pairs that these links leave in different groups. No pair below ``similarity`` is linked. Equal sets are one node. A row is returned only where a document belongs to a group
-    under another's id; ``component_id`` is the smallest id of the group.
+    At such likenesses SimHash fingerprints differ in so many bits that no grid of them finds all links, so candidates
+    come from the sets themselves, and none is missed: of two sets so alike, at least one is among the first
+    ``n - similarity * n + 1`` of either's n shingles, in any order that all share. The order puts shingles that stand
+    out as common last, so that a passage of very many documents brings none of them together.
 
-    Null and empty texts are equal to each other. Rows with null ids are left out. Repeated ids count as
+    Each shingle's holders meet its first holder, one row a holder. All that meet a first holder are read and linked
+    there by exact comparison, each set to one found before it, so a group of copies costs a row each, not one for every
+    two; holders of one shingle meet the same first one, so every link is seen. Crowds of over ``CELL`` sets or
+    ``CELL * 500`` shingles are compared in pieces, each pair of pieces on its own. Equal sets are one node. A row is
+    returned only where a document belongs to a group under another's id; ``component_id`` is the smallest id of the group.
+
+    Null and empty texts are equal to each other. Rows with null ids are left out. Rows with one id count as
     one document. No rows give none. Other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(crowd_levels(rows, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            same = [hashlib.md5(np.unique(h).tobytes()).digest() for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(h, planes) for h in hashes], pa.binary()), pa.array(same, pa.binary())], ["doc_id", "fp", "same"])
-
-    table = cut(rows.mapInArrow(run, "doc_id long, fp binary, same binary"))
-    nodes = cut(table.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")))
-    bits = 64 * planes
-    turned = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(bits * turned + 2.5 * (bits * turned * (1 - turned)) ** 0.5)
-    parts = drawn_parts(nodes.count(), similarity, bits)
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+            same, size, firsts = [], [], []
+            for t in batch.column(1).to_pylist():
+                own = shingle_set(t, width)
+                order = np.lexsort((own, shared.value[bucket_of(own)]))
+                same.append(hashlib.md5(own.tobytes()).digest())
+                size.append(len(own))
+                firsts.append(own[order[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "same", "size", "firsts"])
+
+    table = cut(rows.mapInArrow(prefixes, "doc_id long, same binary, size int, firsts array<long>"))
+    nodes = table.groupBy("same").agg(F.min(F.struct("doc_id", "size", "firsts")).alias("x"))
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = nodes.select(F.explode("x.firsts").alias("key"), F.col("x.doc_id").alias("node"), F.col("x.size").alias("size"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = center = None
+        for batch in batches:
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            new = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
+            centers = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))]
+            head = len(key) if not new.any() else int(new.argmax())
+            centers[:head] = center if head else centers[:head]
+            other = centers != node
+            last, center = key[-1], centers[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(centers[other]), batch.column(1).filter(pa.array(other)), batch.column(2).filter(pa.array(other))], ["center", "node", "size"])
+
+    met = cut(keyed.repartition(count, "key").sortWithinPartitions("key", "node").mapInArrow(meet, "center long, node long, size int").groupBy("center", "node").agg(F.max("size").alias("size")))
+    crowds = met.groupBy("center").agg(F.ceil(F.greatest((F.count("*") + 1) / CELL, F.sum("size") / (500 * CELL))).cast("int").alias("n"))
+    met = met.join(crowds, "center")
+    asked = met.select("center", "n", "node").unionByName(crowds.select("center", "n", F.col("center").alias("node")))
+    asked = cut(asked.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("center", "n")).alias("centers")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, np.zeros(0, dtype=np.uint64)
-        for batch in batches:
-            sets = []
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                if t != held:
-                    held, own = t, np.unique(shingle_hashes(t, width))
-                sets.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["src", "dst", "own"])
-
-    def verified(found: DataFrame) -> DataFrame:
-        asked = cut(found.select(F.col("src").alias("id"), "src", "dst").unionByName(found.select(F.col("dst").alias("id"), "src", "dst")))
-        sets = rows.withColumnRenamed("doc_id", "id").join(small(asked), "id").select("text", "src", "dst").mapInArrow(read, "src long, dst long, own array<long>")
-        both = sets.groupBy("src", "dst").agg(F.min("own").alias("a"), F.max("own").alias("b"))
-        shared = F.size(F.array_intersect("a", "b"))
-        return cut(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst"))
-
-    found = cut(ordered(links(nodes, parts, limit, planes)))
-    alike = verified(found)
-    # the links of a cell were thinned by bits alone: what they left unconnected is compared in all pairs
-    label = F.coalesce("component", "node")
-    labels = nodes.join(connected_components(alike), "node", "left").select("node", F.concat("fp", F.unhex(F.lpad(F.hex(label), 16, "0"))).alias("fp"))
-    more = cut(ordered(links(cut(labels), parts, limit, planes, labelled=True)).join(found, ["src", "dst"], "left_anti"))
-    reached = connected_components(alike.unionByName(verified(more)))
-    named = nodes.join(reached, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return table.join(named, "same").where("doc_id != component_id").select("doc_id", "component_id").distinct()
+        for batch in pieces(batches, 64):
+            out = []
+            for doc, t, centers in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "centers")), strict=True):
+                own = shingle_set(t, width).view(np.int64)
+                for c in centers:
+                    piece = int(mix(np.array([doc]).view(np.uint64))[0] % np.uint64(c["n"]))
+                    out += [(c["center"], min(piece, o), max(piece, o), doc, own) for o in range(c["n"])]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["center", "low", "high", "node", "own"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            found = [(nodes[a], nodes[b]) for a, b in alike(sets, similarity)] if sets else []
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["src", "dst"])
+
+        for batch in pieces(batches):
+            for *place, node, own in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if tuple(place) != held:
+                    yield done()
+                    held, nodes, sets = tuple(place), [], []
+                nodes.append(node)
+                sets.append(own.values.to_numpy().view(np.uint64))
+        yield done()
+
+    sets = only(rows, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(read, "center long, low int, high int, node long, own array<long>")
+    found = sets.repartition(count, "center", "low", "high").sortWithinPartitions("center", "low", "high", "node").mapInArrow(link, "src long, dst long")
+    named = table.groupBy("same").agg(F.min("doc_id").alias("node"))
+    # rows of one id with several texts tie these together
+    several = table.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("doc_id")
+    tied = table.join(several, "doc_id").join(named, "same").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+    reached = connected_components(found.unionByName(tied))
+    named = named.join(reached, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return table.select("doc_id", "same").join(named, "same").where("doc_id != component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

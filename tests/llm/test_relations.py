@@ -8,13 +8,13 @@ import numpy as np
 import pytest
 import xxhash
 
-from lamella.llm.common import connected_components, words
+from lamella.llm.common import connected_components, only, without, words
 from lamella.llm.decontaminate import contaminated, local_score, with_leak_score, word_hashes
 from lamella.llm.mixing import mixed, schedule, tempered, whole_parts
 from lamella.llm.passages import compact_windows, compact_windows_with_ties, likeness, repeated_passages
-from lamella.llm.simhash import fingerprint, grid_of, links, near_copies, near_groups, shingle_hashes
+from lamella.llm.simhash import grid_of, near_copies, near_groups
 from lamella.llm.url_filter import url_filter
-from lamella.llm import simhash
+from lamella.llm import common, passages, simhash
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string"
@@ -111,43 +111,59 @@ def test_grid_finds_every_link(n):
         assert any((ca[p] == cb[p]).all() for p in parts)
 
 
-def test_near_copies_against_brute_force(spark):
-    docs = corpus(5) + [(900, None), (901, ""), (None, "w1 w2")]
-    sets, grams = Sets(), {i: set(shingle_hashes((t or "").encode(), 5).tolist()) for i, t in docs if i is not None}
+def plain_copies(docs):
+    """(id, smallest id) of what chains of Jaccard likenesses of 0.8 connect, by all pairs."""
+    sets, grams = Sets(), {}
+    for i, t in docs:
+        if i is not None:
+            tokens = (t or "").lower().split()
+            grams.setdefault(i, []).append({tuple(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))} if tokens else set())
     for a in grams:
         for b in grams:
-            if a < b and (grams[a] == grams[b] or len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])):
+            if a < b and any(x == y or len(x & y) >= 0.8 * len(x | y) for x in grams[a] for y in grams[b]):
                 sets.join(a, b)
-    want = {(i, sets.find(i)) for i in grams if sets.find(i) != i}
-    got = {tuple(r) for r in near_copies(spark.createDataFrame(docs, SCHEMA)).collect()}
-    assert {i for i, _ in got} <= {i for i, _ in want}
-    assert len(got & want) >= 0.95 * len(want)
-    assert near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+    return {(i, sets.find(i)) for i in grams if sets.find(i) != i}
 
 
-def test_near_copies_keep_links_that_bits_do_not_put_first(spark):
-    """Variants of one text crowd a cell; a member's nearest by bits is often below the likeness where another is not."""
-    draw = random.Random(14)
-    base = [f"w{draw.randrange(5000)}" for _ in range(200)]
-    docs = []
-    for d in range(200):
+@pytest.mark.parametrize("cell", [4096, 8])
+def test_near_copies_against_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(common, "CROWD", 3 if cell == 8 else 64)
+    docs = corpus(5) + [(900, None), (901, ""), (None, "w1 w2"), (902, "w1 w2"), (903, "W1\tw2"), (903, "other words"), (904, "other words")]
+    frame = spark.createDataFrame([(*d, 1, 2) for d in docs], SCHEMA + ", same int, node int")
+    assert {tuple(r) for r in near_copies(frame).collect()} == plain_copies(docs)
+    assert near_copies(frame.limit(0)).count() == 0
+
+
+def variants(draw, n, size, edits, common=()):
+    base, out = [f"w{draw.randrange(5000)}" for _ in range(size)], []
+    for d in range(n):
         copy = list(base)
-        for _ in range(draw.randint(3, 5)):
-            copy[draw.randrange(200)] = f"edit{draw.randrange(100000)}"
-        docs.append((d, " ".join(copy)))
-    sets, grams, prints = Sets(), [set(shingle_hashes(t.encode(), 5).tolist()) for _, t in docs], [np.frombuffer(fingerprint(shingle_hashes(t.encode(), 5), 2), ">u8") for _, t in docs]
-    parts = simhash.drawn_parts(200, 0.8, 128)
-    counts = [np.unpackbits(p.view(np.uint8)).reshape(-1, 2).sum(axis=1) for p in prints]
-    turned = np.arccos(1.6 / 1.8) / np.pi
-    limit = int(128 * turned + 2.5 * (128 * turned * (1 - turned)) ** 0.5)
-    for a in range(200):
-        for b in range(a):
-            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) and np.bitwise_count(prints[a] ^ prints[b]).sum() <= limit and any((counts[a][p] == counts[b][p]).all() for p in parts):
-                sets.join(a, b)
-    want = {(i, sets.find(i)) for i in range(200) if sets.find(i) != i}
+        for _ in range(draw.randint(*edits)):
+            copy[draw.randrange(size)] = f"edit{draw.randrange(100000)}"
+        out.append(" ".join([*copy, *common]))
+    return out
+
+
+def test_near_copies_in_crowds(spark):
+    """Groups of variants with sparse links, and a passage that very many documents share."""
+    draw = random.Random(14)
+    passage = [f"p{i}" for i in range(60)]
+    texts = variants(draw, 200, 200, (3, 5)) + variants(draw, 200, 120, (2, 3)) + [" ".join([*passage, *(f"w{draw.randrange(5000)}" for _ in range(draw.randint(0, 200)))]) for _ in range(200)]
+    draw.shuffle(texts)
+    docs = list(enumerate(texts))
+    want = plain_copies(docs)
     assert want and {tuple(r) for r in near_copies(spark.createDataFrame(docs, SCHEMA)).collect()} == want
 
 
+def test_without_keeps_all_other_rows(spark):
+    docs, ids = spark.range(5000).selectExpr("if(id % 7 = 0, null, id % 900) as doc_id", "id as n"), spark.range(0, 900, 3).withColumnRenamed("id", "doc_id")
+    got = {r.n for r in without(docs, ids).collect()}
+    assert got == {i for i in range(5000) if i % 7 == 0 or i % 900 % 3}
+    assert {r.n for r in only(docs, ids).join(ids, "doc_id").collect()} == set(range(5000)) - got
+    assert without(docs, ids.limit(0)).count() == 5000 and only(docs, ids.limit(0)).count() == 0
+
+
 def test_contaminated_finds_edited_copies(spark):
     draw = random.Random(6)
     vocabulary = [f"w{i}" for i in range(500)]
@@ -332,24 +348,39 @@ def test_repeated_passages(spark):
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_passages_meet_later_holders(spark):
-    """The first holder is often too far from a later copy, while a document between the two is near enough."""
-    draw = random.Random(13)
-    vocabulary = [f"w{i}" for i in range(5000)]
-    passage = [draw.choice(vocabulary) for _ in range(60)]
+@pytest.mark.parametrize("size,edits,small", [(60, (0, 1), False), (60, (1, 2), True), (100, (0, 3), False), (100, (1, 3), True)])
+def test_passages_meet_later_holders(spark, monkeypatch, size, edits, small):
+    """The first holder is often too far from a later copy, while one of the documents between the two is near enough."""
+    if small:
+        monkeypatch.setattr(passages, "GROUP", 16)
+        monkeypatch.setattr(passages, "HOT", 3)
+        monkeypatch.setattr(common, "CROWD", 8)
+    draw = random.Random(size + edits[1])
+    passage = [f"w{draw.randrange(5000)}" for _ in range(size)]
     docs, grams, want = [], [], set()
-    for d in range(120):
+    for d in range(200):
         copy = list(passage)
-        if d == 0 or draw.random() < 0.8:
-            copy[draw.randrange(60)] = f"edit{d}"
-        text = [draw.choice(vocabulary) for _ in range(120)]
+        for _ in range(draw.randint(*edits)):
+            copy[draw.randrange(size)] = f"edit{draw.randrange(100000)}"
+        text = [f"w{draw.randrange(5000)}" for _ in range(120)]
         text[50:50] = copy
         docs.append((d, " ".join(text)))
-        grams.append({tuple(copy[i : i + 5]) for i in range(56)})
+        grams.append({tuple(copy[i : i + 5]) for i in range(size - 4)})
         if any(len(grams[d] & g) >= 0.8 * len(grams[d] | g) for g in grams[:-1]):
             want.add(d)
     got = {r.doc_id for r in repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()}
-    assert len(want) > 80 and len(got & want) >= 0.95 * len(want)
+    assert len(want) > 20 and len(got & want) >= 0.95 * len(want)
+
+
+def test_passages_edges(spark):
+    """Repeated words, a very long text, repeated rows and ids, and columns with other names."""
+    draw = random.Random(20)
+    long = [f"w{draw.randrange(5000)}" for _ in range(20_000)]
+    docs = [(1, "one two " * 3000), (2, "one two " * 3000), (3, " ".join(long)), (4, " ".join(long[9000:9060])), (4, " ".join(long[9000:9060])), (5, " ".join(long[:30] + long[100:130])), (6, "")]
+    got = repeated_passages(spark.createDataFrame([(*d, 1, 1) for d in docs], SCHEMA + ", value int, place int")).collect()
+    assert {r.doc_id for r in got} == {2, 4}
+    assert {(r.first_word, r.end_word, r.other_id, r.other_first) for r in got if r.doc_id == 4} == {(0, 60, 3, 9000)}
+    assert next(r.end_word - r.first_word for r in got if r.doc_id == 2) > 100
 
 
 def test_likeness_over_a_wide_gap():
