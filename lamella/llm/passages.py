@@ -262,32 +262,59 @@ def _verified(rows: DataFrame, candidates: DataFrame, least_words: int, similari
     return sides.mapInArrow(verify, RESULT).groupBy("doc_id", "first_word", "other_id").agg(F.max(F.struct("end_word", "similarity", "other_first", "other_end")).alias("x")).select("doc_id", "first_word", "x.end_word", "other_id", "x.other_first", "x.other_end", "x.similarity")
 
 
-def nearest(around: np.ndarray, doc: np.ndarray, open_: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """For each open window the earlier document's window that has the most shingles in common near it, if enough for a passage.
+#: Shingles next to a place that are looked at first, and how many of them, and of all around it, two windows have in common at least.
+CENTER, CLOSE, SAME = 12, 6, 12
 
-    A row of ``around`` has the shingles about a window's place, in order; a passage is half a row or more, contains the place
-    and has the same shingles but for edits, which move the rest by two words at most.
+
+def in_common(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """For each row of both, the most shingles in common in half a row that contains the place, which is in the middle.
+
+    Rows have the shingles about a place in order, zero beyond the text. Edits move what follows by two words at most.
     """
-    length = around.shape[1] // 2
-    enough = 2 * similarity / (1 + similarity) * length
-    out = []
-    for w in np.flatnonzero(open_).tolist():
-        before = np.flatnonzero(doc < doc[w])
-        if not len(before):
-            continue
-        equal = around[before] == around[w]
+    length = mine.shape[1] // 2
+    middle = slice(length - CENTER, length + CENTER)
+    out = np.zeros(len(mine), dtype=np.int64)
+    rows = np.flatnonzero((mine[:, middle] == theirs[:, middle]).sum(axis=1) >= CLOSE)
+    for at in range(0, len(rows), 4096):
+        some = rows[at : at + 4096]
+        a, b = mine[some], theirs[some]
+        equal = a == b
+        many = (equal & (a != 0)).sum(axis=1) >= SAME
+        some, a, b, equal = some[many], a[many], b[many], equal[many]
         for d in (1, 2):
-            equal[:, d:] |= around[before, :-d] == around[w, d:]
-            equal[:, :-d] |= around[before, d:] == around[w, :-d]
-        equal &= around[w] != 0
-        run = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-        most = (run[:, length:] - run[:, :-length]).max(axis=1)
-        best = int(most.argmax())
-        if most[best] >= enough:
-            out.append((w, int(before[best])))
+            equal[:, d:] |= a[:, d:] == b[:, :-d]
+            equal[:, :-d] |= a[:, :-d] == b[:, d:]
+        equal &= a != 0
+        run = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+        out[some] = (run[:, length:] - run[:, :-length]).max(axis=1, initial=0)
     return out
 
 
+def nearest(group: np.ndarray, doc: np.ndarray, open_: np.ndarray, around: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of group and document: the open ones, and for each the window of an earlier document in its group that has most in common with it, if enough for a passage."""
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.concatenate((first, [len(group)])))
+    place = np.arange(len(group)) - np.repeat(first, size)
+    best, most = np.full(len(group), -1), np.zeros(len(group), dtype=np.int64)
+    small = np.repeat(size <= 64, size)
+    rows = np.flatnonzero(open_ & small & (place > 0))
+    for lag in range(1, 64):
+        rows = rows[place[rows] >= lag]
+        if not len(rows):
+            break
+        before = rows[doc[rows - lag] < doc[rows]]
+        common = in_common(around[before], around[before - lag])
+        better = common > most[before]
+        most[before[better]], best[before[better]] = common[better], (before - lag)[better]
+    for w in np.flatnonzero(open_ & ~small).tolist():
+        before = np.arange(w - place[w], w - place[w] + np.searchsorted(doc[w - place[w] : w], doc[w]))
+        if len(before):
+            common = in_common(np.broadcast_to(around[w], (len(before), around.shape[1])), around[before])
+            most[w], best[w] = common.max(), before[int(common.argmax())]
+    chosen = np.flatnonzero(most >= 2 * similarity / (1 + similarity) * (around.shape[1] // 2))
+    return chosen, best[chosen]
+
+
 def _met_by_open(rows: DataFrame, met: DataFrame, left: DataFrame, length: int, similarity: float, parts: int) -> DataFrame:
     """Windows ``left`` (value, doc_id, place) and, of all windows with their values in earlier documents, the ``nearest``."""
     holders = met.where("lead").select("value", "doc_id", "place").unionByName(met.select("value", F.col("other_id").alias("doc_id"), F.col("other_place").alias("place")))
@@ -314,27 +341,29 @@ def _met_by_open(rows: DataFrame, met: DataFrame, left: DataFrame, length: int,
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, members = None, []
+        held: list[pa.RecordBatch] = []
 
-        def done() -> pa.RecordBatch:
-            pairs = []
-            if members:
-                around = np.frombuffer(b"".join(m[3] for m in members), dtype=np.uint32).reshape(len(members), -1)
-                pairs = nearest(around, np.array([m[0] for m in members]), np.array([m[2] for m in members]), similarity)
-            out = [(held[0], *members[a][:2], *members[b][:2]) for a, b in pairs]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["value", "doc_id", "place", "other_id", "other_place"])
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            value, low, high, doc, place, is_open = (rows.column(n).to_numpy() for n in ("value", "low", "high", "doc_id", "place", "open"))
+            around = np.frombuffer(b"".join(rows.column("around").to_pylist()), dtype=np.uint32).reshape(len(rows), -1)
+            new = (value[1:] != value[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            w, other = nearest(np.concatenate(([0], np.cumsum(new))), doc, is_open, around, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (value[w], doc[w], place[w], doc[other], place[other])], ["value", "doc_id", "place", "other_id", "other_place"])
 
         for batch in batches:
-            for *group, doc, place, is_open, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tuple(group) != held:
-                    yield done()
-                    held, members = tuple(group), []
-                members.append((doc, place, is_open, around))
-        yield done()
+            held.append(batch)
+            if sum(map(len, held)) >= 16_384:
+                rows = pa.Table.from_batches(held)
+                last = [rows.column(n).to_numpy() for n in ("value", "low", "high")]
+                begun = len(rows) - int(np.argmin(np.append(np.logical_and.reduce([c == c[-1] for c in last])[::-1], False)))
+                if begun:
+                    yield done(rows.slice(0, begun))
+                held = rows.slice(begun).to_batches()
+        if sum(map(len, held)):
+            yield done(pa.Table.from_batches(held))
 
     shown = only(rows, listed.select("doc_id")).join(listed, "doc_id").select("doc_id", "text", "places").mapInArrow(show, schema)
-    return shown.repartition(parts, "value", "low", "high").sortWithinPartitions("value", "low", "high", "doc_id", "place", "open").mapInArrow(choose, "value long, doc_id long, place int, other_id long, other_place int")
+    return shown.repartition(parts, "value", "low", "high").sortWithinPartitions("value", "low", "high", "doc_id", "place").mapInArrow(choose, "value long, doc_id long, place int, other_id long, other_place int")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
