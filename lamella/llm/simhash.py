@@ -10,7 +10,7 @@ from math import ceil, comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lamella.llm.common import bucket_of, connected_components, crowd_levels, cut, mix, only, pieces, shingle_set
 
@@ -19,6 +19,8 @@ SEGMENT = 2
 SAME = 0.375
 #: Cells with more members are compared in pieces, a pair of pieces at a time.
 CELL = 4096
+#: Least hashes of a set that stand for it at first.
+SKETCH = 128
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -228,9 +230,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     ``n - similarity * n + 1`` of either's n shingles, in any order that all share. The order puts shingles that stand
     out as common last, so that a passage of very many documents brings none of them together.
 
-    Each shingle's holders meet its first holder, one row a holder. All that meet a first holder are read and linked
-    there by exact comparison, each set to one found before it, so a group of copies costs a row each, not one for every
-    two; holders of one shingle meet the same first one, so every link is seen. Crowds of over ``CELL`` sets or
+    Each shingle's holders of like size meet the smallest of them, one row a holder; a few holders whose sizes and places of the
+    shingle leave no room for enough in common don't. All that meet at one are compared by their ``SKETCH`` least
+    hashes, which leaves out what is nowhere near; the rest are read and linked there by exact comparison, each set to one found before it, so a group of copies costs a row each, not one for every
+    two; all holders of one shingle meet at the same one, so every link is seen. Crowds of over ``CELL`` sets or
     ``CELL * 500`` shingles are compared in pieces, each pair of pieces on its own. Equal sets are one node. A row is
     returned only where a document belongs to a group under another's id; ``component_id`` is the smallest id of the group.
 
@@ -240,6 +243,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(crowd_levels(rows, width))
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            same = [hashlib.md5(own.tobytes()).digest() for own in sets]
+            sketch = [(own[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for own in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "same", "sketch"])
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same, size, firsts = [], [], []
@@ -251,62 +261,89 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
                 firsts.append(own[order[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "same", "size", "firsts"])
 
-    table = cut(rows.mapInArrow(prefixes, "doc_id long, same binary, size int, firsts array<long>"))
-    nodes = table.groupBy("same").agg(F.min(F.struct("doc_id", "size", "firsts")).alias("x"))
+    table = cut(rows.mapInArrow(describe, "doc_id long, same binary, sketch binary"))
+    nodes = rows.mapInArrow(prefixes, "doc_id long, same binary, size int, firsts array<long>").groupBy("same").agg(F.min(F.struct("doc_id", "size", "firsts")).alias("x"))
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = nodes.select(F.explode("x.firsts").alias("key"), F.col("x.doc_id").alias("node"), F.col("x.size").alias("size"))
+    keyed = nodes.select(F.posexplode("x.firsts").alias("place", "key"), F.col("x.doc_id").alias("node"), F.col("x.size").alias("size")).select("key", "size", "node", "place")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = center = None
+        last = None  # key and size of the row before, node of its run's first row
         for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, size, node, place = (c.to_numpy().astype(np.int64) for c in batch.columns)
             if not len(key):
                 continue
-            new = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
-            centers = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))]
-            head = len(key) if not new.any() else int(new.argmax())
-            centers[:head] = center if head else centers[:head]
-            other = centers != node
-            last, center = key[-1], centers[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(centers[other]), batch.column(1).filter(pa.array(other)), batch.column(2).filter(pa.array(other))], ["center", "node", "size"])
-
-    met = cut(keyed.repartition(count, "key").sortWithinPartitions("key", "node").mapInArrow(meet, "center long, node long, size int").groupBy("center", "node").agg(F.max("size").alias("size")))
-    crowds = met.groupBy("center").agg(F.ceil(F.greatest((F.count("*") + 1) / CELL, F.sum("size") / (500 * CELL))).cast("int").alias("n"))
-    met = met.join(crowds, "center")
-    asked = met.select("center", "n", "node").unionByName(crowds.select("center", "n", F.col("center").alias("node")))
-    asked = cut(asked.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("center", "n")).alias("centers")))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            goes_on = last is not None and last[0] == key[0] and last[1] >= similarity * size[0] - 1e-9
+            if goes_on:  # the run's first row stands before the rest of the run
+                key, size, node, place = (np.concatenate(([x], c)) for x, c in zip((key[0], last[1], last[2], 0), (key, size, node, place), strict=True))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (size[:-1] < similarity * size[1:] - 1e-9)))
+            first = np.flatnonzero(new)
+            length = np.diff(np.concatenate((first, [len(key)])))
+            run, at = np.repeat(np.arange(len(first)), length), np.arange(len(key)) - np.repeat(first, length)
+            open_ = length > 16  # all of these are kept, and of a run that may reach into another batch
+            open_[-1], open_[0] = True, open_[0] or goes_on
+            keep = open_[run]
+            rows = np.flatnonzero(~keep)
+            for lag in range(1, 16):
+                rows = rows[at[rows] >= lag]
+                other = rows - lag
+                most = np.minimum(size[rows] - place[rows], size[other] - place[other])  # if this shingle is the first that both have
+                hopeful = most >= similarity / (1 + similarity) * (size[rows] + size[other]) - 1e-9
+                keep[rows[hopeful]] = keep[other[hopeful]] = True
+            center = np.minimum.reduceat(np.where(keep, np.arange(len(key)), len(key)), first)[run]
+            sent = np.flatnonzero(keep & (center < len(key)))
+            sent = sent[node[center[sent]] != node[sent]]
+            last = key[-1], size[-1], node[center[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[center[sent]]), pa.array(node[sent]), pa.array(size[sent], pa.int32())], ["center", "node", "size"])
+
+    met = cut(keyed.repartition(count, "key").sortWithinPartitions("key", "size", "node").mapInArrow(meet, "center long, node long, size int").groupBy("center", "node").agg(F.max("size").alias("size")))
+
+    def listed(met: DataFrame, weight: Column) -> DataFrame:
+        """For each node the first ones it meets, with the number of pieces of their crowds."""
+        crowds = met.groupBy("center").agg(F.ceil(F.greatest((F.count("*") + 1) / CELL, F.sum(weight) / (500 * CELL))).cast("int").alias("n"))
+        met = met.join(crowds, "center").select("center", "n", "node").unionByName(crowds.select("center", "n", F.col("center").alias("node")))
+        return cut(met.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("center", "n")).alias("centers")))
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
             out = []
-            for doc, t, centers in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "centers")), strict=True):
-                own = shingle_set(t, width).view(np.int64)
+            for doc, seen, centers in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "seen", "centers")), strict=True):
+                own = seen if isinstance(seen, bytes) else shingle_set(seen, width).tobytes()
+                part = int(mix(np.array([doc]).view(np.uint64))[0])
                 for c in centers:
-                    piece = int(mix(np.array([doc]).view(np.uint64))[0] % np.uint64(c["n"]))
-                    out += [(c["center"], min(piece, o), max(piece, o), doc, own) for o in range(c["n"])]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                    out += [(c["center"], min(part % c["n"], o), max(part % c["n"], o), doc, own) for o in range(c["n"])]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["center", "low", "high", "node", "own"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        nodes: list[int] = []
-        sets: list[np.ndarray] = []
-
-        def done() -> pa.RecordBatch:
-            found = [(nodes[a], nodes[b]) for a, b in alike(sets, similarity)] if sets else []
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["src", "dst"])
-
-        for batch in pieces(batches):
-            for *place, node, own in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
-                if tuple(place) != held:
-                    yield done()
-                    held, nodes, sets = tuple(place), [], []
-                nodes.append(node)
-                sets.append(own.values.to_numpy().view(np.uint64))
-        yield done()
-
-    sets = only(rows, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(read, "center long, low int, high int, node long, own array<long>")
-    found = sets.repartition(count, "center", "low", "high").sortWithinPartitions("center", "low", "high", "node").mapInArrow(link, "src long, dst long")
+    def linked(seen: DataFrame, kind: type, least: float) -> DataFrame:
+        """``center, src, dst``: links inside each crowd, by the sets in ``seen`` (texts, or bytes of ``kind``)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: tuple = (None,)
+            nodes: list[int] = []
+            sets: list[np.ndarray] = []
+
+            def done() -> pa.RecordBatch:
+                found = [(held[0], nodes[a], nodes[b]) for a, b in alike(sets, least)] if sets else []
+                return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["center", "src", "dst"])
+
+            for batch in pieces(batches):
+                for *place, node, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if tuple(place) != held:
+                        yield done()
+                        held, nodes, sets = tuple(place), [], []
+                    nodes.append(node)
+                    sets.append(np.frombuffer(own, dtype=kind))
+            yield done()
+
+        dealt = seen.mapInArrow(shown, "center long, low int, high int, node long, own binary").repartition(count, "center", "low", "high")
+        return dealt.sortWithinPartitions("center", "low", "high", "node").mapInArrow(run, "center long, src long, dst long")
+
+    # by sketches first: of sets so alike, if one lies in the other, the least hashes have s / (2 - s) in common, and 0.22 less only once in many millions of times
+    asked = listed(met, F.lit(SKETCH))
+    near = linked(only(table, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", F.col("sketch").alias("seen"), "centers"), np.uint32, similarity / (2 - similarity) - 0.22)
+    near = near.select("center", "src").unionByName(near.select("center", F.col("dst").alias("src"))).where("center != src").groupBy("center", F.col("src").alias("node")).agg(F.lit(0).alias("_"))
+    asked = listed(cut(met.join(near, ["center", "node"]).select("center", "node", "size")), F.col("size"))
+    found = linked(only(rows, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", F.col("text").alias("seen"), "centers"), np.uint64, similarity).select("src", "dst")
     named = table.groupBy("same").agg(F.min("doc_id").alias("node"))
     # rows of one id with several texts tie these together
     several = table.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("doc_id")
