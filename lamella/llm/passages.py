@@ -266,27 +266,25 @@ def _verified(rows: DataFrame, candidates: DataFrame, least_words: int, similari
 CENTER, CLOSE, SAME = 12, 6, 12
 
 
-def in_common(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-    """For each row of both, the most shingles in common in half a row that contains the place, which is in the middle.
+def in_common(around: np.ndarray, center: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """For rows ``mine`` and ``theirs`` of ``around``, the most shingles in common in half a row that contains the place, its middle.
 
-    Rows have the shingles about a place in order, zero beyond the text. Edits move what follows by two words at most.
+    Rows have the shingles about a place in order, zero beyond the text; ``center`` are their middle columns. Edits move what follows by two words at most.
     """
-    length = mine.shape[1] // 2
-    middle = slice(length - CENTER, length + CENTER)
+    length = around.shape[1] // 2
     out = np.zeros(len(mine), dtype=np.int64)
-    rows = np.flatnonzero((mine[:, middle] == theirs[:, middle]).sum(axis=1) >= CLOSE)
-    for at in range(0, len(rows), 4096):
-        some = rows[at : at + 4096]
-        a, b = mine[some], theirs[some]
+    for at in range(0, len(mine), 4096):
+        close = np.flatnonzero((center[mine[at : at + 4096]] == center[theirs[at : at + 4096]]).sum(axis=1, dtype=np.uint8) >= CLOSE) + at
+        a, b = around[mine[close]], around[theirs[close]]
         equal = a == b
-        many = (equal & (a != 0)).sum(axis=1) >= SAME
-        some, a, b, equal = some[many], a[many], b[many], equal[many]
+        many = (equal & (a != 0)).sum(axis=1, dtype=np.uint8) >= SAME
+        close, a, b, equal = close[many], a[many], b[many], equal[many]
         for d in (1, 2):
             equal[:, d:] |= a[:, d:] == b[:, :-d]
             equal[:, :-d] |= a[:, :-d] == b[:, d:]
         equal &= a != 0
         run = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
-        out[some] = (run[:, length:] - run[:, :-length]).max(axis=1, initial=0)
+        out[close] = (run[:, length:] - run[:, :-length]).max(axis=1, initial=0)
     return out
 
 
@@ -295,6 +293,8 @@ def nearest(group: np.ndarray, doc: np.ndarray, open_: np.ndarray, around: np.nd
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.concatenate((first, [len(group)])))
     place = np.arange(len(group)) - np.repeat(first, size)
+    middle = around.shape[1] // 2
+    center = np.ascontiguousarray(around[:, middle - CENTER : middle + CENTER])
     best, most = np.full(len(group), -1), np.zeros(len(group), dtype=np.int64)
     small = np.repeat(size <= 64, size)
     rows = np.flatnonzero(open_ & small & (place > 0))
@@ -303,13 +303,13 @@ def nearest(group: np.ndarray, doc: np.ndarray, open_: np.ndarray, around: np.nd
         if not len(rows):
             break
         before = rows[doc[rows - lag] < doc[rows]]
-        common = in_common(around[before], around[before - lag])
+        common = in_common(around, center, before, before - lag)
         better = common > most[before]
         most[before[better]], best[before[better]] = common[better], (before - lag)[better]
     for w in np.flatnonzero(open_ & ~small).tolist():
         before = np.arange(w - place[w], w - place[w] + np.searchsorted(doc[w - place[w] : w], doc[w]))
         if len(before):
-            common = in_common(np.broadcast_to(around[w], (len(before), around.shape[1])), around[before])
+            common = in_common(around, center, np.full(len(before), w), before)
             most[w], best[w] = common.max(), before[int(common.argmax())]
     chosen = np.flatnonzero(most >= 2 * similarity / (1 + similarity) * (around.shape[1] // 2))
     return chosen, best[chosen]
