@@ -183,6 +183,10 @@ def long_form(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, pairs.alias("_m")).select(*keys, "_m.*").where("depth is not null")
 
 
+#: What the labels of combined depths call the methods.
+NAMES = {"knee": "knee_point", "inflection": "sigmoid_fit", "shoulder": "sigmoid_shoulder"}
+
+
 def method_stability(depths: DataFrame, keys: list[str], limit: float = 20.0) -> DataFrame:
     """``n, mean, sd, stable`` of each method's depths in a slice; fewer than three are unstable and have no deviation."""
     found = depths.groupBy(*keys, "method").agg(F.count("*").alias("n"), F.avg("depth").alias("mean"), F.stddev_pop("depth").alias("sd"))
@@ -205,15 +209,15 @@ def combined_depth(df: DataFrame, stability: DataFrame, keys: list[str], weight:
     pick = lambda value: F.when(ok["knee"] & ok["shoulder"], value("both")).when(ok["knee"], value("knee")).when(ok["shoulder"], value("shoulder"))
     shape = pick(lambda m: (F.col("knee") * w["knee"] + F.col("shoulder") * w["shoulder"]) / (w["knee"] + w["shoulder"]) if m == "both" else F.col(m).cast("double"))
     centre = pick(lambda m: (F.col("knee_mean") + F.col("shoulder_mean")) / 2 if m == "both" else F.col(f"{m}_mean"))
-    label = pick(lambda m: F.lit("knee+shoulder") if m == "both" else F.lit(m))
+    label = pick(lambda m: F.lit(f"{NAMES['knee']}+{NAMES['shoulder']}") if m == "both" else F.lit(NAMES[m]))
     gap = F.abs(F.col("inflection_mean") - centre)
     offset = F.col("inflection") - shape
     share = F.when(gap > 0, weight * (1 - F.exp(-F.abs(offset) / gap)) * anchor).otherwise(F.lit(0.0))
-    fallback = F.array_min(F.filter(F.array(*[F.when(F.col(m).isNotNull() & F.col(f"{m}_sd").isNotNull(), F.struct(F.col(f"{m}_sd").alias("sd"), F.lit(i).alias("i"), F.col(m).cast("double").alias("d"), F.lit(m).alias("m"))) for i, m in enumerate(METHODS)]), lambda s: s.isNotNull()))
-    first = F.coalesce(*[F.when(F.col(m).isNotNull(), F.struct(F.lit(None).cast("double").alias("sd"), F.lit(i).alias("i"), F.col(m).cast("double").alias("d"), F.lit(m).alias("m"))) for i, m in enumerate(METHODS)])
+    fallback = F.array_min(F.filter(F.array(*[F.when(F.col(m).isNotNull() & F.col(f"{m}_sd").isNotNull(), F.struct(F.col(f"{m}_sd").alias("sd"), F.lit(i).alias("i"), F.col(m).cast("double").alias("d"), F.lit(NAMES[m]).alias("m"))) for i, m in enumerate(METHODS)]), lambda s: s.isNotNull()))
+    first = F.coalesce(*[F.when(F.col(m).isNotNull(), F.struct(F.lit(None).cast("double").alias("sd"), F.lit(i).alias("i"), F.col(m).cast("double").alias("d"), F.lit(NAMES[m]).alias("m"))) for i, m in enumerate(METHODS)])
     last = F.coalesce(fallback, first)
     combined = F.when(ok["inflection"] & shape.isNotNull(), shape + offset * share).when(ok["inflection"], F.col("inflection").cast("double")).when(shape.isNotNull(), shape).otherwise(last["d"])
-    name = F.when(ok["inflection"] & shape.isNotNull(), F.concat_ws("+", F.lit("inflection"), label)).when(ok["inflection"], "inflection_only").when(shape.isNotNull(), label).when(last.isNotNull(), F.concat(F.lit("fallback_"), last["m"])).otherwise("none")
+    name = F.when(ok["inflection"] & shape.isNotNull(), F.concat_ws("+", F.lit("inflection_offset"), label)).when(ok["inflection"], "inflection_only").when(ok["knee"] & ok["shoulder"], F.concat(label, F.lit("_weighted"))).when(shape.isNotNull(), label).when(last.isNotNull(), F.concat(F.lit("fallback_"), last["m"])).otherwise("none")
     return rows.select(*df.columns, combined.alias("combined"), name.alias("method"))
 
 

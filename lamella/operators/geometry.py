@@ -108,18 +108,30 @@ def region_centres(df: DataFrame, keys: list[str], n_sound: int, n_lesion: int)
     return df.select(*keys, F.explode(F.concat(*parts)).alias("r")).select(*keys, "r.*")
 
 
+def turned_centres(centres: DataFrame, curve: DataFrame, keys: list[str], reach: int = 10) -> DataFrame:
+    """Regions (keys, kind, index, centre) with the curve's ``y`` there and the ``angle`` of its slope.
+
+    The slope is between the columns ``reach`` to either side, or the curve's ends where these are nearer; a missing
+    point stands at the centre's height. Regions off the curve are left out.
+    """
+    ends = curve.groupBy(*keys).agg(F.min("x").alias("_low"), F.max("x").alias("_high"))
+    at = lambda name, x: curve.select(*keys, F.col("x").alias(x), F.col("y").alias(name))
+    rows = centres.join(at("y", "centre"), [*keys, "centre"]).join(ends, keys)
+    rows = rows.withColumns({"_left": F.greatest("_low", F.col("centre") - reach), "_right": F.least("_high", F.col("centre") + reach)})
+    rows = rows.join(at("_yl", "_left"), [*keys, "_left"], "left").join(at("_yr", "_right"), [*keys, "_right"], "left")
+    slope = (F.coalesce("_yr", "y") - F.coalesce("_yl", "y")) / F.nullif(F.col("_right") - F.col("_left"), F.lit(0))
+    return rows.select(*keys, "kind", "index", "centre", "y", F.coalesce(F.atan(slope), F.lit(0.0)).alias("angle"))
+
+
 def region_pixels(centres: DataFrame, curve: DataFrame, pixels: DataFrame, keys: list[str], size: int = 24, offset: int = 10) -> DataFrame:
     """Pixels of square regions below the fitted surface, turned with it: ``keys, kind, index, pixel, v``.
 
-    The slope is that of the curve ten columns to either side, a missing one standing at the centre's
-    height. Each of ``size`` by ``size`` places is turned about the centre and read at the nearest pixel, halves
+    Each of ``size`` by ``size`` places is turned about the centre and read at the nearest pixel, halves
     going to the even one; places outside the picture are left out.
     """
-    at = lambda name, dx: curve.select(*keys, (F.col("x") - dx).alias("centre"), F.col("y").alias(name))
-    placed = centres.join(at("y", 0), [*keys, "centre"]).join(at("yl", -10), [*keys, "centre"], "left").join(at("yr", 10), [*keys, "centre"], "left")
-    angle = F.atan((F.coalesce("yr", "y") - F.coalesce("yl", "y")) / 20)
+    placed = turned_centres(centres, curve, keys)
     places = F.sequence(F.lit(0), F.lit(size * size - 1))
-    rows = placed.select(*keys, "kind", "index", "centre", "y", angle.alias("angle"), F.explode(places).alias("pixel"))
+    rows = placed.select(*keys, "kind", "index", "centre", "y", "angle", F.explode(places).alias("pixel"))
     half = size / 2
     dx, dy = F.col("pixel") % size - half, F.floor(F.col("pixel") / size) - half
     middle = F.col("y") + offset + half

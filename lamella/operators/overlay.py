@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lamella.operators.geometry import turned_centres
+
 #: Colours and line widths of the layers.
 COLOURS = {
     "air": "#37bfe9", "specimen_boundary": "#4CAF50", "lesion_boundary": "#FFD700", "interpolated_surface": "#e600e6", "actual_surface": "#00b0e6",
@@ -29,9 +31,7 @@ def _lines(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 
 def region_corners(centres: DataFrame, curve: DataFrame, keys: list[str], size: int = 24, offset: int = 10) -> DataFrame:
     """Regions (keys, kind, index, centre) with the four corners of their squares below the curve, turned with it."""
-    at = lambda name, dx: curve.select(*keys, (F.col("x") - dx).alias("centre"), F.col("y").alias(name))
-    rows = centres.join(at("y", 0), [*keys, "centre"]).join(at("yl", -10), [*keys, "centre"], "left").join(at("yr", 10), [*keys, "centre"], "left")
-    angle, half = F.atan((F.coalesce("yr", "y") - F.coalesce("yl", "y")) / 20), size / 2
+    rows, angle, half = turned_centres(centres, curve, keys), F.col("angle"), size / 2
     middle = F.col("y") + offset + half
     corner = lambda dx, dy: _point(F.col("centre") + dx * F.cos(angle) - dy * F.sin(angle), middle + dx * F.sin(angle) + dy * F.cos(angle))
     return rows.withColumn("corners", F.array(*[corner(dx, dy) for dx, dy in ((-half, -half), (half, -half), (half, half), (-half, half))])).select(*keys, "kind", "index", "centre", middle.alias("middle"), "corners")

@@ -13,10 +13,13 @@ from lamella.operators.ascan import without_outliers
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names; only where none is named a local one is set."""
+    """Checkpoint in the folder that the session names; where none is named one is made if all run on one machine, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 

@@ -106,14 +106,14 @@ wide AS (SELECT label, max(mean) FILTER (method = 'knee') AS km, max(sd) FILTER
                 max(mean) FILTER (method = 'shoulder') AS sm, max(sd) FILTER (method = 'shoulder') AS ss, bool_or(stable) FILTER (method = 'shoulder') AS so FROM stab GROUP BY label),
 shp AS (SELECT d.*, w.*, CASE WHEN ko AND so THEN (knee * greatest(ks, 0.1) + shoulder * greatest(ss, 0.1)) / (greatest(ks, 0.1) + greatest(ss, 0.1)) WHEN ko THEN knee WHEN so THEN shoulder END AS shape,
                CASE WHEN ko AND so THEN (km + sm) / 2 WHEN ko THEN km WHEN so THEN sm END AS centre,
-               CASE WHEN ko AND so THEN 'knee+shoulder' WHEN ko THEN 'knee' WHEN so THEN 'shoulder' END AS lab
+               CASE WHEN ko AND so THEN 'knee_point+sigmoid_shoulder' WHEN ko THEN 'knee_point' WHEN so THEN 'sigmoid_shoulder' END AS lab
         FROM depths d JOIN wide w USING (label))
 SELECT vec_id, label,
        round(CASE WHEN io AND shape IS NOT NULL THEN shape + (inflection - shape) * CASE WHEN abs(im - centre) > 0 THEN 0.4 * (1 - exp(-abs(inflection - shape) / abs(im - centre))) * 0.5 ELSE 0 END
             WHEN io THEN inflection WHEN shape IS NOT NULL THEN shape
             ELSE CASE WHEN ks <= isd AND ks <= ss THEN knee WHEN isd <= ss THEN inflection ELSE shoulder END END, 6) AS combined,
-       CASE WHEN io AND shape IS NOT NULL THEN 'inflection+' || lab WHEN io THEN 'inflection_only' WHEN shape IS NOT NULL THEN lab
-            ELSE CASE WHEN ks <= isd AND ks <= ss THEN 'fallback_knee' WHEN isd <= ss THEN 'fallback_inflection' ELSE 'fallback_shoulder' END END AS method
+       CASE WHEN io AND shape IS NOT NULL THEN 'inflection_offset+' || lab WHEN io THEN 'inflection_only' WHEN ko AND so THEN lab || '_weighted' WHEN shape IS NOT NULL THEN lab
+            ELSE CASE WHEN ks <= isd AND ks <= ss THEN 'fallback_knee_point' WHEN isd <= ss THEN 'fallback_sigmoid_fit' ELSE 'fallback_sigmoid_shoulder' END END AS method
 FROM shp"""
 
 

@@ -137,7 +137,8 @@ def region_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OUTLINE_SQL = """WITH c AS (SELECT s_nationkey AS slice, s_suppkey % 37 AS x, max(floor(s_acctbal / 100)) AS y FROM supplier GROUP BY 1, 2),
-a AS (SELECT c.slice, c.x, c.y, atan((coalesce(r.y, c.y) - coalesce(l.y, c.y)) / 20.0) AS t FROM c LEFT JOIN c l ON l.slice = c.slice AND l.x = c.x - 10 LEFT JOIN c r ON r.slice = c.slice AND r.x = c.x + 10)
+e AS (SELECT slice, min(x) AS low, max(x) AS high FROM c GROUP BY slice),
+a AS (SELECT c.slice, c.x, c.y, coalesce(atan((coalesce(r.y, c.y) - coalesce(l.y, c.y)) / nullif(least(high, c.x + 10) - greatest(low, c.x - 10), 0)), 0) AS t FROM c JOIN e ON e.slice = c.slice LEFT JOIN c l ON l.slice = c.slice AND l.x = greatest(low, c.x - 10) LEFT JOIN c r ON r.slice = c.slice AND r.x = least(high, c.x + 10))
 SELECT slice, x AS centre, round(y + 22.0, 6) AS middle, round(x - 12 * cos(t) + 12 * sin(t), 6) AS x0, round(y + 22 + 12 * sin(t) + 12 * cos(t), 6) AS y2 FROM a"""
 
 _HERE = {

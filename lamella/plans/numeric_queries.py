@@ -40,27 +40,25 @@ def annotation_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectral_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as scans of 64 elements, a slice of 16 scans each, the first four for apodisation."""
+    """Vectors as scans of 64 elements, the scans of a label's slice those of 160 neighbouring ids, the first four for apodisation."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.array_join(F.transform("embedding", lambda v: F.format_string("%04x", F.shiftright((v * 2000).cast("int") + 2000, 8) + F.shiftleft(((v * 2000).cast("int") + 2000) % 256, 8))), "").alias("hex"))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    scans = e.withColumn("scan", F.row_number().over(w) - 1).withColumn("slice", F.floor(F.col("scan") / 16).cast("int"))
-    slices = scans.groupBy("label", "slice").agg(F.array_sort(F.collect_list(F.struct("scan", "hex"))).alias("s")).where(F.size("s") == 16)
+    scans = e.withColumn("slice", F.floor(F.col("vec_id") / 160).cast("int"))
+    slices = scans.groupBy("label", "slice").agg(F.array_sort(F.collect_list(F.struct("vec_id", "hex"))).alias("s"))
     chirp = "".join(f"{int.from_bytes(pack('<f', i + 0.001 * i * i), 'big'):08x}" for i in range(64))
     raw = slices.select(F.col("label").cast("string").alias("volume_id"), "slice", F.unhex(F.array_join(F.transform("s", lambda x: x["hex"]), "")).alias("spectra"), F.unhex(F.lit(chirp)).alias("chirp"), F.lit(None).cast("binary").alias("offsets"), F.lit(4).alias("n_apo"), F.lit(2).alias("n_average"), F.lit(1.0).alias("scale"))
     return reconstruct(raw, dispersion=20).select("volume_id", "slice", "height", "width", F.sha2("pixels", 256).alias("digest"))
 
 
 def specimen_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label as a specimen: vectors make its slices of 64 rows and 40 columns, analysed from surface to depth."""
+    """A label as a specimen: its vectors of 400 neighbouring ids make a slice of 64 rows, a column each, analysed from surface to depth."""
     e = table(spark, sf_dir, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    scans = e.select("label", (F.row_number().over(w) - 1).alias("i"), F.transform("embedding", lambda v: F.greatest(F.least((128 + 200 * v).cast("int"), F.lit(255)), F.lit(0))).alias("p"))
-    scans = scans.withColumns({"slice": F.floor(F.col("i") / 40).cast("int"), "x": (F.col("i") % 40).cast("int")})
+    scans = e.select("label", "vec_id", F.floor(F.col("vec_id") / 400).cast("int").alias("slice"), F.transform("embedding", lambda v: F.greatest(F.least((128 + 200 * v).cast("int"), F.lit(255)), F.lit(0))).alias("p"))
+    scans = scans.withColumn("x", F.row_number().over(Window.partitionBy("label", "slice").orderBy("vec_id")) - 1)
     pixels = scans.select("label", "slice", "x", F.posexplode("p").alias("y", "v"))
     rows = pixels.groupBy("label", "slice").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"), (F.max("x") + 1).alias("width"))
-    slices = rows.where("width = 40").select(F.col("label").cast("string").alias("specimen_id"), "slice", F.lit(64).alias("height"), "width", F.unhex(F.array_join(F.transform("s", lambda q: F.lpad(F.hex(q["v"]), 2, "0")), "")).alias("pixels"))
+    slices = rows.select(F.col("label").cast("string").alias("specimen_id"), "slice", F.lit(64).alias("height"), "width", F.unhex(F.array_join(F.transform("s", lambda q: F.lpad(F.hex(q["v"]), 2, "0")), "")).alias("pixels"))
     none = F.lit(None).cast("int")
-    configs = slices.select("specimen_id", "slice", F.lit(0).alias("start_x"), F.lit(10).alias("lesion_start_x"), F.lit(30).alias("lesion_end_x"), F.lit(40).alias("end_x"), F.lit(2).alias("buffer"), none.alias("air_left"), none.alias("air_top"), none.alias("air_right"), none.alias("air_bottom"))
+    configs = slices.select("specimen_id", "slice", F.lit(0).alias("start_x"), F.floor(F.col("width") / 4).cast("int").alias("lesion_start_x"), F.floor(F.col("width") * 3 / 4).cast("int").alias("lesion_end_x"), F.col("width").alias("end_x"), F.lit(2).alias("buffer"), none.alias("air_left"), none.alias("air_top"), none.alias("air_right"), none.alias("air_bottom"))
     found = analysed(slices, configs, 2, 2, least=3, above=5)
     return found["depth_statistics"].select("specimen_id", "slice", "n", *[r6(c).alias(c) for c in ("mean", "median", "sd", "se")])
 

@@ -74,9 +74,9 @@ COLUMNS = "s int, knee double, inflection double, shoulder double"
     ("row", "stability", "want", "label"),
     [
         ((1, None, 40.0, None), [("inflection", 40.0, 3.0, True)], 40.0, "inflection_only"),
-        ((1, 50.0, None, 60.0), [("knee", 50.0, 2.0, True), ("shoulder", 60.0, 4.0, True)], 56.6666667, "knee+shoulder"),
-        ((1, 50.0, 50.0, 50.0), [("knee", 50.0, 1.0, True), ("inflection", 50.0, 1.0, True), ("shoulder", 50.0, 1.0, True)], 50.0, "inflection+knee+shoulder"),
-        ((1, 55.0, None, None), [("knee", 55.0, 30.0, False)], 55.0, "fallback_knee"),
+        ((1, 50.0, None, 60.0), [("knee", 50.0, 2.0, True), ("shoulder", 60.0, 4.0, True)], 56.6666667, "knee_point+sigmoid_shoulder_weighted"),
+        ((1, 50.0, 50.0, 50.0), [("knee", 50.0, 1.0, True), ("inflection", 50.0, 1.0, True), ("shoulder", 50.0, 1.0, True)], 50.0, "inflection_offset+knee_point+sigmoid_shoulder"),
+        ((1, 55.0, None, None), [("knee", 55.0, 30.0, False)], 55.0, "fallback_knee_point"),
         ((1, None, None, None), [], None, "none"),
     ],
 )
