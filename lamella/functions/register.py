@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.types import IntegerType
 
-from lamella.operators.depth import knees
-
-#: Depth methods by name, as columns over knee, inflection and shoulder; users may add their own.
-DEPTH_METHODS: dict[str, Callable[[], Column]] = {"knee": lambda: F.col("knee"), "inflection": lambda: F.col("inflection"), "shoulder": lambda: F.col("shoulder"), "combined": lambda: F.col("knee")}
+from lamella.operators.depth import DEPTH_METHODS, knees  # noqa: F401
 
 
 @F.pandas_udf(IntegerType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,10 +221,15 @@ def combined_depth(df: DataFrame, stability: DataFrame, keys: list[str], weight:
     return rows.select(*df.columns, combined.alias("combined"), name.alias("method"))
 
 
+#: Depth methods by name, as columns over knee, inflection and shoulder; users may add their own.
+DEPTH_METHODS: dict[str, Callable[[], Column]] = {"knee": lambda: F.col("knee"), "inflection": lambda: F.col("inflection"), "shoulder": lambda: F.col("shoulder"), "combined": lambda: F.col("knee")}
+
+
 def primary_depth(df: DataFrame, method: str) -> DataFrame:
-    """Rows with ``depth`` by the chosen method; those where it found none go, with all their methods."""
-    chosen = "knee" if method == "combined" else method
-    return df.withColumn("depth", F.col(chosen).cast("double")).where("depth is not null")
+    """Rows with ``depth`` by a method of ``DEPTH_METHODS``; those where it found none go, with all their methods."""
+    if method not in DEPTH_METHODS:
+        raise ValueError(f"unknown depth method {method!r}")
+    return df.withColumn("depth", DEPTH_METHODS[method]().cast("double")).where("depth is not null")
 
 
 def lesion_statistics(df: DataFrame, keys: list[str], depth: str = "depth") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +60,15 @@ def _nearest(axis: str, ratio: Column):
     return lambda t: F.floor(t * ratio + 0.5) == F.col(axis)
 
 
-def interpolated_keyframes(frames: DataFrame, spine: DataFrame, keys: list[str], points: list[str], slice_col: str = "slice", optional: tuple[str, ...] = ()) -> DataFrame:
+def straight(before: Column, after: Column, t: Column) -> Column:
+    """The point at share ``t`` of the way between two, cut towards zero."""
+    return F.struct(*[(before[c] + t * (after[c] - before[c])).cast("int").alias(c) for c in ("x", "y")])
+
+
+def interpolated_keyframes(frames: DataFrame, spine: DataFrame, keys: list[str], points: list[str], slice_col: str = "slice", between: Callable[[Column, Column, Column], Column] = straight) -> DataFrame:
     """A row for every slice of ``spine`` with the points of its keyframes.
 
-    Between two keyframes every coordinate goes in a straight line, cut towards zero; before the first
+    Between two keyframes every point goes as ``between`` says, by default in a straight line; before the first
     and after the last they are copied. Optional points go the same way where both keyframes have them, stay
     as they are where only the earlier has, and are null where it has none. Other columns come from the
     keyframe before. A series without a keyframe stays as it is.
@@ -80,8 +85,7 @@ def interpolated_keyframes(frames: DataFrame, spine: DataFrame, keys: list[str],
 
     def moved(p: str) -> Column:
         b, a = F.col("_b")[p], F.col("_a")[p]
-        line = F.struct(*[(b[c] + t * (a[c] - b[c])).cast("int").alias(c) for c in ("x", "y")])
-        point = F.when(b.isNull(), F.lit(None)).when(a.isNull(), b).otherwise(line)
+        point = F.when(b.isNull(), F.lit(None)).when(a.isNull(), b).otherwise(between(b, a, t))
         return F.when(F.col("_b").isNull(), F.col("_own")[p]).otherwise(point).alias(p)
 
     other = [F.when(F.col("_b").isNull(), F.col("_own")[c]).otherwise(F.col("_b")[c]).alias(c) for c in rest]

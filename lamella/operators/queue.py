@@ -22,7 +22,7 @@ def reordered(df: DataFrame, keys: list[str], source: int | Column, target: int
 
 
 def added(df: DataFrame, items: DataFrame, keys: list[str], position: int | None = None, check: Column | None = None) -> DataFrame:
-    """``items`` (one a queue) put in at a place, or behind the last; those that ``check`` finds not valid stay out."""
+    """``items`` (one a queue) put in at a place, or behind the last; those that ``check`` finds not valid stay out (see ``rejected``)."""
     kept = items if check is None else items.where(check["is_valid"])
     size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     place = F.least(F.lit(position), F.coalesce("_n", F.lit(0))) if position is not None else F.coalesce("_n", F.lit(0))
@@ -31,6 +31,18 @@ def added(df: DataFrame, items: DataFrame, keys: list[str], position: int | None
     return shifted.unionByName(new.select(shifted.columns))
 
 
+def rejected(items: DataFrame, check: Column) -> DataFrame:
+    """Items that ``added`` leaves out, with the messages of the rule: ``errors`` and ``warnings``."""
+    return items.withColumn("_v", check).where(~F.col("_v.is_valid")).withColumns({"errors": F.col("_v.errors"), "warnings": F.col("_v.warnings")}).drop("_v")
+
+
+def removed_at(df: DataFrame, keys: list[str], position: int) -> DataFrame:
+    """Without the row at one ``position``; a queue that has no such place stays whole and says so in ``error``."""
+    fine = F.lit(position).between(0, F.count("*").over(Window.partitionBy(*keys)) - 1)
+    marked = df.withColumn("error", F.when(~fine, F.lit(f"index {position} out of bounds")))
+    return renumbered(marked.where(F.col("error").isNotNull() | (F.col("position") != position)), keys)
+
+
 def removed(df: DataFrame, keys: list[str], positions: list[int]) -> DataFrame:
     """Without the rows at ``positions``, those that don't exist ignored, and numbered anew."""
     return renumbered(df.where(~F.col("position").isin(positions)) if positions else df, keys)
@@ -40,6 +52,18 @@ def with_status(df: DataFrame, status: str, where: Column | None = None) -> Data
     return df.withColumn("status", F.when(F.lit(True) if where is None else where, F.lit(status)).otherwise(F.col("status")))
 
 
+def of_status(df: DataFrame, status: str) -> DataFrame:
+    return df.where(F.col("status") == status)
+
+
+def updated(df: DataFrame, values: dict[str, Column], where: Column | None = None) -> DataFrame:
+    """New values of fields for the rows ``where`` holds, or for all; all are worked out from the old row. Unknown fields are an error."""
+    unknown = sorted(set(values) - set(df.columns))
+    if unknown:
+        raise ValueError(f"unknown fields {unknown}")
+    return df.withColumns({c: v if where is None else F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def with_direction(df: DataFrame, headers: DataFrame, direction: str) -> DataFrame:
     """A direction for all rows with a path; the last slice and the count follow the header's size along it."""
     if direction not in DIRECTIONS:

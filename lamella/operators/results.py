@@ -61,9 +61,28 @@ def key_map(columns: DataFrame, keys: list[str]) -> DataFrame:
     return bound.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("keybinding", "name")))).alias("key_map"))
 
 
-def wide_measurements(cells: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """A row for each specimen and slice, a column for each measured column."""
-    return cells.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns])
+#: The columns that every row of a measurement table has, in their order.
+STATIC_COLUMNS = ("SPECIMEN_NAME", "SLICE", "OPERATOR", "MEASUREMENT", "SYSTEM", "DATE_TIME")
+
+
+def wide_measurements(cells: DataFrame, keys: list[str], columns: list[str], static: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each specimen and slice, a column for each measured column.
+
+    ``static`` gives STATIC_COLUMNS as aggregates over a row's cells (those left out are empty); the measured
+    columns then stand behind SLICE, and keys of the same name as a static column, in any case, give way to it.
+    """
+    measured = [F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
+    if static is None:
+        return cells.groupBy(*keys).agg(*measured)
+    known = [static.get(c, F.lit("")).cast("string").alias(c) for c in STATIC_COLUMNS]
+    rows = cells.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*known[:2], *measured, *known[2:])
+    own = [F.col(f"_key_{k}").alias(k) for k in keys if k.upper() not in STATIC_COLUMNS]
+    return rows.select(*own, *rows.columns[len(keys) :])
+
+
+def written_at(time: Column) -> Column:
+    """DATE_TIME of a row: when its last cell was entered."""
+    return F.date_format(F.max(time), "yyyy-MM-dd HH:mm:ss")
 
 
 def labelled(cells: DataFrame, columns: DataFrame, keys: list[str], kinds: tuple[str, ...] = ("Boolean", "Categorical", "Ordinal", "Text")) -> DataFrame:

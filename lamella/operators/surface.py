@@ -23,27 +23,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _neighbours(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """Pairs of points of a key at most ``eps`` apart, each with itself too, found through cells of that size."""
-    cell = {c: F.floor(F.col(a) / eps) for c, a in (("_cx", "x"), ("_cy", "y"))}
-    there = points.withColumns(cell)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    here = there.withColumn("_o", around).select(*keys, F.col("pid").alias("a"), F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("_cx") + F.col("_o.i")).alias("_cx"), (F.col("_cy") + F.col("_o.j")).alias("_cy"))
-    near = F.pow(F.col("_x") - F.col("x"), 2) + F.pow(F.col("_y") - F.col("y"), 2) <= eps * eps
-    return here.join(there.select(*keys, F.col("pid").alias("b"), "x", "y", "_cx", "_cy"), [*keys, "_cx", "_cy"]).where(near).select(*keys, "a", "b")
+def _across(here: DataFrame, there: DataFrame, keys: list[str], offsets: list[tuple[int, int]], eps: float) -> DataFrame:
+    """Rows of ``here`` with the rows of ``there`` at most ``eps`` away in the cells at ``offsets``; the columns of ``there`` but the keys get a ``_b``."""
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
+    moved = here.withColumn("_o", around).withColumns({"_to_x": F.col("_cx") + F.col("_o.i"), "_to_y": F.col("_cy") + F.col("_o.j")}).drop("_o", "_cx", "_cy")
+    other = there.select(*keys, F.col("_cx").alias("_to_x"), F.col("_cy").alias("_to_y"), *[F.col(c).alias(f"{c}_b") for c in there.columns if c not in (*keys, "_cx", "_cy")])
+    near = F.pow(F.col("x") - F.col("x_b"), 2) + F.pow(F.col("y") - F.col("y_b"), 2) <= eps * eps
+    return moved.join(other, [*keys, "_to_x", "_to_y"]).where(near).drop("_to_x", "_to_y")
 
 
 def density_clusters(points: DataFrame, keys: list[str], eps: float = 17.0, least: int = 10) -> DataFrame:
     """``points`` (keys, pid, x, y) with ``cluster``, the least pid of the core points chained to it; null for noise.
 
     A core point has ``least`` points, itself included, within ``eps``. A point near cores of several clusters
-    joins the one with the least name. Names spread along the links and along the chain of names found so
-    far, so the rounds grow with the logarithm of a cluster's length.
+    joins the one with the least name. Points without a finite place are noise.
+
+    Points of one cell, of side under eps / sqrt 2, are all neighbours. Those of a cell with ``least`` points are
+    cores uncounted, so distances are taken for the few points of thin cells only. Cells, not points, are linked:
+    two are if a core of one is near a core of the other, for which the outermost ones of each row or column of a
+    cell do, some dozens where places are pixels. Names spread along these links and along the chain of names
+    found so far, so the rounds grow with the logarithm of a cluster's length.
     """
-    near = cut(_neighbours(points, keys, eps))
-    core = near.groupBy(*keys, "a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*keys, F.col("a").alias("pid"))
-    links = cut(near.join(core.withColumnRenamed("pid", "a"), [*keys, "a"], "left_semi").join(core.withColumnRenamed("pid", "b"), [*keys, "b"], "left_semi"))
-    names = cut(core.withColumn("name", F.col("pid")))
+    cell, around = [*keys, "_cx", "_cy"], [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    side = eps / 1.4143  # a little under eps / sqrt 2
+    placed = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select(*keys, "pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    placed = cut(placed.withColumns({"_cx": F.floor(F.col("x") / side), "_cy": F.floor(F.col("y") / side)}))
+    full = placed.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    thin = placed.join(full, cell, "left_anti")
+    counted = _across(thin, placed, keys, around, eps).groupBy(*keys, "pid").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    core = placed.join(full, cell, "left_semi").unionByName(thin.join(counted, [*keys, "pid"], "left_semi"))
+    core = cut(core.join(core.groupBy(*cell).agg(F.min("pid").alias("node")), cell))
+    outer = lambda line, by: core.groupBy(*cell, "node", line).agg(F.min(by).alias("_l"), F.max(by).alias("_h")).select(*cell, "node", line, F.explode(F.array_distinct(F.array("_l", "_h"))).alias(by))
+    rows, columns = outer("y", "x"), outer("x", "y")
+    beside = _across(rows, rows, keys, [(1, 0), (2, 0)], eps).unionByName(_across(columns, columns, keys, [(i, j) for i, j in around if j > 0], eps))
+    pairs = beside.select(*keys, F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    nodes = core.select(*keys, F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes))
+    names = cut(nodes.select(*keys, F.col("a").alias("pid"), F.col("a").alias("name")))
     while True:
         spread = links.join(names.withColumnRenamed("pid", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("pid")).agg(F.min("name").alias("name"))
         jump = spread.join(names.select(*keys, F.col("pid").alias("name"), F.col("name").alias("up")), [*keys, "name"]).select(*keys, "pid", F.least("name", "up").alias("new"))
@@ -52,9 +68,11 @@ def density_clusters(points: DataFrame, keys: list[str], eps: float = 17.0, leas
         names = after.drop("moved")
         if not moved:
             break
-    joined = near.join(names.withColumnRenamed("pid", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("pid")).agg(F.min("name").alias("border"))
-    rows = points.join(names, [*keys, "pid"], "left").join(joined, [*keys, "pid"], "left")
-    return rows.withColumn("cluster", F.coalesce("name", "border")).drop("name", "border")
+    named = core.join(names.withColumnRenamed("pid", "node"), [*keys, "node"]).drop("node")
+    rest = placed.join(core.select(*keys, "pid"), [*keys, "pid"], "left_anti")
+    border = _across(rest, named, keys, around, eps).groupBy(*keys, "pid").agg(F.min("name_b").alias("cluster"))
+    found = named.select(*keys, "pid", F.col("name").alias("cluster")).unionByName(border)
+    return points.join(found, [*keys, "pid"], "left")
 
 
 def large_clusters(clustered: DataFrame, keys: list[str], above: int = 180) -> DataFrame:

@@ -8,7 +8,7 @@ from lamella.functions import cells, rules
 from lamella.operators import queue, results
 from lamella.plans.common import r6, table
 from lamella.sources.files import sidecar_settings, stacks_of
-from lamella.streaming.measurements import folded, progress, save_points, surviving
+from lamella.streaming.measurements import folded, progress, restored, save_points, surviving, undone_from
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,6 +343,62 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUMMARY_SQL = "SELECT count(*) AS total, count(*) FILTER (c_acctbal > 5000) AS analysed, count(*) FILTER (c_acctbal <= 0) AS missing FROM customer"
 
+
+def undo_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user's events that stand, all but the first three taken back: what their cells hold again and which annotations go."""
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", F.col("props").alias("old_value"), F.col("event_id").alias("annotation_id"))
+    kept = surviving(log, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
+    found = restored(undone_from(kept, ["user_id"], ["ts", "event_id"], 3), ["user_id", "event_type"], ["ts", "event_id"])
+    return found.select("user_id", "event_type", "value", "undone", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
+TO_INDEX_SQL = UNDO_SQL.replace("SELECT user_id, event_id FROM k", ", e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM k", 1) + """)
+SELECT user_id, event_type, arg_min(props, (ts, event_id)) AS value, count(*) AS undone, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS dropped FROM e WHERE r > 3 GROUP BY user_id, event_type"""
+
+
+def queue_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that a queue doesn't take, and why."""
+    c = [F.col(x) for x in ("first_slice", "last_slice", "num_slices", "db_min", "db_max", "slice_direction", "refractive_index", "file_path")]
+    found = queue.rejected(_items(spark, sf_dir), rules.queue_item(*c))
+    return found.select("p_partkey", F.array_join("errors", " | ").alias("errors"), F.array_join("warnings", " | ").alias("warnings"))
+
+
+REJECTS_SQL = f"SELECT p_partkey, errors, warnings FROM ({QUEUE_SQL}) WHERE NOT is_valid"
+
+
+def queue_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's queue without its 31st row, where it has one."""
+    return queue.removed_at(_queue(spark, sf_dir), ["p_brand"], 30)
+
+
+REMOVAL_SQL = """WITH a AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS p, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p) - 1 AS INTEGER) AS position, CASE WHEN n <= 30 THEN 'index 30 out of bounds' END AS error FROM a WHERE n <= 30 OR p <> 30"""
+
+
+def queue_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items set to a window for all and to a direction for some; then those that are ready."""
+    items = queue.with_status(_items(spark, sf_dir).withColumn("status", F.lit("Pending")), "Ready", F.col("num_slices") > 3)
+    items = queue.updated(items, {"db_min": F.lit(25), "db_max": F.col("db_min") + 60})
+    items = queue.updated(items, {"slice_direction": F.lit("XY")}, F.col("first_slice") == 1)
+    return queue.of_status(items, "Ready").select("p_partkey", "db_min", "db_max", "slice_direction", "status")
+
+
+UPDATES_SQL = f"WITH {ITEMS} SELECT p_partkey, 25 AS db_min, lo + 60 AS db_max, CASE WHEN f = 1 THEN 'XY' ELSE d END AS slice_direction, 'Ready' AS status FROM q WHERE n > 3"
+
+
+def measurement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as users see it: static columns, and one for each kind of cell behind SLICE."""
+    actions = _actions(spark, sf_dir)
+    shown = folded(actions, ["user_id", "slice"], ["ts", "event_id"]).withColumn("column", F.col("data_type"))
+    last = actions.groupBy("user_id", "slice", "data_type").agg(F.max("ts").alias("ts"))
+    static = {"SPECIMEN_NAME": F.concat(F.lit("user_"), F.first("user_id").cast("string")), "SLICE": F.first("slice") + 1, "OPERATOR": F.lit("op"), "MEASUREMENT": F.lit("1"), "DATE_TIME": results.written_at(F.col("ts"))}
+    return results.wide_measurements(shown.join(last, ["user_id", "slice", "data_type"]), ["user_id", "slice"], ["Continuous", "Categorical"], static)
+
+
+ROWS_SQL = """SELECT user_id, 'user_' || user_id AS SPECIMEN_NAME, CAST(event_id % 2 + 1 AS VARCHAR) AS SLICE, CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (event_type = 'click') AS VARCHAR) AS Continuous,
+CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN CAST(count(*) FILTER (event_type = 'signup') - 1 AS VARCHAR) END AS Categorical, 'op' AS OPERATOR, '1' AS MEASUREMENT, '' AS SYSTEM,
+strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS DATE_TIME FROM events GROUP BY user_id, event_id % 2"""
+
 _HERE = {
     "validate_queue": (validate_queue, QUEUE_SQL), "validate_ranges": (validate_ranges, RANGES_SQL), "validate_settings": (validate_settings, SETTINGS_SQL), "batch_validation": (batch_validation, BATCH_SQL),
     "queue_edits": (queue_edits, EDITS_SQL), "queue_defaults": (queue_defaults, DEFAULTS_SQL), "queue_direction": (directions, DIRECTIONS_SQL), "scale_and_dpi": (scale_and_dpi, SCALE_SQL),
@@ -350,6 +406,8 @@ _HERE = {
     "image_stacks": (image_stack_listing, STACK_SQL), "measurement_fold": (measurement_fold, FOLD_SQL), "undo_replay": (undo_replay, UNDO_SQL), "debounce_sessions": (debounce_sessions, DEBOUNCE_SQL),
     "cell_changes": (cell_changes, CELLS_SQL), "progress_rollup": (progress_rollup, PROGRESS_SQL), "run_status": (run_status, STATUS_SQL), "fifo_match": (fifo_match, FIFO_SQL),
     "config_fallback": (config_fallback, FALLBACK_SQL), "column_order": (column_order, COLUMN_SQL), "load_summary": (load_summary, SUMMARY_SQL),
+    "undo_to_index": (undo_to_index, TO_INDEX_SQL), "queue_rejects": (queue_rejects, REJECTS_SQL), "queue_removal": (queue_removal, REMOVAL_SQL), "queue_updates": (queue_updates, UPDATES_SQL),
+    "measurement_rows": (measurement_rows, ROWS_SQL),
 }
 QUERIES = {k: v[0] for k, v in _HERE.items()}
 ORACLE_SQL = {k: v[1] for k, v in _HERE.items()}

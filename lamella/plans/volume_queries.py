@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lamella.operators import results
-from lamella.operators.geometry import equidistant_rounded, equidistant_truncated, interpolated_keyframes, polyline_length, region_centres, region_statistics, resliced, slices_to_load, zoomed
+from lamella.operators.geometry import equidistant_rounded, equidistant_truncated, interpolated_keyframes, polyline_length, region_centres, region_statistics, resliced, slices_to_load, turned_centres, zoomed
 from lamella.operators.surface import cavitation, density_clusters, large_clusters
 from lamella.plans.common import POINTS, profiles, r6, table
 
@@ -137,6 +137,19 @@ round(coalesce(CASE WHEN slice % 5 > 0 THEN avg(mean) FILTER (kind = 'lesion') E
 CASE WHEN slice % 7 = 0 THEN '' WHEN max(sd) > 14.7 THEN 'TRUE' ELSE 'FALSE' END AS IS_CAVITATED FROM s GROUP BY slice"""
 
 
+def turned_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seventh event of a user as a region's centre, turned with the curve of the user's values; some lie off it."""
+    curve = _events(spark, sf_dir).where("x % 11 > 0").select("user_id", "x", F.col("value").alias("y"))
+    centres = _events(spark, sf_dir).where("x % 7 = 0").select("user_id", F.lit("sound").alias("kind"), F.floor(F.col("x") / 7).alias("index"), F.col("x").alias("centre"))
+    return turned_centres(centres, curve, ["user_id"]).select("user_id", "kind", "index", "centre", r6("y").alias("y"), r6("angle").alias("angle"))
+
+
+TURNED_SQL = f"""WITH {ORDERED}, c AS (SELECT user_id, x, value AS y FROM ev WHERE x % 11 > 0), b AS (SELECT user_id, min(x) AS low, max(x) AS high FROM c GROUP BY user_id),
+r AS (SELECT m.user_id, m.x, m.y, greatest(low, m.x - 10) AS l, least(high, m.x + 10) AS h FROM c m JOIN b USING (user_id) WHERE m.x % 7 = 0)
+SELECT r.user_id, 'sound' AS kind, CAST(r.x // 7 AS BIGINT) AS "index", r.x AS centre, round(r.y, 6) AS y, round(coalesce(atan((coalesce(q.y, r.y) - coalesce(p.y, r.y)) / nullif(h - l, 0)), 0.0), 6) AS angle
+FROM r LEFT JOIN c p ON p.user_id = r.user_id AND p.x = l LEFT JOIN c q ON q.user_id = r.user_id AND q.x = h"""
+
+
 def region_pixels_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixel = Window.partitionBy("slice", "kind", "index").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = _regions(spark, sf_dir).withColumn("pixel", F.row_number().over(pixel) - 1)
@@ -240,9 +253,11 @@ QUERIES = {
     "equidistant_trunc": equidistant_trunc, "equidistant_round": equidistant_round, "slices_loaded": slices_loaded, "keyframe_interpolation": keyframe_interpolation, "cavitation": cavitations,
     "region_layout": region_layout, "region_stats": region_stats, "region_summary": region_summary, "region_pixels_wide": region_pixels_wide, "surface_depth_long": surface_depth_long,
     "region_counts": region_counts, "polyline_length": polyline_lengths, "reslice": reslice, "nearest_zoom": nearest_zoom, "density_clusters": clusters, "cluster_points": cluster_points,
+    "turned_regions": turned_regions,
 }
 ORACLE_SQL = {
     "equidistant_trunc": TRUNC_SQL, "equidistant_round": ROUND_SQL, "slices_loaded": LOADED_SQL, "keyframe_interpolation": KEYFRAME_SQL, "cavitation": CAVITY_SQL, "region_layout": LAYOUT_SQL,
     "region_stats": STATS_SQL, "region_summary": SUMMARY_SQL, "region_pixels_wide": WIDE_SQL, "surface_depth_long": LONG_SQL, "region_counts": COUNTS_SQL, "polyline_length": LENGTH_SQL,
     "reslice": RESLICE_SQL, "nearest_zoom": ZOOM_SQL, "density_clusters": CLUSTER_SQL, "cluster_points": POINTS_SQL,
+    "turned_regions": TURNED_SQL,
 }

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatch
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Names and numbers of the archive format.
@@ -28,21 +33,44 @@ def scan_archives(spark: SparkSession, root: str, recursive: bool = True, patter
     return files.select("path", "length", F.col("modificationTime").alias("modified")).orderBy("path")
 
 
+def scan_reported(spark: SparkSession, root: str, recursive: bool = True, pattern: str = "*.oct") -> DataFrame:
+    """``scan_archives`` with ``error``: where a folder is missing or holds no archive, one row that says so instead of an exception."""
+    schema = "path string, length long, modified timestamp, error string"
+    try:
+        found = scan_archives(spark, root, recursive, pattern).withColumn("error", F.lit(None).cast("string"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([(None, None, None, f"Directory does not exist: {root}")], schema)
+    empty = found.limit(1).agg(F.count("*").alias("_n")).where("_n = 0")
+    return found.unionByName(empty.select(F.lit(f"No archives found in: {root}").alias("error")), allowMissingColumns=True)
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path) if ":/" in path else f"file://{path}")
+
+
 def with_members(files: DataFrame, members: list[str], content: str = "content") -> DataFrame:
     """``path, member, bytes`` of the named members that archives have, with ``error`` instead of bytes where one can't be read.
 
+    Without a ``content`` column archives are opened by path, where Arrow knows the store, and only the zip's
+    directory and the asked members are read, whatever the archive's size; with one its bytes are taken.
     Members that aren't asked for are never inflated. A name may hold ``*``.
     """
-    from fnmatch import fnmatch
-
     schema = "path string, member string, bytes binary, error string"
+    loaded = content in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out: list[tuple] = []
+            for i, path in enumerate(batch.column(0).to_pylist()):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data.as_buffer())) as archive:
+                    with contextlib.ExitStack() as stack:
+                        if loaded:
+                            source = io.BytesIO(batch.column(1)[i].as_buffer())
+                        else:
+                            store, name = _opened(path)
+                            source = stack.enter_context(store.open_input_file(name))
+                        archive = stack.enter_context(zipfile.ZipFile(source))
                         names = [n for n in archive.namelist() if any(fnmatch(n, m) for m in members)]
                         out = [(path, n, archive.read(n), None) for n in names] or [(path, None, None, "no such member")]
                 except Exception as e:  # a bad archive is a row, not an end
@@ -50,7 +78,7 @@ def with_members(files: DataFrame, members: list[str], content: str = "content")
                 for row in out:
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], ["path", "member", "bytes", "error"])
 
-    return files.select("path", content).mapInArrow(run, schema)
+    return files.select("path", *[content] * loaded).mapInArrow(run, schema)
 
 
 def _lines(text: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lamella.functions.cells import PERCENTAGE_STEP
+from lamella.operators.queue import queue_items
+from lamella.sources.archives import HEADER, discover_headers, with_members
 
 KINDS_THAT_COUNT = ("Categorical", "Ordinal")
 
@@ -50,6 +52,18 @@ def folded(actions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return found.select(*keys, "data_type", value.alias("value"), "n")
 
 
+def undone_from(actions: DataFrame, keys: list[str], order: list[str], index: int) -> DataFrame:
+    """Of a log's ``surviving`` actions, those that an undo to ``index`` takes back: all but the first ``index`` of each key."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return actions.withColumn("_p", place).where(F.col("_p") > index).drop("_p")
+
+
+def restored(undone: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
+    """What taking actions back leaves: each cell's value before the first of them, and the annotations to drop."""
+    first = F.min_by("old_value", F.struct(*order))
+    return undone.groupBy(*cell).agg(first.alias("value"), F.count("*").alias("undone"), F.array_sort(F.collect_list("annotation_id")).alias("dropped"))
+
+
 def undo_history(log: DataFrame) -> DataFrame:
     """What an undo list shows: the slice from 1, old and new value, newest first."""
     return log.select("timestamp", (F.col("slice") + 1).alias("slice"), "column", "old_value", "new_value", "feature", "annotation_id").orderBy(F.desc("timestamp"))
@@ -113,6 +127,15 @@ def streamed_saves(actions: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return save_points(actions.withWatermark("ts", delay), ["specimen"])
 
 
+def arriving_items(spark: SparkSession, root: str, sidecars: DataFrame, pattern: str = "*.oct") -> DataFrame:
+    """A stream of queue items: one for each archive that appears and each view of its sidecar (``sidecars`` as for ``queue_items``).
+
+    Headers are read by path, each archive once; one that can't be read gives no item.
+    """
+    headers = with_members(arriving_archives(spark, root, pattern), [HEADER])
+    return queue_items(discover_headers(headers.where("bytes is not null")).withColumnRenamed("path", "file_path"), sidecars)
+
+
 def arriving_archives(spark: SparkSession, root: str, pattern: str = "*.oct") -> DataFrame:
     """A stream of the archives that appear in a folder, each once, without their bytes."""
     schema = "path string, modificationTime timestamp, length long, content binary"

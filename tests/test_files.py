@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.spectral import reconstruct
 from lamella.sources import archives, files, sinks
-from lamella.streaming.measurements import arriving_archives, folded, progress, save_points, streamed_cells, streamed_saves, surviving
+from lamella.streaming.measurements import arriving_archives, arriving_items, folded, progress, save_points, streamed_cells, streamed_saves, surviving, undo_history
 
 HEADER = """<?xml version="1.0" encoding="utf-8"?>
 <Ocity><Image Type="{kind}"/><SizeReal>2.0
@@ -231,6 +231,44 @@ def test_arrivals(spark, folder, tmp_path):
     assert spark.table("arrived").count() == 3
 
 
+def test_members_by_path(spark, folder):
+    by_path = archives.with_members(archives.scan_archives(spark, str(folder)), ["Header.xml", "data/*"])
+    by_bytes = read(spark, folder, ["Header.xml", "data/*"])
+    rows = lambda df: sorted((r.path.rsplit("/", 1)[1], r.member or "", bytes(r.bytes or b""), r.error is None) for r in df.collect())
+    assert rows(by_path) == rows(by_bytes) and len(rows(by_path)) == 5
+
+
+def test_scan_reported(spark, folder, tmp_path):
+    assert {r.error for r in archives.scan_reported(spark, str(folder)).collect()} == {None}
+    assert archives.scan_reported(spark, str(tmp_path)).first().error.startswith("No archives found")
+    missing = archives.scan_reported(spark, str(tmp_path / "none")).collect()
+    assert len(missing) == 1 and missing[0].path is None and missing[0].error.startswith("Directory does not exist")
+
+
+def test_header_value(spark, folder):
+    values = archives.header_value(archives.read_headers(read(spark, folder, ["Header.xml"]).where("bytes is not null")), "study").collect()
+    assert {(r.path.rsplit("/", 1)[1], r.value) for r in values} == {("a.oct", "Test_Study"), ("b.oct", "")}
+
+
+def test_arriving_items(spark, folder, tmp_path):
+    paths = {r.path.rsplit("/", 1)[1]: r.path for r in archives.scan_archives(spark, str(folder)).collect()}
+    sidecars = spark.createDataFrame([(paths["a.oct"], v, 1, 1, 1, 1.0) for v in ("XZ", "YZ")], "file_path string, view string, start int, end int, n int, index double")
+    query = arriving_items(spark, str(folder), sidecars).writeStream.format("memory").queryName("items").option("checkpointLocation", str(tmp_path)).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r.file_path.rsplit("/", 1)[1], r.slice_direction) for r in spark.table("items").collect()) == [("a.oct", "XZ"), ("a.oct", "YZ"), ("b.oct", "XZ")]
+
+
+def test_undo_history_is_newest_first(spark):
+    log = spark.createDataFrame([(1, 0, "len", "", "1.0", "f", "f_1"), (2, 4, "ok", "NO", "YES", "g", "g_2")], "timestamp int, slice int, column string, old_value string, new_value string, feature string, annotation_id string")
+    assert [(r.slice, r.old_value) for r in undo_history(log).collect()] == [(5, "NO"), (1, "")]
+
+
+def test_prior_runs(spark):
+    listed = spark.createDataFrame([("/s/a/Data_TM_2/results.csv",), ("/s/a/Data_T_M_1/config.json",), ("/s/a/other/x.csv",)], "path string")
+    assert sorted(tuple(r) for r in files.prior_runs(listed).collect()) == [("/s/a", "Data_TM_2", "TM", "2"), ("/s/a", "Data_T_M_1", "T_M", "1")]
+
+
 def test_streamed_cells_follow_undo(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "specimen string, slice int, column string, ts timestamp, event_id long, data_type string, measured double, entered string, undo boolean"

@@ -138,6 +138,37 @@ def test_density_clusters_against_plain(spark):
     assert surface.large_clusters(surface.density_clusters(df.limit(3), ["s"]), ["s"]).count() == 3
 
 
+def test_density_clusters_of_odd_places(spark):
+    crowd = [("a", i, float(i % 3), float(i % 2)) for i in range(40)]
+    odd = [("a", 100, None, 1.0), ("a", 101, float("nan"), 1.0), ("a", 102, 1.0, float("inf")), (None, 103, 1.0, 1.0), ("b", 104, 1.0, 1.0)]
+    far = [("a", 200 + i, 19.0 + 17.0 * i, 0.0) for i in range(2)]
+    found = {r.pid: r.cluster for r in surface.density_clusters(spark.createDataFrame(crowd + odd + far, "s string, pid int, x double, y double"), ["s"]).collect()}
+    assert {found[i] for i in range(40)} == {0} and found[200] == 0 and found[201] is None
+    assert all(found[i] is None for i in range(100, 105))
+    assert surface.density_clusters(spark.createDataFrame([], "s int, pid int, x double, y double"), ["s"]).count() == 0
+
+
+def test_depth_methods_are_read_by_name(spark):
+    df = spark.createDataFrame([(1, 2, 3), (None, 4, None)], "knee int, inflection int, shoulder int")
+    for method, want in (("knee", [1.0]), ("inflection", [2.0, 4.0]), ("shoulder", [3.0]), ("combined", [1.0])):
+        assert sorted(r.depth for r in depth.primary_depth(df, method).collect()) == want
+    depth.DEPTH_METHODS["deeper"] = lambda: F.col("knee") + 10
+    try:
+        assert depth.primary_depth(df, "deeper").first().depth == 11
+    finally:
+        del depth.DEPTH_METHODS["deeper"]
+    with pytest.raises(ValueError):
+        depth.primary_depth(df, "none")
+
+
+def test_queue_updates_know_their_fields(spark):
+    df = spark.createDataFrame([("q", 0, "Pending")], "q string, position int, status string")
+    with pytest.raises(ValueError):
+        queue.updated(df, {"colour": F.lit(1)})
+    assert queue.removed_at(df, ["q"], -1).first().error == "index -1 out of bounds"
+    assert queue.removed_at(df, ["q"], 0).count() == 0
+
+
 def test_cavitation(spark):
     curve = lambda y: spark.createDataFrame([(1, x, y) for x in range(50)], "s int, x int, y double")
     config = spark.createDataFrame([(1, 10, 40, 0)], "s int, lesion_start_x int, lesion_end_x int, buffer int")
