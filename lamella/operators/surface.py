@@ -23,11 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _across(here: DataFrame, there: DataFrame, keys: list[str], offsets: list[tuple[int, int]], eps: float) -> DataFrame:
-    """Rows of ``here`` with the rows of ``there`` at most ``eps`` away in the cells at ``offsets``; the columns of ``there`` but the keys get a ``_b``."""
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
-    moved = here.withColumn("_o", around).withColumns({"_to_x": F.col("_cx") + F.col("_o.i"), "_to_y": F.col("_cy") + F.col("_o.j")}).drop("_o", "_cx", "_cy")
-    other = there.select(*keys, F.col("_cx").alias("_to_x"), F.col("_cy").alias("_to_y"), *[F.col(c).alias(f"{c}_b") for c in there.columns if c not in (*keys, "_cx", "_cy")])
+def _across(here: DataFrame, there: DataFrame, keys: list[str], eps: float) -> DataFrame:
+    """Rows of ``here`` with the rows of ``there`` at most ``eps`` away; the columns of ``there`` but the keys get a ``_b``.
+
+    They meet in cells of side 2 eps, of which what is near a point touches four at most.
+    """
+    reach, side = eps * (1 + 1e-6), 2 * eps * (1 + 1e-5)
+    touched = {f"_to_{c}": F.array_distinct(F.array(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))) for c in ("x", "y")}
+    moved = here.withColumns(touched).withColumn("_to_x", F.explode("_to_x")).withColumn("_to_y", F.explode("_to_y"))
+    other = there.select(*keys, *[F.floor(F.col(c) / side).alias(f"_to_{c}") for c in ("x", "y")], *[F.col(c).alias(f"{c}_b") for c in there.columns if c not in keys])
     near = F.pow(F.col("x") - F.col("x_b"), 2) + F.pow(F.col("y") - F.col("y_b"), 2) <= eps * eps
     return moved.join(other, [*keys, "_to_x", "_to_y"]).where(near).drop("_to_x", "_to_y")
 
@@ -40,25 +44,24 @@ def density_clusters(points: DataFrame, keys: list[str], eps: float = 17.0, leas
 
     Points of one cell, of side under eps / sqrt 2, are all neighbours. Those of a cell with ``least`` points are
     cores uncounted, so distances are taken for the few points of thin cells only. Cells, not points, are linked:
-    two are if a core of one is near a core of the other, for which the outermost ones of each row or column of a
+    two are if a core of one is near a core of the other, for which the outermost ones of each row and column of a
     cell do, some dozens where places are pixels. Names spread along these links and along the chain of names
     found so far, so the rounds grow with the logarithm of a cluster's length.
     """
-    cell, around = [*keys, "_cx", "_cy"], [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
-    side = eps / 1.4143  # a little under eps / sqrt 2
+    cell, side = [*keys, "_cx", "_cy"], eps / 1.4143  # a little under eps / sqrt 2
     placed = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select(*keys, "pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     placed = cut(placed.withColumns({"_cx": F.floor(F.col("x") / side), "_cy": F.floor(F.col("y") / side)}))
-    full = placed.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    thin = placed.join(full, cell, "left_anti")
-    counted = _across(thin, placed, keys, around, eps).groupBy(*keys, "pid").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    core = placed.join(full, cell, "left_semi").unionByName(thin.join(counted, [*keys, "pid"], "left_semi"))
+    sized = placed.join(placed.groupBy(*cell).agg(F.count("*").alias("_n")), cell)
+    thin, full = sized.where(F.col("_n") < least).drop("_n"), sized.where(F.col("_n") >= least).drop("_n")
+    around = placed.select(*keys, "x", "y")
+    counted = _across(thin, around, keys, eps).groupBy(*cell, "pid", "x", "y").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    core = full.unionByName(counted)
     core = cut(core.join(core.groupBy(*cell).agg(F.min("pid").alias("node")), cell))
-    outer = lambda line, by: core.groupBy(*cell, "node", line).agg(F.min(by).alias("_l"), F.max(by).alias("_h")).select(*cell, "node", line, F.explode(F.array_distinct(F.array("_l", "_h"))).alias(by))
-    rows, columns = outer("y", "x"), outer("x", "y")
-    beside = _across(rows, rows, keys, [(1, 0), (2, 0)], eps).unionByName(_across(columns, columns, keys, [(i, j) for i, j in around if j > 0], eps))
-    pairs = beside.select(*keys, F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    outer = lambda line, by: core.groupBy(*cell, "node", line).agg(F.min(by).alias("_l"), F.max(by).alias("_h")).select(*keys, "node", line, F.explode(F.array_distinct(F.array("_l", "_h"))).alias(by))
+    edge = outer("y", "x").unionByName(outer("x", "y")).distinct()
+    pairs = _across(edge, edge, keys, eps).select(*keys, F.col("node").alias("a"), F.col("node_b").alias("b")).where("a <> b").distinct()
     nodes = core.select(*keys, F.col("node").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes))
+    links = cut(pairs.unionByName(nodes))
     names = cut(nodes.select(*keys, F.col("a").alias("pid"), F.col("a").alias("name")))
     while True:
         spread = links.join(names.withColumnRenamed("pid", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("pid")).agg(F.min("name").alias("name"))
@@ -70,7 +73,7 @@ def density_clusters(points: DataFrame, keys: list[str], eps: float = 17.0, leas
             break
     named = core.join(names.withColumnRenamed("pid", "node"), [*keys, "node"]).drop("node")
     rest = placed.join(core.select(*keys, "pid"), [*keys, "pid"], "left_anti")
-    border = _across(rest, named, keys, around, eps).groupBy(*keys, "pid").agg(F.min("name_b").alias("cluster"))
+    border = _across(rest, named.select(*keys, "x", "y", "name"), keys, eps).groupBy(*keys, "pid").agg(F.min("name_b").alias("cluster"))
     found = named.select(*keys, "pid", F.col("name").alias("cluster")).unionByName(border)
     return points.join(found, [*keys, "pid"], "left")
 
