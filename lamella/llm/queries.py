@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lamella.llm.decontaminate import contaminated
+from lamella.llm.filter_audit import filter_audit
 from lamella.llm.fingerprints import compared_fingerprints
 from lamella.llm.line_dedup import without_common_blocks
 from lamella.llm.mixing import mixed, tempered
@@ -73,6 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id,
@@ -89,5 +94,39 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op9_passages, op10_quality)}
-ORACLE_SQL = {"op8_url_filter": OP8_SQL}
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+first AS (SELECT text, min(doc_id) AS doc_id FROM d GROUP BY text),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 100 THEN 'A' ELSE '' END ||
+         CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END ||
+         CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * length(d.text) THEN 'C' ELSE '' END ||
+         CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END ||
+         CASE WHEN d.doc_id > first.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN first ON d.text = first.text LEFT JOIN known ON d.doc_id = known.doc_id),
+sums AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, fails),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || letter FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT contains(o, letter)),
+steps AS (SELECT o AS filter_order, step, o[step] AS letter, o[1:step - 1] AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(o) = 5),
+each AS (
+  SELECT *, contains(fails, letter) AS own, length(translate(earlier, fails, '')) < step - 1 AS gone
+  FROM sums, steps)
+SELECT part, filter_order, step::INTEGER AS step,
+       coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (own AND NOT gone), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (own AND NOT gone), 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(sum(n) FILTER (own AND NOT gone), 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM each GROUP BY part, filter_order, step, letter
+"""
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op9_passages, op10_quality, op13_filter_audit)}
+ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op13_filter_audit": OP13_SQL}
