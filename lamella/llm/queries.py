@@ -10,6 +10,7 @@ from lamella.llm.fingerprints import compared_fingerprints
 from lamella.llm.line_dedup import without_common_blocks
 from lamella.llm.mixing import mixed, tempered
 from lamella.llm.passages import repeated_passages
+from lamella.llm.phrases import collocations
 from lamella.llm.pseudonyms import pseudonymise
 from lamella.llm.quality import fold, train, with_score
 from lamella.llm.secrets import secret_spans
@@ -74,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,6 +99,36 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda w: w <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS words
+  FROM places, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, any_value(words) AS words, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, f AS a FROM f WHERE k >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.k = c.j AND x.phrase = array_to_string(c.words[1:c.j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - c.j AND y.phrase = array_to_string(c.words[c.j + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, array_to_string(words[1:2], ' ') AS phrase FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, a, array_to_string(words[2:3], ' ') FROM candidates WHERE k = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN inside i ON c.k = 2 AND i.lang = c.lang AND i.phrase = c.phrase
+  WHERE i.a IS NULL OR 100 * i.a < 50 * c.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
@@ -128,5 +163,5 @@ SELECT part, filter_order, step::INTEGER AS step,
 FROM each GROUP BY part, filter_order, step, letter
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op9_passages, op10_quality, op13_filter_audit)}
-ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op13_filter_audit": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op9_passages, op10_quality, op11_collocations, op13_filter_audit)}
+ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op11_collocations": OP11_SQL, "op13_filter_audit": OP13_SQL}
