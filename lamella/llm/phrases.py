@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lamella.llm.common import pieces, stored
+from lamella.llm.common import mix, pieces, stored
 from lamella.llm.vocabulary import SHARD, Coder, dictionary, shard_numbers, with_global_ids
 
 #: Small letters for capital ones, a line feed for what ends a piece, a space for a tab.
@@ -73,18 +74,56 @@ class TwoWayIndex:
         of, word, back, lo, count = self._extend(self.right, back, lo, size)
         return of, word, lo, back, count
 
-    def phrases(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The phrases of 2 words, of 3, up to ``depth``, a row of word numbers each, and how often they occur.
+    def phrases(self, names: np.ndarray, depth: int, maybe: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases of ``depth`` words, a row of ``names`` each, and how often they occur, but those with a part that ``maybe`` rules out.
 
-        Phrases grow to the right and to the left in turn.
+        Phrases grow to the right and to the left in turn. ``maybe`` has a bitmap of phrases for each length.
         """
         word, lo, back, size = self.words()
-        grown = word.reshape(-1, 1)
+        grown = names[word].reshape(-1, 1)
         for length in range(2, depth + 1):
             right = length % 2 == 0
             of, word, lo, back, size = (self.extend_right if right else self.extend_left)(lo, back, size)
-            grown = np.column_stack((grown[of], word) if right else (word, grown[of]))
-            yield grown, size
+            grown = np.column_stack((grown[of], names[word]) if right else (names[word], grown[of]))
+            keep = np.ones(len(grown), dtype=bool)
+            for part in (grown[:, 1:], grown[:, :-1]) if length > 2 else ():
+                keep &= has_bit(maybe[length - 1], part)
+            grown, lo, back, size = grown[keep], lo[keep], back[keep], size[keep]
+        return grown, size
+
+
+def bit_of(phrases: np.ndarray, bits: int) -> np.ndarray:
+    """A place among ``bits`` for each row of numbers of words."""
+    key = np.zeros(len(phrases), dtype=np.uint64)
+    for column in phrases.T:
+        key = mix(key * np.uint64(3) + column.astype(np.uint64))
+    return (key % np.uint64(bits)).astype(np.int64)
+
+
+def has_bit(bitmap: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    at = bit_of(phrases, 8 * len(bitmap))
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bitmap_of(grams: DataFrame, names: list[str], most: int = 1 << 30) -> np.ndarray:
+    """A bitmap of the phrases in ``grams``, with 16 bits for each, a power of two, and ``most`` in all.
+
+    It says of some others too that they may be there: that costs time, never a phrase.
+    """
+    bits = min(most, max(1 << 18, 1 << (16 * grams.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bit_of(np.column_stack([c.to_numpy() for c in batch.columns]), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at + 1)], ["at"])  # Spark counts from 1
+
+    at = grams.select(*names).mapInArrow(places, "at long")
+    slices = at.groupBy(F.bitmap_bucket_number("at").alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for row in slices.toLocalIterator():
+        part = np.frombuffer(row["bits"], dtype=np.uint8)
+        bitmap[(row["slice"] - 1) * len(part) :][: len(part)] = part
+    return bitmap
 
 
 def word_shards(docs: DataFrame, by: str = "lang", text: str = "text") -> DataFrame:
@@ -127,34 +166,38 @@ def word_shards(docs: DataFrame, by: str = "lang", text: str = "text") -> DataFr
     return rows.mapInArrow(build, f"shard long, `{by}` string, sequence binary, words array<string>, uses array<long>")
 
 
-def phrase_counts(shards: DataFrame, longest: int) -> DataFrame:
-    """``w1, w2..., n``: how often each phrase of 2 to ``longest`` words occurs, as numbers of words, 0 behind a shorter one.
+def phrase_counts(shards: DataFrame, longest: int, least: int) -> DataFrame:
+    """``ids, a``: the phrases of 2 to ``longest`` words, as numbers of words, that occur ``least`` times or more.
 
     ``shards`` has ``sequence`` and ``ids``, the number of each of its words, 0 for a word that no phrase may hold. Each
-    shard is indexed in its task and its phrases are read off the intervals; what shards have is summed.
+    shard is indexed in its task and its phrases are read off the intervals; what shards have is summed. Lengths are
+    counted one after another: a phrase comes forward only if both its shorter parts are frequent in all shards together.
     """
-    names = [f"w{i + 1}" for i in range(longest)]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                local = np.frombuffer(batch.column(0)[i].as_py(), dtype="<i4")
-                ids = np.concatenate(([0], batch.column(1)[i].values.to_numpy()))
-                known = np.flatnonzero(ids)
-                place = np.zeros(len(ids), dtype=np.int32)
-                place[known] = np.arange(1, len(known) + 1)
-                sequence = np.concatenate((place[local], np.zeros(1, dtype=np.int32)))
-                if len(known) == 0:
-                    continue
-                named = np.concatenate(([0], ids[known]))
-                for found, size in TwoWayIndex(sequence, longest).phrases(longest):
-                    for at in range(0, len(found), 1 << 16):
-                        some = named[found[at : at + (1 << 16)]]
-                        columns = [some[:, j] if j < some.shape[1] else np.zeros(len(some), dtype=np.int64) for j in range(longest)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(size[at : at + (1 << 16)].astype(np.int64))], [*names, "n"])
-
-    found = shards.select("sequence", "ids").mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return found.groupBy(*names).agg(F.sum("n").alias("n"))
+    spark, found, maybe = shards.sparkSession, [], {}
+    for length in range(2, longest + 1):
+        names = [f"w{i + 1}" for i in range(length)]
+        known = spark.sparkContext.broadcast(maybe)
+
+        def count(batches: Iterator[pa.RecordBatch], length: int = length, names: list[str] = names, known=known) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                for i in range(len(batch)):
+                    local = np.frombuffer(batch.column(0)[i].as_py(), dtype="<i4")
+                    ids = np.concatenate(([0], batch.column(1)[i].values.to_numpy()))
+                    may = np.flatnonzero(ids)
+                    place = np.zeros(len(ids), dtype=np.int32)
+                    place[may] = np.arange(1, len(may) + 1)
+                    sequence = np.concatenate((place[local], np.zeros(1, dtype=np.int32)))
+                    grown, size = TwoWayIndex(sequence, length).phrases(np.concatenate(([0], ids[may])), length, known.value)
+                    for at in range(0, len(grown), 1 << 16):
+                        some = grown[at : at + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in some.T], pa.array(size[at : at + (1 << 16)].astype(np.int64))], [*names, "n"])
+
+        each = shards.select("sequence", "ids").mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
+        grams = stored(each.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"phrases-{length}")
+        found.append(grams.select(F.array(*names).alias("ids"), "a"))
+        if length < longest:
+            maybe = {**maybe, length: bitmap_of(grams, names)}
+    return reduce(DataFrame.unionByName, found)
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, by: str = "lang", text: str = "text") -> DataFrame:
@@ -170,10 +213,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     """
     local = stored(word_shards(docs, by, text), "word-shards")
     known = dictionary(local, [by], least)
-    shards = with_global_ids(local, known, [by])
-    names = [f"w{i + 1}" for i in range(longest)]
-    frequent = phrase_counts(shards, longest).where(F.col("n") >= least)
-    grams = stored(frequent.select(F.filter(F.array(*names), lambda w: w > 0).alias("ids"), F.col("n").alias("a")), "phrases")
+    grams = phrase_counts(stored(with_global_ids(local, known, [by]), "numbered-shards"), longest, least)
     parts = grams.select("ids", F.col("a").alias("f")).unionByName(known.select(F.array("id").alias("ids"), F.col("n").alias("f")))
 
     size = F.size("ids")
