@@ -3,62 +3,91 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lamella.llm.common import pieces, stored
-from lamella.llm.vocabulary import SHARD, Coder, dictionary, shard_numbers, with_global_ids
+from lamella.llm.vocabulary import SHARD
 
 LETTERS = "ABCDE"
 
 
+def word_numbers(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, id``: the dictionary of all words of ``docs``.
+
+    The number is the word's XXH64, but for the words that ``clashes`` finds. A task emits a word once for each ``SHARD`` words or so that it reads.
+    """
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        size = 0
+        for batch in pieces(batches, 64):
+            for data in batch.column(0).cast(pa.binary()).to_pylist():
+                tokens = data.split()
+                seen.update(tokens)
+                size += len(tokens)
+                if size >= SHARD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string())], ["word"])
+                    seen, size = set(), 0
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string())], ["word"])
+
+    words = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).mapInArrow(distinct, "word string").distinct()
+    return words.select("word", F.xxhash64("word").alias("id"))
+
+
+def clashes(numbers: DataFrame) -> dict[bytes, int]:
+    """Words that share their number with a lesser one, under numbers that no word has.
+
+    Of n words some n * n / 2 ** 65 clash: none for the words of a language, a handful for ten thousand millions.
+    """
+    shared = numbers.groupBy("id").agg(F.count("*").alias("n"), F.min("word").alias("low")).where("n > 1").select("id", "low").collect()
+    if not shared:
+        return {}
+    again = numbers.join(numbers.sparkSession.createDataFrame(shared), "id").where("word != low").select("word").collect()
+    words, free = sorted(r["word"].encode() for r in again), 0
+    while numbers.where(F.col("id").isin([free + i for i in range(len(words))])).count():
+        free += len(words)
+    return {word: free + i for i, word in enumerate(words)}
+
+
 def term_matrix(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The document-term matrix of ``docs`` in shards, compressed by rows: ``shard, rows, indptr, indices, counts, ids``.
+    """The document-term matrix of ``docs`` in shards, compressed by rows: ``rows, indptr, indices, counts``.
 
-    Row i of a shard is the document ``rows[i]``, a struct of the columns ``keep``; its entries are those from
-    ``indptr[i]`` up to ``indptr[i + 1]``. ``counts`` of an entry says how often the word occurs, and ``ids[indices]`` is the
-    word's number in one dictionary of all documents (these three are 32-bit integers, packed). Words are runs of characters that aren't ASCII white space; null texts have none.
-    A task makes shards of what it reads, about ``SHARD`` words each, so texts aren't shuffled; the dictionaries of
-    the shards are joined into one. Repeated documents are rows of their own; no documents, no shards.
+    Row i of a shard is the document ``rows[i]``, a struct of the columns ``keep``; its entries are those from ``indptr[i]``
+    up to ``indptr[i + 1]``: ``indices`` has the word's number in the dictionary of all documents (``word_numbers``), ``counts`` how often it
+    occurs (packed integers of 64 and 32 bits). Words are runs of characters that aren't ASCII white space; null texts
+    have none. A task makes shards of what it reads, of up to 64 documents or about ``SHARD`` words, so neither texts nor
+    shards are shuffled. Repeated documents are rows of their own; no documents, no shards.
     """
+    other = clashes(word_numbers(docs, text))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    digest = xxhash.xxh64_intdigest
+
+    def number(word: bytes) -> int:
+        return other[word] if word in other else digest(word, 42)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shard_numbers(TaskContext.get().partitionId())
-
-        def shard(held: list[pa.Array], coder: Coder, docs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            rows = pa.concat_arrays(held)
-            sizes = [len(ids) for ids, _ in docs]
-            indices, counts = (np.concatenate([d[i] for d in docs]).astype(np.int32) for i in range(2))
-            uses = np.bincount(indices, weights=counts, minlength=len(coder)).astype(np.int64)
-            one = lambda values, of: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, of) if not isinstance(values, pa.Array) else values)
-            words = pa.array(list(coder), pa.binary()).cast(pa.string())
-            packed = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (np.cumsum([0, *sizes]), indices, counts)]
-            columns = [pa.array([next(numbers)], pa.int64()), one(rows, None), *packed, one(words, None), one(uses, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "rows", "indptr", "indices", "counts", "words", "uses"])
-
-        held, coder, found, size = [], Coder(), [], 0
+        one = number if other else partial(digest, seed=42)
         for batch in pieces(batches, 64):
-            for i, data in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            at, found, size = 0, [], 0
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for i, data in enumerate(texts):
                 tokens = data.split()
-                ids = np.fromiter(map(coder.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-                found.append(np.unique(ids, return_counts=True))
-                held.append(batch.column(0).slice(i, 1))
-                size += len(tokens) + 1
-                if size >= SHARD:
-                    yield shard(held, coder, found)
-                    held, coder, found, size = [], Coder(), [], 0
-        if found:
-            yield shard(held, coder, found)
+                found.append(np.unique(np.fromiter(map(one, tokens), dtype=np.uint64, count=len(tokens)), return_counts=True))
+                size += len(tokens)
+                if size >= SHARD or i + 1 == len(texts):
+                    rows = pa.ListArray.from_arrays(pa.array([0, i + 1 - at], pa.int32()), batch.column(0).slice(at, i + 1 - at))
+                    indices, counts = (np.concatenate([f[j] for f in found]) for j in range(2))
+                    packed = [x.tobytes() for x in (np.cumsum([0, *(len(f[0]) for f in found)]), indices, counts.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([rows, *[pa.array([x], pa.binary()) for x in packed]], ["rows", "indptr", "indices", "counts"])
+                    at, found, size = i + 1, [], 0
 
-    schema = f"shard long, rows array<{kind}>, indptr binary, indices binary, counts binary, words array<string>, uses array<long>"
-    local = stored(rows.mapInArrow(build, schema), "term-shards")
-    return with_global_ids(local, dictionary(local, []), [])
+    return rows.mapInArrow(build, f"rows array<{rows.schema['row'].dataType.simpleString()}>, indptr binary, indices binary, counts binary")
 
 
 def row_measures(matrix: DataFrame) -> DataFrame:
@@ -68,14 +97,12 @@ def row_measures(matrix: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                indptr, indices, counts = (np.frombuffer(batch.column(n)[i].as_py(), dtype="<i4") for n in ("indptr", "indices", "counts"))
-                column = batch.column("ids")[i].values.to_numpy()[indices]
-                row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-                total = np.bincount(row, weights=counts, minlength=len(indptr) - 1).astype(np.int64)
-                entries = np.bincount(row[column > 0], minlength=len(indptr) - 1).astype(np.int64)
+                indptr, counts = (np.frombuffer(batch.column(n)[i].as_py(), dtype=t) for n, t in (("indptr", np.int64), ("counts", np.int32)))
+                entries = np.diff(indptr)
+                total = np.bincount(np.repeat(np.arange(len(entries)), entries), weights=counts, minlength=len(entries)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("rows")[i].values, pa.array(total), pa.array(entries)], ["row", "n_words", "n_distinct"])
 
-    found = matrix.select("rows", "indptr", "indices", "counts", "ids").mapInArrow(measure, f"row {kind.simpleString()}, n_words long, n_distinct long")
+    found = matrix.select("rows", "indptr", "counts").mapInArrow(measure, f"row {kind.simpleString()}, n_words long, n_distinct long")
     return found.select("row.*", "n_words", "n_distinct")
 
 
