@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lamella.llm.caps import near_vectors
 from lamella.llm.decontaminate import contaminated
 from lamella.llm.filter_audit import filter_audit
 from lamella.llm.fingerprints import compared_fingerprints
@@ -79,6 +80,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -129,6 +134,23 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
 
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
@@ -163,5 +185,5 @@ SELECT part, filter_order, step::INTEGER AS step,
 FROM each GROUP BY part, filter_order, step, letter
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op9_passages, op10_quality, op11_collocations, op13_filter_audit)}
-ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op11_collocations": OP11_SQL, "op13_filter_audit": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_secrets, op4_decontamination, op5_mixing, op6_simhash, op7_pseudonyms, op8_url_filter, op9_passages, op10_quality, op11_collocations, op12_caps, op13_filter_audit)}
+ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op11_collocations": OP11_SQL, "op12_caps": OP12_SQL, "op13_filter_audit": OP13_SQL}
