@@ -133,7 +133,7 @@ def interactions(failed: DataFrame, by: str, extra: dict[str, Column], letters:
     the ``extra`` counts, and ``shapley``: what the filter removes, summed over all orders. Documents are summed by
     what they fail first, at most two to the number of filters for each value of ``by``; the orders are dealt with on those sums.
     """
-    sums = failed.groupBy(by, "fails").agg(F.count("*").alias("_n"), *[F.count_if(c).alias(f"_{name}") for name, c in extra.items()])
+    sums = failed.groupBy(by, "fails").agg(F.count("*").alias("_n"), *[F.count_if(c).alias(f"_of_{name}") for name, c in extra.items()])
     orders = ["".join(order) for order in permutations(letters)]
     each = sums.withColumn("filter_order", F.explode(F.split(F.lit(",".join(orders)), ","))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(letters)))))
     letter, earlier = F.substring("filter_order", F.col("step"), F.lit(1)), F.substring("filter_order", F.lit(1), F.col("step") - 1)
@@ -144,7 +144,7 @@ def interactions(failed: DataFrame, by: str, extra: dict[str, Column], letters:
     return each.groupBy(by, "filter_order", "step").agg(
         total(F.col("_n"), F.expr("not _own and not _before")).alias("kept"), total(F.col("_n"), F.expr("_own and not _before")).alias("removed"),
         total(F.col("_n"), F.expr("_own and _before")).alias("redundant"), total(F.col("_n"), F.col("_only")).alias("unique_fails"),
-        *[total(F.col(f"_{name}"), F.expr("_own and not _before")).alias(name) for name in extra], total(F.col("_n") * first, F.col("_own")).alias("shapley"),
+        *[total(F.col(f"_of_{name}"), F.expr("_own and not _before")).alias(name) for name in extra], total(F.col("_n") * first, F.col("_own")).alias("shapley"),
     )
 
 
