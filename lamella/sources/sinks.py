@@ -2,15 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Callable
+from uuid import uuid4
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-def write_results(tables: dict[str, DataFrame], root: str, operator: str, measurement: str, file_format: str = "parquet") -> None:
-    """Each table under its name, in folders for operator, measurement and specimen."""
-    for name, df in tables.items():
-        rows = df.withColumns({"operator": F.lit(operator), "measurement": F.lit(measurement)})
-        writer = rows.write.mode("overwrite").partitionBy("operator", "measurement", "specimen_id").format(file_format)
-        (writer.option("header", True) if file_format == "csv" else writer).save(f"{root}/{name}")
+
+#: Folders of a results table, from the outside in.
+PLACE = ["operator", "measurement", "specimen_id"]
+
+
+def _replace(df: DataFrame, path: str, by: list[str], file_format: str) -> None:
+    """Put ``df`` in the place of the folders that it has rows for; all others stay as they are.
+
+    Files are made beside the table and moved in when the job is done, so a job that fails changes nothing and one
+    that is repeated gives what it gave.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(file_format)
+    (writer.option("header", True) if file_format == "csv" else writer).save(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_results(tables: dict[str, DataFrame], root: str, operator: str, measurement: str, file_format: str = "parquet", specimens: DataFrame | None = None) -> None:
+    """Each table under its name, in folders for operator, measurement and specimen.
+
+    What this run has rows for replaces what was there for the same operator, measurement and specimen; other
+    operators, measurements and specimens stay. Of ``specimens`` (``specimen_id``), if given, nothing old stays even where a
+    table has no new rows. All tables are worked out before the first is touched, so a run that fails leaves all of
+    them as they were, and one that is stopped between two tables is made whole by running it again.
+    """
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    staged = f"{root}/_staged-{uuid4().hex}"
+    try:
+        for name, df in tables.items():
+            df.withColumns({"operator": F.lit(operator), "measurement": F.lit(measurement)}).write.parquet(f"{staged}/{name}")
+        for name in tables:
+            rows = spark.read.parquet(f"{staged}/{name}")
+            # a specimen's rows come together, in as many tasks as their size asks for
+            _replace(rows.hint("rebalance", "specimen_id"), f"{root}/{name}", PLACE, file_format)
+            if specimens is not None:
+                emptied = specimens.select(F.col("specimen_id").cast("string")).distinct().join(rows.select(F.col("specimen_id").cast("string")), "specimen_id", "left_anti")
+                for r in emptied.toLocalIterator():
+                    _delete(spark, f"{root}/{name}/{_folder(operator=operator, measurement=measurement, specimen_id=r['specimen_id'])}")
+    finally:
+        _delete(spark, staged)
+
+
+def _folder(**place: str | None) -> str:
+    """The folder of a partition: characters that paths can't hold are written as Spark writes them."""
+    mark = lambda v: "__HIVE_DEFAULT_PARTITION__" if v is None or v == "" else re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", v)
+    return "/".join(f"{k}={mark(v)}" for k, v in place.items())
+
+
+def read_written(spark: SparkSession, root: str, name: str, file_format: str = "parquet", by: list[str] | None = None) -> DataFrame:
+    """A table of ``write_results`` or ``write_json`` back, with the names of its folders as text (``001`` stays so)."""
+    reader = lambda: spark.read.option("header", True).format(file_format)
+    by = PLACE if by is None else by
+    found = reader().load(f"{root}/{name}" if name else root).schema
+    return reader().schema(StructType([StructField(f.name, StringType()) if f.name in by else f for f in found])).load(f"{root}/{name}" if name else root)
+
+
+def results_writer(name: str, root: str, operator: str, measurement: str, file_format: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each batch replaces the specimens that it brings; one that is delivered again changes nothing more."""
+    return lambda batch, _: write_results({name: batch}, root, operator, measurement, file_format)
 
 
 def _pair(p: str) -> Column:
@@ -52,8 +114,8 @@ def column_config_json(columns: DataFrame, metadata: dict[str, str]) -> DataFram
 
 
 def write_json(documents: DataFrame, root: str, by: list[str]) -> None:
-    """A text file of one document in a folder for each of ``by``."""
-    documents.select(*by, F.col("json").alias("value")).write.mode("overwrite").partitionBy(*by).text(root)
+    """A text file of one document in a folder for each of ``by``; folders that ``documents`` doesn't name stay."""
+    _replace(documents.select(*by, F.col("json").alias("value")), root, by, "text")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

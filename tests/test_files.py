@@ -181,6 +181,65 @@ def test_column_config_and_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
 
 
+SPECIMENS = "specimen_id string, v int"
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv", "json"])
+def test_results_of_several_runs_stay_side_by_side(spark, tmp_path, kind):
+    root = str(tmp_path / "results")
+    table = lambda *rows: {"summary": spark.createDataFrame(rows, SPECIMENS), "long": spark.createDataFrame(rows, SPECIMENS)}
+    held = lambda name: {(r.operator, r.measurement, r.specimen_id, int(r.v)) for r in sinks.read_written(spark, root, name, kind).collect()}
+    sinks.write_results(table(("001", 1), ("b/c:d", 2)), root, "ann", "1", kind)
+    sinks.write_results(table(("001", 3)), root, "bob", "1", kind)
+    sinks.write_results(table(("001", 4)), root, "ann", "2", kind)
+    first = {("ann", "1", "001", 1), ("ann", "1", "b/c:d", 2), ("bob", "1", "001", 3), ("ann", "2", "001", 4)}
+    assert held("summary") == held("long") == first
+    for _ in range(2):  # a run replaces its own specimens, and again gives the same
+        sinks.write_results(table(("b/c:d", 5), ("b/c:d", 6), ("e", 7)), root, "ann", "1", kind)
+        second = first - {("ann", "1", "b/c:d", 2)} | {("ann", "1", "b/c:d", 5), ("ann", "1", "b/c:d", 6), ("ann", "1", "e", 7)}
+        assert held("summary") == held("long") == second
+    # the second table fails: neither is touched, nothing is left beside them
+    broken = table(("001", 9)) | {"long": spark.createDataFrame([("001", 9)], SPECIMENS).withColumn("v", F.raise_error(F.lit("no")).cast("int"))}
+    with pytest.raises(Exception, match="no"):
+        sinks.write_results(broken, root, "ann", "1", kind)
+    assert held("summary") == held("long") == second and sorted(p.name for p in (tmp_path / "results").iterdir()) == ["long", "summary"]
+    # a specimen of the run without rows loses its old ones
+    sinks.write_results({"long": spark.createDataFrame([], SPECIMENS)}, root, "ann", "1", kind, spark.createDataFrame([("b/c:d",), ("e",), ("new",)], "specimen_id string"))
+    assert held("summary") == second and held("long") == {r for r in second if r[:2] != ("ann", "1") or r[2] == "001"}
+
+
+def test_documents_of_other_specimens_stay(spark, tmp_path):
+    root = str(tmp_path / "configs")
+    document = lambda *rows: spark.createDataFrame(rows, "specimen_id string, json string")
+    held = lambda: {(r.specimen_id, r.value) for r in sinks.read_written(spark, root, "", "text", ["specimen_id"]).collect()}
+    sinks.write_json(document(("01", "{}"), ("b", "{}")), root, ["specimen_id"])
+    sinks.write_json(document(("b", '{"x": 1}'), ("c", "{}")), root, ["specimen_id"])
+    assert held() == {("01", "{}"), ("b", '{"x": 1}'), ("c", "{}")}
+    with pytest.raises(Exception, match="no"):
+        sinks.write_json(document(("b", "{}"), ("d", "{}")).withColumn("json", F.when(F.col("specimen_id") == "d", F.raise_error(F.lit("no"))).otherwise("x")), root, ["specimen_id"])
+    assert held() == {("01", "{}"), ("b", '{"x": 1}'), ("c", "{}")}
+
+
+def test_results_of_a_stream_delivered_again(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    write = sinks.results_writer("summary", root, "ann", "1")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(SPECIMENS).json(str(source))
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    (source / "1.json").write_text('{"specimen_id": "a", "v": 1}\n{"specimen_id": "b", "v": 2}\n')
+    run("one")
+    (source / "2.json").write_text('{"specimen_id": "b", "v": 3}\n')
+    run("one")
+    held = lambda: {(r.specimen_id, r.v) for r in sinks.read_written(spark, root, "summary").collect()}
+    assert held() == {("a", 1), ("b", 3)}
+    write(spark.createDataFrame([("b", 3)], SPECIMENS), 1)
+    assert held() == {("a", 1), ("b", 3)}
+
+
 def test_export_rows_and_report(spark):
     r = sinks.export_rows(spark.createDataFrame([(3, "tooth", 25, "XZ", "S", ".tiff", 7, 12)], "experiment int, name string, n_slices int, direction string, study string, extension string, export_index int, slice int")).first()
     assert (r.folder, r.file, r.description) == ("03_tooth_25_Slices_XZ", "tooth_3_#13_0008.tiff", "OCT Export - S")
