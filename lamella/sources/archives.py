@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Names and numbers of the archive format.
 HEADER, INTENSITY, VIDEO, CHIRP, OFFSETS, SPECTRAL = "Header.xml", "data/Intensity.data", "data/VideoImage.data", "data/Chirp.data", "data/OffsetErrors.data", "data/Spectral%d.data"
 AT_20_DB, AT_80_DB = 1105000000, 1119000000
+#: Bytes that a row may have, about.
+LARGEST = (1 << 31) - (1 << 16)
 NO_RATE, NO_VERSION, NO_TIME = "notAvail-Old_OCT_Version", "notAvail-Old_OCT_Version", "Unknown"
 
 HEADER_SCHEMA = """Image struct<_Type:string>, SizeReal string, SizePixel string, PixelSpacing string, Study string, ExperimentNumber string,
@@ -34,8 +36,12 @@ def scan_archives(spark: SparkSession, root: str, recursive: bool = True, patter
 
 
 def scan_reported(spark: SparkSession, root: str, recursive: bool = True, pattern: str = "*.oct") -> DataFrame:
-    """``scan_archives`` with ``error``: where a folder is missing or holds no archive, one row that says so instead of an exception."""
+    """``scan_archives`` with ``error``: where a folder is missing, is none or holds no archive, one row that says so instead of an exception."""
     schema = "path string, length long, modified timestamp, error string"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(at) and not store.getFileStatus(at).isDirectory():
+        return spark.createDataFrame([(None, None, None, f"Path is not a directory: {root}")], schema)
     try:
         found = scan_archives(spark, root, recursive, pattern).withColumn("error", F.lit(None).cast("string"))
     except AnalysisException as e:
@@ -46,7 +52,7 @@ def scan_reported(spark: SparkSession, root: str, recursive: bool = True, patter
     return found.unionByName(empty.select(F.lit(f"No archives found in: {root}").alias("error")), allowMissingColumns=True)
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path) if ":/" in path else f"file://{path}")
 
 
@@ -68,11 +74,13 @@ def with_members(files: DataFrame, members: list[str], content: str = "content")
                         if loaded:
                             source = io.BytesIO(batch.column(1)[i].as_buffer())
                         else:
-                            store, name = _opened(path)
+                            store, name = opened(path)
                             source = stack.enter_context(store.open_input_file(name))
                         archive = stack.enter_context(zipfile.ZipFile(source))
                         names = [n for n in archive.namelist() if any(fnmatch(n, m) for m in members)]
-                        out = [(path, n, archive.read(n), None) for n in names] or [(path, None, None, "no such member")]
+                        # a cell holds 2 GB at most; larger members are read by slices, as volumes
+                        large = lambda n: archive.getinfo(n).file_size >= LARGEST
+                        out = [(path, n, None, f"member of {archive.getinfo(n).file_size} bytes") if large(n) else (path, n, archive.read(n), None) for n in names] or [(path, None, None, "no such member")]
                 except Exception as e:  # a bad archive is a row, not an end
                     out = [(path, None, None, f"{type(e).__name__}: {e}")]
                 for row in out:
@@ -146,13 +154,18 @@ def video_pixels(members: DataFrame, headers: DataFrame) -> DataFrame:
     return at.select("path", F.floor(F.col("i") / F.col("video_z")).cast("int").alias("row"), (F.col("i") % F.col("video_z")).cast("int").alias("col"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
 
 
+def grey_levels(stored: np.ndarray, db_min: float, db_max: float) -> np.ndarray:
+    """Bytes for stored intensities in a decibel window."""
+    slope = (AT_80_DB - AT_20_DB) / 60
+    low, high = (slope * db + AT_20_DB - slope * 20 for db in (db_min, db_max))
+    return (255 * (np.clip(stored.astype(np.float64), low, high) - low) / (high - low)).astype(np.uint8)
+
+
 def processed_slices(members: DataFrame, headers: DataFrame, db_min: float = 20, db_max: float = 80) -> DataFrame:
     """Grey slices ``volume_id, slice, height, width, pixels`` of stored intensities, mapped to bytes in a decibel window.
 
     Intensities are stored from the last slice to the first, scan by scan. A member of the wrong size gives no slice.
     """
-    slope = (AT_80_DB - AT_20_DB) / 60
-    low, high = (slope * db + AT_20_DB - slope * 20 for db in (db_min, db_max))
     rows = members.join(headers.select("path", "dim_x", "dim_y", "dim_z"), "path").select("path", "bytes", "dim_x", "dim_y", "dim_z")
     schema = "volume_id string, slice int, height int, width int, pixels binary"
 
@@ -164,7 +177,7 @@ def processed_slices(members: DataFrame, headers: DataFrame, db_min: float = 20,
                     continue
                 volume = np.frombuffer(r["bytes"], dtype="<i4").reshape(y, x, z)
                 for s in range(y):
-                    grey = (255 * (np.clip(volume[y - 1 - s].astype(np.float64), low, high) - low) / (high - low)).astype(np.uint8).T
+                    grey = grey_levels(volume[y - 1 - s], db_min, db_max).T
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((r["path"], pa.string()), (s, pa.int32()), (z, pa.int32()), (x, pa.int32()), (grey.tobytes(), pa.binary()))], ["volume_id", "slice", "height", "width", "pixels"])
 
     return rows.mapInArrow(run, schema)
