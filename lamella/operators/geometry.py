@@ -159,6 +159,33 @@ def polyline_length(points: Column) -> Column:
     return F.coalesce(F.aggregate(legs, F.lit(0.0), lambda s, d: s + d), F.lit(0.0))
 
 
+def _second_derivatives(h: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Second derivatives at all points: continuity of the first derivative inside, of the third next to the ends.
+
+    The end conditions are put into the rows beside them; the rest has three diagonals and is solved in one sweep.
+    """
+    left, middle, ahead = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    middle[0] += h[0] * (1 + h[0] / h[1])
+    ahead[0] -= h[0] * h[0] / h[1]
+    middle[-1] += h[-1] * (1 + h[-1] / h[-2])
+    left[-1] -= h[-1] * h[-1] / h[-2]
+    low, mid, up = left.tolist(), middle.tolist(), ahead.tolist()
+    one, two = right[:, 0].tolist(), right[:, 1].tolist()
+    for i in range(1, len(mid)):
+        w = low[i] / mid[i - 1]
+        mid[i] -= w * up[i - 1]
+        one[i] -= w * one[i - 1]
+        two[i] -= w * two[i - 1]
+    one[-1], two[-1] = one[-1] / mid[-1], two[-1] / mid[-1]
+    for i in range(len(mid) - 2, -1, -1):
+        one[i] = (one[i] - up[i] * one[i + 1]) / mid[i]
+        two[i] = (two[i] - up[i] * two[i + 1]) / mid[i]
+    inner = np.array([one, two]).T
+    first = (1 + h[0] / h[1]) * inner[0] - h[0] / h[1] * inner[1]
+    last = (1 + h[-1] / h[-2]) * inner[-1] - h[-1] / h[-2] * inner[-2]
+    return np.vstack((first, inner, last))
+
+
 def spline(points: np.ndarray, n: int) -> np.ndarray:
     """``n`` points of the cubic curve through ``points``, by chord length, with not-a-knot ends; the points themselves under four."""
     t = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(points, axis=0).T))))
@@ -169,15 +196,7 @@ def spline(points: np.ndarray, n: int) -> np.ndarray:
         return points
     t = t / t[-1]
     h = np.diff(t)
-    # second derivatives: continuity of the first inside, of the third next to the ends
-    system, right = np.zeros((m, m)), np.zeros((m, 2))
-    system[0, :3] = (h[1], -(h[0] + h[1]), h[0])
-    system[-1, -3:] = (h[-1], -(h[-2] + h[-1]), h[-2])
-    slope = np.diff(points, axis=0) / h[:, None]
-    for i in range(1, m - 1):
-        system[i, i - 1 : i + 2] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i])
-        right[i] = 6 * (slope[i] - slope[i - 1])
-    bend = np.linalg.solve(system, right)
+    bend = _second_derivatives(h, 6 * np.diff(np.diff(points, axis=0) / h[:, None], axis=0))
     u = np.linspace(0, 1, n)
     k = np.clip(np.searchsorted(t, u, "right") - 1, 0, m - 2)
     a, b, hk = (t[k + 1] - u)[:, None], (u - t[k])[:, None], h[k][:, None]

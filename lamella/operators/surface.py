@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lamella.operators.ascan import without_outliers
+from lamella.operators.curves import fitted_curve
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -88,82 +89,6 @@ def large_clusters(clustered: DataFrame, keys: list[str], above: int = 180) -> D
     return sized.where(kept).drop("_n", "_top")
 
 
-def spline_basis(x: np.ndarray, low: float, high: float, segments: int, degree: int) -> np.ndarray:
-    """B-spline values of ``x`` on equal segments, by the recursion of Cox and de Boor."""
-    knots = low + (high - low) / segments * np.arange(-degree, segments + degree + 1)
-    x = np.clip(x, low, high)
-    out = ((x[:, None] >= knots[:-1]) & (x[:, None] < knots[1:])).astype(float)
-    out[x >= high] = 0
-    out[x >= high, degree + segments - 1] = 1
-    for d in range(1, degree + 1):
-        left = (x[:, None] - knots[: -d - 1]) / (knots[d:-1] - knots[: -d - 1])
-        right = (knots[d + 1 :] - x[:, None]) / (knots[d + 1 :] - knots[1:-d])
-        out = left * out[:, :-1] + right * out[:, 1:]
-    return out
-
-
-def smooth_curve(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int, budget: float, segments: int = 40) -> np.ndarray:
-    """A penalised spline through the points at ``at``: the smoothest whose squared residuals sum to at most ``budget``.
-
-    The penalty is on differences of order ``degree + 1``, so a polynomial of that degree is kept whatever the
-    penalty. If even without one the residuals exceed the budget, the closest fit stands.
-    """
-    low, high = float(min(x.min(), at.min())), float(max(x.max(), at.max(), x.min() + 1))
-    segments = max(1, min(segments, len(np.unique(x)) - degree))
-    basis = spline_basis(x, low, high, segments, degree)
-    gram, load = basis.T @ basis, basis.T @ y
-    bend = np.diff(np.eye(basis.shape[1]), n=min(degree + 1, basis.shape[1] - 1), axis=0)
-    bend = bend.T @ bend
-    scale = np.trace(gram) / max(np.trace(bend), 1e-12)
-
-    def solved(strength: float) -> np.ndarray:
-        return np.linalg.lstsq(gram + strength * scale * bend, load, rcond=None)[0]
-
-    def rest(w: np.ndarray) -> float:
-        return float(((y - basis @ w) ** 2).sum())
-
-    lo, hi = -9.0, 9.0
-    best = solved(10**lo)
-    if rest(w := solved(10**hi)) <= budget:
-        best = w
-    elif rest(best) <= budget:
-        for _ in range(30):
-            mid = (lo + hi) / 2
-            if rest(w := solved(10**mid)) <= budget:
-                lo, best = mid, w
-            else:
-                hi = mid
-    return spline_basis(at.astype(float), low, high, segments, degree) @ best
-
-
-def fitted_curve(points: DataFrame, spans: DataFrame, keys: list[str], name: str, degree: int = 5, smoothing: float = 0.5, multiplier: float = 3.0) -> DataFrame:
-    """``keys, curve, x, y`` at every whole x of each slice's span (start, end exclusive), y cut to a whole row.
-
-    The residual budget is ``smoothing * multiplier`` for each point. Slices with fewer than four points give
-    nothing. A slice's points, at most one for each column of the picture, are fitted in one batch.
-    """
-    span = spans.select(*keys, F.col("start").cast("int").alias("_s"), F.col("end").cast("int").alias("_e"))
-    series = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("_p"))
-    rows = series.where(F.size("_p") >= 4).join(span, keys)
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", x int, y int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, xs, ys = [], [], []
-            for i, (p, s, e) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_p", "_s", "_e")), strict=True)):
-                at = np.arange(s, e)
-                if len(at):
-                    y = smooth_curve(np.array([q["x"] for q in p]), np.array([q["y"] for q in p]), at, degree, smoothing * multiplier * len(p))
-                    index += [i] * len(at)
-                    xs.append(at)
-                    ys.append(np.trunc(y))
-            picked = pa.array(index, pa.int64())
-            flat = lambda v: pa.array(np.concatenate(v).astype(np.int32) if v else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(picked) for k in keys), flat(xs), flat(ys)], [*keys, "x", "y"])
-
-    return rows.mapInArrow(run, schema).select(*keys, F.lit(name).alias("curve"), "x", "y")
-
-
 def reference_curve(points: DataFrame, configs: DataFrame, keys: list[str]) -> DataFrame:
     """The curve the surface would have without the lesion: of the points outside it, a buffer apart."""
     bounds = configs.select(*keys, (F.col("lesion_start_x") - F.col("buffer")).alias("_l"), (F.col("lesion_end_x") + F.col("buffer")).alias("_r"))

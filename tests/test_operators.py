@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import cells, profiles, rules
-from lamella.operators import depth, geometry, queue, results, spectral, surface
+from lamella.operators import curves, depth, geometry, queue, results, spectral, surface
 from lamella.functions.register import register
 from lamella.operators.overlay import overlay, region_corners
 from lamella.operators.specimen import analysed
@@ -105,12 +105,62 @@ def test_shoulder_modes(spark):
 def test_smooth_curve_keeps_polynomials_and_its_budget():
     x = np.arange(60.0)
     y = 3 + 0.5 * x - 0.01 * x**2
-    assert np.abs(surface.smooth_curve(x, y, x, 3, 1.0) - y).max() < 1e-3
+    assert np.abs(curves.smooth_curve(x, y, x, 3, 1.0) - y).max() < 1e-3
     noisy = y + np.random.default_rng(3).normal(0, 2, 60)
-    fit = surface.smooth_curve(x, noisy, x, 3, 300.0)
+    fit = curves.smooth_curve(x, noisy, x, 3, 300.0)
     assert ((noisy - fit) ** 2).sum() <= 300.0001
 
 
+@pytest.mark.parametrize(("degree", "budget"), [(5, 3000.0), (3, 3000.0), (3, 200.0)])
+def test_knots_are_added_until_the_budget_is_kept(degree, budget):
+    draw = np.random.default_rng(degree)
+    x = np.arange(2000.0)
+    y = 100 * np.sin(x / 20) + draw.normal(0, 1, 2000)
+    sums = curves.Cells.of(x, y - y.mean(), 0, 2000, degree)
+    fit = sums.smooth(budget)
+    own = ((y - y.mean() - fit(x)) ** 2).sum()
+    assert 0.99 * budget < own <= budget * (1 + 1e-9) and own == pytest.approx(fit.residual)
+    assert 20 < len(fit.knots) < 300 or budget < 2000
+    border = fit.knots[1:-1]
+    assert np.abs(fit(border - 1e-7) - fit(border + 1e-7)).max() < 1e-2
+
+
+def test_banded_systems():
+    draw = np.random.default_rng(2)
+    for n, k in ((5, 3), (curves.FULL + 200, 6)):
+        full = np.triu(np.tril(draw.normal(size=(n, n)), k - 1), 1 - k)
+        full = full + full.T + 20 * k * np.eye(n)
+        band = np.stack([np.concatenate((np.diagonal(full, j), np.zeros(j))) for j in range(k)], axis=1)
+        load = draw.normal(size=n)
+        assert np.allclose(full @ curves.banded_solve(band, load), load)
+
+
+def test_bases_of_splines_sum_to_one_and_are_smooth():
+    knots = np.array([0.0, 1, 3, 4, 8])
+    pieces = curves.basis_pieces(knots, 3)
+    assert np.allclose(pieces.sum(axis=1), [[1, 0, 0, 0]] * 4)
+    coefficients = np.random.default_rng(1).normal(size=7)
+    fit = curves.Fit(knots, np.stack([(coefficients[j : j + 4, None] * pieces[j]).sum(axis=0) for j in range(4)]), 0.0)
+    for at in knots[1:-1]:
+        near = fit(np.array([at - 2e-3, at - 1e-3, at, at + 1e-3, at + 2e-3]))
+        assert abs(near[0] - 2 * near[1] + near[2] - (near[2] - 2 * near[3] + near[4])) < 1e-7
+
+
+def test_a_million_points_of_one_key(spark):
+    n = 1_000_000
+    noise = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20) * 2 - 1
+    points = spark.range(n, numPartitions=8).select(F.lit("a").alias("s"), (F.col("id") * 1000 / n).alias("x"), (50 * F.sin(F.col("id") * 1000 / n / 3) + 1.7 * noise).alias("y"))
+    points = points.unionByName(spark.createDataFrame([("b", float(x), float(x % 2)) for x in range(100)] + [("c", 1.0, 1.0)] * 3 + [("d", 1.0, None)] * 5, "s string, x double, y double"))
+    spans = spark.createDataFrame([("a", 0, 1000), ("b", 0, 100), ("c", 0, 5), ("d", 0, 5)], "s string, start int, end int")
+    fits = {r.s: r for r in curves.curve_fits(points, spans, ["s"], degree=5, smoothing=1.0, multiplier=1.0).collect()}
+    assert set(fits) == {"a", "b"} and fits["a"].within and fits["a"].n == n and 0.99 * n < fits["a"].residual <= n
+    model = curves.Fit(np.array(fits["a"].knots), np.array(fits["a"].pieces), 0.0)
+    held = points.where("s = 'a'").select("x", "y").toPandas().to_numpy()
+    assert ((held[:, 1] - fits["a"].middle - model(held[:, 0])) ** 2).sum() == pytest.approx(fits["a"].residual, rel=1e-6)
+    tight = {r.s: r for r in curves.curve_fits(points, spans, ["s"], degree=3, smoothing=0.01, multiplier=1.0, cells=64).collect()}
+    assert not tight["a"].within and tight["a"].residual > tight["a"].budget
+
+
 def test_fitted_curve(spark):
     points = spark.createDataFrame([(1, float(x), 100.0 + x % 3) for x in range(50)] + [(2, 1.0, 1.0)], "s int, x double, y double")
     spans = spark.createDataFrame([(1, 0, 50), (2, 0, 5)], "s int, start int, end int")
@@ -223,6 +273,22 @@ def test_lengths(spark):
     assert got[0] == pytest.approx(100 * np.pi, rel=2e-3) and got[1:] == [5, 5, 0]
 
 
+def test_splines_of_many_points():
+    t = np.sort(np.random.default_rng(8).uniform(0, 60, 100_000))
+    line = geometry.spline(np.stack((t, np.sin(t)), axis=1), 200_000)
+    inside = (line[:, 0] > 1) & (line[:, 0] < 59)
+    assert np.abs(line[inside, 1] - np.sin(line[inside, 0])).max() < 1e-6
+    points = np.random.default_rng(9).normal(size=(40, 2))
+    h = np.hypot(*np.diff(points, axis=0).T)
+    right = 6 * np.diff(np.diff(points, axis=0) / h[:, None], axis=0)
+    system = np.zeros((40, 40))
+    system[0, :3], system[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
+    for i in range(1, 39):
+        system[i, i - 1 : i + 2] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i])
+    want = np.linalg.solve(system, np.vstack((np.zeros(2), right, np.zeros(2))))
+    assert np.allclose(geometry._second_derivatives(h, right), want)
+
+
 def test_spline_reproduces_cubics():
     t = np.linspace(0, 1, 6)
     line = geometry.spline(np.stack((t, 2 * t), axis=1), 50)
