@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
 
 TIE = 1e-9
 
@@ -85,33 +85,66 @@ def exp2_shapes(n: int):
     return lambda grid: (np.exp(grid[:, :1] * z), np.exp(grid[:, 1:] * z))
 
 
-def fitted(y: np.ndarray, kind: str, grid: np.ndarray | None = None, zooms: int = 3, box: tuple[float, float] | None = (0.0, 255.0)) -> np.ndarray:
-    """For each row: the two shape parameters, the two factors and the squared error of the best fit on a grid, zoomed ``zooms`` times.
+def _slopes(kind: str, z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The curves of rows of (two shape parameters, two factors) at ``z``, and their slopes by each parameter."""
+    u, v, a, c = (t[:, i : i + 1] for i in range(4))
+    if kind == "sigmoid":
+        p = 1 / (1 + np.exp(np.clip(u * (z - v), -700, 700)))
+        steep = (a - c) * p * (1 - p)
+        return a * p + c * (1 - p), np.stack((-steep * (z - v), steep * u, p, 1 - p), axis=2)
+    p, q = np.exp(u * z), np.exp(v * z)
+    return a * p + c * q, np.stack((a * z * p, c * z * q, p, q), axis=2)
 
-    ``sigmoid``: k, z0 with factors (value above, value below); ``exp2``: b, d with factors (a, c).
+
+def refined(y: np.ndarray, start: np.ndarray, kind: str, low: np.ndarray, high: np.ndarray, steps: int) -> np.ndarray:
+    """Damped Gauss-Newton steps from ``start`` (parameters and squared error by row) inside [low, high], all rows at once.
+
+    A parameter at its bound that would leave is held there for the step. A row takes a step only if its error falls, so no fit gets
+    worse; it is done when the error falls by less than a millionth of a millionth, or can't.
+    """
+    z, out, damp = np.arange(y.shape[1], dtype=np.float64), start.copy(), np.full(len(y), 1e-3)
+    going = np.flatnonzero(np.isfinite(out[:, 4]))
+    for _ in range(steps):
+        if not len(going):
+            break
+        t = out[going, :4]
+        curve, slopes = _slopes(kind, z, t)
+        pull = np.einsum("rn,rnk->rk", y[going] - curve, slopes)
+        free = ~(((t <= low) & (pull < 0)) | ((t >= high) & (pull > 0)))
+        square = (slopes.transpose(0, 2, 1) @ slopes) * (free[:, :, None] & free[:, None, :])
+        size = np.einsum("rkk->rk", square)
+        square[:, np.arange(4), np.arange(4)] = size * (1 + damp[going, None]) + np.where(size > 0, 1e-12 * size.max(axis=1, keepdims=True), 1.0)
+        moved = np.clip(t + np.linalg.solve(square, (pull * free)[:, :, None])[:, :, 0], low, high)
+        error = ((y[going] - _slopes(kind, z, moved)[0]) ** 2).sum(axis=1)
+        fell = out[going, 4] - error
+        better = fell > 0
+        out[going[better], :4], out[going[better], 4] = moved[better], error[better]
+        damp[going] = np.where(better, damp[going] / 5, damp[going] * 6)
+        going = going[np.where(better, fell > 1e-12 * (error + 1e-12), damp[going] < 1e9)]
+    return out
+
+
+def fitted(y: np.ndarray, kind: str, grid: np.ndarray | None = None, steps: int = 30, box: tuple[float, float] | None = (0.0, 255.0)) -> np.ndarray:
+    """For each row the best fit: two shape parameters, two factors, the squared error, and 1 where a parameter lies on its bound.
+
+    ``sigmoid``: k, z0 with factors (value above, value below); ``exp2``: b, d with factors (a, c). The best point of a grid, with the
+    factors that fit best there inside ``box``, is refined by up to ``steps`` bounded steps; none leave the grid's.
     """
     n = y.shape[1]
     low, high = box or (None, None)
     shapes = (sigmoid_shapes if kind == "sigmoid" else exp2_shapes)(n)
     if grid is None:
         if kind == "sigmoid":
-            first, second = np.geomspace(0.001, 2, 16), np.linspace(0, n - 1, min(n, 50))
+            first, second = np.geomspace(0.001, 2, 9), np.linspace(0, n - 1, min(n, 24))
         else:
             first = second = -np.concatenate(([0], np.geomspace(0.001, 1, 20)))
         grid = np.array([(u, v) for u in first for v in second if kind == "sigmoid" or u < v])
     out = np.stack(_best(y, grid, shapes, low, high), axis=1)
-    limits = ((0.001, 2), (0, n - 1)) if kind == "sigmoid" else ((-1, 0), (-1, 0))
-    step = [np.ptp(grid[:, i]) / max(1, len(np.unique(grid[:, i])) - 1) for i in (0, 1)]
-    for _ in range(zooms):
-        for r in range(len(y)):
-            around = [np.unique(np.clip(np.linspace(out[r, i] - step[i], out[r, i] + step[i], 7), *limits[i])) for i in (0, 1)]
-            fine = np.array([(u, v) for u in around[0] for v in around[1] if kind == "sigmoid" or u < v])
-            if len(fine):
-                found = np.stack(_best(y[r : r + 1], fine, shapes, low, high), axis=1)[0]
-                if found[4] < out[r, 4]:
-                    out[r] = found
-        step = [s / 3 for s in step]
-    return out
+    limits = [(0.001, 2), (0, n - 1)] if kind == "sigmoid" else [(-1, 0), (-1, 0)]
+    least, most = (np.array([*(x[i] for x in limits), *[(-np.inf, np.inf)[i] if box is None else box[i]] * 2], dtype=np.float64) for i in (0, 1))
+    for at in range(0, len(y) if steps else 0, 1024):
+        out[at : at + 1024] = refined(y[at : at + 1024], out[at : at + 1024], kind, least, most, steps)
+    return np.column_stack((out, ((out[:, :4] <= least) | (out[:, :4] >= most)).any(axis=1)))
 
 
 def _by_length(values: list[list[float] | None], work, width: int) -> np.ndarray:
@@ -143,25 +176,27 @@ def with_knee(df: DataFrame, profile: str = "profile", out: str = "knee") -> Dat
     return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(out, IntegerType()))
 
 
-def with_fit(df: DataFrame, kind: str, profile: str = "profile", grid: list[tuple[float, float]] | None = None, zooms: int = 3, box: tuple[float, float] | None = (0.0, 255.0), least: int = 5) -> DataFrame:
-    """Adds the best fit of each profile: k, z0, upper, lower, sse for ``sigmoid``; b, d, a, c, sse for ``exp2``.
+def with_fit(df: DataFrame, kind: str, profile: str = "profile", grid: list[tuple[float, float]] | None = None, steps: int = 30, box: tuple[float, float] | None = (0.0, 255.0), least: int = 5) -> DataFrame:
+    """Adds the best fit of each profile: k, z0, upper, lower, sse for ``sigmoid``; b, d, a, c, sse for ``exp2``; and ``hit_bound``.
 
-    Profiles with fewer than ``least`` values or a null get nulls. Existing columns of these names are replaced.
+    ``hit_bound`` says that a parameter lies on its bound, so that the curve may not be the profile's. Profiles with fewer than ``least`` values or a null get nulls. Existing columns of these names are replaced.
     """
     names = {"sigmoid": ("k", "z0", "upper", "lower", "sse"), "exp2": ("b", "d", "a", "c", "sse")}[kind]
-    kept = df.drop(*names)
+    kept = df.drop(*names, "hit_bound")
     place = kept.columns.index(profile)
     points = None if grid is None else np.array(grid, dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _by_length(batch.column(place).to_pylist(), lambda y: fitted(y, kind, points, zooms, box) if y.shape[1] >= least else None, 5)
+            found = _by_length(batch.column(place).to_pylist(), lambda y: fitted(y, kind, points, steps, box) if y.shape[1] >= least else None, 6)
             columns = [pa.array([None if np.isnan(v) else v for v in found[:, i]], pa.float64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+            columns.append(pa.array([None if np.isnan(v) else bool(v) for v in found[:, 5]], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names, "hit_bound"])
 
     schema = StructType([*kept.schema.fields])
     for name in names:
         schema = schema.add(name, DoubleType())
+    schema = schema.add("hit_bound", BooleanType())
     return kept.mapInArrow(run, schema)
 
 

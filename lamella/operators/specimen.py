@@ -67,10 +67,10 @@ def lesion_profiles(scans: DataFrame, actual: DataFrame, configs: DataFrame, dep
 
 def lesion_depths(profiles: DataFrame, surface: dict[str, DataFrame], cavities: DataFrame, method: str = "combined") -> DataFrame:
     """A row for each column with a depth by the chosen method: all methods' depths and the corrected one."""
-    smooth = with_fit(profiles, "exp2", zooms=1)
+    smooth = with_fit(profiles, "exp2")
     curve = F.transform(F.col("profile"), lambda _, z: F.col("a") * F.exp(F.col("b") * z) + F.col("c") * F.exp(F.col("d") * z))
     rows = smooth.withColumn("profile_2", F.when(F.col("sse").isNotNull(), curve).otherwise(F.col("profile"))).drop("a", "b", "c", "d", "sse")
-    rows = with_fit(with_knee(rows, "profile_2"), "sigmoid", zooms=1).withColumns({"inflection": F.col("z0"), "shoulder": shoulder(F.col("z0"), F.col("k"))})
+    rows = with_fit(with_knee(rows, "profile_2"), "sigmoid").withColumns({"inflection": F.col("z0"), "shoulder": shoulder(F.col("z0"), F.col("k"))})
     rows = cut(primary_depth(rows.select(*KEYS, "x", "surface_y", "knee", "inflection", "shoulder"), method))
     if method == "combined":
         stability = method_stability(long_form(rows, [*KEYS, "x"]), KEYS)

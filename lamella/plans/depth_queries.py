@@ -66,12 +66,12 @@ def knee_depth_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sigmoid_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_fit(profiles(spark, sf_dir), "sigmoid", grid=_grid(GRID_K, GRID_Z), zooms=0, box=None)
+    found = with_fit(profiles(spark, sf_dir), "sigmoid", grid=_grid(GRID_K, GRID_Z), steps=0, box=None)
     return found.select("vec_id", "k", "z0", *[F.round(c, 4).alias(c) for c in ("upper", "lower", "sse")])
 
 
 def exp2_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_fit(profiles(spark, sf_dir), "exp2", grid=_grid(GRID_B, GRID_D), zooms=0, box=None)
+    found = with_fit(profiles(spark, sf_dir), "exp2", grid=_grid(GRID_B, GRID_D), steps=0, box=None)
     return found.select("vec_id", "b", "d", *[F.round(c, 4).alias(c) for c in ("a", "c", "sse")])
 
 
@@ -84,8 +84,38 @@ scored AS (SELECT *, yy - 2 * a * yp - 2 * c * yq + a * a * pp + 2 * a * c * pq
 SELECT vec_id, arg_min(b, sse) AS b, arg_min(d, sse) AS d, round(arg_min(a, sse), 4) AS a, round(arg_min(c, sse), 4) AS c, round(min(sse), 4) AS sse FROM scored GROUP BY vec_id"""
 
 
+def _bounded_sql(first: str, second: str, grid: str, p: str, q: str, factors: tuple[str, str]) -> str:
+    """The best fit on a grid with both factors from 0 to 255: free where they fall inside, else the best of the four edges."""
+    edges = " UNION ALL ".join(
+        f"SELECT vec_id, i, u, v, pp, pq, qq, yp, yq, yy, {e}::DOUBLE AS a, greatest(0, least(255, (yq - {e} * pq) / qq)) AS c, {2 + n} AS o FROM fit UNION ALL "
+        f"SELECT vec_id, i, u, v, pp, pq, qq, yp, yq, yy, greatest(0, least(255, (yp - {e} * pq) / pp)), {e}::DOUBLE, {3 + n} FROM fit" for n, e in ((0, 0), (2, 255)))
+    a, c = factors
+    return f"""WITH {POINTS},
+    grid AS (SELECT row_number() OVER () AS i, u, v FROM (VALUES {grid}) g(u, v)),
+    shaped AS (SELECT s.vec_id, g.i, g.u, g.v, s.v AS y, {p} AS p, {q} AS q FROM pts s, grid g),
+    fit AS (SELECT vec_id, i, u, v, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(y * p) AS yp, sum(y * q) AS yq, sum(y * y) AS yy FROM shaped GROUP BY vec_id, i, u, v),
+    free AS (SELECT *, (yp * qq - yq * pq) / (pp * qq - pq * pq) AS a, (yq * pp - yp * pq) / (pp * qq - pq * pq) AS c, 1 AS o FROM fit),
+    inner_ AS (SELECT * FROM free WHERE a BETWEEN 0 AND 255 AND c BETWEEN 0 AND 255),
+    outer_ AS (SELECT e.* FROM ({edges}) e ANTI JOIN inner_ USING (vec_id, i)),
+    tried AS (SELECT *, yy - 2 * a * yp - 2 * c * yq + a * a * pp + 2 * a * c * pq + c * c * qq AS sse FROM (SELECT * FROM inner_ UNION ALL SELECT * FROM outer_)),
+    best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(sse, 6), i, o) = 1)
+    SELECT vec_id, u AS {first}, v AS {second}, round(a, 4) + 0.0 AS {a}, round(c, 4) + 0.0 AS {c}, round(sse, 4) AS sse, a <= 0 OR a >= 255 OR c <= 0 OR c >= 255 AS hit_bound FROM best"""
+
+
+def sigmoid_bounded_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid fit with values from 0 to 255, and whether one of them is a bound."""
+    found = with_fit(profiles(spark, sf_dir), "sigmoid", grid=_grid(GRID_K, GRID_Z), steps=0)
+    return found.select("vec_id", "k", "z0", *[(F.round(c, 4) + 0.0).alias(c) for c in ("upper", "lower")], F.round("sse", 4).alias("sse"), "hit_bound")
+
+
+def exp2_bounded_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid fit with factors from 0 to 255, and whether one of them is a bound."""
+    found = with_fit(profiles(spark, sf_dir), "exp2", grid=_grid(GRID_B, GRID_D), steps=0)
+    return found.select("vec_id", "b", "d", *[(F.round(c, 4) + 0.0).alias(c) for c in ("a", "c")], F.round("sse", 4).alias("sse"), "hit_bound")
+
+
 def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_fit(with_knee(profiles(spark, sf_dir)), "sigmoid", grid=_grid(GRID_K, GRID_Z), zooms=0, box=None)
+    found = with_fit(with_knee(profiles(spark, sf_dir)), "sigmoid", grid=_grid(GRID_K, GRID_Z), steps=0, box=None)
     return found.select("vec_id", "label", F.col("knee").cast("double").alias("knee"), F.col("z0").alias("inflection"), shoulder(F.col("z0"), F.col("k")).alias("shoulder"))
 
 
@@ -231,7 +261,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "sql_functions": sql_functions,
-    "knee_depth_by_label": knee_depth_by_label, "sigmoid_grid": sigmoid_grid, "exp2_grid": exp2_grid, "method_stability": method_stability_by_label,
+    "knee_depth_by_label": knee_depth_by_label, "sigmoid_grid": sigmoid_grid, "exp2_grid": exp2_grid, "sigmoid_bounded_grid": sigmoid_bounded_grid, "exp2_bounded_grid": exp2_bounded_grid, "method_stability": method_stability_by_label,
     "combined_depth": combined_depths, "lesion_stats": lesion_stats, "air_threshold": air_thresholds, "first_crossing_peak": first_crossing_peak,
     "moving_average_shrink": moving_average_shrink, "speckle_median": speckle_filter, "noise_floor": noise_floors, "robust_outliers": robust_outliers,
     "ascan_average": ascan_average, "grey_map": grey_map, "scan_inspection": scan_inspection,
@@ -242,6 +272,8 @@ ORACLE_SQL = {
     "knee_depth_by_label": f"WITH {KNEE_SQL} SELECT label, count(*) AS n, round(avg(knee), 6) AS mean_knee FROM embeddings JOIN knees USING (vec_id) GROUP BY label",
     "sigmoid_grid": f"WITH {POINTS}, {SIGMOID_SQL} SELECT vec_id, k, z0, round(upper, 4) AS upper, round(lower, 4) AS lower, round(sse, 4) AS sse FROM sig",
     "exp2_grid": EXP2_SQL,
+    "sigmoid_bounded_grid": _bounded_sql("k", "z0", _values(_grid(GRID_K, GRID_Z)), "1 / (1 + exp(g.u * (s.z - g.v)))", "1 - 1 / (1 + exp(g.u * (s.z - g.v)))", ("upper", "lower")),
+    "exp2_bounded_grid": _bounded_sql("b", "d", _values(_grid(GRID_B, GRID_D)), "exp(g.u * s.z)", "exp(g.v * s.z)", ("a", "c")),
     "method_stability": f"WITH {DEPTHS_SQL} SELECT label, method, n, round(mean, 6) AS mean, round(sd, 6) AS sd, stable FROM stab",
     "combined_depth": COMBINED_SQL, "lesion_stats": LESION_SQL, "air_threshold": AIR_SQL, "first_crossing_peak": CROSSING_SQL, "moving_average_shrink": MOVING_SQL,
     "speckle_median": SPECKLE_SQL, "noise_floor": NOISE_SQL, "robust_outliers": OUTLIER_SQL, "ascan_average": AVERAGE_SQL, "grey_map": GREY_SQL, "scan_inspection": INSPECT_SQL,

@@ -44,17 +44,47 @@ def test_knees():
 def test_sigmoid_fit_recovers_inflection():
     z = np.arange(60)
     y = 20 + 180 / (1 + np.exp(0.3 * (z - 30)))
-    k, z0, upper, lower, _ = depth.fitted(y[None], "sigmoid")[0]
+    k, z0, upper, lower, _, hit = depth.fitted(y[None], "sigmoid")[0]
     assert abs(z0 - 30) < 0.1 and abs(upper - 200) < 2 and abs(lower - 20) < 2
     draw = np.random.default_rng(2)
     noisy = y + draw.normal(0, 4, (20, 60))
     assert np.median(np.abs(depth.fitted(noisy, "sigmoid")[:, 1] - 30)) < 0.5
 
 
+@pytest.mark.parametrize("kind", ["sigmoid", "exp2"])
+def test_refined_fits_are_no_worse_than_finer_grids(kind):
+    draw = np.random.default_rng(7)
+    z = np.arange(120)
+    if kind == "sigmoid":
+        y = np.array([20 + 180 / (1 + np.exp(k * (z - m))) for k, m in zip(draw.uniform(0.03, 0.6, 25), draw.uniform(15, 100, 25))])
+        fine = [(k, m) for k in np.geomspace(0.02, 0.8, 60) for m in np.arange(10, 105, 1.0)]
+    else:
+        y = np.array([a * np.exp(b * z) + c * np.exp(d * z) for a, b, c, d in zip(draw.uniform(20, 200, 25), draw.uniform(-0.4, -0.05, 25), draw.uniform(10, 90, 25), draw.uniform(-0.02, 0, 25))])
+        fine = [(b, d) for b in -np.geomspace(0.03, 0.6, 60) for d in -np.geomspace(0.0001, 0.029, 50)]
+    y = y + draw.normal(0, 4, y.shape)
+    best, plain = depth.fitted(y, kind), depth.fitted(y, kind, np.array(fine), steps=0)
+    assert (best[:, 4] <= plain[:, 4] * (1 + 1e-9)).all() and not best[:, 5].any()
+    curve = depth._slopes(kind, z, best[:, :4])[0]
+    assert np.allclose(((y - curve) ** 2).sum(axis=1), best[:, 4])
+
+
+def test_fits_at_their_bounds_say_so(spark):
+    z = np.arange(60)
+    rows = [("low", (400 / (1 + np.exp(0.3 * (z - 30)))).tolist()), ("fine", (20 + 180 / (1 + np.exp(0.3 * (z - 30)))).tolist()), ("steep", np.where(z < 30, 200.0, 20.0).tolist()), ("short", [1.0])]
+    got = {r.id: r for r in depth.with_fit(spark.createDataFrame(rows, "id string, profile array<double>"), "sigmoid").collect()}
+    assert got["low"].hit_bound and got["low"].upper == 255 and not got["fine"].hit_bound and got["steep"].hit_bound and got["steep"].k == 2 and got["short"].hit_bound is None
+    slope = depth._slopes("exp2", z, np.array([[-0.2, -0.01, 100.0, 50.0]]))[1][0]
+    for i in range(4):
+        t = np.array([[-0.2, -0.01, 100.0, 50.0]] * 2)
+        t[:, i] += (-1e-6, 1e-6)
+        a, b = depth._slopes("exp2", z, t)[0]
+        assert np.allclose((b - a) / 2e-6, slope[:, i], atol=1e-4)
+
+
 def test_exp2_fit_stays_in_its_box():
     z = np.arange(60)
     y = 200 * np.exp(-z / 20) + 20
-    b, d, a, c, sse = depth.fitted(y[None], "exp2")[0]
+    b, d, a, c, sse, hit = depth.fitted(y[None], "exp2")[0]
     assert sse / 60 < 1 and 0 <= a <= 255 and 0 <= c <= 255 and -1 <= b <= 0 and -1 <= d <= 0
     out = depth.fitted((400 * np.exp(-z / 9))[None], "exp2")[0]
     assert 0 <= out[2] <= 255 and 0 <= out[3] <= 255
