@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def air_threshold(pixels: DataFrame, keys: list[str], value: str = "v", in_air: str | None = None) -> DataFrame:
+def value_counts(scans: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, air, v, n``: how often each whole value occurs in the profiles of each key, inside and outside its air rectangle.
+
+    ``scans`` has x, profile and the rectangle's air_left, air_top, air_right, air_bottom (ends exclusive), all null without one. A batch of
+    scans gives a row for each value that it holds, 256 a key and side for bytes, so pixels are never rows. Nulls aren't counted.
+    """
+    box = ["air_left", "air_top", "air_right", "air_bottom"]
+    kind = dict(scans.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            profiles = batch.column("profile")
+            sizes = np.array([len(p) if p.is_valid else 0 for p in profiles])
+            flat = profiles.flatten()
+            seen = flat.is_valid().to_numpy(zero_copy_only=False)
+            value = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            scan = np.repeat(np.arange(len(batch)), sizes)
+            row = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            x, left, top, right, bottom = (np.nan_to_num(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=-1.0) for c in ["x", *box])
+            air = ((x >= left) & (x < right))[scan] & (row >= top[scan]) & (row < bottom[scan])
+            code: dict[tuple, int] = {}
+            group = np.array([code.setdefault(k, len(code)) for k in zip(*(batch.column(c).to_pylist() for c in keys), strict=True)])
+            found, n = np.unique(np.stack((group[scan], air, value))[:, seen], axis=1, return_counts=True)
+            first = np.unique(group, return_index=True)[1]
+            same = pa.array(first[found[0]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in keys), pa.array(found[1].astype(bool)), pa.array(found[2]), pa.array(n.astype(np.int64))], [*keys, "air", "v", "n"])
+
+    return scans.select(*keys, "x", "profile", *box).mapInArrow(run, ", ".join(f"`{k}` {kind[k]}" for k in keys) + ", air boolean, v long, n long")
+
+
+def air_threshold(pixels: DataFrame, keys: list[str], value: str = "v", in_air: str | None = None, count: str | None = None) -> DataFrame:
     """Brightness that leaves air: 1.6 times the 95th percentile inside the air rectangle, or the median of the slice without one.
 
-    ``in_air`` names a boolean column; slices without a true row take the median. Nulls are ignored.
+    ``in_air`` names a boolean column; slices without a true row take the median. Nulls are ignored. ``count`` names how often a row's
+    value occurs (see ``value_counts``); the percentiles are those of all occurrences.
     """
-    v = F.col(value)
-    inside = F.percentile(F.when(F.col(in_air), v), F.lit(0.95)) * 1.6 if in_air else F.lit(None).cast("double")
-    return pixels.groupBy(*keys).agg(F.coalesce(inside, F.percentile(v, F.lit(0.5))).alias("threshold"))
+    v, n = F.col(value), F.col(count) if count else F.lit(1)
+    inside = F.percentile(F.when(F.col(in_air), v), F.lit(0.95), n) * 1.6 if in_air else F.lit(None).cast("double")
+    return pixels.groupBy(*keys).agg(F.coalesce(inside, F.percentile(v, F.lit(0.5), n)).alias("threshold"))
 
 
 def _series(keys: list[str], order: list[str]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Cells into which a key's range is cut at most; knots lie between cells.
 CELLS = 1 << 14
+#: Binomial coefficients.
+CHOOSE = np.array([[comb(n, k) for k in range(32)] for n in range(32)], dtype=np.float64)
 #: Unknowns up to which a system is solved as a full matrix.
 FULL = 300
 
@@ -31,7 +33,18 @@ class Fit:
         return (self.pieces[at] * u[:, None] ** np.arange(self.pieces.shape[1])).sum(axis=1)
 
 
+@lru_cache(maxsize=64)
+def _even_pieces(segments: int, degree: int) -> np.ndarray:
+    return _pieces(np.arange(segments + 1.0), degree)
+
+
 def basis_pieces(knots: np.ndarray, degree: int) -> np.ndarray:
+    """For each interval the polynomials of the ``degree + 1`` B-splines on it; those of equal intervals are kept, as they depend on their number only."""
+    width = np.diff(knots)
+    return _even_pieces(len(width), degree) if np.ptp(width) == 0 and len(width) <= 64 else _pieces(knots, degree)
+
+
+def _pieces(knots: np.ndarray, degree: int) -> np.ndarray:
     """For each interval the polynomials of the ``degree + 1`` B-splines on it, by the recursion of Cox and de Boor."""
     full = np.concatenate(([knots[0]] * degree, knots, [knots[-1]] * degree))
     own = np.arange(len(knots) - 1)
@@ -99,11 +112,16 @@ class Cells:
         size = np.diff(cuts)[own]
         offset, scale = (self.cell - cuts[own]) / size, 1 / size
 
-        def moved(values: np.ndarray, most: int) -> np.ndarray:
-            here = [sum(comb(k, i) * offset ** (k - i) * scale**i * values[:, i] for i in range(k + 1)) for k in range(most + 1)]
-            return np.stack([np.bincount(own, weights=h, minlength=len(cuts) - 1) for h in here], axis=1)
-
-        return moved(self.powers, 2 * self.degree), moved(self.loads, self.degree), np.bincount(own, weights=self.squares, minlength=len(cuts) - 1)
+        # (offset + scale * v) ** k, term by term
+        k, i = np.tril_indices(2 * self.degree + 1)
+        exponents = np.arange(2 * self.degree + 1)
+        up, down = offset[:, None] ** exponents, scale[:, None] ** exponents
+        shift = np.zeros((len(self.cell), len(exponents), len(exponents)))
+        shift[:, k, i] = CHOOSE[k, i] * up[:, k - i] * down[:, i]
+        d = self.degree + 1
+        powers, loads = (shift @ self.powers[:, : 2 * d - 1, None])[:, :, 0], (shift[:, :d, :d] @ self.loads[:, :d, None])[:, :, 0]
+        first = np.searchsorted(own, np.arange(len(cuts) - 1))
+        return tuple(np.add.reduceat(v, first, axis=0) for v in (powers, loads, self.squares))
 
     def system(self, cuts: np.ndarray) -> tuple:
         """What ``fit`` needs of the knots at ``cuts`` whatever the strength."""
@@ -168,13 +186,13 @@ class Cells:
             cuts = more
         total = float(residual.sum())
         if total <= budget and len(cuts) > 2:
-            low, high = -12.0, 9.0
-            for i in range(24):
-                middle = high if i == 0 else (low + high) / 2
+            low, high = -12.0, 6.0
+            for _ in range(24):
+                middle = (low + high) / 2
                 tried, rest, _ = self.fit(system, 10**middle)
                 if rest.sum() <= budget:
                     low, pieces, total = middle, tried, float(rest.sum())
-                    if i == 0:
+                    if total > 0.995 * budget:
                         break
                 else:
                     high = middle
@@ -201,13 +219,16 @@ def cell_sums(points: DataFrame, spans: DataFrame, keys: list[str], degree: int,
     low, high = F.least("_a", "start"), F.greatest("_b", F.col("end") - 1, F.col("_a") + 1)
     count = F.least("n", F.lit(cells)).cast("int")
     frame = frame.select(*keys, "start", "end", "n", low.alias("low"), ((high - low) / count).alias("width"), count.alias("count"), "middle")
-    placed = clean.join(frame.select(*keys, "low", "width", "count", "middle"), keys).withColumn("_at", (F.col("x") - F.col("low")) / F.col("width"))
-    placed = placed.withColumn("cell", F.least(F.floor("_at"), F.col("count") - 1).cast("int")).select(*keys, "cell", (F.col("_at") - F.col("cell")).alias("v"), (F.col("y") - F.col("middle")).alias("y"))
+    # what is known of a key goes along as part of it, so that it needn't be worked out and joined again
+    known = [*keys, *(c for c in frame.columns if c not in keys)]
+    placed = clean.join(frame, keys).withColumn("_at", (F.col("x") - F.col("low")) / F.col("width"))
+    placed = placed.withColumn("cell", F.least(F.floor("_at"), F.col("count") - 1).cast("int")).select(*known, "cell", (F.col("_at") - F.col("cell")).alias("v"), (F.col("y") - F.col("middle")).alias("y"))
     power = lambda k: reduce(lambda a, b: a * b, [F.col("v")] * k, F.lit(1.0))
     sums = [F.sum(power(k)).alias(f"s{k}") for k in range(2 * degree + 1)] + [F.sum(F.col("y") * power(k)).alias(f"l{k}") for k in range(degree + 1)] + [F.sum(F.col("y") * F.col("y")).alias("q")]
-    by_cell = placed.groupBy(*keys, "cell").agg(*sums)
-    listed = by_cell.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", *[c for c in by_cell.columns if c not in (*keys, "cell")]))).alias("cells"))
-    return frame.join(listed, keys)
+    # small rows make much work, so they are dealt by number and not by size
+    count = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_cell = placed.groupBy(*known, "cell").agg(*sums).repartition(count, *known)
+    return by_cell.groupBy(*known).agg(F.array_sort(F.collect_list(F.struct("cell", *[c for c in by_cell.columns if c not in (*known, "cell")]))).alias("cells"))
 
 
 def curve_fits(points: DataFrame, spans: DataFrame, keys: list[str], degree: int = 5, smoothing: float = 0.5, multiplier: float = 3.0, cells: int = CELLS) -> DataFrame:

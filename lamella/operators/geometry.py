@@ -127,23 +127,28 @@ def turned_centres(centres: DataFrame, curve: DataFrame, keys: list[str], reach:
     return rows.select(*keys, "kind", "index", "centre", "y", F.coalesce(F.atan(slope), F.lit(0.0)).alias("angle"))
 
 
-def region_pixels(centres: DataFrame, curve: DataFrame, pixels: DataFrame, keys: list[str], size: int = 24, offset: int = 10) -> DataFrame:
+def region_pixels(centres: DataFrame, curve: DataFrame, scans: DataFrame, keys: list[str], size: int = 24, offset: int = 10) -> DataFrame:
     """Pixels of square regions below the fitted surface, turned with it: ``keys, kind, index, pixel, v``.
 
-    Each of ``size`` by ``size`` places is turned about the centre and read at the nearest pixel, halves
-    going to the even one; places outside the picture are left out.
+    Each of ``size`` by ``size`` places is turned about the centre and read at the nearest pixel, halves going to the even
+    one; places outside the picture are left out. ``scans`` has x and profile, a column of the picture: a region
+    meets each column that it touches once, with the list of its places there, and their values are taken from the array.
     """
     placed = turned_centres(centres, curve, keys)
-    places = F.sequence(F.lit(0), F.lit(size * size - 1))
-    rows = placed.select(*keys, "kind", "index", "centre", "y", "angle", F.explode(places).alias("pixel"))
     half = size / 2
-    dx, dy = F.col("pixel") % size - half, F.floor(F.col("pixel") / size) - half
     middle = F.col("y") + offset + half
-    rows = rows.withColumns({
-        "x": F.bround(F.col("centre") + dx * F.cos("angle") - dy * F.sin("angle")).cast("int"),
-        "_y": F.bround(middle + dx * F.sin("angle") + dy * F.cos("angle")).cast("int"),
-    }).drop("y").withColumnRenamed("_y", "y")
-    return rows.join(pixels, [*keys, "x", "y"]).select(*keys, "kind", "index", "pixel", "v")
+
+    def place(pixel: Column) -> Column:
+        dx, dy = pixel % size - half, F.floor(pixel / size) - half
+        x = F.bround(F.col("centre") + dx * F.cos("angle") - dy * F.sin("angle")).cast("int")
+        return F.struct(pixel.alias("pixel"), x.alias("x"), F.bround(middle + dx * F.sin("angle") + dy * F.cos("angle")).cast("int").alias("y"))
+
+    rows = placed.select(*keys, "kind", "index", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), place).alias("_places"))
+    rows = rows.withColumn("x", F.explode(F.array_distinct(F.col("_places.x"))))
+    here = F.filter("_places", lambda p: (p["x"] == F.col("x")) & (p["y"] >= 0))
+    met = rows.select(*keys, "kind", "index", "x", here.alias("_places")).join(scans.select(*keys, "x", "profile"), [*keys, "x"])
+    read = F.transform(F.filter("_places", lambda p: p["y"] < F.size("profile")), lambda p: F.struct(p["pixel"].alias("pixel"), F.get("profile", p["y"]).alias("v")))
+    return met.select(*keys, "kind", "index", F.inline(read)).where("v is not null")
 
 
 def region_statistics(sampled: DataFrame, keys: list[str]) -> DataFrame:

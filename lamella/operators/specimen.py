@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lamella.functions.profiles import first_crossing, refracted_depth, surface_peak
-from lamella.operators.ascan import air_threshold
+from lamella.operators.ascan import air_threshold, value_counts
 from lamella.operators.depth import combined_depth, lesion_statistics, long_form, method_stability, primary_depth, shoulder, with_fit, with_knee
 from lamella.operators.geometry import region_centres, region_pixels, region_statistics
 from lamella.operators.surface import cavitation, cut, density_clusters, depth_curve, fitted_curve, large_clusters, reference_curve
@@ -33,19 +33,14 @@ def scans_of(slices: DataFrame) -> DataFrame:
     return slices.select(*KEYS, "height", "width", "pixels").mapInArrow(run, "specimen_id string, slice int, x int, profile array<smallint>")
 
 
-def pixels_of(scans: DataFrame) -> DataFrame:
-    return scans.select(*KEYS, "x", F.posexplode("profile").alias("y", "v"))
-
-
 def detected_surface(scans: DataFrame, configs: DataFrame, start_row: int = 25, least: int = 10, above: int = 180) -> dict[str, DataFrame]:
     """Raw and clustered surface points and both curves of each slice of ``configs``.
 
     ``configs(specimen_id, slice, start_x, lesion_start_x, lesion_end_x, end_x, buffer, air_left, air_top, air_right,
     air_bottom)``; without an air rectangle the slice's median is the threshold, without bounds the whole width counts.
     """
-    pixels = pixels_of(scans).join(configs.select(*KEYS, "air_left", "air_top", "air_right", "air_bottom"), KEYS)
-    inside = F.col("x").between(F.col("air_left"), F.col("air_right") - 1) & F.col("y").between(F.col("air_top"), F.col("air_bottom") - 1)
-    thresholds = air_threshold(pixels.withColumn("air", F.coalesce(inside, F.lit(False))), KEYS, "v", "air")
+    counted = value_counts(scans.join(configs.select(*KEYS, "air_left", "air_top", "air_right", "air_bottom"), KEYS), KEYS)
+    thresholds = air_threshold(counted, KEYS, "v", "air", "n")
     crossing = scans.join(thresholds, KEYS).withColumn("crossing", first_crossing(F.col("profile"), F.col("threshold"), start_row))
     raw = cut(crossing.select(*KEYS, "x", surface_peak(F.col("profile"), F.col("crossing")).alias("y")).where("y is not null"))
     clustered = density_clusters(raw.withColumn("pid", F.col("x")), KEYS, least=least)
@@ -90,7 +85,7 @@ def analysed(slices: DataFrame, configs: DataFrame, n_sound: int = 6, n_lesion:
     surface = detected_surface(scans, configs, least=least, above=above)
     cavities = cavitation(surface["actual"], surface["reference"], configs, KEYS)
     centres = region_centres(configs.where("lesion_start_x is not null"), KEYS, n_sound, n_lesion)
-    regions = region_pixels(centres, surface["actual"], pixels_of(scans), KEYS)
+    regions = region_pixels(centres, surface["actual"], scans, KEYS)
     depths = cut(lesion_depths(lesion_profiles(scans, surface["actual"], configs), surface, cavities, method))
     spans = depths.groupBy(*KEYS).agg(F.min("x").alias("start"), (F.max("x") + 1).alias("end"))
     smoothed = depth_curve(depths.select(*KEYS, "x", (F.col("surface_y") + F.col("depth")).alias("y")), spans, KEYS)

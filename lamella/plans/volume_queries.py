@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lamella.operators import results
+from lamella.operators import geometry, results
+from lamella.operators.ascan import air_threshold, value_counts
 from lamella.operators.geometry import equidistant_rounded, equidistant_truncated, interpolated_keyframes, polyline_length, region_centres, region_statistics, resliced, slices_to_load, turned_centres, zoomed
 from lamella.operators.surface import cavitation, density_clusters, large_clusters
 from lamella.plans.common import POINTS, profiles, r6, table
@@ -150,6 +151,43 @@ SELECT r.user_id, 'sound' AS kind, CAST(r.x // 7 AS BIGINT) AS "index", r.x AS c
 FROM r LEFT JOIN c p ON p.user_id = r.user_id AND p.x = l LEFT JOIN c q ON q.user_id = r.user_id AND q.x = h"""
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as scans of bytes: a picture for each label, a column for each vector."""
+    x = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    level = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 200 * e.cast("double")))).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", x.alias("x"), level.alias("profile"))
+
+
+SCANS = """s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS x, embedding FROM embeddings),
+px AS (SELECT label, vec_id, x, unnest(range(0, len(embedding))) AS y, CAST(greatest(0, least(255, floor(128 + 200 * CAST(unnest(embedding) AS DOUBLE)))) AS INTEGER) AS v FROM s)"""
+
+
+def region_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of eight by eight below a surface that rises and falls from scan to scan, at every fifth scan."""
+    scans = _scans(spark, sf_dir)
+    curve = scans.select("label", "x", (5 + F.col("vec_id") % 13).cast("double").alias("y"))
+    centres = scans.where("x % 5 = 0").select("label", F.lit("sound").alias("kind"), F.floor(F.col("x") / 5).alias("index"), F.col("x").alias("centre"))
+    return geometry.region_pixels(centres, curve, scans, ["label"], size=8, offset=3)
+
+
+REGION_SQL = f"""WITH {SCANS}, c AS (SELECT label, x, CAST(5 + vec_id % 13 AS DOUBLE) AS y FROM s), b AS (SELECT label, max(x) AS high FROM c GROUP BY label),
+r AS (SELECT c.*, greatest(0, c.x - 10) AS l, least(high, c.x + 10) AS h FROM c JOIN b USING (label) WHERE c.x % 5 = 0),
+t AS (SELECT r.*, coalesce(atan((q.y - p.y) / nullif(h - l, 0)), 0.0) AS angle FROM r JOIN c p ON p.label = r.label AND p.x = l JOIN c q ON q.label = r.label AND q.x = h),
+g AS (SELECT *, pixel % 8 - 4 AS dx, pixel // 8 - 4 AS dy FROM (SELECT *, unnest(range(0, 64)) AS pixel FROM t)),
+at_ AS (SELECT label, x // 5 AS i, pixel, CAST(round_even(x + dx * cos(angle) - dy * sin(angle), 0) AS INTEGER) AS px, CAST(round_even(y + 3 + 4 + dx * sin(angle) + dy * cos(angle), 0) AS INTEGER) AS py FROM g)
+SELECT a.label, 'sound' AS kind, CAST(i AS BIGINT) AS "index", CAST(pixel AS INTEGER) AS pixel, v FROM at_ a JOIN px ON px.label = a.label AND px.x = a.px AND px.y = a.py"""
+
+
+def counted_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds from counts of values; every second picture has an air rectangle."""
+    corner = lambda n: F.when(F.col("label") % 2 == 0, F.lit(n))
+    scans = _scans(spark, sf_dir).withColumns({"air_left": corner(3), "air_top": corner(5), "air_right": corner(30), "air_bottom": corner(31)})
+    return air_threshold(value_counts(scans, ["label"]), ["label"], "v", "air", "n").select("label", r6("threshold").alias("threshold"))
+
+
+COUNTED_SQL = f"""WITH {SCANS} SELECT label, round(coalesce(quantile_cont(v, 0.95) FILTER (label % 2 = 0 AND x BETWEEN 3 AND 29 AND y BETWEEN 5 AND 30) * 1.6, quantile_cont(v, 0.5)), 6) AS threshold FROM px GROUP BY label"""
+
+
 def region_pixels_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixel = Window.partitionBy("slice", "kind", "index").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = _regions(spark, sf_dir).withColumn("pixel", F.row_number().over(pixel) - 1)
@@ -253,11 +291,11 @@ QUERIES = {
     "equidistant_trunc": equidistant_trunc, "equidistant_round": equidistant_round, "slices_loaded": slices_loaded, "keyframe_interpolation": keyframe_interpolation, "cavitation": cavitations,
     "region_layout": region_layout, "region_stats": region_stats, "region_summary": region_summary, "region_pixels_wide": region_pixels_wide, "surface_depth_long": surface_depth_long,
     "region_counts": region_counts, "polyline_length": polyline_lengths, "reslice": reslice, "nearest_zoom": nearest_zoom, "density_clusters": clusters, "cluster_points": cluster_points,
-    "turned_regions": turned_regions,
+    "turned_regions": turned_regions, "region_pixels": region_pixels, "counted_thresholds": counted_thresholds,
 }
 ORACLE_SQL = {
     "equidistant_trunc": TRUNC_SQL, "equidistant_round": ROUND_SQL, "slices_loaded": LOADED_SQL, "keyframe_interpolation": KEYFRAME_SQL, "cavitation": CAVITY_SQL, "region_layout": LAYOUT_SQL,
     "region_stats": STATS_SQL, "region_summary": SUMMARY_SQL, "region_pixels_wide": WIDE_SQL, "surface_depth_long": LONG_SQL, "region_counts": COUNTS_SQL, "polyline_length": LENGTH_SQL,
     "reslice": RESLICE_SQL, "nearest_zoom": ZOOM_SQL, "density_clusters": CLUSTER_SQL, "cluster_points": POINTS_SQL,
-    "turned_regions": TURNED_SQL,
+    "turned_regions": TURNED_SQL, "region_pixels": REGION_SQL, "counted_thresholds": COUNTED_SQL,
 }
