@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lamella.operators.series import sliding
+
 
 def value_counts(scans: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, air, v, n``: how often each whole value occurs in the profiles of each key, inside and outside its air rectangle.
@@ -90,9 +92,9 @@ def speckle_median_square(pixels: DataFrame, keys: list[str], below: float = 50.
     return pixels.join(medians, [*keys, "x", "y"], "left").withColumn(out, F.coalesce("_m", F.col("v").cast("double"))).drop("_m")
 
 
-def noise_floor(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "noise") -> DataFrame:
-    """Running mean of a noise estimate over 256 scans, those beyond the ends counted as 0."""
-    return df.withColumn(out, F.sum(value).over(_series(keys, order).rowsBetween(-128, 127)) / 256)
+def noise_floor(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "noise", block: int = 8192) -> DataFrame:
+    """Running mean of a noise estimate over 256 scans, those beyond the ends counted as 0; series are cut into blocks with borders."""
+    return sliding(df, keys, order, 128, 127, lambda w: F.sum(value).over(w) / 256, out, block)
 
 
 def averaged_scans(points: DataFrame, keys: list[str], scan: str, n: int) -> DataFrame:

@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lamella.operators.ascan import without_outliers
 from lamella.operators.curves import fitted_curve
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names; where none is named one is made if all run on one machine, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+from lamella.operators.lineage import cut
 
 
 def _across(here: DataFrame, there: DataFrame, keys: list[str], eps: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lamella.functions import cells, rules
 from lamella.operators import queue, results
+from lamella.operators.series import placed
 from lamella.plans.common import r6, table
 from lamella.sources.files import sidecar_settings, stacks_of
 from lamella.streaming.measurements import folded, progress, restored, save_points, surviving, undone_from
@@ -171,9 +172,9 @@ SELECT p_partkey, CASE WHEN ok THEN printf('#%02x%02x%02x', r, g, b) ELSE 'bad'
 
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host in the natural order of their addresses."""
-    w = Window.partitionBy("host").orderBy(cells.natural_key(F.col("url")), "page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"))
-    return pages.select("page_id", "host", F.row_number().over(w).alias("place"))
+    order = [cells.natural_key(F.col("url")), "page_id"]
+    return placed(pages, ["host"], order).select("page_id", "host", (F.col("place") + 1).cast("int").alias("place"))
 
 
 NATURAL_SQL = """WITH p AS (SELECT page_id, url, split_part(url, '/', 3) AS host, list_transform(regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(regexp_replace(x, '^0+(.)', '\\1'), 20, '0') ELSE x END) AS k FROM pages)

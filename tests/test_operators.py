@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import cells, profiles, rules
-from lamella.operators import curves, depth, geometry, queue, results, spectral, surface
+from lamella.operators import ascan, curves, depth, geometry, queue, results, series, spectral, surface
 from lamella.functions.register import register
 from lamella.operators.overlay import overlay, region_corners
 from lamella.operators.specimen import analysed
@@ -129,6 +129,31 @@ def test_shoulder_modes(spark):
     assert one(spark, depth.shoulder(z0, k, "analytic")) == pytest.approx(30 - 1.7346 / 0.5, abs=1e-3)
 
 
+# --- long series
+
+
+@pytest.mark.parametrize("block", [10, 300, 8192])
+def test_windows_are_whole_at_the_joints_of_blocks(spark, block):
+    draw = np.random.default_rng(block)
+    rows = [(str(draw.choice(["a", "a", "a", "b"])) if i % 50 else None, int(i), float(draw.normal())) for i in draw.permutation(900)]
+    got = {r.i: r.noise for r in ascan.noise_floor(spark.createDataFrame(rows, "s string, i int, v double"), ["s"], ["i"], "v", block=block).collect()}
+    for key in ("a", "b", None):
+        own = sorted((i, v) for s, i, v in rows if s == key)
+        for at, (i, _) in enumerate(own):
+            assert got[i] == pytest.approx(sum(v for _, v in own[max(0, at - 128) : at + 128]) / 256)
+    assert len(got) == 900
+
+
+def test_places_in_one_large_group(spark):
+    df = spark.range(20_000, numPartitions=4).select(F.lit("host").alias("k"), F.xxhash64("id").alias("v"), (F.col("id") % 7).alias("w"))
+    found = series.placed(df, ["k"], [F.col("w"), "v"])
+    rows = found.orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(20_000)) and [(r.w, r.v) for r in rows] == sorted((r.w, r.v) for r in rows)
+    held = df.repartitionByRange(4, "k", "w", "v").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 4 and max(r["count"] for r in held) < 10_000  # a group of all rows lies in all tasks
+    assert series.placed(df.limit(0), ["k"], ["v"]).count() == 0
+
+
 # --- surfaces
 
 
