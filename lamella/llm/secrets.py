@@ -88,6 +88,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """The ``AROUND`` characters on either side of a string, without other copies of it, whole or cut by the window's ends."""
+    own, low, high = text[start:end], max(0, start - AROUND), min(len(text), end + AROUND)
+    at = text.find(own, max(0, low - len(own) + 1), low + len(own) - 1)
+    low = at + len(own) if at >= 0 and at < low else low
+    at = text.find(own, max(end, high - len(own) + 1), high + len(own) - 1)
+    high = at if at >= 0 and at < high < at + len(own) else high
+    return (text[min(low, start) : start] + text[end : max(high, end)]).replace(own, " ")
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
     """Strings near a sensitive word, or in the line after one that is reported, which are new where they stand."""
     low = text.lower()
@@ -117,7 +127,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
         at = bisect_left(taken_ends, start + 1)
         if at < len(taken) and taken[at][0] < end:
             continue
-        if novelty.reports(m[0], text[max(0, start - AROUND) : start] + text[end : end + AROUND]):
+        if novelty.reports(m[0], surroundings(text, start, end)):
             found.append((start, end, "novel"))
     return found
 
@@ -149,7 +159,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     A ``novel`` span is a string of 12 or more characters, a letter among them (numbers and addresses are none), within ``REACH`` characters of a sensitive word,
     before or after it, in its line or another (or in the line after such a span), which is new where it stands:
-    beside its surroundings and a dictionary of identifiers and of the corpus's commonest words it costs at least
+    beside its surroundings, other copies of it left out, and a dictionary of identifiers and of the corpus's commonest words it costs at least
     four fifths of the compressed bytes that its own characters cost there in a drawn order, whatever its length, and its
     pairs of characters are not those of the corpus's words. It never overlaps a span of the fixed patterns.
 

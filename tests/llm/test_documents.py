@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
+from lamella.llm import secrets
 from lamella.llm.fingerprints import PrefixHash, compared_fingerprints, joined, sketch
 from lamella.llm.line_dedup import aligned_blocks, patience, without_common_blocks
 from lamella.llm.pseudonyms import KINDS, permuted_number, pseudonymise
@@ -74,6 +75,20 @@ def test_compared_fingerprints_edges(spark):
 # --- secrets
 
 
+def test_repeated_secrets_are_all_found():
+    novelty = secrets.Novelty(["document", "language"])
+    draw = random.Random(4)
+    for i in range(100):
+        key = "".join(draw.choices(string.ascii_letters + string.digits, k=12 + i % 28))
+        text = f"the secret we use is {key} and again {key}, once more {key} for now"
+        if sum(c.isalpha() for c in key) and not secrets.base_spans(text):
+            assert [text[a:b] for a, b, _ in secrets.novel_spans(text, [], novelty)] == [key] * 3
+    key = "".join(draw.choices(string.ascii_letters + string.digits, k=30))
+    text = f"secret {key} " * 3000
+    assert len(secrets.novel_spans(text, [], novelty)) == 3000
+    assert secrets.surroundings(key * 40, 600, 630) == " " * 16  # of the copies that the window's ends cut nothing is left
+
+
 def test_secret_spans_against_plain(spark):
     texts = [
         'a token = "0123456789abcdef0123" b',
