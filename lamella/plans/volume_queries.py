@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lamella.operators import geometry, results
 from lamella.operators.ascan import air_threshold, value_counts
 from lamella.operators.geometry import equidistant_rounded, equidistant_truncated, interpolated_keyframes, polyline_length, region_centres, region_statistics, resliced, slices_to_load, turned_centres, zoomed
+from lamella.operators.stacks import resliced_stack, zoomed_stack
 from lamella.operators.surface import cavitation, density_clusters, large_clusters
 from lamella.plans.common import POINTS, profiles, r6, table
 
@@ -257,6 +260,36 @@ ZOOM_SQL = f"""WITH {VOLUME}, t AS (SELECT CAST(r AS INTEGER) AS row, CAST(floor
 SELECT volume, slice AS k, row, col, round(v, 6) AS v FROM vol JOIN t USING (y) JOIN u USING (x)"""
 
 
+def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same volumes as pictures of bytes, a slice a row."""
+    level = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 200 * e.cast("double")))).cast("int")
+    pixels = F.unhex(F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(level(e)), 2, "0")), ""))
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select((F.col("vec_id") / 4).cast("int").cast("string").alias("volume_id"), (F.col("vec_id") % 4).cast("int").alias("slice"), F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("pixels"))
+
+
+def _weighed(stack: DataFrame) -> DataFrame:
+    """A number that changes with every pixel of a picture, and its size."""
+    digits = F.sequence(F.lit(0), F.length("pixels") - 1)
+    hexed = F.hex("pixels")
+    weight = F.transform(digits, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long") * (F.floor(i / F.col("width")) * 100 + i % F.col("width") + 1))
+    return stack.select(F.col("volume_id").cast("int").alias("volume"), F.col("slice").alias("k"), "height", "width", F.aggregate(weight, F.lit(0).cast("long"), lambda a, b: a + b).alias("s"))
+
+
+def reslice_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of bytes along all axes, and zoomed."""
+    stack = _stack(spark, sf_dir)
+    found = [_weighed(resliced_stack(stack, d, 256)).withColumn("direction", F.lit(d)) for d in ("XZ", "YZ", "XY")]
+    return reduce(DataFrame.unionByName, [*found, _weighed(zoomed_stack(stack, 1.33, 2.0)).withColumn("direction", F.lit("zoomed"))])
+
+
+_BYTE = "CAST(greatest(0, least(255, floor(128 + 200 * v))) AS BIGINT)"
+RESLICE_STACK_SQL = f"WITH {VOLUME}, t AS (SELECT CAST(r AS INTEGER) AS row, CAST(floor(r * 7.0 / 10 + 0.5) AS INTEGER) AS y FROM range(0, 11) a(r)), u AS (SELECT CAST(c AS INTEGER) AS col, CAST(floor(c * 7.0 / 15 + 0.5) AS INTEGER) AS x FROM range(0, 16) b(c)) " + " UNION ALL ".join(
+    f"SELECT volume, {k} AS k, CAST(max({row}) + 1 AS INTEGER) AS height, CAST(max({col}) + 1 AS INTEGER) AS width, CAST(sum({_BYTE} * ({row} * 100 + {col} + 1)) AS BIGINT) AS s, '{d}' AS direction FROM {source} GROUP BY volume, {k}"
+    for d, k, row, col, source in (("XZ", "slice", "y", "x", "vol"), ("YZ", "x", "y", "slice", "vol"), ("XY", "y", "slice", "x", "vol"), ("zoomed", "slice", "row", "col", "vol JOIN t USING (y) JOIN u USING (x)"))
+)
+
+
 def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("user_id", F.col("event_id").alias("pid"), F.col("x").cast("double").alias("x"), F.col("value").alias("y"))
 
@@ -291,11 +324,11 @@ QUERIES = {
     "equidistant_trunc": equidistant_trunc, "equidistant_round": equidistant_round, "slices_loaded": slices_loaded, "keyframe_interpolation": keyframe_interpolation, "cavitation": cavitations,
     "region_layout": region_layout, "region_stats": region_stats, "region_summary": region_summary, "region_pixels_wide": region_pixels_wide, "surface_depth_long": surface_depth_long,
     "region_counts": region_counts, "polyline_length": polyline_lengths, "reslice": reslice, "nearest_zoom": nearest_zoom, "density_clusters": clusters, "cluster_points": cluster_points,
-    "turned_regions": turned_regions, "region_pixels": region_pixels, "counted_thresholds": counted_thresholds,
+    "turned_regions": turned_regions, "region_pixels": region_pixels, "counted_thresholds": counted_thresholds, "reslice_stack": reslice_stack,
 }
 ORACLE_SQL = {
     "equidistant_trunc": TRUNC_SQL, "equidistant_round": ROUND_SQL, "slices_loaded": LOADED_SQL, "keyframe_interpolation": KEYFRAME_SQL, "cavitation": CAVITY_SQL, "region_layout": LAYOUT_SQL,
     "region_stats": STATS_SQL, "region_summary": SUMMARY_SQL, "region_pixels_wide": WIDE_SQL, "surface_depth_long": LONG_SQL, "region_counts": COUNTS_SQL, "polyline_length": LENGTH_SQL,
     "reslice": RESLICE_SQL, "nearest_zoom": ZOOM_SQL, "density_clusters": CLUSTER_SQL, "cluster_points": POINTS_SQL,
-    "turned_regions": TURNED_SQL, "region_pixels": REGION_SQL, "counted_thresholds": COUNTED_SQL,
+    "turned_regions": TURNED_SQL, "region_pixels": REGION_SQL, "counted_thresholds": COUNTED_SQL, "reslice_stack": RESLICE_STACK_SQL,
 }

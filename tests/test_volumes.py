@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamella.operators.stacks import resliced_stack, zoomed_stack
 from lamella.sources import archives
 from lamella.sources.volumes import Wanted, asked_slices, parse_ranges, volume_slices
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringContains, StringStartsWith
@@ -138,6 +139,35 @@ def test_folders_that_are_none(spark, folder, tmp_path):
         spark.read.format("oct_archive").schema("nonsense int").load(str(folder)).count()
 
 
+@pytest.mark.parametrize("task_bytes", [1, 200, 1 << 25])
+def test_stacks_along_other_axes(spark, task_bytes):
+    draw = np.random.default_rng(task_bytes)
+    volumes = {"a": draw.integers(0, 256, (7, 5, 9), dtype=np.uint8), "b": draw.integers(0, 256, (1, 3, 2), dtype=np.uint8)}
+    schema = "volume_id string, slice int, height int, width int, pixels binary"
+    rows = [(k, 2 * i, *p.shape, p.tobytes()) for k, v in volumes.items() for i, p in enumerate(v)]
+    odd = [("size", 0, 2, 2, bytes(4)), ("size", 1, 2, 3, bytes(6)), ("twice", 0, 1, 1, b"x"), ("twice", 0, 1, 1, b"x"), ("short", 0, 2, 2, b"123"), ("none", 0, 1, 1, None)]
+    stack = spark.createDataFrame(rows + odd, schema).repartition(3)
+    for direction, axes in (("YZ", (2, 1, 0)), ("XY", (1, 0, 2))):
+        got = {(r.volume_id, r["slice"]): np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.height, r.width) for r in resliced_stack(stack, direction, task_bytes).collect()}
+        want = {(k, i): p for k, v in volumes.items() for i, p in enumerate(v.transpose(axes))}
+        assert set(got) == set(want) and all((got[k] == want[k]).all() for k in want)
+    assert resliced_stack(stack, "XZ").count() == len(rows) + len(odd) and resliced_stack(stack.limit(0), "YZ").count() == 0
+
+
+def test_tiles_are_what_is_shuffled(spark):
+    stack = spark.range(64).select(F.lit("v").alias("volume_id"), F.col("id").cast("int").alias("slice"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.unhex(F.repeat(F.lit("7f"), 4096)).alias("pixels"))
+    found = resliced_stack(stack, "YZ", 64 * 64 * 16)
+    assert found.count() == 64 and "posexplode" not in found._jdf.queryExecution().toString()
+
+
+def test_zoomed_stacks(spark):
+    picture = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    stack = spark.createDataFrame([("a", 0, 3, 4, picture.tobytes()), ("b", 0, 3, 4, b"1")], "volume_id string, slice int, height int, width int, pixels binary")
+    rows = zoomed_stack(stack, 2.0, 0.1).collect()
+    assert len(rows) == 1 and (rows[0].height, rows[0].width) == (6, 1) and list(rows[0].pixels) == [0, 0, 4, 4, 8, 8]
+    assert bytes(zoomed_stack(stack).first().pixels) == picture.tobytes()
+
+
 def test_filters():
     wanted = Wanted(only=parse_ranges("1, 3-6"))
     assert [wanted.narrow(f) for f in (GreaterThan(("slice",), 1), LessThanOrEqual(("slice",), 5), In(("path",), ("a", "ab", "b")), StringStartsWith(("path",), "a"), StringContains(("path",), "b"), EqualTo(("height",), 3))] == [True, True, True, True, False, False]
