@@ -92,13 +92,13 @@ def test_processed_order(spark, tmp_path):
 
 def test_spectral_slices(spark, tmp_path):
     draw = np.random.default_rng(1)
-    spectra = draw.integers(500, 1500, (2, 68, 64)).astype("<i2")
+    spectra = draw.integers(500, 1500, (2, 52, 64)).astype("<i2")
     members = {"Header.xml": HEADER.format(kind="RawSpectra", z=32, x=4, y=2), archives.CHIRP: np.arange(64, dtype="<f4").tobytes(), archives.OFFSETS: np.zeros(64, dtype="<f4").tobytes()}
     archive(tmp_path / "r.oct", members | {archives.SPECTRAL % i: spectra[i].tobytes() for i in range(2)})
     headers = archives.read_headers(read(spark, tmp_path, ["Header.xml"]))
     rows = archives.spectral_slices(read(spark, tmp_path, ["data/*.data"]), headers)
     got = reconstruct(rows).collect()
-    assert {(r.slice, r.height, r.width) for r in got} == {(0, 32, 1), (1, 32, 1)}
+    assert {(r.slice, r.height, r.width) for r in got} == {(0, 32, 2), (1, 32, 2)}
     some = spark.createDataFrame([(got[0].volume_id, 1)], "volume_id string, slice int")
     assert [r.slice for r in reconstruct(archives.spectral_slices(read(spark, tmp_path, ["data/*.data"]), headers, some)).collect()] == [1]
 
