@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,26 @@ def knees(rows: np.ndarray) -> np.ndarray:
     return (errors <= errors.min(axis=1, keepdims=True) + TIE).argmax(axis=1) + 1
 
 
+def _products(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The sums over depths of products of every row of ``y`` and of ``p``, added from the top down as a running sum does.
+
+    A matrix product adds in an order that depends on the number of rows and the machine, and with it the last bits of an error.
+    """
+    total = y[:, :1] * p[:, 0]
+    for z in range(1, y.shape[1]):
+        total += y[:, z : z + 1] * p[:, z]
+    return total
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Exponentials by the machine's mathematical library, to the last bit, for the few points of a grid."""
+    return np.array([exp(v) for v in x.ravel().tolist()]).reshape(x.shape)
+
+
 def _solved(y: np.ndarray, p: np.ndarray, q: np.ndarray, low: float | None, high: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least-squares (a, c, sse) of ``y ~ a p + c q`` for every row of y and pair of shapes, within a box if one is given."""
-    pp, pq, qq = (p * p).sum(1), (p * q).sum(1), (q * q).sum(1)
-    yp, yq, yy = y @ p.T, y @ q.T, (y * y).sum(1)[:, None]
+    pp, pq, qq, yy = (np.cumsum(v, axis=1)[:, -1] for v in (p * p, p * q, q * q, y * y))
+    yp, yq, yy = _products(y, p), _products(y, q), yy[:, None]
     sse = lambda a, c: yy - 2 * a * yp - 2 * c * yq + a * a * pp + 2 * a * c * pq + c * c * qq
     det = pp * qq - pq * pq
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -62,9 +79,20 @@ def _solved(y: np.ndarray, p: np.ndarray, q: np.ndarray, low: float | None, high
     return best_a, best_c, best
 
 
-def _best(y: np.ndarray, grid: np.ndarray, shapes, low, high) -> tuple[np.ndarray, ...]:
-    p, q = shapes(grid)
-    a, c, sse = _solved(y, p, q, low, high)
+def _levelled(y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least-squares (a, c, sse) of ``y ~ a s + c (1 - s)`` for every row of y and shape, by level and slope."""
+    n, (ss, sss, sy, syy) = y.shape[1], (np.cumsum(v, axis=1)[:, -1] for v in (s, s * s, y, y * y))
+    sy, syy, ssy = sy[:, None], syy[:, None], _products(y, s)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = (n * ssy - ss * sy) / (n * sss - ss * ss)
+    level = (sy - slope * ss) / n
+    sse = syy - 2 * level * sy - 2 * slope * ssy + n * level * level + 2 * level * slope * ss + slope * slope * sss
+    return level + slope, level, np.where(np.isfinite(slope), sse, np.inf)
+
+
+def _best(y: np.ndarray, grid: np.ndarray, kind: str, low, high) -> tuple[np.ndarray, ...]:
+    p, q = (sigmoid_shapes if kind == "sigmoid" else exp2_shapes)(y.shape[1])(grid)
+    a, c, sse = _levelled(y, p) if kind == "sigmoid" and low is None else _solved(y, p, q, low, high)
     at = sse.argmin(axis=1)
     i = np.arange(len(y))
     return grid[at, 0], grid[at, 1], a[i, at], c[i, at], sse[i, at]
@@ -74,7 +102,7 @@ def sigmoid_shapes(n: int):
     z = np.arange(n)
 
     def shapes(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        upper = 1 / (1 + np.exp(np.clip(grid[:, :1] * (z - grid[:, 1:]), -700, 700)))
+        upper = 1 / (1 + _exp(np.clip(grid[:, :1] * (z - grid[:, 1:]), -700, 700)))
         return upper, 1 - upper
 
     return shapes
@@ -82,7 +110,7 @@ def sigmoid_shapes(n: int):
 
 def exp2_shapes(n: int):
     z = np.arange(n)
-    return lambda grid: (np.exp(grid[:, :1] * z), np.exp(grid[:, 1:] * z))
+    return lambda grid: (_exp(grid[:, :1] * z), _exp(grid[:, 1:] * z))
 
 
 def _slopes(kind: str, z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,14 +160,13 @@ def fitted(y: np.ndarray, kind: str, grid: np.ndarray | None = None, steps: int
     """
     n = y.shape[1]
     low, high = box or (None, None)
-    shapes = (sigmoid_shapes if kind == "sigmoid" else exp2_shapes)(n)
     if grid is None:
         if kind == "sigmoid":
             first, second = np.geomspace(0.001, 2, 9), np.linspace(0, n - 1, min(n, 24))
         else:
             first = second = -np.concatenate(([0], np.geomspace(0.001, 1, 20)))
         grid = np.array([(u, v) for u in first for v in second if kind == "sigmoid" or u < v])
-    out = np.stack(_best(y, grid, shapes, low, high), axis=1)
+    out = np.stack(_best(y, grid, kind, low, high), axis=1)
     limits = [(0.001, 2), (0, n - 1)] if kind == "sigmoid" else [(-1, 0), (-1, 0)]
     least, most = (np.array([*(x[i] for x in limits), *[(-np.inf, np.inf)[i] if box is None else box[i]] * 2], dtype=np.float64) for i in (0, 1))
     for at in range(0, len(y) if steps else 0, 1024):

@@ -1,5 +1,7 @@
 """Operators against values worked out by hand and against plain versions."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,25 @@ def test_refined_fits_are_no_worse_than_finer_grids(kind):
     assert np.allclose(((y - curve) ** 2).sum(axis=1), best[:, 4])
 
 
+@pytest.mark.parametrize("box", [None, (0.0, 255.0)])
+@pytest.mark.parametrize("kind", ["sigmoid", "exp2"])
+def test_grid_errors_are_running_sums(kind, box):
+    y = np.random.default_rng(3).normal(128, 25, (300, 64))
+    grid = np.array([(0.2, 20.0), (0.8, 40.0)] if kind == "sigmoid" else [(-0.4, -0.05), (-0.8, -0.02), (-0.2, -0.02)])
+    got = depth.fitted(y, kind, grid, steps=0, box=box)
+    for i in range(0, 300, 37):  # to the last bit, whatever rows are beside
+        assert (depth.fitted(y[i : i + 1], kind, grid, steps=0, box=box) == got[i]).all()
+    if kind == "exp2" and box:  # with the first factor at its bound its shape doesn't count: the first of the grid
+        for row, (b, d, a, c, sse, _) in zip(y.tolist(), got.tolist(), strict=True):
+            yq = qq = yy = 0.0
+            for z, v in enumerate(row):
+                q = math.exp(d * z)
+                yq, qq, yy = yq + v * q, qq + q * q, yy + v * v
+            if a == 0:
+                assert (b, c) == (-0.8 if d == -0.02 else -0.4, yq / qq) and sse == yy - 2 * c * yq + c * c * qq
+        assert (got[:, 2] == 0).sum() > 10
+
+
 def test_fits_at_their_bounds_say_so(spark):
     z = np.arange(60)
     rows = [("low", (400 / (1 + np.exp(0.3 * (z - 30)))).tolist()), ("fine", (20 + 180 / (1 + np.exp(0.3 * (z - 30)))).tolist()), ("steep", np.where(z < 30, 200.0, 20.0).tolist()), ("short", [1.0])]
