@@ -95,7 +95,7 @@ def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each brand's queue: the second row moved to the fifth place, then the first and fourth removed, then one put in third."""
-    q = queue.removed(queue.reordered(_queue(spark, sf_dir), ["p_brand"], 1, 4), ["p_brand"], [0, 3, 10_000])
+    q = queue.removed(queue.reordered(_queue(spark, sf_dir), ["p_brand"], 1, 4), ["p_brand"], [0, 3, -1])  # no queue of any length has a place -1
     new = q.groupBy("p_brand").agg((-F.max("p_partkey")).alias("p_partkey"))
     return queue.added(q, new, ["p_brand"], 2)
 

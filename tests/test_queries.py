@@ -41,6 +41,15 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
+def test_queue_edits_of_a_long_queue(spark, tmp_path):
+    path = str(tmp_path / "part.parquet")
+    spark.range(10_050).selectExpr("id AS p_partkey", "'a' AS p_brand", "CAST(1 AS int) AS p_size").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from read_parquet('{path}/*.parquet')")
+    want = con.sql(ORACLE_SQL["queue_edits"]).fetchall()
+    assert len(want) == 10_049 and sorted(tuple(r) for r in QUERIES["queue_edits"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
