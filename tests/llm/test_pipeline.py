@@ -37,6 +37,15 @@ def test_stages_keep_columns_and_clean_documents(spark, folder):
     assert not {0, 62} & set(clean) and set(range(1, 60)) <= set(clean)
 
 
+def test_near_dedup_links_by_fingerprints_and_by_shingles(spark, folder):
+    chorus, other = "row row row your boat gently down the stream " * 40, " ".join(f"w{i}" for i in range(100))
+    tails = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 12), ("b", 12))]
+    texts = {1: chorus + tails[0], 2: chorus + tails[1], 5: f"{chorus}{tails[1]} end", 7: other, 8: f"{other} end", 9: " ".join(f"v{i}" for i in range(100))}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    assert {tuple(r) for r in cp.near_copies(docs).collect()} == {(5, 2), (8, 7)}  # 1 and 2 have few shingles in common, but most of their words
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, folder).collect()} == {1, 7, 9}
+
+
 def test_run_gives_every_kept_document_a_place(spark, folder):
     got = cp.run(spark, folder).collect()
     placed = [(r.slot, r.place) for r in got if r.slot is not None]
