@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lamella.operators import geometry, results
 from lamella.operators.ascan import air_threshold, value_counts
@@ -13,6 +14,8 @@ from lamella.operators.stacks import resliced_stack, zoomed_stack
 from lamella.operators.surface import cavitation, density_clusters, large_clusters
 from lamella.plans.common import POINTS, profiles, r6, table
 
+#: Slices that a task counts.
+TASK_SLICES = 1 << 20
 ORDERED = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS x FROM events)"
 
 
@@ -26,6 +29,13 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7 + 1).cast("int").alias("first"), (F.col("p_partkey") % 7 + 1 + F.col("p_size")).cast("int").alias("last"), (F.col("p_partkey") % 60).cast("int").alias("n"))
 
 
+def _counted(requests: DataFrame, slices: Column) -> DataFrame:
+    """How often each part asks for a slice. Parts are dealt before their slices become rows, to tasks of about ``TASK_SLICES``, so that a task counts its own only."""
+    total = requests.agg(F.sum(F.greatest("n", F.lit(1)))).first()[0] or 0
+    tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / TASK_SLICES))
+    return requests.repartition(tasks, "p_partkey").select("p_partkey", F.explode(slices).alias("k")).groupBy("p_partkey", "k").agg(F.count("*").alias("n"))
+
+
 def equidistant_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("p_partkey", F.explode(equidistant_truncated(F.col("first"), F.col("last"), F.col("n"))).alias("k")).groupBy("p_partkey", "k").agg(F.count("*").alias("n"))
 
@@ -37,7 +47,7 @@ SELECT p_partkey, k, count(*) AS n FROM k GROUP BY 1, 2"""
 
 
 def equidistant_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("p_partkey", F.explode(equidistant_rounded(F.col("first"), F.col("last"), F.col("n"))).alias("k")).groupBy("p_partkey", "k").agg(F.count("*").alias("n"))
+    return _counted(_parts(spark, sf_dir), equidistant_rounded(F.col("first"), F.col("last"), F.col("n")))
 
 
 ROUND_SQL = f"""WITH {PARTS}, k AS (

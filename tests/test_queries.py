@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from lamella.plans import volume_queries
 from lamella.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,15 @@ def test_queue_edits_of_a_long_queue(spark, tmp_path):
     assert len(want) == 10_049 and sorted(tuple(r) for r in QUERIES["queue_edits"](spark, str(tmp_path)).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["equidistant_round"])
+def test_slices_are_counted_where_few_parts_are(spark, monkeypatch, name):
+    monkeypatch.setattr(volume_queries, "TASK_SLICES", 500)
+    counts = QUERIES[name](spark, SF).rdd.glom().map(lambda rows: (len(rows), len({r.p_partkey for r in rows}))).collect()
+    parts = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert sum(p for _, p in counts) == parts  # each in one task
+    assert max(n for n, _ in counts) < 1500 < sum(n for n, _ in counts)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
