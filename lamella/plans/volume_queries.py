@@ -37,7 +37,7 @@ def _counted(requests: DataFrame, slices: Column) -> DataFrame:
 
 
 def equidistant_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("p_partkey", F.explode(equidistant_truncated(F.col("first"), F.col("last"), F.col("n"))).alias("k")).groupBy("p_partkey", "k").agg(F.count("*").alias("n"))
+    return _counted(_parts(spark, sf_dir), equidistant_truncated(F.col("first"), F.col("last"), F.col("n")))
 
 
 PARTS = "p AS (SELECT p_partkey, p_partkey % 7 + 1 AS first, p_partkey % 7 + 1 + p_size AS last, p_partkey % 60 AS n FROM part)"

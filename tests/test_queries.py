@@ -51,7 +51,7 @@ def test_queue_edits_of_a_long_queue(spark, tmp_path):
     assert len(want) == 10_049 and sorted(tuple(r) for r in QUERIES["queue_edits"](spark, str(tmp_path)).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["equidistant_round"])
+@pytest.mark.parametrize("name", ["equidistant_round", "equidistant_trunc"])
 def test_slices_are_counted_where_few_parts_are(spark, monkeypatch, name):
     monkeypatch.setattr(volume_queries, "TASK_SLICES", 500)
     counts = QUERIES[name](spark, SF).rdd.glom().map(lambda rows: (len(rows), len({r.p_partkey for r in rows}))).collect()
