@@ -52,26 +52,34 @@ def _pieces(knots: np.ndarray, degree: int) -> np.ndarray:
     out = np.ones((len(own), 1, 1))
     for p in range(1, degree + 1):
         grown = np.zeros((len(own), p + 1, p + 1))
-        for r in range(p):
-            i = own + degree - p + 1 + r
-            span = full[i + p] - full[i]
-            a, b = ((knots[:-1] - full[i]) / span)[:, None], (width / span)[:, None]
-            grown[:, r + 1, :p] += a * out[:, r]
-            grown[:, r + 1, 1:] += b * out[:, r]
-            grown[:, r, :p] += (1 - a) * out[:, r]
-            grown[:, r, 1:] -= b * out[:, r]
+        i = own[:, None] + degree - p + 1 + np.arange(p)
+        span = full[i + p] - full[i]
+        a, b = ((knots[:-1, None] - full[i]) / span)[:, :, None], (width[:, None] / span)[:, :, None] * out
+        grown[:, 1:, :p] += a * out
+        grown[:, 1:, 1:] += b
+        grown[:, :p, :p] += (1 - a) * out
+        grown[:, :p, 1:] -= b
         out = grown
     return out
 
 
+@lru_cache(maxsize=FULL)
+def _places(n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each entry of a band of n rows and k columns lies in a full matrix laid flat, above and below, and which entries do."""
+    row, column = np.divmod(np.arange(n * k), k)
+    inside = np.flatnonzero(row + column < n)
+    row, column = row[inside], column[inside]
+    return row * n + row + column, (row + column) * n + row, inside
+
+
 def banded_solve(band: np.ndarray, load: np.ndarray) -> np.ndarray:
     """Solves a symmetric positive system whose row i has ``band[i, k]`` in column i + k, by a banded Cholesky decomposition."""
     n, k = band.shape
     if n <= FULL:
-        full = np.zeros((n, n))
-        for j in range(k):
-            full[np.arange(n - j), np.arange(j, n)] = full[np.arange(j, n), np.arange(n - j)] = band[: n - j, j]
-        return np.linalg.solve(full, load)
+        above, below, inside = _places(n, k)
+        full = np.zeros(n * n)
+        full[above] = full[below] = band.ravel()[inside]
+        return np.linalg.solve(full.reshape(n, n), load)
     a = np.vstack((band, np.zeros((k, k))))
     flat = a.ravel()
     below = [(r, c) for r in range(1, k) for c in range(k - r)]
@@ -134,8 +142,7 @@ class Cells:
         band, load = np.zeros((m + d, d + 2)), np.zeros(m + d)
         for r in range(d + 1):
             load[r : r + m] += right[:, r]
-            for s in range(r, d + 1):
-                band[r : r + m, s - r] += local[:, r, s]
+            band[r : r + m, : d + 1 - r] += local[:, r, r:]
         bend = np.zeros_like(band)
         if m > 1:
             slope = basis[:, :, d] * ((cuts[-1] / m) / np.diff(cuts)[:, None]) ** d
@@ -143,8 +150,7 @@ class Cells:
             jump[:, :-1] -= slope[:-1]
             jump[:, 1:] += slope[1:]
             for r in range(d + 2):
-                for s in range(r, d + 2):
-                    bend[r : r + m - 1, s - r] += jump[:, r] * jump[:, s]
+                bend[r : r + m - 1, : d + 2 - r] += jump[:, r : r + 1] * jump[:, r:]
             bend *= band[:, 0].sum() / max(float(bend[:, 0].sum()), 1e-300)
         return basis, gram, loads, squares, band, bend, load, powers[:, 0]
 
@@ -159,7 +165,9 @@ class Cells:
         band = band + strength * bend
         band[:, 0] += 1e-13 * max(float(band[:, 0].max()), 1e-300)
         solved = banded_solve(band, load)
-        pieces = np.stack([(solved[r : r + m, None] * basis[:, r]) for r in range(d + 1)]).sum(axis=0)
+        pieces = solved[:m, None] * basis[:, 0]
+        for r in range(1, d + 1):
+            pieces += solved[r : r + m, None] * basis[:, r]
         residual = squares - 2 * (pieces * loads).sum(axis=1) + np.einsum("ja,jab,jb->j", pieces, gram, pieces)
         return pieces, np.maximum(residual, 0.0), points
 

@@ -237,6 +237,29 @@ def test_a_million_points_of_one_key(spark):
     assert not tight["a"].within and tight["a"].residual > tight["a"].budget
 
 
+@pytest.mark.parametrize("degree", [3, 5])
+def test_pieces_of_uneven_knots_are_the_recursion_by_hand(degree):
+    knots = np.array([0.0, 1, 3, 4, 8, 9, 15])
+    full = np.concatenate(([knots[0]] * degree, knots, [knots[-1]] * degree))
+
+    def spline(i, p, x):
+        if p == 0:
+            return float(full[i] <= x < full[i + 1])
+        parts = ((full[i], full[i + p], 1, i), (full[i + p + 1], full[i + 1], -1, i + 1))
+        return sum((x - a) / (b - a) * spline(j, p - 1, x) if sign > 0 else (a - x) / (a - b) * spline(j, p - 1, x) for a, b, sign, j in parts if a != b)
+
+    pieces = curves.basis_pieces(knots, degree)
+    for j, (a, b) in enumerate(zip(knots[:-1], knots[1:])):
+        for u in (0.0, 0.3, 0.9):
+            want = [spline(j + r, degree, a + u * (b - a)) for r in range(degree + 1)]
+            assert np.allclose(pieces[j] @ u ** np.arange(degree + 1), want, atol=1e-12)
+    draw, n = np.random.default_rng(1), 40
+    band = np.abs(draw.normal(size=(n, degree + 2))) + np.where(np.arange(degree + 2) == 0, 20, 0)
+    full_matrix = sum(np.diag(band[: n - k, k], k) + (np.diag(band[: n - k, k], -k) if k else 0) for k in range(degree + 2))
+    load = draw.normal(size=n)
+    assert np.allclose(curves.banded_solve(band, load), np.linalg.solve(full_matrix, load), atol=1e-12)
+
+
 def test_fitted_curve(spark):
     points = spark.createDataFrame([(1, float(x), 100.0 + x % 3) for x in range(50)] + [(2, 1.0, 1.0)], "s int, x double, y double")
     spans = spark.createDataFrame([(1, 0, 50), (2, 0, 5)], "s int, start int, end int")
