@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamella.llm.common import connected_components, cut, stored, without
+from lamella.llm.common import cut, stored, without
 from lamella.llm.decontaminate import with_leak_score
 from lamella.llm.line_dedup import without_common_blocks
 from lamella.llm.mixing import mixed, tempered
 from lamella.llm.quality import train, with_score
-from lamella.llm.simhash import near_copies, near_groups
+from lamella.llm.simhash import near_copies, near_links
 
 #: A document is kept at this probability of being good, or more; the limit of the quality query.
 KEEP_SCORE = 0.3
@@ -36,9 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Fingerprints link at 4 or fewer differing bits, as in the SimHash query. Documents alike to four fifths of their five-word
     shingles are linked too, as many of these differ in more bits; chains run over links of both kinds.
     """
-    linked = near_groups(docs, width=4, max_bits=4).select("doc_id", "component_id").unionByName(near_copies(docs))
-    reached = connected_components(linked, "doc_id", "component_id")
-    return without(docs, cut(reached.where("node != component").select(F.col("node").alias("doc_id")))).select(docs.columns)
+    copies = near_copies(docs, also=near_links(docs, width=4, max_bits=4))
+    return without(docs, cut(copies.select("doc_id"))).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

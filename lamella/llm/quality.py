@@ -47,10 +47,14 @@ class SubwordClassifier:
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = 8, rate: float = 1.0, seed: int = 2) -> "SubwordClassifier":
         """Stochastic gradient descent on the log loss, a document at a time, with a rate that falls to zero."""
-        bags = []
+        # two buffers that grow, as thousands of arrays would leave the driver's memory in pieces
+        places, shares, ends = bytearray(), bytearray(), [0]
         for text in texts:
             at, count = np.unique(features(text), return_counts=True)
-            bags.append((at.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
+            places += at.astype(np.int32).tobytes()
+            shares += (count / max(1, count.sum())).astype(np.float32).tobytes()
+            ends.append(ends[-1] + len(at))
+        bags = [(np.frombuffer(places, np.int32)[a:b], np.frombuffer(shares, np.float32)[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         if labels:
             share = np.clip(np.mean(labels), 1e-3, 1 - 1e-3)
             self.bias[:] = np.log([1 - share, share])

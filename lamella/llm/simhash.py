@@ -187,15 +187,26 @@ def near_groups(docs: DataFrame, width: int = 5, max_bits: int = 4, id_col: str
     repeated rows with the same component. A null id is linked but never names a component (null if
     its group has no other). No rows give none. Other columns are not read.
     """
-    table = cut(fingerprints(docs, width, id_col, text))
-    nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    known = nodes.where("node is not null")
-    found = links(known, grid_of(known.count(), max_bits), max_bits)
+    table, nodes, found = _printed(docs, width, max_bits, id_col, text)
     reached = connected_components(found)
     named = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _printed(docs: DataFrame, width: int, max_bits: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows, the least id of each fingerprint (``fp, node``), and links between these."""
+    table = cut(fingerprints(docs, width, id_col, text))
+    nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    known = nodes.where("node is not null")
+    return table, nodes, links(known, grid_of(known.count(), max_bits), max_bits)
+
+
+def near_links(docs: DataFrame, width: int = 5, max_bits: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``src, dst``: links enough to connect each of the ``near_groups``, for joining with links of other kinds. Null ids have none."""
+    table, nodes, found = _printed(docs, width, max_bits, id_col, text)
+    return found.unionByName(table.join(nodes, "fp").where("doc_id != node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst")))
+
+
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect what is connected by Jaccard likenesses of ``similarity`` or more: each set to one found before it."""
     size = np.array([len(s) for s in sets])
@@ -222,7 +233,7 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text", also: DataFrame | None = None) -> DataFrame:
     """``doc_id, component_id`` of documents whose shingle sets have a Jaccard likeness of ``similarity`` or more to another's, by chains.
 
     At such likenesses SimHash fingerprints differ in so many bits that no grid of them finds all links, so candidates
@@ -236,6 +247,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     two; all holders of one shingle meet at the same one, so every link is seen. Crowds of over ``CELL`` sets or
     ``CELL * 500`` shingles are compared in pieces, each pair of pieces on its own. Equal sets are one node. A row is
     returned only where a document belongs to a group under another's id; ``component_id`` is the smallest id of the group.
+    Chains also run over the links in ``also`` (src, dst; ids of documents), all found at once.
 
     Null and empty texts are equal to each other. Rows with null ids are left out. Rows with one id count as
     one document. No rows give none. Other columns are not read.
@@ -344,10 +356,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     near = near.select("center", "src").unionByName(near.select("center", F.col("dst").alias("src"))).where("center != src").groupBy("center", F.col("src").alias("node")).agg(F.lit(0).alias("_"))
     asked = listed(cut(met.join(near, ["center", "node"]).select("center", "node", "size")), F.col("size"))
     found = linked(only(rows, asked.select("doc_id")).join(asked, "doc_id").select("doc_id", F.col("text").alias("seen"), "centers"), np.uint64, similarity).select("src", "dst")
+    # links to the least id of each set, so that rows of one id with several texts tie these together
     named = table.groupBy("same").agg(F.min("doc_id").alias("node"))
-    # rows of one id with several texts tie these together
-    several = table.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("doc_id")
-    tied = table.join(several, "doc_id").join(named, "same").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    reached = connected_components(found.unionByName(tied))
-    named = named.join(reached, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return table.select("doc_id", "same").join(named, "same").where("doc_id != component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    found = found.unionByName(table.join(named, "same").where("doc_id != node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst")))
+    reached = connected_components(found if also is None else found.unionByName(also))
+    return reached.where("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

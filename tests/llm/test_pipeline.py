@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as cp
 import pytest
+from lamella.llm import simhash
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,6 +47,17 @@ def test_near_dedup_links_by_fingerprints_and_by_shingles(spark, folder):
     assert {r.doc_id for r in cp.near_dedup(spark, docs, folder).collect()} == {1, 7, 9}
 
 
+def test_near_dedup_finds_chains_of_both_kinds_at_once(spark, folder, monkeypatch):
+    """One run of rounds over all links: each of three held more of the driver's memory, with hundreds of tasks a round."""
+    runs, once = [], simhash.connected_components
+    for module in (cp, simhash):
+        monkeypatch.setattr(module, "connected_components", lambda *a, **b: runs.append(a) or once(*a, **b), raising=False)
+    base = [f"w{i}" for i in range(100)]
+    texts = {None: " ".join(base), 1: " ".join(base), 2: " ".join(base), 5: " ".join(reversed(base)), 6: " ".join(reversed(base)) + " end", 7: " ".join(base) + " end"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(7, " ".join(reversed(base)), "en", "s", 9)], SCHEMA)
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, folder).collect()} == {None, 1} and len(runs) == 1
+
+
 def test_run_gives_every_kept_document_a_place(spark, folder):
     got = cp.run(spark, folder).collect()
     placed = [(r.slot, r.place) for r in got if r.slot is not None]
