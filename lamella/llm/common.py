@@ -142,6 +142,28 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(shingles(words(text.encode().lower())[0], width))
 
 
+def token_chunks(texts: list[str | None], size: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, words, where each text's begin and the last one's end) of about ``size`` bytes of texts at a time, A-Z lower-cased.
+
+    Short texts cost a few passes together, not each.
+    """
+    held: list[bytes] = []
+    first, n = 0, 0
+    for i, text in enumerate(texts):
+        held.append((text or "").encode().lower())
+        n += len(held[-1]) + 1
+        if n >= size or i == len(texts) - 1:
+            tokens, starts, _ = words(b"\n".join(held))
+            yield first, tokens, np.concatenate(([0], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in held]))))
+            held, first, n = [], i + 1, 0
+
+
+def whole(edges: np.ndarray, k: int) -> np.ndarray:
+    """Starts of the runs of ``k`` places inside one text each, where texts lie between neighbouring ``edges``."""
+    n = np.maximum(np.diff(edges) - k + 1, 0)
+    return np.arange(n.sum()) + np.repeat(edges[:-1] - np.cumsum(n) + n, n)
+
+
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(LEVELS)).view(np.int64)
 
@@ -155,9 +177,19 @@ def crowd_levels(rows: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(LEVELS, dtype=np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                np.add.at(count, bucket_of(shingle_set(t or "", width)), 1)
+        for batch in pieces(batches):
+            for _, tokens, edges in token_chunks(batch.column(0).to_pylist()):
+                length = np.diff(edges)
+                for i in np.flatnonzero((length > 0) & (length < width)).tolist():
+                    np.add.at(count, bucket_of(shingles(tokens[edges[i] : edges[i + 1]], width)), 1)
+                if length.max(initial=0) < width:
+                    continue
+                base = shingles(tokens, width)[whole(edges, width)]
+                text = np.repeat(np.arange(len(length)), np.maximum(length - width + 1, 0))
+                own = base + mix(text.astype(np.uint64) + np.uint64(1))  # differs where shingle or text do
+                order = np.argsort(own)
+                own = own[order]
+                np.add.at(count, bucket_of(base[order[np.concatenate(([True], own[1:] != own[:-1]))]]), 1)
         at = np.flatnonzero(count >= max(8.0, 4 * count.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["bucket", "n"])
 

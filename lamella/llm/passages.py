@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lamella.llm.common import bucket_of, crowd_levels, cut, mix, only, pieces, shingles, words
+from lamella.llm.common import bucket_of, crowd_levels, cut, mix, only, pieces, shingles, token_chunks, whole, words
 
 #: Words in a shingle, hash functions, and how many of these must bring a passage forward.
 WIDTH, HASHES, ENOUGH = 5, 4, 2
@@ -59,6 +59,20 @@ def compact_windows_with_ties(h: np.ndarray, least: int) -> list[tuple[int, int,
     return out
 
 
+def window_places(h: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Places of the compact windows of many texts' values, all texts at once: of the least value, the leftmost of equal ones, of each run of ``least`` values.
+
+    ``starts`` are the runs' first places, in order. A window holds a run of ``least`` over its place, whose minimum it is, so these
+    are the places of ``compact_windows``. Values keep the bits above the place's.
+    """
+    mask = np.uint64((1 << len(h).bit_length()) - 1)
+    low, width = h & ~mask | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * width <= least:
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    place = (np.minimum(low[starts], low[starts + least - width]) & mask).astype(np.int64)
+    return place[np.concatenate(([True], place[1:] != place[:-1]))] if len(place) else place
+
+
 def _tokens(text: str | None) -> np.ndarray:
     return words((text or "").encode().lower())[0]
 
@@ -70,41 +84,43 @@ def windows(docs: DataFrame, least_words: int, levels: Broadcast) -> DataFrame:
     value less than half of ``least_words`` apart, one stands for all. The key is the value; a value of very many
     documents has several keys, and is named beside them.
     """
-    least = least_words - WIDTH + 1
+    least = max(1, least_words - WIDTH + 1)
     seeds = [np.uint64(0xD1B54A32D192ED03 * (i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(HASHES)]
+    size = 1 << 17 if least_words > WIDTH else 0  # texts of fewer words than a shingle's stand alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base = shingles(_tokens(text), WIDTH)
-                if len(base) < least:
+            ids = batch.column(0).to_numpy()
+            for first, tokens, edges in token_chunks(batch.column(1).to_pylist(), size):
+                base = shingles(tokens, WIDTH)
+                ends = np.minimum(edges, len(base)) if len(edges) == 2 else edges
+                starts = whole(ends, least if len(edges) == 2 else least + WIDTH - 1)
+                if not len(starts):
                     continue
-                level = levels.value[bucket_of(base)].astype(np.int64)
-                part = mix(np.array([doc_id]).view(np.uint64))[0]
-                times = np.diff(np.flatnonzero(np.concatenate(([True], (ranked := np.sort(base))[1:] != ranked[:-1], [True]))))
-                often = int(times.max())
-                search = compact_windows if often <= 8 else compact_windows_with_ties
                 for seed in seeds:
                     h = mix(base + seed)
-                    place = np.array([p for _, p, _ in search(h, least)], dtype=np.int64)
-                    order = np.lexsort((place, h[place]))
-                    place = place[order]
+                    place = window_places(h, starts, least)
+                    text = np.searchsorted(edges, place, side="right") - 1
+                    order = np.lexsort((h[place], text))
+                    place, text = place[order], text[order]
                     own = h[place]
-                    follows = np.concatenate(([False], own[1:] == own[:-1]))
-                    if often > 1:
+                    follows = np.concatenate(([False], (own[1:] == own[:-1]) & (text[1:] == text[:-1])))
+                    if follows.any():
                         stands, last = np.ones(len(place), dtype=bool), 0
                         for i in np.flatnonzero(follows).tolist():
                             last = last if follows[i - 1] else i - 1
                             stands[i] = place[i] - place[last] >= least // 2
                             last = i if stands[i] else last
-                        place, own, follows = place[stands], own[stands], follows[stands]
-                    salts = np.left_shift(1, np.maximum(level[place] - HOT, 0))
-                    key = np.where(salts > 1, mix(own + mix(np.uint64(1) + part % salts.view(np.uint64))), own)
+                        place, text, own, follows = place[stands], text[stands], own[stands], follows[stands]
+                    doc = ids[first + text]
+                    level = levels.value[bucket_of(base[place])].astype(np.int64)
+                    salts = np.left_shift(1, np.maximum(level - HOT, 0))
+                    key = np.where(salts > 1, mix(own + mix(np.uint64(1) + mix(doc.view(np.uint64)) % salts.view(np.uint64))), own)
                     columns[0].append(key)
                     columns[1].append(np.where(salts > 1, own, np.uint64(0)))
-                    columns[2].append(np.full(len(place), doc_id, dtype=np.int64))
-                    columns[3].append((2 * place + follows).astype(np.int32))
+                    columns[2].append(doc)
+                    columns[3].append((2 * (place - edges[text]) + follows).astype(np.int32))
             if columns[0]:
                 key, value, doc, at = (np.concatenate(c) for c in columns)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value.view(np.int64), mask=value == 0), pa.array(doc), pa.array(at)], ["key", "value", "doc_id", "at"])
@@ -266,6 +282,14 @@ def _verified(rows: DataFrame, candidates: DataFrame, least_words: int, similari
 CENTER, CLOSE, SAME = 12, 6, 12
 
 
+def _counts(equal: np.ndarray) -> np.ndarray:
+    """How many of each row are true, of 255 at most: bytes are added eight or four at a time where they can be."""
+    for kind, ones, shift in ((np.uint64, 0x0101010101010101, 56), (np.uint32, 0x01010101, 24)):
+        if len(equal) and equal.shape[1] % np.dtype(kind).itemsize == 0 and equal.flags.c_contiguous:
+            return np.add.reduce(equal.view(kind), axis=1, dtype=kind) * kind(ones) >> kind(shift)
+    return equal.sum(axis=1, dtype=np.uint8)
+
+
 def in_common(around: np.ndarray, center: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     """For rows ``mine`` and ``theirs`` of ``around``, the most shingles in common in half a row that contains the place, its middle.
 
@@ -274,10 +298,10 @@ def in_common(around: np.ndarray, center: np.ndarray, mine: np.ndarray, theirs:
     length = around.shape[1] // 2
     out = np.zeros(len(mine), dtype=np.int64)
     for at in range(0, len(mine), 4096):
-        close = np.flatnonzero((center[mine[at : at + 4096]] == center[theirs[at : at + 4096]]).sum(axis=1, dtype=np.uint8) >= CLOSE) + at
+        close = np.flatnonzero(_counts(center[mine[at : at + 4096]] == center[theirs[at : at + 4096]]) >= CLOSE) + at
         a, b = around[mine[close]], around[theirs[close]]
         equal = a == b
-        many = (equal & (a != 0)).sum(axis=1, dtype=np.uint8) >= SAME
+        many = _counts(equal & (a != 0)) >= SAME
         close, a, b, equal = close[many], a[many], b[many], equal[many]
         for d in (1, 2):
             equal[:, d:] |= a[:, d:] == b[:, :-d]
@@ -296,7 +320,7 @@ def nearest(group: np.ndarray, doc: np.ndarray, open_: np.ndarray, around: np.nd
     middle = around.shape[1] // 2
     center = np.ascontiguousarray(around[:, middle - CENTER : middle + CENTER])
     best, most = np.full(len(group), -1), np.zeros(len(group), dtype=np.int64)
-    small = np.repeat(size <= 64, size)
+    small = np.repeat(np.add.reduceat(1 + open_, first) <= 64, size)
     rows = np.flatnonzero(open_ & small & (place > 0))
     for lag in range(1, 64):
         rows = rows[place[rows] >= lag]
@@ -326,26 +350,39 @@ def _met_by_open(rows: DataFrame, met: DataFrame, left: DataFrame, length: int,
     schema = "value long, low int, high int, doc_id long, place int, open boolean, around binary"
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in pieces(batches, 64):
-            out = []
-            for doc, text, found in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "places")), strict=True):
-                base = np.pad(shingles(_tokens(text), WIDTH).astype(np.uint32) | np.uint32(1), length)
-                part = int(mix(np.array([doc]).view(np.uint64))[0])
-                for p in found:
-                    around = base[p["place"] + 1 : p["place"] + 2 * length + 1].tobytes()
-                    for o in range(p["u"]):
-                        out.append((p["value"], part % p["n"], o, doc, p["place"], False, around))
-                    if p["open"]:
-                        out += [(p["value"], i, part % p["u"], doc, p["place"], True, around) for i in range(p["n"])]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
+            ids, found = batch.column("doc_id").to_numpy(), batch.column("places")
+            value, at, is_open, n, u = (found.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("value", "place", "open", "n", "u"))
+            begin = np.concatenate(([0], np.cumsum(found.value_lengths().to_numpy())))
+            for first, tokens, edges in token_chunks(batch.column("text").to_pylist()):
+                for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False), first):
+                    base = np.pad(shingles(tokens[a:b], WIDTH).astype(np.uint32) | np.uint32(1), length)
+                    part, own = int(mix(ids[i : i + 1].view(np.uint64))[0]), slice(begin[i], begin[i + 1])
+                    around = np.lib.stride_tricks.sliding_window_view(base, 2 * length)
+                    # an open one that is alone with its value's few meets them once, as itself
+                    shut = np.where(is_open[own] & (n[own] == 1) & (u[own] == 1), 0, u[own])
+                    wide = np.where(is_open[own], n[own], 0)
+                    rows = [np.repeat(np.arange(begin[i], begin[i + 1]), k) for k in (shut, wide)]
+                    turn = [np.arange(len(r)) - np.repeat(np.cumsum(k) - k, k) for r, k in zip(rows, (shut, wide), strict=True)]
+                    low = np.concatenate((np.uint64(part) % n[rows[0]].astype(np.uint64), turn[1])).astype(np.int32)
+                    high = np.concatenate((turn[0], np.uint64(part) % u[rows[1]].astype(np.uint64))).astype(np.int32)
+                    every = np.concatenate(rows)
+                    shown = np.ascontiguousarray(around[at[every] + 1])
+                    offsets = np.arange(len(every) + 1, dtype=np.int32) * np.int32(8 * length)
+                    binary = pa.Array.from_buffers(pa.binary(), len(every), [None, pa.py_buffer(offsets), pa.py_buffer(shown)])
+                    yield pa.RecordBatch.from_arrays([pa.array(value[every]), pa.array(low), pa.array(high), pa.array(np.full(len(every), ids[i])), pa.array(at[every]), pa.array(np.arange(len(every)) >= len(rows[0])), binary], names)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
+        def data(column: pa.Array) -> memoryview:
+            offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)
+            return memoryview(column.buffers()[2])[offsets[column.offset] : offsets[column.offset + len(column)]]
+
         def done(rows: pa.Table) -> pa.RecordBatch:
             value, low, high, doc, place, is_open = (rows.column(n).to_numpy() for n in ("value", "low", "high", "doc_id", "place", "open"))
-            around = np.frombuffer(b"".join(rows.column("around").to_pylist()), dtype=np.uint32).reshape(len(rows), -1)
+            around = np.frombuffer(b"".join(map(data, rows.column("around").chunks)), dtype=np.uint32).reshape(len(rows), -1)
             new = (value[1:] != value[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
             w, other = nearest(np.concatenate(([0], np.cumsum(new))), doc, is_open, around, similarity)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in (value[w], doc[w], place[w], doc[other], place[other])], ["value", "doc_id", "place", "other_id", "other_place"])

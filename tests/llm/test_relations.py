@@ -372,6 +372,22 @@ def test_passages_meet_later_holders(spark, monkeypatch, size, edits, small):
     assert len(want) > 20 and len(got & want) >= 0.95 * len(want)
 
 
+def test_window_places_of_many_texts_are_those_of_compact_windows():
+    """All texts of a chunk in one pass, with places as one text after another has them, repeats included."""
+    draw = np.random.default_rng(8)
+    sizes = [0, 3, 46, 300, 45, 700, 1, 64]
+    texts = [draw.integers(0, 1 << 64, n, dtype=np.uint64) for n in sizes] + [np.tile(draw.integers(0, 1 << 64, n, dtype=np.uint64), 60) for n in (1, 2, 30, 50)]
+    edges = np.cumsum([0, *map(len, texts)])
+    for least in (1, 2, 7, 46):
+        want = [int(a) + p for a, h in zip(edges, texts, strict=False) for p in sorted(x[1] for x in compact_windows(h, least))]
+        assert passages.window_places(np.concatenate(texts), common.whole(edges, least), least).tolist() == want
+    words_ = [" ".join(f"A{draw.integers(50)}" for _ in range(n)) for n in sizes]
+    chunks = list(common.token_chunks([None, *words_, "", "\n x"], 900))
+    assert len(chunks) > 2 and [first for first, _, _ in chunks] == [0, *np.cumsum([len(e) - 1 for _, _, e in chunks])[:-1]]
+    got = [tokens[a:b].tolist() for _, tokens, edges in chunks for a, b in zip(edges, edges[1:], strict=False)]
+    assert got == [common.words(t.encode().lower())[0].tolist() for t in ["", *words_, "", "\n x"]]
+
+
 def test_passages_edges(spark):
     """Repeated words, a very long text, repeated rows and ids, and columns with other names."""
     draw = random.Random(20)
