@@ -297,6 +297,33 @@ def test_density_clusters_of_odd_places(spark):
     assert surface.density_clusters(spark.createDataFrame([], "s int, pid int, x double, y double"), ["s"]).count() == 0
 
 
+def test_density_clusters_over_many_tiles(spark, monkeypatch):
+    """Chains over small tiles, pixels, crowds and copies have the clusters of all pairs; inside tiles no rounds are needed."""
+    draw = np.random.default_rng(5)
+    walk = np.cumsum(draw.normal(0, 6, (500, 2)), axis=0)
+    pixels = draw.integers(-150, -60, (500, 2)).astype(float)
+    xy = np.concatenate((walk, pixels, np.repeat([[200.0, 90.0], [216.5, 90.0]], 30, axis=0), draw.uniform(-400, 400, (300, 2))))
+    near = ((xy[:, None] - xy[None]) ** 2).sum(2) <= 17**2
+    core, none = near.sum(1) >= 10, 10**6
+    name, before = np.where(core, np.arange(len(xy)), none), None
+    while not np.array_equal(name, before):
+        before, name = name, np.where(core, np.where(near & core, name, none).min(1), none)
+    want = {i: None if b == none else int(b) for i, b in enumerate(np.where(near & core, name, none).min(1))}
+    cuts, cut = [], surface.cut
+    monkeypatch.setattr(surface, "cut", lambda df: cuts.append(1) or cut(df))
+    df = spark.createDataFrame([("s", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "s string, pid long, x double, y double")
+    for tile in (6, 1000):
+        monkeypatch.setattr(surface, "TILE", tile)
+        assert {r.pid: r.cluster for r in surface.density_clusters(df.withColumns({"x": F.col("x") + 3000, "y": F.col("y") + 3000}), ["s"]).collect()} == want
+    cuts.clear()
+    assert surface.density_clusters(df.where("x > 0 and y > 0"), ["s"]).count() and len(cuts) <= 2
+    every = np.ones(len(xy), dtype=bool)
+    one = np.zeros(len(xy), dtype=int)
+    plain = surface.tile_clusters(one, *xy.T, every, every, 17.0, 10)
+    monkeypatch.setattr(surface, "PAIRS", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(plain, surface.tile_clusters(one, *xy.T, every, every, 17.0, 10), strict=True))
+
+
 def test_depth_methods_are_read_by_name(spark):
     df = spark.createDataFrame([(1, 2, 3), (None, 4, None)], "knee int, inflection int, shoulder int")
     for method, want in (("knee", [1.0]), ("inflection", [2.0, 4.0]), ("shoulder", [3.0]), ("combined", [1.0])):
