@@ -312,12 +312,41 @@ def in_common(around: np.ndarray, center: np.ndarray, mine: np.ndarray, theirs:
     return out
 
 
+def _bits(columns: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 bits of each row's values but zeros."""
+    out = np.zeros(len(columns), dtype=np.uint64)
+    for column in columns.T:
+        out |= np.left_shift((column != 0).astype(np.uint64), column >> np.uint32(8) & np.uint32(63))
+    return out
+
+
+def _sides(around: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bits, zeros, bits with two more places on either end) of the shingles before the place of each row, and of those behind it.
+
+    Half a row that contains the place has all of one side or the other. What a row lacks of another's bits, at that row's
+    places or two beside them, is the least number of shingles that it has not in common.
+    """
+    place, reach = around.shape[1] // 2 - 1, around.shape[1] // 4
+    out = []
+    for low, high in ((place - reach, place), (place + 1, place + 1 + reach)):
+        bits = _bits(around[:, low:high])
+        beside = _bits(around[:, max(0, low - 2) : low]) | _bits(around[:, high : high + 2])
+        out.append((bits, np.count_nonzero(around[:, low:high] == 0, axis=1), bits | beside))
+    return out
+
+
 def nearest(group: np.ndarray, doc: np.ndarray, open_: np.ndarray, around: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in order of group and document: the open ones, and for each the window of an earlier document in its group that has most in common with it, if enough for a passage."""
+    """Of rows in order of group and document: the open ones, and for each the window of an earlier document in its group that has most in common with it, if enough for a passage.
+
+    Pairs whose bitmaps show that they have less in common are not looked at closer.
+    """
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.concatenate((first, [len(group)])))
     place = np.arange(len(group)) - np.repeat(first, size)
     middle = around.shape[1] // 2
+    enough = 2 * similarity / (1 + similarity) * middle
+    spare = middle - int(np.ceil(enough))
+    sides = _sides(around)
     center = np.ascontiguousarray(around[:, middle - CENTER : middle + CENTER])
     best, most = np.full(len(group), -1), np.zeros(len(group), dtype=np.int64)
     small = np.repeat(np.add.reduceat(1 + open_, first) <= 64, size)
@@ -327,18 +356,56 @@ def nearest(group: np.ndarray, doc: np.ndarray, open_: np.ndarray, around: np.nd
         if not len(rows):
             break
         before = rows[doc[rows - lag] < doc[rows]]
+        before = before[np.logical_or.reduce([np.bitwise_count(own[before] & ~other[before - lag]) + none[before] <= spare for own, none, other in sides])]
         common = in_common(around, center, before, before - lag)
         better = common > most[before]
         most[before[better]], best[before[better]] = common[better], (before - lag)[better]
-    for w in np.flatnonzero(open_ & ~small).tolist():
-        before = np.arange(w - place[w], w - place[w] + np.searchsorted(doc[w - place[w] : w], doc[w]))
-        if len(before):
-            common = in_common(around, center, np.full(len(before), w), before)
-            most[w], best[w] = common.max(), before[int(common.argmax())]
-    chosen = np.flatnonzero(most >= 2 * similarity / (1 + similarity) * (around.shape[1] // 2))
+
+    def compare(mine: np.ndarray, theirs: np.ndarray) -> None:
+        common = in_common(around, center, mine, theirs)
+        begin = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+        top = np.maximum.reduceat(common, begin)
+        at = np.flatnonzero(common == np.repeat(top, np.diff(np.concatenate((begin, [len(mine)])))))
+        at = at[np.concatenate(([True], mine[at[1:]] != mine[at[:-1]]))]  # the earliest of those with most
+        most[mine[begin]], best[mine[begin]] = top, theirs[at]
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = np.flatnonzero(open_ & ~small)
+    new = np.concatenate(([True], (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])))
+    begun = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))  # the first row of its document in the group
+    for crowd in np.split(rows, np.flatnonzero(group[rows[1:]] != group[rows[:-1]]) + 1) if len(rows) else []:
+        start = crowd[0] - place[crowd[0]]
+        for at in range(0, len(crowd), 64):
+            mine = crowd[at : at + 64]
+            theirs = slice(start, begun[mine[-1]])
+            like = np.logical_or.reduce([np.bitwise_count(own[mine, None] & ~other[theirs]) <= spare - none[mine, None] for own, none, other in sides])
+            like &= np.arange(theirs.start, theirs.stop) < begun[mine, None]
+            i, j = np.nonzero(like)
+            if len(i):
+                held.append((mine[i], start + j))
+            if sum(len(x) for x, _ in held) >= 1 << 16:
+                compare(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+    if held:
+        compare(*map(np.concatenate, zip(*held, strict=True)))
+    chosen = np.flatnonzero(most >= enough)
     return chosen, best[chosen]
 
 
+def _rows_about(tokens: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the ``2 * length`` shingles about each place of many texts, zero beyond a text, and the row of each text's first place."""
+    size = np.diff(edges)
+    n = np.maximum(size - WIDTH + 1, np.minimum(size, 1))
+    starts = length + np.cumsum(n + length) - n - length
+    base = np.zeros(length + int((n + length).sum()), dtype=np.uint32)
+    if size.max(initial=0) >= WIDTH:
+        from_ = whole(edges, WIDTH)
+        base[from_ + np.repeat(starts - edges[:-1], np.maximum(size - WIDTH + 1, 0))] = shingles(tokens, WIDTH)[from_].astype(np.uint32) | np.uint32(1)
+    for i in np.flatnonzero((size > 0) & (size < WIDTH)).tolist():
+        base[starts[i]] = shingles(tokens[edges[i] : edges[i + 1]], WIDTH).astype(np.uint32)[0] | np.uint32(1)
+    return np.lib.stride_tricks.sliding_window_view(base, 2 * length), starts - length + 1
+
+
 def _met_by_open(rows: DataFrame, met: DataFrame, left: DataFrame, length: int, similarity: float, parts: int) -> DataFrame:
     """Windows ``left`` (value, doc_id, place) and, of all windows with their values in earlier documents, the ``nearest``."""
     holders = met.where("lead").select("value", "doc_id", "place").unionByName(met.select("value", F.col("other_id").alias("doc_id"), F.col("other_place").alias("place")))
@@ -356,22 +423,25 @@ def _met_by_open(rows: DataFrame, met: DataFrame, left: DataFrame, length: int,
             value, at, is_open, n, u = (found.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("value", "place", "open", "n", "u"))
             begin = np.concatenate(([0], np.cumsum(found.value_lengths().to_numpy())))
             for first, tokens, edges in token_chunks(batch.column("text").to_pylist()):
-                for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False), first):
-                    base = np.pad(shingles(tokens[a:b], WIDTH).astype(np.uint32) | np.uint32(1), length)
-                    part, own = int(mix(ids[i : i + 1].view(np.uint64))[0]), slice(begin[i], begin[i + 1])
-                    around = np.lib.stride_tricks.sliding_window_view(base, 2 * length)
-                    # an open one that is alone with its value's few meets them once, as itself
-                    shut = np.where(is_open[own] & (n[own] == 1) & (u[own] == 1), 0, u[own])
-                    wide = np.where(is_open[own], n[own], 0)
-                    rows = [np.repeat(np.arange(begin[i], begin[i + 1]), k) for k in (shut, wide)]
-                    turn = [np.arange(len(r)) - np.repeat(np.cumsum(k) - k, k) for r, k in zip(rows, (shut, wide), strict=True)]
-                    low = np.concatenate((np.uint64(part) % n[rows[0]].astype(np.uint64), turn[1])).astype(np.int32)
-                    high = np.concatenate((turn[0], np.uint64(part) % u[rows[1]].astype(np.uint64))).astype(np.int32)
+                around, starts = _rows_about(tokens, edges, length)
+                own = slice(begin[first], begin[first + len(starts)])
+                text = np.repeat(np.arange(len(starts)), np.diff(begin[first : first + len(starts) + 1]))
+                part = mix(ids[first + text].view(np.uint64))
+                # an open one that is alone with its value's few meets them once, as itself
+                shut = np.where(is_open[own] & (n[own] == 1) & (u[own] == 1), 0, u[own])
+                wide = np.where(is_open[own], n[own], 0)
+                total = np.cumsum(shut + wide)
+                for some in np.split(np.arange(len(text)), np.flatnonzero(np.diff(total >> 14)) + 1):
+                    rows = [np.repeat(some, k[some]) for k in (shut, wide)]
+                    turn = [np.arange(len(r)) - np.repeat(np.cumsum(k[some]) - k[some], k[some]) for r, k in zip(rows, (shut, wide), strict=True)]
+                    low = np.concatenate((part[rows[0]] % n[own][rows[0]].astype(np.uint64), turn[1])).astype(np.int32)
+                    high = np.concatenate((turn[0], part[rows[1]] % u[own][rows[1]].astype(np.uint64))).astype(np.int32)
                     every = np.concatenate(rows)
-                    shown = np.ascontiguousarray(around[at[every] + 1])
+                    place = at[own][every]
+                    shown = np.ascontiguousarray(around[starts[text[every]] + place])
                     offsets = np.arange(len(every) + 1, dtype=np.int32) * np.int32(8 * length)
                     binary = pa.Array.from_buffers(pa.binary(), len(every), [None, pa.py_buffer(offsets), pa.py_buffer(shown)])
-                    yield pa.RecordBatch.from_arrays([pa.array(value[every]), pa.array(low), pa.array(high), pa.array(np.full(len(every), ids[i])), pa.array(at[every]), pa.array(np.arange(len(every)) >= len(rows[0])), binary], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(value[own][every]), pa.array(low), pa.array(high), pa.array(ids[first + text[every]]), pa.array(place), pa.array(np.arange(len(every)) >= len(rows[0])), binary], names)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -388,6 +388,59 @@ def test_window_places_of_many_texts_are_those_of_compact_windows():
     assert got == [common.words(t.encode().lower())[0].tolist() for t in ["", *words_, "", "\n x"]]
 
 
+@pytest.mark.parametrize("least", [46, 47])
+def test_nearest_looks_closer_at_few_pairs_of_a_crowd(monkeypatch, least):
+    """Windows that share a line only cost a bitmap's look; copies are found as by comparing each with each."""
+    draw = np.random.default_rng(11)
+    sizes, rows = [40, 300, 7, 90, 1], []
+    for size in sizes:
+        line = draw.integers(1, 1 << 32, 14)
+        for i in range(size):
+            row = draw.integers(1, 1 << 32, 2 * least)
+            row[least - 7 : least + 7] = line
+            if i and i % 5 == 0:  # a copy of an earlier one, edited, shifted behind the edit, or cut off
+                row = rows[-draw.integers(1, i + 1)].copy()
+                edit, by = int(draw.integers(least, 2 * least - 8)), int(draw.integers(-2, 3))
+                row[edit + 5 :] = np.roll(row[edit + 5 :], by)
+                row[edit : edit + 5] = draw.integers(1, 1 << 32, 5)
+                row[2 * least - int(draw.integers(0, 12)) :] = 0
+            rows.append(row)
+    around = np.array(rows, dtype=np.uint32)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.concatenate([np.sort(draw.integers(0, 3 * n, n)) for n in sizes])
+    open_ = draw.random(len(group)) < 0.8
+    center, want = np.ascontiguousarray(around[:, least - passages.CENTER : least + passages.CENTER]), {}
+    for w in np.flatnonzero(open_).tolist():
+        before = np.flatnonzero((group == group[w]) & (doc < doc[w]))
+        common = passages.in_common(around, center, np.full(len(before), w), before)
+        if common.max(initial=0) >= 2 * 0.8 / 1.8 * least:
+            want[w] = common.max()
+    pairs, plain = [], passages.in_common
+
+    def counted(around, center, mine, theirs):
+        pairs.append(len(mine))
+        return plain(around, center, mine, theirs)
+
+    monkeypatch.setattr(passages, "in_common", counted)
+    mine, theirs = passages.nearest(group, doc, open_, around, 0.8)
+    assert len(want) > 40 and mine.tolist() == list(want)
+    assert (group[mine] == group[theirs]).all() and (doc[theirs] < doc[mine]).all()
+    assert plain(around, center, mine, theirs).tolist() == list(want.values())
+    assert sum(pairs) < 0.1 * sum(n * n for n in sizes) / 2
+
+
+def test_rows_about_many_texts_are_those_of_each():
+    draw = np.random.default_rng(12)
+    texts = [draw.integers(0, 1 << 64, n, dtype=np.uint64) for n in (0, 3, 50, 300, 5, 4, 0, 1)]
+    edges = np.cumsum([0, *map(len, texts)])
+    for length in (1, 2, 46):
+        rows, starts = passages._rows_about(np.concatenate(texts), edges, length)
+        for text, start in zip(texts, starts.tolist(), strict=True):
+            padded = np.pad(common.shingles(text, passages.WIDTH).astype(np.uint32) | np.uint32(1), length)
+            for at in range(len(padded) - 2 * length):
+                assert rows[start + at].tolist() == padded[at + 1 : at + 1 + 2 * length].tolist()
+
+
 def test_passages_edges(spark):
     """Repeated words, a very long text, repeated rows and ids, and columns with other names."""
     draw = random.Random(20)
