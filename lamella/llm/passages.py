@@ -155,13 +155,6 @@ def _meetings(found: DataFrame, parts: int) -> DataFrame:
     return met.where("other_id is not null").unionByName(several.join(first, "value").where("doc_id > other_id"))
 
 
-def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-    """Which of ``values`` are in the sorted, distinct ``ranked``."""
-    if len(ranked) == 0:
-        return np.zeros(len(values), dtype=bool)
-    return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values
-
-
 def likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(first, end, other first, other end, Jaccard) of the passages of ``b`` that ``a`` has nearly too, in words.
 
@@ -169,29 +162,50 @@ def likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float)
     together only while each edit is made up for by what is equal on either side, so a long equal run
     stands however different the rest is.
     """
-    sa, sb = shingles(a, WIDTH), shingles(b, WIDTH)
-    every = np.unique(sa)
-    at = np.flatnonzero(_among(sb, every))
+    return _likeness(shingles(a, WIDTH), shingles(b, WIDTH), least_words, similarity)
+
+
+def _likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """The same from the texts' shingles, which are numbered once; sets are flags by number."""
+    both_sides = np.concatenate((a, b))
+    order = np.argsort(both_sides)
+    ranked = both_sides[order]
+    new = np.zeros(len(order), dtype=np.int64)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty_like(new)
+    number[order] = np.cumsum(new)
+    sa, sb = number[: len(a)], number[len(a) :]
+
+    def flags(numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(number), dtype=bool)
+        out[numbers] = True
+        return out
+
+    every = flags(sa)
+    at = np.flatnonzero(every[sb])
     price = 2 * similarity / max(1e-9, 1 - similarity)
     out = []
 
     def report(start: int, end: int) -> bool:
         if end - start + WIDTH - 1 < least_words:
             return False
-        mine = np.unique(sb[start:end])
-        if _among(mine, every).sum() < similarity * len(mine):
+        mine = flags(sb[start:end])
+        n_mine = np.count_nonzero(mine)
+        if np.count_nonzero(mine & every) < similarity * n_mine:
             return False
-        there = np.flatnonzero(_among(sa, mine))
-        groups = np.split(there, np.flatnonzero(np.diff(there) > 2 * WIDTH) + 1)
+        there = np.flatnonzero(mine[sa])
+        apart = np.flatnonzero(there[1:] - there[:-1] > 2 * WIDTH)
+        firsts, lasts = [int(there[0]), *there[apart + 1].tolist()], [*there[apart].tolist(), int(there[-1])]
         best, place = 0.0, (0, 0)
-        for i, first in enumerate(groups):  # the neighbouring places of these shingles that are most alike together
-            for last in groups[i:]:
-                other = np.unique(sa[first[0] : last[-1] + 1])
-                if len(mine) < similarity * len(other):
+        for i, first in enumerate(firsts):  # the neighbouring places of these shingles that are most alike together
+            for last in lasts[i:]:
+                other = flags(sa[first : last + 1])
+                n_other = np.count_nonzero(other)
+                if n_mine < similarity * n_other:
                     break
-                both = int(_among(other, mine).sum())
-                if (alike := both / (len(mine) + len(other) - both)) > best:
-                    best, place = alike, (int(first[0]), int(last[-1]))
+                both = np.count_nonzero(other & mine)
+                if (alike := both / (n_mine + n_other - both)) > best:
+                    best, place = alike, (first, last)
         if best < similarity:
             return False
         out.append((start, end + WIDTH - 1, place[0], place[1] + WIDTH, best))
@@ -204,23 +218,33 @@ def likeness(a: np.ndarray, b: np.ndarray, least_words: int, similarity: float)
             continue
         if report(int(near[0]), int(near[-1]) + 1):
             continue
-        gaps = np.diff(near)
+        gaps = near[1:] - near[:-1]
         if len(gaps) and gaps.max() > 2 * WIDTH:
             wide = int(gaps.argmax()) + 1
             todo += [near[wide:], near[:wide]]
             continue
         grown: list[list[float]] = []
-        for run in np.split(near, np.flatnonzero(gaps > 1) + 1):
-            cost = price * (run[0] - grown[-1][1]) if grown else 0
-            if grown and cost <= min(grown[-1][2], len(run)):
-                grown[-1][1:] = [run[-1] + 1, grown[-1][2] + len(run) - cost]
+        ends = np.flatnonzero(gaps > 1)
+        for first, last in zip([int(near[0]), *near[ends + 1].tolist()], [*near[ends].tolist(), int(near[-1])], strict=True):
+            length = last - first + 1
+            cost = price * (first - grown[-1][1]) if grown else 0
+            if grown and cost <= min(grown[-1][2], length):
+                grown[-1][1:] = [last + 1, grown[-1][2] + length - cost]
             else:
-                grown.append([run[0], run[-1] + 1, len(run)])
+                grown.append([first, last + 1, length])
         for start, end, _ in grown:
             report(int(start), int(end))
     return out
 
 
+def _shingles_of_each(lists: pa.ListArray) -> list[np.ndarray]:
+    """The shingles of each list of words, all made in one pass."""
+    at = lists.offsets.to_numpy()
+    tokens = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].view(np.uint32).astype(np.uint64)
+    every, at = shingles(tokens, WIDTH), (at - at[0]).tolist()
+    return [every[a : b - WIDTH + 1] if b - a >= WIDTH else shingles(tokens[a:b], WIDTH) for a, b in zip(at, at[1:], strict=False)]
+
+
 def _candidates(met: DataFrame, enough: int) -> DataFrame:
     """``other_id, doc_id, drift, low, high, least, most`` of runs of offsets less than ``DRIFT`` apart that ``enough`` values share."""
     pair = Window.partitionBy("other_id", "doc_id").orderBy("shift")
@@ -262,15 +286,11 @@ def _verified(rows: DataFrame, candidates: DataFrame, least_words: int, similari
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, 64):
             out = []
-            sides = []
-            for n in ("theirs", "mine"):
-                low, tokens = batch.column(n).field("low").to_pylist(), batch.column(n).field("tokens")
-                sides.append((low, tokens.offsets.to_pylist(), tokens.values.to_numpy(zero_copy_only=False).view(np.uint32)))
-            (la, oa, va), (lb, ob, vb) = sides
+            (la, sa), (lb, sb) = ((batch.column(n).field("low").to_pylist(), _shingles_of_each(batch.column(n).field("tokens"))) for n in ("theirs", "mine"))
             for i, (other, doc) in enumerate(zip(batch.column("other_id").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
-                found = likeness(va[oa[i] : oa[i + 1]].astype(np.uint64), vb[ob[i] : ob[i + 1]].astype(np.uint64), least_words, similarity)
+                found = _likeness(sa[i], sb[i], least_words, similarity)
                 out += [(doc, s + lb[i], e + lb[i], other, s2 + la[i], e2 + la[i], j) for s, e, s2, e2, j in found]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in RESULT.split(", ")])
